@@ -21,12 +21,36 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op3_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .setsketch import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import by_position, mix
 
     return by_position(mix(table(spark, sf_dir, "documents"))).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .chat import digests, segments
 
@@ -35,6 +59,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(segments(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(probe)))
 
 
+def op9_trie_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram import score_texts
+
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -102,5 +132,32 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM checked GROUP BY conv_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_media, op2_syncmers, op4_mixing, op8_chat, op10_packing)}
-ORACLES = {"op4_mixing": _OP4.replace("{position}", _position_sql()), "op8_chat": _OP8}
+_OP3 = """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w] ELSE list_distinct(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) END) AS s FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+signs AS (SELECT doc_id, n, (SELECT md5(string_agg(md5(CAST(s AS VARCHAR)), '' ORDER BY md5(CAST(s AS VARCHAR)))) FROM sets t WHERE t.doc_id = z.doc_id) AS sign FROM sizes z),
+reps AS (SELECT min(doc_id) AS rep, any_value(n) AS n, sign FROM signs GROUP BY sign),
+few AS (SELECT t.* FROM sets t JOIN reps ON t.doc_id = rep),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM few a JOIN few b ON a.s = b.s AND a.doc_id < b.doc_id
+  JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id WHERE 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+  GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached(id, root) AS (SELECT rep, rep FROM reps UNION SELECT b, root FROM reached JOIN both_ways ON a = id WHERE root < b),
+roots AS (SELECT id, min(root) AS root FROM reached GROUP BY id)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, coalesce(root, d.doc_id) AS component_id, coalesce(root, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN signs s ON s.doc_id = d.doc_id LEFT JOIN reps r ON r.sign = s.sign LEFT JOIN roots ON roots.id = r.rep
+"""
+_OP5 = """
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+wins AS (SELECT rid, i, hash(w[i:i + 34]) AS h, md5(array_to_string(w[i:i + 34], ' ')) AS m FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS i FROM docs WHERE len(w) >= 35)),
+twice AS (SELECT rid, i FROM wins JOIN (SELECT h, m FROM wins GROUP BY h, m HAVING count(*) > 1) USING (h, m)),
+words AS (SELECT rid, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM docs),
+marked AS (SELECT w.rid, w.i, word, coalesce(max(CASE WHEN t.i IS NOT NULL THEN 1 ELSE 0 END) OVER (PARTITION BY w.rid ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW), 0) AS gone
+  FROM words w LEFT JOIN twice t ON t.rid = w.rid AND t.i = w.i),
+kept AS (SELECT rid, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (gone = 0), '') AS text FROM marked GROUP BY rid)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (rid)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_media, op2_syncmers, op3_setsketch, op4_mixing, op5_repeats, op6_quality, op7_toxicity, op8_chat, op9_trie_lm, op10_packing)}
+ORACLES = {"op3_setsketch": _OP3, "op5_repeats": _OP5, "op4_mixing": _OP4.replace("{position}", _position_sql()), "op8_chat": _OP8}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -34,6 +35,12 @@ class Scratch:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+    def release(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of finished jobs that nothing refers to any more."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size of the input; where it has none, rows are counted at 4 kB each."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
