@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: Labelled rows that a model is fitted on, at most; those of least hash of doc_id.
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 20_000
 FOLDS, HELD_OUT = 4, 2
 
 

@@ -5,7 +5,7 @@ what was learned). A document is toxic unless none of its sentences is:
 P = 1 - prod(1 - p_s). The gradient of the document's log loss goes through the
 noisy-or to the sentences, so those that explain a label get the weight, and they can be
 pointed out afterwards. Features are picked by their document counts in a bounded sample
-(labelled.SAMPLE_ROWS), then trained on the driver; scoring reads every whole text.
+(labelled.SAMPLE_ROWS) and trained on the driver; scoring reads every whole text.
 
 Defined cases: null text is the empty text, which has no sentence and score 0; without
 toxic labelled rows every score is near 0; sentences end after . ! ? or at a line feed.
@@ -23,7 +23,7 @@ from .labelled import held_out, sample
 from .scratch import Scratch
 from .text import BASE_C, U, buffers, byte_values, mix, powers, slices
 
-BITS, PREFIXES, KEPT = 20, (4, 5, 6), 4096
+BITS, PREFIXES, KEPT = 20, (4, 5, 6, 7, 8, 9), 4096
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123), *range(0x80, 256)]] = True
 _STOP = np.zeros(256, bool)
@@ -77,52 +77,56 @@ def _softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, z)
 
 
-def train(label: np.ndarray, doc: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int, plain: np.ndarray, steps: int = 400, rate: float = 0.1, penalty: float = 2e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias. Sentence i is of document doc[i] and has features columns[rows == i]; plain: sentences without any, by document."""
-    weights, bias = np.zeros(width), -5.0
+def train(label: np.ndarray, doc: np.ndarray, rows: np.ndarray, columns: np.ndarray, width: int, plain: np.ndarray, steps: int = 400, rate: float = 0.1, penalty: float = 2e-5, keep: float = 0.5) -> tuple[np.ndarray, float]:
+    """Weights, none of them negative, so that clean words can't hide others, and bias.
+
+    Sentence i is of document doc[i] and has features columns[rows == i]; plain: sentences without any, by document.
+    Each step sees a random half of the sentences with features, so that one sentence needn't explain a document alone
+    and each learns its share; the last steps fit the bias on all sentences.
+    """
+    weights, bias, random = np.zeros(width), -5.0, np.random.Generator(np.random.PCG64(7))
     first, second = np.zeros(width + 1), np.zeros(width + 1)
-    for t in range(1, steps + 1):
-        z = bias + np.bincount(rows, weights[columns], len(doc))
+    for t in range(1, steps + steps // 2 + 1):
+        last = t > steps
+        seen = np.ones(len(doc), bool) if last else random.random(len(doc)) < keep
+        z = bias + np.where(seen, np.bincount(rows, weights[columns], len(doc)), 0)
         p = 1 / (1 + np.exp(-z))
         p0 = 1 / (1 + np.exp(-bias))
         clean = np.bincount(doc, _softplus(z), len(label)) + plain * _softplus(bias)  # -log(1 - P)
         toxic = -np.expm1(-clean)
         pull = np.where(label > 0, -np.exp(-clean) / np.maximum(toxic, 1e-9), 1.0)
         dz = pull[doc] * p
-        g = np.append(np.bincount(columns, dz[rows], width) / len(label) + penalty * weights, (dz.sum() + (pull * plain).sum() * p0) / len(label))
+        g = np.append(np.bincount(columns, (dz * seen)[rows], width) / len(label) + penalty * weights, (dz.sum() + (pull * plain).sum() * p0) / len(label))
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         step = rate * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-8)
-        weights, bias = weights - step[:-1], bias - step[-1]
+        bias -= step[-1]
+        if not last:
+            weights = np.maximum(weights - step[:-1], 0)
     return weights, float(bias)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
+def instances_of(docs: DataFrame, labels: DataFrame):
+    """The picked features, the sample's labels, and its sentences as `train` takes them (None without toxic rows)."""
     scratch = Scratch(docs.sparkSession)
     rows = scratch.save(sample(docs, labels, "toxic").select("doc_id", "text", "label"), "toxic_sample")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw, offsets = buffers(b.column(1))
-            found = []
+            label = b.column(2).to_numpy()
             for first, last in slices(offsets):
                 _, doc, ids, of = sentences(raw[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first])
                 keys = np.unique((doc[of] << BITS) | ids)
-                cuts = np.searchsorted(keys >> BITS, np.arange(1, last - first))
-                found += [x.astype(np.int32) for x in np.split(keys & ((1 << BITS) - 1), cuts)]
-            yield pa.RecordBatch.from_arrays([b.column(2), pa.array([x.tobytes() for x in found], pa.binary())], ["label", "ids"])
-
-    got = rows.mapInArrow(sets, "label int, ids binary").toArrow()
-    count = np.zeros((2, 1 << BITS))
-    size = np.zeros(2)
-    for label, ids in zip(got["label"].to_pylist(), got["ids"].to_pylist()):
-        count[int(label > 0)][np.frombuffer(ids, np.int32)] += 1
-        size[int(label > 0)] += 1
-    share = (count + 0.5) / (size[:, None] + 1)
-    # documents that a feature sets apart from chance, in standard deviations
-    mean = size[1] * count.sum(0) / max(size.sum(), 1)
-    strength = np.where(count.sum(0) >= 4, np.abs(count[1] - mean) / np.sqrt(mean + 1), 0) * np.abs(np.log(share[1] / share[0]))
-    picked = np.sort(np.argsort(-strength, kind="stable")[:KEPT])
-    picked = picked[strength[picked] > 1]
+                yield pa.RecordBatch.from_arrays([pa.array((keys & ((1 << BITS) - 1)).astype(np.int32)), pa.array((label[first:last][keys >> BITS] > 0).astype(np.int32))], ["id", "toxic"])
+
+    sizes = rows.agg(F.count("*").alias("n"), F.coalesce(F.count_if(F.col("label") > 0), F.lit(0)).alias("toxic")).first()
+    n, toxic = float(sizes["n"]), float(sizes["toxic"])
+    counts = rows.mapInArrow(sets, "id int, toxic int").groupBy("id").agg(F.sum("toxic").alias("t"), F.count("*").alias("c"))
+    # toxic documents beyond those that chance explains, in standard deviations, times the log of the ratio of rates
+    mean = F.col("c") * F.lit(toxic / max(n, 1))
+    ratio = (F.col("t") + 0.5) / F.lit(toxic + 1) / ((F.col("c") - F.col("t") + 0.5) / F.lit(n - toxic + 1))
+    ranked = counts.filter("c >= 4").select("id", ((F.col("t") - mean) / F.sqrt(mean + 1) * F.greatest(F.log(ratio), F.lit(0.0))).alias("strength")).filter("strength > 1")
+    picked = np.array(sorted(r["id"] for r in ranked.orderBy(F.desc("strength"), "id").limit(KEPT).collect()), np.int64)
 
     def instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place = np.full(1 << BITS, -1, np.int32)
@@ -156,9 +160,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         plain.append(n - k)
         used += k
     scratch.drop("")
-    if not len(label) or not label.any():
+    if not toxic:
+        return picked, label, None
+    return picked, label, (np.concatenate(doc), np.concatenate(of), np.concatenate(columns), np.array(plain, np.float64))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    picked, label, bags = instances_of(docs, labels)
+    if bags is None:
         return Model(np.zeros(0, np.int64), np.zeros(0), -20.0)
-    weights, bias = train(label, np.concatenate(doc), np.concatenate(of), np.concatenate(columns), len(picked), np.array(plain, np.float64))
+    doc, rows, columns, plain = bags
+    weights, bias = train(label, doc, rows, columns, len(picked), plain)
     return Model(picked, weights, bias)
 
 
