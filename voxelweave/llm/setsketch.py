@@ -12,9 +12,11 @@ the registers, so elements whose next value is above all of the minima stop earl
 band meet. 3. In each band's bucket a node is paired with the first node and the one
 before it, which joins groups of copies without making all pairs. 4. The joint likelihood
 of two sketches under the likeness J drops pairs that are far below the limit, and
-what is left is confirmed on the full sets. 5. Buckets that still hold several components
-are gone through again: each node is tried with its likeliest partners of each other
-component, four times as many in each round, until no likely pair is untried.
+what is left is confirmed on the full sets. 5. Buckets that still hold several components are gone
+through once more: the members outside the largest component are held, all others stream
+past them, and each likely pair of different components is confirmed, the likeliest
+first, in the one band that it shares first. What links joins its components at once, so a
+group costs as many confirmations as it has members, not pairs, but for likely pairs that fail.
 
 At the limit J = 0.8 a pair shares no band with a chance of (1 - 0.8**4)**32 = 4e-8.
 Nodes are 63-bit digests of sets; sets are compared as 64-bit shingle digests.
@@ -192,10 +194,10 @@ def node_sets(docs: DataFrame) -> DataFrame:
 
 
 def bands(nodes: DataFrame) -> DataFrame:
-    """(key, node): a row for each band of each node's registers."""
+    """(key, band, node): a row for each band of each node's registers."""
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * width + 1, F.lit(width))))
-    return nodes.select("node", F.explode(keys).alias("key"))
+    return nodes.select("node", F.posexplode(keys).alias("band", "key"))
 
 
 def confirm(pairs: DataFrame, sketched: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
@@ -216,10 +218,7 @@ def confirm(pairs: DataFrame, sketched: DataFrame, sets: DataFrame, limit: float
                 b = batch.slice(first, 500)
                 keep = []
                 for x, y in zip(b.column(2), b.column(3)):
-                    x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-                    at = np.searchsorted(y, x)
-                    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
-                    keep.append(100 * both >= percent * (len(x) + len(y) - both))
+                    keep.append(_reaches(x.as_buffer(), y.as_buffer(), limit))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     some = pairs.join(own(sketched, "a", ("n", "sketch")), "a").join(own(sketched, "b", ("n", "sketch")), "b")
@@ -229,58 +228,91 @@ def confirm(pairs: DataFrame, sketched: DataFrame, sets: DataFrame, limit: float
     return full.mapInArrow(exact, "a long, b long")
 
 
-def _partners(limit: float, most: int):
-    """Likely pairs of different components of each bucket; `most` best partners for each node and component of its bucket.
+class _Bucket:
+    """The members of one bucket and band, as they come; links between components are found as soon as both sides are there.
 
-    Rows come sorted by (key, major, root, node): members of small components first. Those are held, in blocks, and
-    the bucket's largest component streams past them, so memory follows the small ones.
+    A pair is looked at in the first band that it shares, so once in all, and only while its sides
+    are in different components: likeliest pairs first, each confirmed on the full sets.
     """
 
-    def emit(x, y, best):
-        ok = x["root"][:, None] != y["root"][None, :]
-        i, j = np.nonzero(ok)
-        for first in range(0, len(i), 1 << 15):
-            a, b = i[first : first + (1 << 15)], j[first : first + (1 << 15)]
-            good, got = likely(x["sketch"][a], y["sketch"][b], x["n"][a], y["n"][b], limit)
-            for p, q, e in zip(a[good].tolist(), b[good].tolist(), got[good].tolist()):
-                best.setdefault((int(x["node"][p]), int(y["root"][q])), []).append((-e, int(y["node"][q])))
-        for k, v in best.items():
-            if len(v) > 4 * most + 64:
-                v.sort()
-                best[k] = [*v[: most + 1]]
-
-    def flush(best):
-        rows = []
-        for (node, _), v in best.items():
-            v.sort()
-            rows += [(min(node, o), max(node, o), len(v) > most) for _, o in v[:most]]
-        best.clear()
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.bool_())], ["a", "b", "cut"])
+    def __init__(self, band: int, limit: float):
+        self.band, self.limit, self.parent, self.held, self.links = band, limit, {}, [], []
+
+    def find(self, r: int) -> int:
+        while (up := self.parent.get(r, r)) != r:
+            self.parent[r] = r = self.parent.get(up, up)
+        return r
+
+    def add(self, part: dict, small: int) -> None:
+        """Rows of the bucket; the first `small` of them aren't of its largest component, and are held for what follows."""
+        own = {n: v[:small] for n, v in part.items()}
+        for x in self.held:
+            self.match(x, part, False)
+        if small:
+            self.match(own, own, True)
+            self.match(own, {n: v[small:] for n, v in part.items()}, False)
+            self.held.append(own)
+
+    def match(self, x: dict, y: dict, same: bool) -> None:
+        if not len(x["node"]) or not len(y["node"]):
+            return
+        rx, ry = (np.array([self.find(r) for r in t["root"].tolist()]) for t in (x, y))
+        least = REGISTERS * (self.limit - (DEVIATIONS + 1) * np.sqrt(self.limit * (1 - self.limit) / REGISTERS))
+        found = []
+        for first in range(0, len(rx), 8):
+            rows = slice(first, first + 8)
+            apart = rx[rows, None] != ry[None, :]
+            if same:
+                apart &= np.arange(first, first + len(apart))[:, None] < np.arange(len(ry))[None, :]
+            i, j = np.nonzero(apart)
+            if not len(i):
+                continue
+            i += first
+            equal = x["sketch"][i] == y["sketch"][j]
+            ok = equal.sum(1) >= least
+            ok &= equal.reshape(len(i), -1, ROWS).all(2).argmax(1) == self.band
+            found.append((i[ok], j[ok]))
+        if not found:
+            return
+        i, j = (np.concatenate(c) for c in zip(*found))
+        ok, estimate = likely(x["sketch"][i], y["sketch"][j], x["n"][i], y["n"][j], self.limit)
+        i, j, estimate = i[ok], j[ok], estimate[ok]
+        for k in np.argsort(-estimate, kind="stable").tolist():
+            a, b = self.find(int(x["root"][i[k]])), self.find(int(y["root"][j[k]]))
+            if a != b and _reaches(x["shingles"][i[k]], y["shingles"][j[k]], self.limit):
+                self.parent[max(a, b)] = min(a, b)
+                self.links.append((int(x["node"][i[k]]), int(y["node"][j[k]])))
+
+
+def _reaches(x: bytes, y: bytes, limit: float) -> bool:
+    """Whether two full sets (sorted digests) have Jaccard likeness of limit or more."""
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    at = np.searchsorted(y, x)
+    both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    return 100 * both >= round(limit * 100) * (len(x) + len(y) - both)
+
+
+def _links(limit: float):
+    """Links (a, b) between components from rows sorted by (key, major): members of small components come first and are
+    held, then the bucket's largest component streams past them, so memory follows the small ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, best = None, [], {}
+        key, bucket = None, None
         for batch in batches:
             for first in range(0, batch.num_rows, BLOCK):
                 b = batch.slice(first, BLOCK)
                 col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-                keys, major = col["key"].to_numpy(), col["major"].to_numpy(zero_copy_only=False)
-                whole = {n: col[n].to_numpy() for n in ("node", "root", "n")} | {"sketch": _registers(col["sketch"])}
-                cuts = np.flatnonzero(np.diff(keys)) + 1
+                keys, major, band = col["key"].to_numpy(), col["major"].to_numpy(zero_copy_only=False), col["band"].to_numpy()
+                whole = {n: col[n].to_numpy() for n in ("node", "root", "n")} | {"sketch": _registers(col["sketch"]), "shingles": np.array(col["shingles"].to_pylist(), object)}
+                cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(band) != 0)) + 1
                 for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
-                    if keys[lo] != key:
-                        if best:
-                            yield flush(best)
-                        key, held = keys[lo], []
-                    part = {n: v[lo:hi] for n, v in whole.items()}
-                    small = ~major[lo:hi]
-                    for x in held:
-                        emit(x, part, best)
-                    if small.any():
-                        own = {n: v[small] for n, v in part.items()}
-                        emit(own, part, best)
-                        held.append(own)
-        if best:
-            yield flush(best)
+                    if bucket is None or (keys[lo], band[lo]) != key:
+                        if bucket and bucket.links:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*bucket.links)], ["a", "b"])
+                        key, bucket = (keys[lo], band[lo]), _Bucket(int(band[lo]), limit)
+                    bucket.add({n: v[lo:hi] for n, v in whole.items()}, int((~major[lo:hi]).sum()))
+        if bucket and bucket.links:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*bucket.links)], ["a", "b"])
 
     return run
 
@@ -293,43 +325,31 @@ def near_duplicates(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     signed = scratch.save(signatures(rows), "signed")
     nodes = scratch.save(signed.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
 
-    order = Window.partitionBy("key").orderBy("node")
-    met = bands(nodes).select("key", "node", F.lag("node").over(order).alias("before"), F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"))
+    order = Window.partitionBy("key", "band").orderBy("node")
+    met = bands(nodes).select("key", "band", "node", F.lag("node").over(order).alias("before"), F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"))
     met = scratch.save(met.filter("before is not null"), "met")  # all but the first node of each bucket that has several
     pairs = met.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("node").alias("b")), F.struct(F.col("before").alias("a"), F.col("node").alias("b")))).alias("p")).select("p.a", "p.b").distinct()
-    buckets = met.select("key", "node").unionByName(met.select("key", F.col("first").alias("node")).distinct())
-    tried = scratch.save(pairs, "tried_0")
-    met_nodes = tried.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    buckets = met.select("key", "band", "node").unionByName(met.select("key", "band", F.col("first").alias("node")).distinct())
+    met_nodes = buckets.select("node").distinct()
     sketched = scratch.save(nodes.join(met_nodes, "node", "left_semi"), "sketched")
     texts = rows.join(sketched.select("doc_id"), "doc_id", "left_semi")
     sets = node_sets(texts).join(sketched.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = scratch.save(sets, "sets")
-
-    links = scratch.save(confirm(tried, sketched, sets, limit), "links_0")
-    roots = scratch.save(components(links, scratch, "cc_0"), "roots_0")
-    most, i = 4, 0
-    while True:
-        i += 1
-        placed = buckets.join(roots, F.col("node") == F.col("id"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        counted = placed.groupBy("key", "root").agg(F.count("*").alias("c"))
-        mixed = counted.groupBy("key").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("largest")).filter("roots > 1").drop("roots")
-        open_buckets = placed.join(mixed, "key").select("key", "node", "root", (F.col("root") == F.col("largest")).alias("major"))
-        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        wide = open_buckets.join(sketched.select("node", "n", "sketch"), "node").repartition(parts, "key").sortWithinPartitions("key", "major", "root", "node")
-        likely_pairs = wide.select("key", "node", "root", "n", "major", "sketch").mapInArrow(_partners(limit, most), "a long, b long, cut boolean")
-        found = scratch.save(likely_pairs.groupBy("a", "b").agg(F.max("cut").alias("cut")).join(tried.withColumn("old", F.lit(True)), ["a", "b"], "left"), f"found_{i}")
-        counts = found.agg(F.count_if(F.col("old").isNull()).alias("new"), F.coalesce(F.max("cut"), F.lit(False)).alias("cut")).first()
-        if not counts["new"] and not counts["cut"]:
-            break
-        if counts["new"]:
-            new = found.filter("old is null").select("a", "b")
-            tried = scratch.save(tried.unionByName(new), f"tried_{i}")
-            more = scratch.save(confirm(new, sketched, sets, limit), f"more_{i}")
-            if more.limit(1).count():
-                # components so far stand for their links
-                links = roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more)
-                roots = scratch.save(components(links, scratch, f"cc_{i}"), f"roots_{i}")
-        most *= 4
+    scratch.release()
+
+    links = scratch.save(confirm(pairs, sketched, sets, limit), "links")
+    roots = scratch.save(components(links, scratch, "first"), "roots")
+    placed = buckets.join(roots, F.col("node") == F.col("id"), "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
+    counted = placed.groupBy("key", "band", "root").agg(F.count("*").alias("c"))
+    mixed = counted.groupBy("key", "band").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("largest")).filter("roots > 1").drop("roots")
+    open_buckets = scratch.save(placed.join(mixed, ["key", "band"]).select("key", "band", "node", "root", (F.col("root") == F.col("largest")).alias("major")), "open")
+    wide = open_buckets.join(sketched.select("node", "n", "sketch"), "node").join(sets, "node")
+    wide = wide.repartition("key", "band").sortWithinPartitions("key", "band", "major", "node")
+    more = wide.select("key", "band", "node", "root", "n", "major", "sketch", "shingles").mapInArrow(_links(limit), "a long, b long")
+    # components so far stand for their links
+    links = scratch.save(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), "more")
+    roots = scratch.save(components(links, scratch, "second"), "all_roots")
+    scratch.release()
 
     # from nodes to documents: the least doc_id of a component's nodes, then of each doc_id's rows
     group = nodes.join(roots, F.col("node") == F.col("id"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
