@@ -132,10 +132,10 @@ LEVELS = ("contexts", "words", "pairs", "pair_base", "triples")
 class Trie:
     """Two- and three-word contexts' words, as context-relative Elias-Fano levels.
 
-    contexts: hashes (63 bits) of the last context words v. words: for each v its kept words'
-    40-bit hashes, made monotone by v's index. pairs: for each v the words u before it, likewise.
+    contexts: numbers of the last context words v. words: for each v its kept words' numbers
+    (40 bits at most), made monotone by v's index. pairs: for each v the words u before it, likewise.
     triples: for each (u, v) its words as ranks among v's words, made monotone by pair_base, the sum
-    of word counts up to it. Each level has a table of 16-bit codes (codes: by level).
+    of word counts up to it. Each level has a table of 8-bit codes (codes: by level).
     """
 
     def __init__(self, buffer):
@@ -143,7 +143,7 @@ class Trie:
         head = np.frombuffer(buffer, np.int64, 1)
         places = np.frombuffer(buffer, np.int64, 2 * int(head[0]), 8).reshape(-1, 2)
         arrays = []
-        kinds = [np.int64, np.uint64, np.uint64, np.uint32] * len(LEVELS) + [np.uint16] * 4 + [np.int64]
+        kinds = [np.int64, np.uint64, np.uint64, np.uint32] * len(LEVELS) + [np.uint8] * 4
         for (at, size), kind in zip(places, kinds):
             arrays.append(np.frombuffer(buffer, kind, int(size) // np.dtype(kind).itemsize, int(at)))
         for i, name in enumerate(LEVELS):
@@ -152,7 +152,7 @@ class Trie:
 
     @classmethod
     def build(cls, v: np.ndarray, word_owner: np.ndarray, word: np.ndarray, pair_owner: np.ndarray, pair: np.ndarray, triple_owner: np.ndarray, triple: np.ndarray, codes: dict[str, np.ndarray], path: str | None = None) -> Trie:
-        """Sorted levels: v; (index of v, word hash); (index of v, hash of u); (index of pair, word hash)."""
+        """Sorted levels: v; (index of v, word); (index of v, u); (index of pair, word)."""
         n = len(v)
         big = lambda owner, h: (owner.astype(np.uint64) << U(CONTEXT_BITS)) | h.astype(np.uint64)
         words = big(word_owner, word)
@@ -163,10 +163,10 @@ class Trie:
         rank = np.searchsorted(words, big(owner, triple)) - first[owner] if len(triple) else np.zeros(0, np.int64)
         triples = (base[triple_owner] + rank) if len(triple) else np.zeros(0, np.int64)
         order = np.argsort(triples, kind="stable")
-        levels = [(v, 1 << 63), (words, max(1, n) << CONTEXT_BITS), (big(pair_owner, pair), max(1, n) << CONTEXT_BITS), (base, int(base[-1] + 1) if len(base) else 1), (triples[order], int(triples.max()) + 1 if len(triples) else 1)]
+        levels = [(v, int(v[-1]) + 1 if n else 1), (words, max(1, n) << CONTEXT_BITS), (big(pair_owner, pair), max(1, n) << CONTEXT_BITS), (base, int(base[-1] + 1) if len(base) else 1), (triples[order], int(triples.max()) + 1 if len(triples) else 1)]
         arrays = [a for values, universe in levels for a in EliasFano.build(values, universe)]
         arrays += [codes["contexts"], codes["words"], codes["pairs"], codes["triples"][order]]
-        arrays = [np.ascontiguousarray(a if i < 4 * len(LEVELS) else a.astype(np.uint16)) for i, a in enumerate(arrays)]
+        arrays = [np.ascontiguousarray(a if i < 4 * len(LEVELS) else a.astype(np.uint8)) for i, a in enumerate(arrays)]
         at, places = 8 + 16 * len(arrays), []
         for a in arrays:
             at = -(-at // 64) * 64

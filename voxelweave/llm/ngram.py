@@ -12,8 +12,9 @@ the trie what its chunks asked. 4. Chunks score: with f the discounted share and
 P(w | u, v) = f(w | u, v) + m(u, v) P(w | v), P(w | v) = f(w | v) + m(v) P(w),
 P(w) = (c + 0.5) / (N + 0.5 (V + 1)).
 
-Shards and chunks grow in number with the input, not in size. Tokens are told apart by 64-bit
-hashes, words after one context by 40 bits of them; a context is 63 bits.
+Chunks and shards grow in number with the input; a shard also holds whole what follows its most
+frequent context. Tokens are told apart by 64-bit hashes; after the first step they have
+numbers, which are a few bytes in the messages that follow.
 
 Defined cases: null text is the empty text, whose one token is the end; a null doc_id counts as the
 empty text for the fold; an empty training part leaves P = 0.5 / 0.5 = 1 for each token;
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .chunks import chunked, log2_up
-from .eliasfano import CONTEXT_BITS, Trie
+from .eliasfano import Trie
 from .repeats import BLOCK_BITS, _blocks, _frame, gaps, ungaps
 from .scratch import Scratch, input_bytes
 from .text import BASE_A, BASE_B, U, mix, word_hashes
@@ -36,12 +37,13 @@ from .text import BASE_A, BASE_B, U, mix, word_hashes
 FOLDS, HELD_OUT = 5, 1
 END, BEGIN = 0x452821E638D01377, 0xBE5466CF34E90C6C
 DISCOUNT, LEAST = 0.75, 2
-#: 16-bit codes of log10 values from -RANGE to 0.
-RANGE = 16.0
+#: 8-bit codes of log10 values from -RANGE to 0; the last stands for 0.
+RANGE, NONE = 10.16, 255
+CHUNK_BYTES = 5 << 20
 
-MESSAGE = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64())])
-MESSAGE_SQL = "kind int, bucket long, chunk int, payload binary, tokens long, distinct long"
-COUNTS, FLAGS, ANSWERS = 0, 1, 2
+MESSAGE = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("numbers", pa.int64())])
+MESSAGE_SQL = "kind int, bucket long, chunk int, payload binary, tokens long, distinct long, numbers long"
+COUNTS, FLAGS, QUERIES, ANSWERS = 0, 1, 2, 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,13 +51,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def code(share: np.ndarray) -> np.ndarray:
-    """A share of 0 to 1 as a 16-bit code of its logarithm; 0 is code 65535."""
+    """A share of 0 to 1 as an 8-bit code of its logarithm."""
     with np.errstate(divide="ignore"):
-        return np.clip(np.round(-np.log10(share) / RANGE * 65534), 0, 65535).astype(np.uint16)
+        return np.where(share > 0, np.clip(np.round(-np.log10(share) * (NONE - 1) / RANGE), 0, NONE - 1), NONE).astype(np.uint8)
 
 
 def share(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes == 65535, 0.0, 10.0 ** (-codes.astype(np.float64) * RANGE / 65534))
+    return np.where(codes == NONE, 0.0, 10.0 ** (-codes.astype(np.float64) * RANGE / (NONE - 1)))
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -125,30 +127,25 @@ class Tokens:
         self.triple_hash = mix(inside * U(BASE_B) + self.all[self.triple_w])
         self.triple_hash[self.triple_p == p] = 0
 
-    def sketched(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted cells of the pairs and triples seen in training, twice where they were seen twice, and which key each is."""
+    def last(self) -> np.ndarray:
+        """The pair that each triple ends in."""
+        out = np.zeros(len(self.triple_hash), np.int64)
+        out[self.triple] = self.pair
+        return out
+
+    def cells(self, bits: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Sorted cells of pairs and triples, and which key each is: those seen in training (FLAGS), twice where they were seen twice, or the others (QUERIES)."""
         h = np.concatenate((self.pair_hash, self.triple_hash))
-        seen = np.concatenate((self.pair_count, self.triple_count * (self.triple_p < len(self.pair_hash))))
-        key = np.flatnonzero(seen)
-        key = np.concatenate((key, np.flatnonzero(seen > 1)))
+        seen = np.concatenate((self.pair_count, self.triple_count))
+        real = np.concatenate((np.ones(len(self.pair_hash), bool), self.triple_p < len(self.pair_hash)))
+        key = np.flatnonzero(real & (seen > 0 if kind == FLAGS else seen == 0))
+        if kind == FLAGS:
+            key = np.concatenate((key, np.flatnonzero(real & (seen > 1))))
         cell = (h[key] >> U(64 - bits)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         return cell[order], key[order]
 
 
-def short(h: np.ndarray) -> np.ndarray:
-    return h >> U(64 - CONTEXT_BITS)
-
-
-def _split(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """40-bit hashes as four bytes and one."""
-    return (h & U(0xFFFFFFFF)).astype("<u4"), (h >> U(32)).astype(np.uint8)
-
-
-def _join(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    return low.astype(np.uint64) | high.astype(np.uint64) << U(32)
-
-
 def _per(owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, minlength=n).astype("<u4")
 
@@ -156,12 +153,13 @@ def _per(owner: np.ndarray, n: int) -> np.ndarray:
 class Asked:
     """What a chunk sends to shards: its contexts, and its pairs and triples that may be repeated, in order of context."""
 
-    def __init__(self, own: Tokens, counts: np.ndarray, starts: int, flagged: np.ndarray):
+    def __init__(self, own: Tokens, counts: np.ndarray, numbers: np.ndarray, begin: int, starts: int, flagged: np.ndarray):
         n, p = len(own.hashes), len(own.pair_hash)
+        self.number = np.append(numbers, begin)
         total = np.append(counts, starts)  # how often each context occurs: as often as the word, the start once a text
-        order = np.argsort(own.all >> U(1), kind="stable")
-        self.v = order[(total[order] >= LEAST)]
-        self.v = self.v[own.all[self.v] != U(END)]
+        wanted = total >= LEAST
+        wanted[:n] &= own.hashes != U(END)
+        self.v = np.flatnonzero(wanted)  # in order of number
         place = np.full(n + 1, -1, np.int64)
         place[self.v] = np.arange(len(self.v))
         pair = np.flatnonzero(flagged[:p] & (place[own.pair_v] >= 0))
@@ -176,12 +174,11 @@ class Asked:
         triple = np.flatnonzero(flagged[p:] & (where[own.triple_p] >= 0))
         self.triple = triple[np.argsort(where[own.triple_p[triple]], kind="stable")]
         self.triple_owner = where[own.triple_p[self.triple]]
-        self.hash, self.total = own.all[self.v], total[self.v]
+        self.total = total[self.v]
 
     def runs(self, bits: int):
-        """(bucket, contexts, pairs, (u, v) contexts, triples): ranges of each for a shard."""
-        shard = (self.hash >> U(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.hash), np.int64)
-        for b, i, j in _blocks(shard, 0):
+        """(bucket, contexts, pairs, (u, v) contexts, triples): ranges of each for a shard, which holds the numbers with equal high bits."""
+        for b, i, j in _blocks(self.number[self.v] >> bits, 0):
             pair = np.searchsorted(self.pair_owner, [i, j])
             context = np.searchsorted(self.context_owner, [i, j])
             triple = np.searchsorted(self.triple_owner, context)
@@ -218,29 +215,25 @@ def build_shard(v, total, word_owner, word, word_count, pair_owner, pair, pair_c
 
 
 def _shard(payloads: list[bytes]) -> list[bytes]:
-    """Answers to each chunk's message: codes of m2 by context, f2 by pair, m3 by (u, v), f3 by triple; 65535 where there is none."""
+    """Answers to each chunk's message: codes of m2 by context, f2 by pair, m3 by (u, v), f3 by triple."""
     sent = [unpack(x) for x in payloads]
-    sizes = np.array([[len(s[0]), len(s[3]), len(s[7]), len(s[11])] for s in sent])
-    v, place_v = _ranked(np.concatenate([s[0] for s in sent]) >> U(1))
-    total = np.zeros(len(v), np.int64)
-    total[place_v] = np.concatenate([s[1] for s in sent])
+    sizes = np.array([[len(s[0]), len(s[3]), len(s[6]), len(s[9])] for s in sent])
     cat = lambda k: np.concatenate([s[k] for s in sent])
-    own = place_v  # context of each sent context row
-    pair_of = np.repeat(own, cat(2))
-    word_owner, word, word_count, place_w = _sum_by(pair_of, _join(cat(3), cat(4)), cat(5))
-    context_of = np.repeat(own, cat(6))
-    pair_owner, pair, pair_count, place_p = _sum_by(context_of, _join(cat(7), cat(8)), cat(9))
-    triple_of = np.repeat(place_p, cat(10))
-    triple_owner, triple, triple_count, place_t = _sum_by(triple_of, _join(cat(11), cat(12)), cat(13))
+    v, own = _ranked(np.concatenate([np.cumsum(s[0].astype(np.int64)) for s in sent]))
+    total = np.zeros(len(v), np.int64)
+    total[own] = cat(1)
+    word_owner, word, word_count, place_w = _sum_by(np.repeat(own, cat(2)), cat(3).astype(np.int64), cat(4))
+    pair_owner, pair, pair_count, place_p = _sum_by(np.repeat(own, cat(5)), cat(6).astype(np.int64), cat(7))
+    triple_owner, triple, triple_count, place_t = _sum_by(np.repeat(place_p, cat(8)), cat(9).astype(np.int64), cat(10))
     trie = build_shard(v, total, word_owner, word, word_count, pair_owner, pair, pair_count, triple_owner, triple, triple_count)
     # ask the trie
     context = trie.context(v)
     w = trie.word(context[word_owner], word)
     p = trie.pair(context[pair_owner], pair)
-    owner = pair_owner[triple_owner] if len(triple) else np.zeros(0, np.int64)
-    t = trie.triple(context[owner], p[triple_owner] if len(triple) else np.zeros(0, np.int64), trie.word(context[owner], triple))
-    tell = lambda level, at, none: np.where(at >= 0, np.append(trie.codes[level], 0)[at], none).astype("<u2")
-    answers = [tell("contexts", context, 0)[place_v], tell("words", w, 65535)[place_w], tell("pairs", p, 0)[place_p], tell("triples", t, 65535)[place_t]]
+    owner = pair_owner[triple_owner]
+    t = trie.triple(context[owner], p[triple_owner], trie.word(context[owner], triple))
+    tell = lambda level, at, none: np.where(at >= 0, np.append(trie.codes[level], np.uint8(0))[at], none).astype(np.uint8)
+    answers = [tell("contexts", context, 0)[own], tell("words", w, NONE)[place_w], tell("pairs", p, 0)[place_p], tell("triples", t, NONE)[place_t]]
     ends = np.cumsum(sizes, 0)
     return [pack(*[a[e - n : e] for a, e, n in zip(answers, ends[i], sizes[i])]) for i in range(len(sent))]
 
@@ -257,86 +250,89 @@ def score_texts(docs: DataFrame) -> DataFrame:
     bits = min(50, max(18, log2_up(2 * size)))
     block_bits = min(BLOCK_BITS, bits)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out")]
-    texts = chunked(docs, columns, size)
+    texts = chunked(docs, columns, size, CHUNK_BYTES)
 
     def count(table: pa.Table) -> pa.Table:
         own, chunk = Tokens(table), table["chunk"][0].as_py()
         shard = (own.hashes >> U(64 - shard_bits)).astype(np.int64)
-        return _frame([(COUNTS, b, chunk, pack(own.hashes[i:j], own.counts[i:j].astype("<u4")), 0, 0) for b, i, j in _blocks(shard, 0)], MESSAGE)
+        return _frame([(COUNTS, b, chunk, pack(own.hashes[i:j], own.counts[i:j].astype("<u4")), 0, 0, 0) for b, i, j in _blocks(shard, 0)], MESSAGE)
 
     def add_up(table: pa.Table) -> pa.Table:
         sent = [unpack(x.as_py()) for x in table["payload"]]
         known, place = _ranked(np.concatenate([s[0] for s in sent]))
         total = np.bincount(place, np.concatenate([s[1] for s in sent])).astype(np.int64)
-        back, at, out, bucket = total[place].astype("<u8"), 0, [], table["bucket"][0].as_py()
+        at, out, bucket = 0, [], table["bucket"][0].as_py()
         for i, (chunk, s) in enumerate(zip(table["chunk"].to_pylist(), sent)):
-            n = len(s[0])
-            out.append((COUNTS, bucket, chunk, pack(back[at : at + n]), 0 if i else int(total.sum()), 0 if i else int((total > 0).sum())))
-            at += n
+            mine = place[at : at + len(s[0])]
+            summary = (0, 0, 0) if i else (int(total.sum()), int((total > 0).sum()), len(known))
+            out.append((COUNTS, bucket, chunk, pack(total[mine].astype("<u8"), np.diff(mine, prepend=0).astype("<u4")), *summary))
+            at += len(mine)
         return _frame(out, MESSAGE)
 
     counted = scratch.save(texts.groupBy("chunk").applyInArrow(count, MESSAGE_SQL).groupBy("bucket").applyInArrow(add_up, MESSAGE_SQL), "counts")
     scratch.release()
-    whole = counted.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct")).first()
-    every, kinds = int(whole["tokens"] or 0), int(whole["distinct"] or 0)
+    whole = counted.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"), F.max("numbers").alias("numbers")).first()
+    every, kinds, rank_bits = int(whole["tokens"] or 0), int(whole["distinct"] or 0), log2_up(int(whole["numbers"] or 1) + 1)
+    begin = 1 << (shard_bits + rank_bits)
     starts = docs.filter(~held_out(F.col("doc_id"))).count()
 
-    def own_counts(table: pa.Table, told: pa.Table) -> tuple[Tokens, np.ndarray]:
-        own = Tokens(table)
-        got = _by_bucket(told, COUNTS)
-        return own, np.concatenate([unpack(got[b])[0] for b in sorted(got)]).astype(np.int64)
-
     def sketch(table: pa.Table) -> pa.Table:
-        own, chunk = Tokens(table), table["chunk"][0].as_py()
+        own, chunk, out = Tokens(table), table["chunk"][0].as_py(), []
         own.grams()
-        cells, _ = own.sketched(bits)
-        return _frame([(FLAGS, b, chunk, gaps(cells[i:j] & ((1 << block_bits) - 1)), 0, 0) for b, i, j in _blocks(cells, block_bits)], MESSAGE)
+        for kind in (FLAGS, QUERIES):
+            cells, _ = own.cells(bits, kind)
+            out += [(kind, b, chunk, gaps(cells[i:j] & ((1 << block_bits) - 1)), 0, 0, 0) for b, i, j in _blocks(cells, block_bits)]
+        return _frame(out, MESSAGE)
 
     def flag(table: pa.Table) -> pa.Table:
         total = np.zeros(1 << block_bits, np.uint8)
-        for raw in table["payload"]:
-            cells, n = np.unique(ungaps(raw.as_py()), return_counts=True)
-            total[cells] = np.minimum(total[cells] + np.minimum(n, 2), 2)
+        kinds_sent = table["kind"].to_pylist()
+        for kind, raw in zip(kinds_sent, table["payload"]):
+            if kind == FLAGS:
+                cells, n = np.unique(ungaps(raw.as_py()), return_counts=True)
+                total[cells] = np.minimum(total[cells] + np.minimum(n, 2), 2)
         bucket = table["bucket"][0].as_py()
-        return _frame([(FLAGS, bucket, c, np.packbits(total[ungaps(raw.as_py())] > 1).tobytes(), 0, 0) for c, raw in zip(table["chunk"].to_pylist(), table["payload"])], MESSAGE)
+        return _frame([(k, bucket, c, np.packbits(total[ungaps(raw.as_py())] > 1).tobytes(), 0, 0, 0) for k, c, raw in zip(kinds_sent, table["chunk"].to_pylist(), table["payload"])], MESSAGE)
 
     def asked(table: pa.Table, told: pa.Table) -> tuple[Tokens, np.ndarray, Asked]:
-        own, counts = own_counts(table, told)
+        own, counts, numbers = Tokens(table), [], []
+        got = _by_bucket(told, COUNTS)
+        for b in sorted(got):
+            total, steps = unpack(got[b])
+            counts.append(total.astype(np.int64))
+            numbers.append((b << rank_bits) + np.cumsum(steps.astype(np.int64)))
+        counts, numbers = np.concatenate(counts), np.concatenate(numbers)
         own.grams()
-        cells, key = own.sketched(bits)
-        got = _by_bucket(told, FLAGS)
         p = len(own.pair_hash)
-        # what was only seen held out is asked for as well, if its words were seen in training
-        known = np.append(counts, starts) > 0
-        flagged = np.concatenate(((own.pair_count == 0) & known[own.pair_v] & known[own.pair_w], np.zeros(len(own.triple_hash), bool)))
-        for b, i, j in _blocks(cells, block_bits):
-            hit = np.unpackbits(np.frombuffer(got[b], np.uint8), count=j - i).astype(bool)
-            flagged[key[i:j][hit]] = True
-        pair_ok = np.append(flagged[:p], False)
+        flagged = np.zeros(p + len(own.triple_hash), bool)
+        for kind in (FLAGS, QUERIES):
+            cells, key = own.cells(bits, kind)
+            got = _by_bucket(told, kind)
+            for b, i, j in _blocks(cells, block_bits):
+                hit = np.unpackbits(np.frombuffer(got[b], np.uint8), count=j - i).astype(bool)
+                flagged[key[i:j][hit]] = True
         # a triple can be repeated only if both of its pairs are
-        last = np.zeros(len(own.triple_hash), np.int64)
-        last[own.triple] = own.pair
-        flagged[p:] |= own.triple_count == 0
-        flagged[p:] &= pair_ok[own.triple_p] & pair_ok[last]
-        return own, counts, Asked(own, counts, starts, flagged)
+        flagged[p:] &= np.append(flagged[:p], False)[own.triple_p] & flagged[:p][own.last()]
+        return own, counts, Asked(own, counts, numbers, begin, starts, flagged)
 
     def ask(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _frame([], MESSAGE)
         own, _, q = asked(table, told)
         chunk, out = table["chunk"][0].as_py(), []
-        words, u, third = _split(short(own.all[own.pair_w[q.pair]])), _split(short(own.all[own.pair_v[q.context]])), _split(short(own.all[own.triple_w[q.triple]]))
-        c2, cu, c3 = (x.astype("<u4") for x in (own.pair_count[q.pair], own.pair_count[q.context], own.triple_count[q.triple]))
-        for b, (i, j), (a, z), (c, d), (e, f) in q.runs(shard_bits):
-            parts = [q.hash[i:j], q.total[i:j].astype("<u8"), _per(q.pair_owner[a:z] - i, j - i), words[0][a:z], words[1][a:z], c2[a:z]]
-            parts += [_per(q.context_owner[c:d] - i, j - i), u[0][c:d], u[1][c:d], cu[c:d], _per(q.triple_owner[e:f] - c, d - c), third[0][e:f], third[1][e:f], c3[e:f]]
-            out.append((ANSWERS, b, chunk, pack(*parts), 0, 0))
+        u4 = lambda x: x.astype("<u4")
+        v, words, u, third = q.number[q.v], q.number[own.pair_w[q.pair]], q.number[own.pair_v[q.context]], q.number[own.triple_w[q.triple]]
+        c2, cu, c3 = own.pair_count[q.pair], own.pair_count[q.context], own.triple_count[q.triple]
+        for b, (i, j), (a, z), (c, d), (e, f) in q.runs(rank_bits):
+            parts = [np.diff(v[i:j], prepend=0).astype("<u8"), q.total[i:j].astype("<u8"), _per(q.pair_owner[a:z] - i, j - i), words[a:z].astype("<u8"), u4(c2[a:z])]
+            parts += [_per(q.context_owner[c:d] - i, j - i), u[c:d].astype("<u8"), u4(cu[c:d]), _per(q.triple_owner[e:f] - c, d - c), third[e:f].astype("<u8"), u4(c3[e:f])]
+            out.append((ANSWERS, b, chunk, pack(*parts), 0, 0, 0))
         return _frame(out, MESSAGE)
 
     def shard(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         got = _shard([x.as_py() for x in table["payload"]])
-        return _frame([(ANSWERS, bucket, c, x, 0, 0) for c, x in zip(table["chunk"].to_pylist(), got)], MESSAGE)
+        return _frame([(ANSWERS, bucket, c, x, 0, 0, 0) for c, x in zip(table["chunk"].to_pylist(), got)], MESSAGE)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
@@ -346,13 +342,11 @@ def score_texts(docs: DataFrame) -> DataFrame:
         one = (counts + 0.5) / (every + 0.5 * (kinds + 1))
         m2, f2 = np.ones(len(own.all)), np.zeros(len(own.pair_hash))
         m3, f3 = np.ones(len(own.pair_hash) + 1), np.zeros(len(own.triple_hash))
-        for b, (i, j), (a, z), (c, d), (e, f) in q.runs(shard_bits):
+        for b, (i, j), (a, z), (c, d), (e, f) in q.runs(rank_bits):
             x = [share(k) for k in unpack(got[b])]
             m2[q.v[i:j]], f2[q.pair[a:z]], m3[q.context[c:d]], f3[q.triple[e:f]] = x
         two = f2 + m2[own.pair_v] * one[own.pair_w]
-        last = np.zeros(len(own.triple_hash), np.int64)
-        last[own.triple] = own.pair
-        three = f3 + m3[own.triple_p] * two[last]
+        three = f3 + m3[own.triple_p] * two[own.last()]
         doc = np.repeat(np.arange(len(own.sizes)), own.sizes)
         n = len(own.sizes)
         base = np.bincount(doc, np.log10(one)[own.word], n)
