@@ -66,29 +66,50 @@ def training_time(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, keep: list[str] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and position (training time, 0 to 1, of its first copy) of every document.
+    """doc_id, source, size, source_size, target, taken and position (training time, 0 to 1, of its first copy) of every document; columns of keep follow as kept_<name>.
 
     taken: each pass over the source takes every document once, in order of md5; the
     last pass ends after the target's words, within a document if need be, so a source's
     taken words are its target rounded down.
     """
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), *keep)
+    # a source is two columns, so that null is one too and all steps share one partitioning
+    source = F.col("source").cast("string")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source_key"), word_count(F.col("text")).alias("size"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("kept"))
     sized = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("key", 1, 3))
     plan = targets(sized.select("source", "size"), weights, share, cap)
-    sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
-    ahead = sums.withColumn("ahead", F.sum("bucket_size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("bucket_size")).drop("bucket_size")
-    ahead = ahead.alias("a").join(plan.alias("p"), F.col("a.source").eqNullSafe(F.col("p.source"))).select(F.col("a.source").alias("s"), F.col("bucket").alias("b"), "ahead", "rank", "source_size", "target")
-    inside = Window.partitionBy("source", "bucket").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    rows = sized.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
-    rows = rows.join(ahead, rows["source"].eqNullSafe(ahead["s"]) & (rows["bucket"] == ahead["b"]))
+    plan = plan.select(F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), "rank", "source_size", "target")
+    place = ["no_source", "source_key"]
+    sums = sized.groupBy(*place, "bucket").agg(F.sum("size").alias("bucket_size"))
+    ahead = sums.withColumn("ahead", F.sum("bucket_size").over(Window.partitionBy(*place).orderBy("bucket")) - F.col("bucket_size")).drop("bucket_size")
+    ahead = ahead.join(plan, place)
+    place.append("bucket")
+    inside = Window.partitionBy(*place).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    rows = sized.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(ahead, place)
     before = F.col("ahead") + F.col("inside")
     words = F.floor("target").cast("long")
-    divisor = F.greatest(F.col("source_size"), F.lit(1))
     passes = F.expr("cast(floor(target) as bigint) div greatest(source_size, 1)")
     rest = words - passes * F.col("source_size")
     taken = F.col("size") * passes + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
     share_before = before.cast("double") / F.greatest(F.col("target"), F.lit(1.0))
-    return rows.select("doc_id", "source", "size", "source_size", F.col("target"), taken.cast("long").alias("taken"), training_time(F.least(share_before, F.lit(1.0)), F.col("rank")).alias("position"), *keep)
+    return rows.select("doc_id", "source", "size", "source_size", F.col("target"), taken.cast("long").alias("taken"), training_time(F.least(share_before, F.lit(1.0)), F.col("rank")).alias("position"), *[F.col(f"kept.{c}").alias(f"kept_{c}") for c in keep])
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """The mix itself, in training order: each document's columns as often as it is taken, the last copy cut after the words that are left.
+
+    A copy's place is its own cumulative size, a pass after the one before it.
+    """
+    names = docs.columns
+    mixed = mix(docs, keep=names)
+    n = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
+    each = mixed.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1)))
+    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
+    each = each.withColumn("words", words)
+    short = F.array_join(F.slice(F.regexp_extract_all("kept_text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), " ")
+    each = each.withColumn("kept_text", F.when(F.col("words") < F.col("size"), short).otherwise(F.col("kept_text")))
+    each = each.withColumn("position", F.col("position") + F.col("copy") * F.col("source_size") / F.greatest(F.col("target"), F.lit(1.0)))
+    ordered = each.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
+    return ordered.select(*[F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"kept_{c}").alias(c) for c in names])
 
 
 def by_position(mixed: DataFrame) -> DataFrame:

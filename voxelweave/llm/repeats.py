@@ -183,6 +183,14 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, rows: int = SKETCH_ROWS,
     return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, result)
 
 
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with the kept words as text, and n_chars, if there, its length."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    got = remove_repeats(docs, keep=others)
+    columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text")}
+    return got.select(*[(columns[c].cast(docs.schema[c].dataType) if c in columns else F.col("rest").getField(c)).alias(c) for c in docs.columns])
+
+
 def digests(docs: DataFrame) -> DataFrame:
     got = remove_repeats(docs)
     return got.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))

@@ -357,3 +357,9 @@ def near_duplicates(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(group, "node", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame) -> DataFrame:
+    """The documents of docs that stand for their component; rows without a doc_id stay."""
+    dropped = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
+    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
