@@ -1,4 +1,640 @@
-"""Registered point-cloud queries and their DuckDB equivalents."""
+"""Registered point-cloud queries and their DuckDB equivalents.
+
+Each query is a function of (spark, sf_dir); `query(sql)` registers it, with its oracle if there is one.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window, functions as F
+
+from ..functions import curves
+from ..functions.floats import fixed
+from ..functions.lattice import Adaptive, lattice
+from ..operators import blocks, cells as C, codec, ordered, partition, points as P, quality, sizing
+from . import clouds, compress as Z, oracles as O, reports
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+CELL = ["qx", "qy", "qz"]
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def quantized(cloud: DataFrame, name: str, bound: float, by: list[str] = ()) -> DataFrame:
+    """The cloud's shifted points with their cells."""
+    return P.quantize(P.shift(cloud, by), lattice(name, bound))
+
+
+def recovered(cloud: DataFrame, name: str, bound: float, by: list[str] = ()) -> DataFrame:
+    return P.recover(quantized(cloud, name, bound, by), lattice(name, bound))
+
+
+def rounded(df: DataFrame, *names: str, places: int = 6) -> DataFrame:
+    return df.withColumns({n: fixed(F.col(n), places) for n in names})
+
+
+# ---- shifting, lattices, recovery
+
+
+@query(f"WITH {O.shifted('vectors')} SELECT CAST(min(ox) AS DOUBLE) AS ox, CAST(min(oy) AS DOUBLE) AS oy, CAST(min(oz) AS DOUBLE) AS oz, CAST(max(x) AS DOUBLE) AS mx, CAST(max(y) AS DOUBLE) AS my, CAST(max(z) AS DOUBLE) AS mz FROM s")
+def shift_bbox(spark, sf_dir):
+    s = P.shift(clouds.vectors(spark, sf_dir))
+    return s.agg(*[F.min(f"o{c}").cast("double").alias(f"o{c}") for c in "xyz"], *[F.max(c).cast("double").alias(f"m{c}") for c in "xyz"])
+
+
+@query(f"WITH {O.shifted('vectors')} SELECT id, CAST(CAST(x + ox AS FLOAT) AS DOUBLE) AS x, CAST(CAST(y + oy AS FLOAT) AS DOUBLE) AS y, CAST(CAST(z + oz AS FLOAT) AS DOUBLE) AS z FROM s")
+def shift_roundtrip(spark, sf_dir):
+    got = P.unshift(P.shift(clouds.vectors(spark, sf_dir)))
+    return got.select("id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+
+@query(f"WITH {O.quantized('moments', 'cube', 0.5)} SELECT id, qx, qy, qz FROM q")
+def cube_cells(spark, sf_dir):
+    return quantized(clouds.moments(spark, sf_dir), "cube", 0.5).select("id", *CELL)
+
+
+@query(f"WITH {O.quantized('moments', 'cube', 0.5)}, {O.recovered('cube', 0.5)} SELECT id, {O.fixed('rx')} AS rx, {O.fixed('ry')} AS ry, {O.fixed('rz')} AS rz FROM r")
+def cube_recover(spark, sf_dir):
+    return rounded(recovered(clouds.moments(spark, sf_dir), "cube", 0.5).select("id", "rx", "ry", "rz"), "rx", "ry", "rz")
+
+
+@query(f"WITH {O.quantized('items', 'to', 0.9)} SELECT {O.fixed('x', 3)} AS x, {O.fixed('y', 3)} AS y, {O.fixed('z', 3)} AS z, qx, qy, qz FROM q")
+def to_cells(spark, sf_dir):
+    return rounded(quantized(clouds.items(spark, sf_dir), "to", 0.9).select("x", "y", "z", *CELL), "x", "y", "z", places=3)
+
+
+@query(f"WITH {O.quantized('moments', 'to', 5)}, {O.recovered('to', 5)} SELECT id, {O.fixed('rx')} AS rx, {O.fixed('ry')} AS ry, {O.fixed('rz')} AS rz FROM r")
+def to_recover(spark, sf_dir):
+    return rounded(recovered(clouds.moments(spark, sf_dir), "to", 5).select("id", "rx", "ry", "rz"), "rx", "ry", "rz")
+
+
+@query(f"WITH {O.quantized('items', 'to', 0.9)} SELECT qx, qy, qz, count(*) AS cnt FROM q GROUP BY ALL")
+def to_cell_counts(spark, sf_dir):
+    return C.cell_counts(quantized(clouds.items(spark, sf_dir), "to", 0.9))
+
+
+@query(f"WITH {O.quantized('items', 'cube', 0.9)} SELECT qx, qy, qz, count(*) AS cnt FROM q GROUP BY ALL")
+def cube_cell_counts(spark, sf_dir):
+    return C.cell_counts(quantized(clouds.items(spark, sf_dir), "cube", 0.9))
+
+
+_ADAPTIVE_STEPS = "side AS (SELECT CAST(max(x) - min(x) AS DOUBLE) AS sx, CAST(max(y) - min(y) AS DOUBLE) AS sy, CAST(max(z) - min(z) AS DOUBLE) AS sz FROM p), " + (
+    "norm AS (SELECT *, CAST(sqrt(CAST(CAST(sx * sx AS FLOAT) AS DOUBLE) + CAST(CAST(sy * sy AS FLOAT) AS DOUBLE) + CAST(CAST(sz * sz AS FLOAT) AS DOUBLE)) AS FLOAT) AS n FROM side), "
+    "step AS (SELECT " + ", ".join(f"CAST(CAST(CAST(CAST({O.d(O.f32(0.05))} * s{c} AS FLOAT) AS DOUBLE) / CAST(n AS DOUBLE) AS FLOAT) AS DOUBLE) AS t{c}" for c in "xyz") + " FROM norm)"
+)
+
+
+@query(f"WITH {O.shifted('vectors')}, {_ADAPTIVE_STEPS} SELECT id, " + ", ".join("CAST(" + O.nearest(f"CAST(CAST(CAST({c} AS DOUBLE) / t{c} AS FLOAT) AS DOUBLE)") + f" AS INT) AS q{c}" for c in "xyz") + " FROM s, step")
+def adaptive_cells(spark, sf_dir):
+    shifted = P.shift(clouds.vectors(spark, sf_dir))
+    return P.quantize(shifted, Adaptive.fit(clouds.vectors(spark, sf_dir), 0.05)).select("id", *CELL)
+
+
+@query(f"WITH {O.shifted('vectors')}, {_ADAPTIVE_STEPS}, q AS (SELECT s.*, tx, ty, tz, " + ", ".join("CAST(" + O.nearest(f"CAST(CAST(CAST({c} AS DOUBLE) / t{c} AS FLOAT) AS DOUBLE)") + f" AS INT) AS q{c}" for c in "xyz") + " FROM s, step), r AS (SELECT *, " + ", ".join(f"CAST(CAST(q{c} AS DOUBLE) * t{c} AS FLOAT) AS r{c}" for c in "xyz") + f" FROM q) SELECT count(*) AS n, {O.fixed('max(sqrt(' + O.square_error() + '))')} AS max_err, {O.fixed('avg(' + O.square_error() + ')', 9)} AS mse FROM r")
+def adaptive_error(spark, sf_dir):
+    fitted = Adaptive.fit(clouds.vectors(spark, sf_dir), 0.05)
+    got = quality.with_error(P.recover(P.quantize(P.shift(clouds.vectors(spark, sf_dir)), fitted), fitted))
+    return got.agg(F.count("*").alias("n"), fixed(F.max("err")).alias("max_err"), fixed(F.avg("_sq"), 9).alias("mse"))
+
+
+# ---- dedup
+
+
+def _union(queries: list[str]) -> str:
+    return " UNION ALL ".join(f"({q})" for q in queries)
+
+
+_LATTICE_BOUNDS = [(n, b) for n in ("cube", "to") for b in (0.3, 0.9, 3.0)]
+
+
+@query(_union([f"WITH {O.quantized('items', n, b)}, c AS (SELECT qx, qy, qz, count(*) AS cnt FROM q GROUP BY ALL) SELECT '{n}' AS lattice, {O.d(b)} AS bound, CAST(sum(cnt) AS BIGINT) AS points, count(*) AS cells, {O.fixed('1 - count(*) / CAST(sum(cnt) AS DOUBLE)', 9)} AS ratio FROM c" for n, b in _LATTICE_BOUNDS]))
+def duplicate_ratio(spark, sf_dir):
+    cloud, out = clouds.items(spark, sf_dir), None
+    for n, b in _LATTICE_BOUNDS:
+        got = C.duplicate_ratio(C.cell_counts(quantized(cloud, n, b))).select(F.lit(n).alias("lattice"), F.lit(b).alias("bound"), "points", "cells", fixed(F.col("ratio"), 9).alias("ratio"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(f"WITH {O.quantized('items', 'to', 3)} SELECT qx, qy, qz FROM q")
+def rle_expand(spark, sf_dir):
+    return C.expand(C.cell_counts(quantized(clouds.items(spark, sf_dir), "to", 3))).select(*CELL)
+
+
+@query(f"WITH {O.quantized('items', 'to', 3)}, c AS (SELECT count(*) AS cnt FROM q GROUP BY qx, qy, qz) SELECT cnt, count(*) AS cells FROM c GROUP BY cnt")
+def count_histogram(spark, sf_dir):
+    return C.cell_counts(quantized(clouds.items(spark, sf_dir), "to", 3)).groupBy("cnt").agg(F.count("*").alias("cells"))
+
+
+@query(f"WITH {O.quantized('moments', 'to', 5, 'chunk')} SELECT chunk, qx, qy, qz, count(*) AS cnt FROM q GROUP BY ALL")
+def per_chunk_cell_counts(spark, sf_dir):
+    return C.cell_counts(quantized(clouds.moments(spark, sf_dir), "to", 5, ["chunk"]), ["chunk"])
+
+
+@query(f"WITH {O.quantized('items', 'to', 0.9)}, g AS (SELECT DISTINCT qx, qy, qz FROM q), h AS (SELECT DISTINCT chunk, qx, qy, qz FROM q) SELECT (SELECT count(*) FROM q) AS points, (SELECT count(*) FROM g) AS global_cells, (SELECT count(*) FROM h) AS chunk_cells, {O.fixed('(SELECT count(*) FROM h) / CAST((SELECT count(*) FROM g) AS DOUBLE)', 9)} AS blow_up")
+def global_vs_chunk_dedup(spark, sf_dir):
+    by_chunk = C.cell_counts(quantized(clouds.items(spark, sf_dir), "to", 0.9), ["chunk"])
+    got = by_chunk.groupBy(*CELL).agg(F.sum("cnt").alias("n"), F.count("*").alias("chunks")).agg(F.sum("n").alias("points"), F.count("*").alias("global_cells"), F.sum("chunks").alias("chunk_cells"))
+    return got.withColumn("blow_up", fixed(F.col("chunk_cells") / F.col("global_cells"), 9))
+
+
+@query(f"WITH {O.quantized('items', 'to', 0.9)} SELECT qx, qy, qz, count(*) AS cnt FROM q GROUP BY ALL")
+def merged_chunk_counts(spark, sf_dir):
+    """The global table from the tables of two halves."""
+    q = quantized(clouds.items(spark, sf_dir), "to", 0.9)
+    return C.merge_counts(C.cell_counts(q.filter("chunk < 4")), C.cell_counts(q.filter("chunk >= 4")))
+
+
+# ---- quality
+
+
+def _stats_sql(cloud: str, n: str, b: float) -> str:
+    return (
+        f"WITH {O.quantized(cloud, n, b)}, {O.recovered(n, b)}, e AS (SELECT *, {O.square_error()} AS sq FROM r), "
+        f"g AS (SELECT count(*) AS n, max(sqrt(sq)) AS max_err, avg(sq) AS mse, count(*) FILTER (sqrt(sq) > {O.d(float(b))}) AS overflow, "
+        + "sqrt(" + " + ".join(f"(CAST(max({c}) AS DOUBLE) - CAST(min({c}) AS DOUBLE)) * (CAST(max({c}) AS DOUBLE) - CAST(min({c}) AS DOUBLE))" for c in "xyz") + ") AS diagonal FROM e)"
+        f" SELECT '{n}' AS lattice, {O.d(float(b))} AS bound, n, {O.fixed('max_err')} AS max_err, {O.fixed('mse', 9)} AS mse, overflow, {O.fixed('10 * log10(diagonal * diagonal / mse)')} AS psnr FROM g"
+    )
+
+
+def _stats(cloud: DataFrame, n: str, b: float) -> DataFrame:
+    got = quality.error_stats(quality.with_error(recovered(cloud, n, b)), b)
+    return got.select(F.lit(n).alias("lattice"), F.lit(float(b)).alias("bound"), "n", fixed(F.col("max_err")).alias("max_err"), fixed(F.col("mse"), 9).alias("mse"), "overflow", fixed(F.col("psnr")).alias("psnr"))
+
+
+@query(_stats_sql("vectors", "to", 0.01))
+def l2_error_stats_to(spark, sf_dir):
+    return _stats(clouds.vectors(spark, sf_dir), "to", 0.01)
+
+
+@query(_stats_sql("vectors", "cube", 0.01))
+def l2_error_stats_cube(spark, sf_dir):
+    return _stats(clouds.vectors(spark, sf_dir), "cube", 0.01)
+
+
+@query(_union([_stats_sql("vectors", n, b) for n in ("to", "cube") for b in (0.001, 0.01, 0.05)]))
+def psnr_by_bound(spark, sf_dir):
+    cloud, out = clouds.vectors(spark, sf_dir), None
+    for n in ("to", "cube"):
+        for b in (0.001, 0.01, 0.05):
+            got = _stats(cloud, n, b)
+            out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(_union([f"SELECT '{c}' AS cloud, lattice, bound, n, overflow FROM ({_stats_sql(c, n, b)})" for c, b in (("items", 0.9), ("vectors", 0.05), ("moments", 5.0)) for n in ("to", "cube")]))
+def overflow_count(spark, sf_dir):
+    out = None
+    for c, b in (("items", 0.9), ("vectors", 0.05), ("moments", 5.0)):
+        for n in ("to", "cube"):
+            got = _stats(clouds.CLOUDS[c](spark, sf_dir), n, b).select(F.lit(c).alias("cloud"), "lattice", "bound", "n", "overflow")
+            out = got if out is None else out.unionByName(got)
+    return out
+
+
+_VERIFY = "a AS (SELECT CAST({0} AS DOUBLE) AS a, CAST(r{0} AS DOUBLE) AS b FROM r), v AS (SELECT max(a) - min(a) AS range, avg((b - a) * (b - a)) AS mse, sum((b - a) * (b - a)) AS sse, max(abs(b - a)) AS max_abs, max(CASE WHEN a <> 0 THEN abs(b - a) / abs(a) END) AS pw, sum(b * b) AS l2, corr(a, b) AS correlation FROM a)"
+
+
+@query(_union([
+    f"WITH {O.quantized('moments', 'to', 0.5)}, {O.recovered('to', 0.5)}, {_VERIFY.format(c)} SELECT '{c}' AS axis, {O.fixed('range')} AS range, {O.fixed('20 * log10(range) - 10 * log10(mse)')} AS psnr, {O.fixed('sqrt(mse) / range', 9)} AS nrmse, {O.fixed('max_abs')} AS max_abs, "
+    f"{O.fixed('max_abs / range', 9)} AS max_rel, {O.fixed('pw')} AS max_pointwise_rel, {O.fixed('sqrt(sse)')} AS norm_err, {O.fixed('sqrt(sse) / sqrt(l2)', 9)} AS norm_err_rel, {O.fixed('correlation', 9)} AS correlation FROM v"
+    for c in "xyz"
+]))
+def field_verify(spark, sf_dir):
+    r, out = recovered(clouds.moments(spark, sf_dir), "to", 0.5), None
+    for c in "xyz":
+        got = quality.verify(r, c, f"r{c}")
+        nine = ("nrmse", "max_rel", "norm_err_rel", "correlation")
+        got = got.select(F.lit(c).alias("axis"), *[fixed(F.col(n), 9 if n in nine else 6).alias(n) for n in got.columns])
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(f"WITH {O.quantized('moments', 'to', 5)}, {O.recovered('to', 5)} SELECT id, {O.fixed('CAST(rx + ox AS FLOAT)')} AS x, {O.fixed('CAST(ry + oy AS FLOAT)')} AS y, {O.fixed('CAST(rz + oz AS FLOAT)')} AS z FROM r")
+def decompressed_points(spark, sf_dir):
+    """Recovered points in the place of the originals."""
+    lat = lattice("to", 5)
+    got = P.unshift(P.recover(P.quantize(P.shift(clouds.moments(spark, sf_dir)), lat), lat, ("x", "y", "z")))
+    return rounded(got.select("id", "x", "y", "z"), "x", "y", "z")
+
+
+# ---- curves
+
+
+@query(f"WITH {O.quantized('moments', 'to', 0.5)} SELECT id, {O.morton()} AS key FROM q")
+def morton_encode(spark, sf_dir):
+    q = quantized(clouds.moments(spark, sf_dir), "to", 0.5)
+    return curves.with_morton(q, F.col("qx"), F.col("qy"), F.col("qz") + curves.Z_BIAS, "key").select("id", "key")
+
+
+@query(f"WITH {O.quantized('moments', 'to', 0.5)} SELECT id, qx, qy, qz FROM q")
+def morton_roundtrip(spark, sf_dir):
+    back = curves.with_morton_cell(morton_encode(spark, sf_dir), F.col("key"))
+    return back.select("id", "qx", "qy", (F.col("qz") - curves.Z_BIAS).cast("int").alias("qz"))
+
+
+@query(f"WITH {O.quantized('moments', 'to', 0.5)}, m AS (SELECT {O.bit_length(f'greatest(max(qx), max(qy), max(qz) + {curves.Z_BIAS})')} AS it FROM q), k AS (SELECT id, it, {O.morton()} AS k FROM q, m) SELECT id, {O.hilbert('k', 'it')} AS key FROM k")
+def hilbert_encode(spark, sf_dir):
+    q = quantized(clouds.moments(spark, sf_dir), "to", 0.5)
+    return blocks.direct_keys(q, hilbert=True, bias=curves.Z_BIAS).select("id", F.col("sfc").alias("key"))
+
+
+@query(f"WITH {O.quantized('moments', 'to', 0.5)} SELECT id, qx, qy, qz FROM q")
+def hilbert_roundtrip(spark, sf_dir):
+    q = quantized(clouds.moments(spark, sf_dir), "to", 0.5)
+    keys = blocks.direct_keys(q, hilbert=True, bias=curves.Z_BIAS)
+    keys = keys.drop(*CELL).withColumn("key", curves.hilbert_morton(F.col("sfc"), F.col("iteration")))
+    return curves.with_morton_cell(keys, F.col("key")).select("id", "qx", "qy", (F.col("qz") - curves.Z_BIAS).cast("int").alias("qz"))
+
+
+def _entries(spark, sf_dir, hilbert=False):
+    q = quantized(clouds.moments(spark, sf_dir), "to", 0.5).withColumnRenamed("id", "row_id")
+    return blocks.entries(q, hilbert, curves.Z_BIAS)
+
+
+@query(f"WITH {O.quantized('moments', 'to', 0.5)}, {O.superblocks()} SELECT row_id, id, quad, sfc FROM b")
+def superblock_octant(spark, sf_dir):
+    return _entries(spark, sf_dir).select("row_id", "id", "quad", "sfc")
+
+
+@query(f"WITH {O.quantized('moments', 'to', 0.5)}, {O.superblocks(hilbert_keys=True)} SELECT row_id, id, quad, sfc FROM b")
+def superblock_hilbert(spark, sf_dir):
+    return _entries(spark, sf_dir, True).select("row_id", "id", "quad", "sfc")
+
+
+@query(f"WITH {O.quantized('moments', 'to', 0.5)} SELECT id, qx, qy, qz FROM q")
+def superblock_roundtrip(spark, sf_dir):
+    got = blocks.cells_of(_entries(spark, sf_dir, True).drop(*CELL), True, curves.Z_BIAS)
+    return got.select(F.col("row_id").alias("id"), "qx", "qy", F.col("qz").cast("int").alias("qz"))
+
+
+@query(f"WITH {O.quantized('moments', 'to', 0.5)}, k AS (SELECT id, {O.morton()} AS k FROM q) SELECT id, row_number() OVER (ORDER BY k, id) AS rank FROM k")
+def sfc_sorted_rank(spark, sf_dir):
+    return ordered.ranked(morton_encode(spark, sf_dir), "key", ["id"]).select("id", "rank")
+
+
+@query("SELECT event_id AS id, row_number() OVER (ORDER BY CAST(CAST(value * 100 AS BIGINT) AS BIGINT), event_id) AS rank FROM (SELECT event_id, floor(value * 100 + CAST(0.5 AS DOUBLE)) / 100 AS value FROM events)")
+def stable_sort_rank(spark, sf_dir):
+    """Position of each event in a stable order of a key."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.floor(F.col("value") * 100 + F.lit(0.5)).cast("bigint").alias("k"))
+    return ordered.ranked(t, "k", ["id"]).select("id", "rank")
+
+
+# ---- deltas and sums
+
+
+@query(f"WITH {O.quantized('moments', 'to', 0.5)}, k AS (SELECT {O.morton()} AS sfc FROM q) SELECT sfc, sfc - coalesce(lag(sfc) OVER (ORDER BY sfc), 0) AS delta FROM k")
+def direct_sfc_deltas(spark, sf_dir):
+    q = quantized(clouds.moments(spark, sf_dir), "to", 0.5)
+    return blocks.direct_deltas(blocks.direct_keys(q, bias=curves.Z_BIAS)).select("sfc", "delta")
+
+
+_ENTRIES = f"WITH {O.quantized('moments', 'to', 0.5)}, {O.superblocks()}"
+_DELTAS = f"{_ENTRIES}, e AS (SELECT id, quad, sfc, quad - coalesce(lag(quad) OVER (PARTITION BY id ORDER BY quad, sfc), 0) AS quad_delta, sfc - coalesce(lag(sfc) OVER (PARTITION BY id, quad ORDER BY sfc), 0) AS repos_delta FROM b)"
+
+
+@query(f"{_DELTAS} SELECT id, quad, sfc, quad_delta FROM e")
+def octant_deltas(spark, sf_dir):
+    return blocks.entry_deltas(_entries(spark, sf_dir)).select("id", "quad", "sfc", "quad_delta")
+
+
+@query(f"{_DELTAS} SELECT id, quad, sfc, repos_delta FROM e")
+def repos_deltas(spark, sf_dir):
+    return blocks.entry_deltas(_entries(spark, sf_dir)).select("id", "quad", "sfc", "repos_delta")
+
+
+@query(f"{_ENTRIES} SELECT id, count(*) AS cnt FROM b GROUP BY id")
+def superblock_counts(spark, sf_dir):
+    return blocks.superblocks(_entries(spark, sf_dir))
+
+
+@query(f"{_ENTRIES}, c AS (SELECT id, count(*) AS cnt FROM b GROUP BY id) SELECT id, cnt, id - coalesce(lag(id) OVER (ORDER BY id), 0) AS id_delta, cnt - coalesce(lag(cnt) OVER (ORDER BY id), 0) AS cnt_delta FROM c")
+def superblock_deltas(spark, sf_dir):
+    return blocks.superblock_deltas(blocks.superblocks(_entries(spark, sf_dir))).select("id", "cnt", "id_delta", "cnt_delta")
+
+
+@query(f"{_DELTAS} SELECT id, quad, sfc FROM e")
+def prefix_sum_restore(spark, sf_dir):
+    """Octants and keys back from their deltas."""
+    rows = blocks.entry_deltas(_entries(spark, sf_dir))
+    position = F.row_number().over(Window.partitionBy("id").orderBy("quad", "sfc"))
+    sent = rows.withColumn("position", position).select("id", "position", "quad_delta", "repos_delta")
+    return blocks.restore(sent, "position").select("id", F.col("quad").cast("int").alias("quad"), "sfc")
+
+
+@query(f"WITH {O.quantized('moments', 'to', 0.5)}, k AS (SELECT DISTINCT {O.morton()} AS sfc FROM q) SELECT sfc, sfc AS running FROM k")
+def global_prefix_sum(spark, sf_dir):
+    """Deltas along the whole curve, summed again."""
+    q = quantized(clouds.moments(spark, sf_dir), "to", 0.5)
+    keys = blocks.direct_keys(q, bias=curves.Z_BIAS).select("sfc").distinct()
+    return ordered.running_sum(blocks.direct_deltas(keys), "sfc", "delta").select("sfc", "running")
+
+
+@query(f"WITH {O.quantized('moments', 'cube', 0.5)} SELECT id, qx - coalesce(lag(qx) OVER w, 0) AS dx, qy - coalesce(lag(qy) OVER w, 0) AS dy, qz - coalesce(lag(qz) OVER w, 0) AS dz FROM q WINDOW w AS (ORDER BY id)")
+def vector_deltas(spark, sf_dir):
+    q = quantized(clouds.moments(spark, sf_dir), "cube", 0.5).select("id", *CELL)
+    return ordered.vector_deltas(q, "id", CELL).select("id", *[F.col(f"d_q{c}").alias(f"d{c}") for c in "xyz"])
+
+
+@query(f"WITH {O.quantized('moments', 'cube', 0.5)} SELECT id, CAST(qx AS BIGINT) AS qx, CAST(qy AS BIGINT) AS qy, CAST(qz AS BIGINT) AS qz FROM q")
+def vector_undelta(spark, sf_dir):
+    q = quantized(clouds.moments(spark, sf_dir), "cube", 0.5).select("id", *CELL)
+    return ordered.vector_sums(ordered.vector_deltas(q, "id", CELL).drop(*CELL), "id", CELL).select("id", *CELL)
+
+
+# ---- sizes
+
+
+_REPOS = f"{_DELTAS}, v AS (SELECT repos_delta AS v FROM e)"
+
+
+def _repos(spark, sf_dir):
+    return blocks.entry_deltas(_entries(spark, sf_dir)).select(F.col("repos_delta").alias("v"))
+
+
+@query(f"{_REPOS} SELECT CASE WHEN v > 254 THEN 0 ELSE v + 1 END AS symbol, CASE WHEN v > 254 THEN v END AS patch FROM v")
+def pfd_split(spark, sf_dir):
+    return _repos(spark, sf_dir).select(sizing.patched(F.col("v")).alias("p")).select("p.symbol", "p.patch")
+
+
+@query("SELECT event_id AS id, CAST(floor(value * CAST(2 AS DOUBLE)) AS BIGINT) AS value FROM events")
+def patch_merge(spark, sf_dir):
+    """Values split into symbols and patches, and merged by the order of the patches."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), F.floor(F.col("value") * 2.0).cast("bigint").alias("v"))
+    return sizing.merge_patches(*sizing.split_patches(t, "v", "id"), "id")
+
+
+_ENTROPY = "f AS (SELECT symbol, count(*) AS freq FROM y GROUP BY symbol)"
+
+
+@query(f"{_REPOS}, y AS (SELECT CASE WHEN v > 254 THEN 0 ELSE v + 1 END AS symbol FROM v), {_ENTROPY} SELECT CAST(sum(freq) AS BIGINT) AS n, count(*) AS distinct_symbols, {O.fixed('log2(CAST(sum(freq) AS DOUBLE)) - sum(CAST(freq AS DOUBLE) * log2(CAST(freq AS DOUBLE))) / CAST(sum(freq) AS DOUBLE)')} AS entropy FROM f")
+def symbol_entropy(spark, sf_dir):
+    symbols = _repos(spark, sf_dir).select(sizing.patched(F.col("v"))["symbol"].alias("symbol"))
+    return sizing.entropy(sizing.frequencies(symbols, "symbol")).select("n", F.col("distinct").alias("distinct_symbols"), fixed(F.col("entropy")).alias("entropy"))
+
+
+@query(f"{_REPOS}, y AS (SELECT CASE WHEN v > 254 THEN 0 ELSE v + 1 END AS symbol FROM v), {_ENTROPY} SELECT s.symbol, coalesce(freq, 1) AS freq FROM (SELECT unnest(range(256)) AS symbol) s LEFT JOIN f ON f.symbol = s.symbol")
+def codebook_completion(spark, sf_dir):
+    symbols = _repos(spark, sf_dir).select(sizing.patched(F.col("v"))["symbol"].alias("symbol"))
+    return sizing.complete(sizing.frequencies(symbols, "symbol"))
+
+
+@query(f"{_REPOS} SELECT count(v) AS n, {O.bit_length('max(v)')} AS width, CAST(ceil(count(v) * {O.bit_length('max(v)')} / CAST(8 AS DOUBLE)) AS BIGINT) AS bytes FROM v")
+def bitpack_size(spark, sf_dir):
+    return sizing.bitpack_size(_repos(spark, sf_dir), "v")
+
+
+_PATCHES = f"{_REPOS}, w AS (SELECT v FROM v WHERE v > 254), k AS (SELECT CASE WHEN avg(v) >= 1 THEN least(62, CAST(floor(log2(avg(v))) AS INT)) ELSE 0 END AS k FROM w)"
+
+
+@query(f"{_PATCHES} SELECT count(v) AS n, CAST(max(k) AS INT) AS k, CAST(sum((v >> k) + 1 + k) AS BIGINT) AS bits FROM w, k")
+def rice_k_size(spark, sf_dir):
+    return sizing.rice_size(_repos(spark, sf_dir).filter("v > 254"), "v")
+
+
+@query(f"WITH {O.quantized('items', 'to', 3)}, c AS (SELECT count(*) AS v FROM q GROUP BY qx, qy, qz), b AS (SELECT k, CAST(sum(2 * {O.bit_length('(v >> k) + 1')} - 1 + k) AS BIGINT) AS bits, count(*) AS n FROM c, (SELECT unnest(range(17)) AS k) GROUP BY k) SELECT n, CAST(k AS INT) AS k, bits FROM b ORDER BY bits, k LIMIT 1")
+def exp_golomb_best_k(spark, sf_dir):
+    counts = C.cell_counts(quantized(clouds.items(spark, sf_dir), "to", 3)).select(F.col("cnt").alias("v"))
+    return sizing.exp_golomb_size(counts, "v")
+
+
+@query("SELECT event_id AS id, CASE WHEN v >= 0 THEN 2 * v ELSE -2 * v - 1 END AS code, v AS back FROM (SELECT event_id, CAST(floor(value) AS BIGINT) - 200 AS v FROM events)")
+def zigzag(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_id").alias("id"), (F.floor("value") - 200).cast("bigint").alias("v"))
+    coded = t.select("id", sizing.zigzag(F.col("v")).alias("code"))
+    return coded.select("id", "code", sizing.unzigzag(F.col("code")).alias("back"))
+
+
+@query(f"WITH {O.quantized('moments', 'to', 5, 'chunk')}, c AS (SELECT chunk, count(*) AS v FROM q GROUP BY chunk, qx, qy, qz), g AS (SELECT chunk, count(*) AS n, count(DISTINCT v) AS kinds, {O.bit_length('max(v)')} AS width FROM c GROUP BY chunk) SELECT chunk, n, kinds, CASE WHEN 4 + 9 * kinds > CAST(0.25 AS DOUBLE) * ceil(n * width / CAST(8 AS DOUBLE)) THEN 'exp-golomb' ELSE 'huffman' END AS code FROM g")
+def count_stream_selection(spark, sf_dir):
+    """Which code each chunk's counts take, with the codebook's bytes against packed data."""
+    counts = C.cell_counts(quantized(clouds.moments(spark, sf_dir), "to", 5, ["chunk"]), ["chunk"])
+    kinds = counts.groupBy("chunk", "cnt").agg(F.count("*").alias("c")).groupBy("chunk").agg(F.count("*").alias("kinds"))
+    packed = sizing.bitpack_size(counts, "cnt", ["chunk"]).join(kinds, "chunk")
+    return packed.select("chunk", "n", "kinds", sizing.count_stream_choice(4 + 9 * F.col("kinds"), F.col("bytes")).alias("code"))
+
+
+# ---- partitioners
+
+
+_CELLS_ITEMS = f"WITH {O.quantized('items', 'to', 0.9)}, c AS (SELECT DISTINCT qx, qy, qz FROM q), k AS (SELECT *, {O.morton()} AS k FROM c)"
+
+
+def _cell_table(spark, sf_dir):
+    return C.cell_counts(quantized(clouds.items(spark, sf_dir), "to", 0.9)).drop("cnt")
+
+
+@query(f"{_CELLS_ITEMS}, e AS (SELECT min(k) AS a, max(k) AS b FROM k) SELECT qx, qy, qz, CAST(least(7, floor(CAST(k - a AS DOUBLE) / CAST(b - a + 1 AS DOUBLE) * CAST(8 AS DOUBLE))) AS INT) AS owner FROM k, e")
+def range_partition_owner(spark, sf_dir):
+    return partition.with_owner(_cell_table(spark, sf_dir), 8, "range")
+
+
+@query(f"{_CELLS_ITEMS}, e AS (SELECT 3 * {O.bit_length(f'greatest(max(qx), max(qy), max(qz) + {curves.Z_BIAS})')} AS bits FROM k) SELECT qx, qy, qz, CAST(least(7, floor(CAST(k AS DOUBLE) / pow(CAST(2 AS DOUBLE), bits) * CAST(8 AS DOUBLE))) AS INT) AS owner FROM k, e")
+def prefix_partition_owner(spark, sf_dir):
+    return partition.with_owner(_cell_table(spark, sf_dir), 8, "prefix")
+
+
+_U64 = "CAST(18446744073709551616 AS HUGEINT)"
+# the product modulo 2**64 by 32-bit halves of the multiplier, so that no step leaves 128 bits
+_FINISH_HIGH, _FINISH_LOW = partition.FINISH >> 32, partition.FINISH & 0xFFFFFFFF
+
+
+@query(
+    f"{_CELLS_ITEMS}, u AS (SELECT qx, qy, qz, " + ", ".join(f"CAST(CASE WHEN {q} < 0 THEN CAST({q} AS BIGINT) + 4294967296 ELSE {q} END AS BIGINT) * {m} AS h{q}" for q, m in zip(CELL, partition.AXIS)) + " FROM c), "
+    "a AS (SELECT qx, qy, qz, xor(xor(hqx, hqy), hqz) AS h FROM u), b AS (SELECT qx, qy, qz, CAST(xor(h, h >> 33) AS HUGEINT) AS h FROM a), "
+    f"m AS (SELECT qx, qy, qz, CAST((((h * {_FINISH_HIGH}) % 4294967296) * 4294967296 + (h * {_FINISH_LOW}) % {_U64}) % {_U64} AS UBIGINT) AS h FROM b) SELECT qx, qy, qz, CAST(xor(h, h >> 33) % 8 AS INT) AS owner FROM m"
+)
+def hash_partition_owner(spark, sf_dir):
+    return partition.with_owner(_cell_table(spark, sf_dir), 8, "hash")
+
+
+@query(f"{_CELLS_ITEMS}, t AS (SELECT k, row_number() OVER (ORDER BY k) AS r, count(*) OVER () AS n FROM k) SELECT CAST(r * 8 // n AS INT) AS i, k AS splitter FROM t WHERE r IN (SELECT CAST(ceil(n * i / CAST(8 AS DOUBLE)) AS BIGINT) FROM (SELECT unnest(range(1, 8)) AS i))")
+def splitters(spark, sf_dir):
+    """Seven keys that cut the cells into eight parts of equal size."""
+    keys = curves.with_morton(_cell_table(spark, sf_dir), F.col("qx"), F.col("qy"), F.col("qz") + curves.Z_BIAS, "k").select("k")
+    cuts = ordered.splitters(keys, "k", 8, accuracy=2_000_000)
+    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(cuts)], "i int, splitter long")
+
+
+@query()
+def repartition_balance(spark, sf_dir):
+    """Rows of the parts that each partitioner deals."""
+    out = None
+    for mode in partition.MODES:
+        got = partition.balance(partition.deal(_cell_table(spark, sf_dir), 8, mode)).withColumn("mode", F.lit(mode))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("SELECT CAST(event_id // 1000 AS INT) AS chunk, CAST((event_id // 1000) % 3 AS INT) AS rank, count(*) AS points FROM events GROUP BY ALL")
+def round_robin_owner(spark, sf_dir):
+    return clouds.moments(spark, sf_dir).groupBy("chunk", partition.round_robin(F.col("chunk"), 3).alias("rank")).agg(F.count("*").alias("points"))
+
+
+# ---- chunks, keys of files, reports
+
+
+@query("SELECT o_orderkey AS id, CAST(t.off AS BIGINT) AS \"offset\", least(1200, sz - sz % 12 - t.off) AS \"count\" FROM (SELECT o_orderkey, CAST(o_custkey * 7 AS BIGINT) AS sz FROM orders WHERE o_orderkey < 200) o, LATERAL (SELECT unnest(range(0, sz - sz % 12, 1200)) AS off) t")
+def chunk_tiles(spark, sf_dir):
+    """Byte ranges of 100 records that tile files of given sizes."""
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey < 200").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 7).alias("size"))
+    return t.select("id", F.explode(P.tiles(F.col("size"), 1200)).alias("t")).select("id", "t.offset", "t.count")
+
+
+@query(f"WITH p AS ({clouds.SQL['moments']}) SELECT id, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y, CAST(z AS DOUBLE) AS z FROM p WHERE id >= 1000 AND id < 3500")
+def row_range(spark, sf_dir):
+    got = P.in_range(clouds.moments(spark, sf_dir), "id", 1000, 2500)
+    return got.select("id", *[F.col(c).cast("double").alias(c) for c in "xyz"])
+
+
+@query(f"WITH p AS ({clouds.SQL['moments']}), c AS (SELECT id, " + ", ".join(f"CAST(floor(CAST({c} AS DOUBLE) / CAST(0.25 AS DOUBLE)) AS INT) AS g{c}" for c in "xyz") + " FROM p), m AS (SELECT *, " + ", ".join(f"g{c} - min(g{c}) OVER () AS q{c}" for c in "xyz") + f" FROM c) SELECT id, {O.morton(z='qz')} AS key FROM m")
+def grid_sort_key(spark, sf_dir):
+    """Morton keys of points on a plain grid, relative to its least cell."""
+    p = clouds.moments(spark, sf_dir)
+    grid = p.select("id", *[F.floor(F.col(c).cast("double") / F.lit(0.25)).cast("int").alias(c) for c in "xyz"])
+    cells = P.with_offset(grid).select("id", *[(F.col(c) - F.col(f"o{c}")).alias(f"q{c}") for c in "xyz"])
+    return blocks.direct_keys(cells).select("id", F.col("sfc").alias("key"))
+
+
+@query()
+def float_bits_key(spark, sf_dir):
+    """Morton keys of the top 21 bits of coordinates' float32 patterns; negative ones have a null key."""
+
+    def bits(batches):
+        for b in batches:
+            xyz = [b.column(i).to_numpy() for i in (1, 2, 3)]
+            ok = np.logical_and.reduce([c >= 0 for c in xyz])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c.view(np.uint32).astype(np.int64) >> 11) for c in xyz], pa.array(ok)], ["id", "bx", "by", "bz", "ok"])
+
+    p = P.shift(clouds.vectors(spark, sf_dir)).select("id", "x", "y", "z").mapInArrow(bits, "id long, bx long, by long, bz long, ok boolean")
+    return curves.with_morton(p, F.col("bx"), F.col("by"), F.col("bz"), "key").select("id", F.when(F.col("ok"), F.col("key")).alias("key"))
+
+
+_SWEEP_SIZES, _SWEEP_VARIANTS = (0, 1000, 4000), (("to", 5.0), ("cube", 5.0))
+
+
+def _sweep_sql() -> str:
+    out = []
+    for n, b in _SWEEP_VARIANTS:
+        for s in _SWEEP_SIZES:
+            chunk = f"CAST(event_id // {s} AS INT)" if s else "0"
+            src = clouds.SQL["moments"].replace("CAST(event_id // 1000 AS INT)", chunk)
+            q = O.quantized("moments", n, b, "chunk").replace(clouds.SQL["moments"], src)
+            out.append(
+                f"WITH {q}, {O.recovered(n, b)}, st AS (SELECT chunk, count(*) AS n, avg({O.square_error()}) AS mse, " + " + ".join(f"(CAST(max({c}) AS DOUBLE) - CAST(min({c}) AS DOUBLE)) * (CAST(max({c}) AS DOUBLE) - CAST(min({c}) AS DOUBLE))" for c in "xyz") + " AS d2 FROM r GROUP BY chunk), "
+                f"k AS (SELECT chunk, {O.morton()} AS sfc, count(*) AS cnt FROM q GROUP BY ALL), dl AS (SELECT *, sfc - coalesce(lag(sfc) OVER (PARTITION BY chunk ORDER BY sfc), 0) AS delta FROM k), "
+                f"pk AS (SELECT chunk, ceil(count(*) * ({O.bit_length('max(delta)')} + {O.bit_length('max(cnt)')}) / CAST(8 AS DOUBLE)) AS bytes FROM dl GROUP BY chunk) "
+                f"SELECT {s} AS chunk_points, '{n}-{b:g}' AS variant, count(*) AS num_chunks, CAST(sum(n) * 12 AS BIGINT) AS input_bytes, CAST(sum(bytes) AS BIGINT) AS compressed_bytes, {O.fixed('avg(10 * log10(d2 / mse))')} AS mean_psnr, {O.fixed('sum(n) * 12 / sum(bytes)')} AS ratio FROM st JOIN pk USING (chunk)"
+            )
+    return _union(out)
+
+
+@query(_sweep_sql())
+def chunk_sweep(spark, sf_dir):
+    got = reports.sweep(clouds.moments(spark, sf_dir).drop("chunk"), "id", list(_SWEEP_SIZES), list(_SWEEP_VARIANTS))
+    return rounded(got.select("chunk_points", "variant", "num_chunks", "input_bytes", "compressed_bytes", "mean_psnr", "ratio"), "mean_psnr", "ratio")
+
+
+@query("SELECT chunk_points, " + ", ".join(f"max(ratio) FILTER (variant = '{n}-{b:g}') AS \"{n}-{b:g}\"" for n, b in _SWEEP_VARIANTS) + f" FROM ({_sweep_sql()}) GROUP BY chunk_points")
+def chunk_sweep_pivot(spark, sf_dir):
+    return reports.pivot(chunk_sweep(spark, sf_dir), "chunk_points", "variant", "ratio", [f"{n}-{b:g}" for n, b in _SWEEP_VARIANTS])
+
+
+_RUNS = "runs AS (SELECT CAST(pow(2, user_id % 5) AS INT) AS nodes, CAST(64 * pow(2, event_id % 3) AS INT) AS block_mib, floor(sum(CAST(floor(value * 100) AS BIGINT)) / CAST(100 AS DOUBLE)) AS throughput FROM events GROUP BY ALL)"
+
+
+def _runs(spark, sf_dir):
+    """Throughput by node count and block size, made of events."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cents = F.sum(F.floor(F.col("value") * 100).cast("bigint")).cast("double")
+    return t.groupBy(F.pow(F.lit(2.0), F.col("user_id") % 5).cast("int").alias("nodes"), (F.lit(64.0) * F.pow(F.lit(2.0), F.col("event_id") % 3)).cast("int").alias("block_mib")).agg(F.floor(cents / 100.0).cast("double").alias("throughput"))
+
+
+@query(f"WITH {_RUNS}, b AS (SELECT *, first_value(throughput) OVER w AS base, first_value(nodes) OVER w AS least FROM runs WINDOW w AS (PARTITION BY block_mib ORDER BY nodes)) SELECT nodes, block_mib, throughput, {O.fixed('throughput / base', 9)} AS speedup, {O.fixed('(throughput / base) / (nodes / CAST(least AS DOUBLE))', 9)} AS parallel_efficiency FROM b")
+def scaling_speedup(spark, sf_dir):
+    return rounded(reports.scaling(_runs(spark, sf_dir)), "speedup", "parallel_efficiency", places=9)
+
+
+@query(f"WITH {_RUNS} SELECT nodes, " + ", ".join(f"max(throughput) FILTER (block_mib = {b}) AS \"{b}\"" for b in (64, 128, 256)) + " FROM runs GROUP BY nodes")
+def scaling_pivot(spark, sf_dir):
+    return reports.pivot(_runs(spark, sf_dir), "nodes", "block_mib", "throughput", [64, 128, 256])
+
+
+_RANKS = "r AS (SELECT user_id % 8 AS rank, count(*) * 12 AS input_bytes, count(DISTINCT event_id // 1000) AS blocks, CAST(max(user_id) AS DOUBLE) AS wall_s, CAST(count(*) * 5 AS BIGINT) AS compressed_bytes FROM events GROUP BY ALL)"
+
+
+@query(f"WITH {_RANKS} SELECT count(*) AS nranks, CAST(sum(blocks) AS BIGINT) AS num_blocks, CAST(sum(input_bytes) AS BIGINT) AS input_bytes, CAST(sum(compressed_bytes) AS BIGINT) AS compressed_bytes, max(wall_s) AS wall_max_s, min(wall_s) AS wall_min_s, {O.fixed('sum(input_bytes) / CAST(sum(compressed_bytes) AS DOUBLE)')} AS ratio, {O.fixed('min(wall_s) / max(wall_s)')} AS load_balance, {O.fixed('sum(input_bytes) / max(wall_s) / CAST(1000000000 AS DOUBLE)', 12)} AS throughput_GBps, count(*) AS rows_gathered FROM r")
+def run_summary(spark, sf_dir):
+    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    ranks = t.groupBy((F.col("user_id") % 8).alias("rank")).agg((F.count("*") * 12).alias("input_bytes"), F.count_distinct(F.floor(F.col("event_id") / 1000)).alias("blocks"), F.max("user_id").cast("double").alias("wall_s"), (F.count("*") * 5).alias("compressed_bytes"))
+    got = reports.run_summary(ranks).withColumn("rows_gathered", F.size("per_rank").cast("bigint")).drop("per_rank")
+    return rounded(rounded(got, "ratio", "load_balance"), "throughput_GBps", places=12)
+
+
+@query("SELECT o_custkey % 7 AS rank, count(*) AS blocks, CAST(sum(o_custkey) AS BIGINT) AS input_bytes, CAST(sum(o_orderkey) AS BIGINT) AS compressed_bytes, max(o_orderkey + o_custkey) AS part_bytes FROM orders GROUP BY ALL")
+def manifest_index(spark, sf_dir):
+    """Part files' totals from rows like a manifest's."""
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return reports.manifest_index(t.select((F.col("o_custkey") % 7).alias("rank"), F.col("o_custkey").alias("input_size"), F.col("o_orderkey").alias("compressed_size"), F.col("o_custkey").alias("part_offset")))
+
+
+# ---- codecs
+
+
+@query()
+def codec_roundtrip(spark, sf_dir):
+    """Bytes and mismatches of each code over the octant deltas of each superblock."""
+    rows = blocks.entry_deltas(_entries(spark, sf_dir)).withColumn("position", F.row_number().over(Window.partitionBy("id").orderBy("quad", "sfc")) - 1)
+    rows, out = rows.select("id", F.col("position").cast("bigint").alias("position"), F.least("repos_delta", F.lit(2000)).alias("v")), None
+    for name in codec.ENCODERS:
+        streams = codec.encode_groups(rows, "id", "position", "v", name)
+        wrong = codec.decode_groups(streams, "id", name).join(rows, ["id", "position"], "full").agg(F.count("*").alias("n"), F.count_if(~F.col("value").eqNullSafe(F.col("v"))).alias("wrong"))
+        size = streams.agg(F.sum(F.length("data")).alias("data_bytes"), F.sum(F.length("meta")).alias("meta_bytes"))
+        got = wrong.crossJoin(size).withColumn("code", F.lit(name))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query()
+def zstd_ratio(spark, sf_dir):
+    """Input and compressed bytes of whole runs, by curve, with and without counted cells."""
+    out = None
+    for curve in ("z", "hilbert"):
+        for rle in (True, False):
+            got = Z.compress(clouds.moments(spark, sf_dir), Z.Options("to", 5.0, curve, rle))
+            got = got.agg(F.sum("raw_bytes").alias("input_bytes"), F.sum(F.length("payload")).alias("compressed_bytes")).withColumns({"curve": F.lit(curve), "rle": F.lit(rle)})
+            got = got.withColumn("ratio", F.col("input_bytes") / F.col("compressed_bytes"))
+            out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query(f"WITH {O.quantized('moments', 'to', 5, 'chunk')}, {O.recovered('to', 5)} SELECT chunk, {O.fixed('CAST(rx + ox AS FLOAT)')} AS x, {O.fixed('CAST(ry + oy AS FLOAT)')} AS y, {O.fixed('CAST(rz + oz AS FLOAT)')} AS z FROM r")
+def compress_roundtrip(spark, sf_dir):
+    """Points back from every chunk's bytes."""
+    got = Z.decompress(Z.compress(clouds.moments(spark, sf_dir), Z.Options("to", 5.0, "hilbert", True)))
+    return rounded(got.withColumn("chunk", F.col("chunk").cast("int")), "x", "y", "z")
+
+
+@query()
+def shared_codebook(spark, sf_dir):
+    """Bytes of every chunk under its own codebook and under one that the first chunk gave."""
+    options, cloud = Z.Options("to", 5.0), clouds.moments(spark, sf_dir)
+    book = Z.fit_codebook(cloud, options, "chunk", 0)
+    own = Z.compress(cloud, options).select("chunk", F.length("payload").alias("own_bytes"))
+    return own.join(Z.compress(cloud, options, book=book).select("chunk", F.length("payload").alias("shared_bytes")), "chunk")
+
+
+@query(f"WITH {O.quantized('items', 'to', 0.9)}, c AS (SELECT qx, qy, qz, count(*) AS cnt FROM q GROUP BY ALL) SELECT qx, qy, qz, cnt, {O.morton()} AS sfc FROM c")
+def global_cell_table(spark, sf_dir):
+    """The cell table of the whole cloud, dealt by key ranges and sorted in each part."""
+    return Z.global_cells(clouds.items(spark, sf_dir), Z.Options("to", 0.9)).drop("part")
