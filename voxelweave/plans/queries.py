@@ -638,3 +638,37 @@ def shared_codebook(spark, sf_dir):
 def global_cell_table(spark, sf_dir):
     """The cell table of the whole cloud, dealt by key ranges and sorted in each part."""
     return Z.global_cells(clouds.items(spark, sf_dir), Z.Options("to", 0.9)).drop("part")
+
+
+# ---- choices and per-point outputs
+
+
+@query(f"WITH {O.quantized('moments', 'to', 0.5)} SELECT greatest(max(qx), 0) AS range_x, greatest(max(qy), 0) AS range_y, greatest(max(qz), 0) AS range_z, greatest(max(qx), max(qy), max(qz), 0) < 1024 AS direct FROM q")
+def direct_or_block(spark, sf_dir):
+    """Whether one curve covers the whole range, or superblocks are needed."""
+    r = C.ranges(quantized(clouds.moments(spark, sf_dir), "to", 0.5))
+    return r.withColumn("direct", F.greatest("range_x", "range_y", "range_z") < 1024)
+
+
+_BOX = "p AS (" + clouds.SQL["vectors"] + "), b AS (SELECT sqrt(" + " + ".join(f"(CAST(max({c}) AS DOUBLE) - CAST(min({c}) AS DOUBLE)) * (CAST(max({c}) AS DOUBLE) - CAST(min({c}) AS DOUBLE))" for c in "xyz") + ") AS diagonal FROM p)"
+
+
+@query(f"WITH {_BOX} SELECT scale, {O.fixed('scale * diagonal', 9)} AS bound FROM b, (SELECT unnest([CAST(0.001 AS DOUBLE), CAST(0.0001 AS DOUBLE), CAST(0.00001 AS DOUBLE)]) AS scale)")
+def bounds_from_scale(spark, sf_dir):
+    """Error bounds as shares of the box's diagonal."""
+    scales = F.explode(F.array(*[F.lit(s) for s in (0.001, 0.0001, 0.00001)])).alias("scale")
+    return P.box(clouds.vectors(spark, sf_dir)).select("diagonal", scales).select("scale", fixed(F.col("scale") * F.col("diagonal"), 9).alias("bound"))
+
+
+@query(f"WITH {O.quantized('vectors', 'to', 0.05)}, {O.recovered('to', 0.05)} SELECT id, {O.fixed('sqrt(' + O.square_error() + ')', 9)} AS err FROM r")
+def point_errors(spark, sf_dir):
+    """Distance of each point from its recovered one."""
+    got = quality.with_error(recovered(clouds.vectors(spark, sf_dir), "to", 0.05))
+    return got.select("id", fixed(F.col("err"), 9).alias("err"))
+
+
+@query(f"WITH {O.quantized('moments', 'to', 0.5)}, {O.recovered('to', 0.5)} SELECT count(*) AS points, count(*) FILTER (sqrt({O.square_error()}) > {O.d(0.5 * 1.0001)}) AS over FROM r")
+def verified_run(spark, sf_dir):
+    """A run that fails with the first point over its bound (with the slack of float32)."""
+    checked = quality.assert_bound(quality.with_error(recovered(clouds.moments(spark, sf_dir), "to", 0.5)), 0.5 * 1.0001)
+    return checked.agg(F.count("err").alias("points"), F.count_if(F.col("err") > 0.5 * 1.0001).alias("over"))
