@@ -57,7 +57,7 @@ def test_classifiers_on_odd_tables(spark, odd, empty, kind):
 
 
 def test_near_duplicates_of_odd_rows(odd):
-    got = {r["doc_id"]: r for r in setsketch.near_duplicates(odd).collect()}
+    got = {r["doc_id"]: r for r in setsketch.near_duplicates(odd, width=2).collect()}
     assert got[2]["component_id"] == got[3]["component_id"] == got[1]["component_id"] == 1 and not got[2]["kept"]
     assert got[4]["n_shingles"] == got[8]["n_shingles"] == 0 and got[4]["kept"] and got[6]["n_shingles"] == 1 and got[11]["n_shingles"] == 2
     assert got[None]["component_id"] is None and got[None]["kept"]
@@ -163,7 +163,7 @@ def test_components_of_near_copies_match_brute_force(spark):
             if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
                 a, b = find(i), find(j)
                 root[max(a, b)] = min(a, b)
-    got = {x["doc_id"]: x["component_id"] for x in setsketch.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    got = {x["doc_id"]: x["component_id"] for x in setsketch.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), width=2).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
 
 
@@ -315,7 +315,7 @@ def test_elias_fano(values, universe):
 
 def test_trie_finds_what_was_kept(tmp_path):
     i = lambda *x: np.array(x, np.int64)
-    args = (i(3, 8), i(10, 6), i(0, 0, 1), i(5, 9, 5), i(4, 1, 3), i(0, 1), i(2, 7), i(4, 3), i(0, 0, 1), i(5, 9, 5), i(2, 1, 3))
+    args = (i(3, 8), i(10, 6), i(0, 0, 1), i(5, 9, 5), i(4, 1, 3), i(0, 1), i(2, 7), i(4, 3), i(0, 0, 1), i(5, 9, 5), i(3, 1, 3))
     for path in (None, str(tmp_path / "trie")):
         t = ngram.build_shard(*args, path=path)
         t = eliasfano.Trie.open(path) if path else t

@@ -24,7 +24,7 @@ def op2_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .setsketch import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

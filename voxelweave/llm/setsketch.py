@@ -1,6 +1,6 @@
 """Near-duplicate documents by SetSketch registers.
 
-A document is its set of 2-word shingles (words lower-cased in A-Z; with fewer words the whole
+A document is its set of shingles of `width` words, five unless told otherwise (words lower-cased in A-Z; with fewer words the whole
 sequence as one shingle; without words the empty set, which is linked with nothing).
 SetSketch (Ertl, 2021): register i holds floor(1 - log_b x_i), where x_i is the least
 of the exponential values that the set's elements draw for it, so values are
@@ -18,8 +18,9 @@ past them, and each likely pair of different components is confirmed, the likeli
 first, in the one band that it shares first. What links joins its components at once, so a
 group costs as many confirmations as it has members, not pairs, but for likely pairs that fail.
 
-At the limit J = 0.8 a pair shares no band with a chance of (1 - 0.8**4)**32 = 4e-8.
-Nodes are 63-bit digests of sets; sets are compared as 64-bit shingle digests.
+At the limit J = 0.8 a pair shares no band with a chance of (1 - 0.8**5)**32 = 3e-6, at 0.85 of 7e-9.
+Nodes are 63-bit digests of sets. Sets are compared as 40-bit shingle digests: two sets of a
+thousand shingles each have an expected 1e-6 of them in common by chance.
 
 Defined cases: null and empty texts have n_shingles 0 and are their own component;
 rows that share a doc_id each have the component of their own text; rows with a null
@@ -30,6 +31,7 @@ an empty result.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,14 +42,15 @@ from .graph import components
 from .scratch import Scratch
 from .text import BASE_A, U, mix, word_hashes
 
-REGISTERS, ROWS = 128, 4
+REGISTERS, ROWS = 160, 5
+WORDS, LIMIT = 5, 0.8
 SPACING, RATE = 1.001, 20.0
 #: A pair is dropped unread if its estimate is so many standard deviations below the limit.
 DEVIATIONS = 6.0
 BLOCK = 2048
 
 
-def shingle_sets(column, width: int = 2) -> list[np.ndarray]:
+def shingle_sets(column, width: int = WORDS) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle digests of each text."""
     h, _, counts = word_hashes(column, lower=True)
     n = len(counts)
@@ -102,7 +105,8 @@ def _sketches(sets: list[np.ndarray], m: int) -> np.ndarray:
     gamma = _bounds(m)
     draw = mix(element ^ U(0x5851F42D4C957F2D))
     start = (draw >> U(40)).astype(np.int64) % m
-    stride = ((draw >> U(8)).astype(np.int64) % (m // 2)) * 2 + 1  # odd: visits each register once
+    coprime = np.array([k for k in range(1, m) if math.gcd(k, m) == 1])
+    stride = coprime[(draw >> U(8)).astype(np.int64) % len(coprime)]  # visits each register once
     for j in range(m):
         if not len(element):
             break
@@ -164,7 +168,7 @@ def _registers(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
 
-def signatures(docs: DataFrame) -> DataFrame:
+def signatures(docs: DataFrame, width: int) -> DataFrame:
     """doc_id, n, node (digest of the set; null if empty), sketch."""
     names = ["doc_id", "n", "node", "sketch"]
 
@@ -172,7 +176,7 @@ def signatures(docs: DataFrame) -> DataFrame:
         for b in batches:
             for first in range(0, b.num_rows, 500):
                 part = b.slice(first, 500)
-                sets = shingle_sets(part.column(1))
+                sets = shingle_sets(part.column(1), width)
                 rows = sketches(sets).astype("<u2")
                 nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1 if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([r.tobytes() if n is not None else None for r, n in zip(rows, nodes)], pa.binary())], names)
@@ -180,15 +184,26 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, sketch binary")
 
 
-def node_sets(docs: DataFrame) -> DataFrame:
-    """node, shingles (the sorted digests) of each text that has words."""
+def _short(s: np.ndarray) -> bytes:
+    """A sorted set's digests cut to 40 bits: four bytes of each, then one of each."""
+    v = s >> U(24)
+    return (v & U(0xFFFFFFFF)).astype("<u4").tobytes() + (v >> U(32)).astype(np.uint8).tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << U(32)
+
+
+def node_sets(docs: DataFrame, width: int) -> DataFrame:
+    """node, shingles (the set, see _short) of each text that has words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first in range(0, b.num_rows, 500):
-                raw = [s.astype("<u8").tobytes() for s in shingle_sets(b.column(0).slice(first, 500)) if len(s)]
-                nodes = [int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little") >> 1 for x in raw]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], ["node", "shingles"])
+                sets = [s for s in shingle_sets(b.column(0).slice(first, 500), width) if len(s)]
+                nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1 for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([_short(s) for s in sets], pa.binary())], ["node", "shingles"])
 
     return docs.select("text").mapInArrow(run, "node long, shingles binary")
 
@@ -285,8 +300,8 @@ class _Bucket:
 
 
 def _reaches(x: bytes, y: bytes, limit: float) -> bool:
-    """Whether two full sets (sorted digests) have Jaccard likeness of limit or more."""
-    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
+    """Whether two full sets (as _short has them) have Jaccard likeness of limit or more."""
+    x, y = _long(x), _long(y)
     at = np.searchsorted(y, x)
     both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
     return 100 * both >= round(limit * 100) * (len(x) + len(y) - both)
@@ -317,12 +332,12 @@ def _links(limit: float):
     return run
 
 
-def near_duplicates(docs: DataFrame, limit: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WORDS, limit: float = LIMIT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document; see the module's text."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = scratch.save(signatures(rows), "signed")
+    signed = scratch.save(signatures(rows, width), "signed")
     nodes = scratch.save(signed.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
 
     order = Window.partitionBy("key", "band").orderBy("node")
@@ -333,7 +348,7 @@ def near_duplicates(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     met_nodes = buckets.select("node").distinct()
     sketched = scratch.save(nodes.join(met_nodes, "node", "left_semi"), "sketched")
     texts = rows.join(sketched.select("doc_id"), "doc_id", "left_semi")
-    sets = node_sets(texts).join(sketched.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = node_sets(texts, width).join(sketched.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = scratch.save(sets, "sets")
     scratch.release()
 
@@ -349,6 +364,8 @@ def near_duplicates(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     # components so far stand for their links
     links = scratch.save(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), "more")
     roots = scratch.save(components(links, scratch, "second"), "all_roots")
+    for name in ("met", "sketched", "sets", "links", "roots", "open", "more", "first", "second"):
+        scratch.drop(name)
     scratch.release()
 
     # from nodes to documents: the least doc_id of a component's nodes, then of each doc_id's rows
