@@ -6,7 +6,7 @@ training part of the corpus:
 1. Chunks of documents send their distinct tokens and counts; hash buckets add them up and
 answer. 2. Chunks send count-min sketches of their training word pairs and triples; blocks
 of cells tell which may occur twice. 3. Only those are sent on, with their counts, to the shard of
-their last context word; a shard adds them up, drops what was seen once, smooths by absolute
+their last context word; a shard adds them up, drops what was seen less often, smooths by absolute
 discounting, quantises and builds its trie in anonymous mapped memory, then answers from
 the trie what its chunks asked. 4. Chunks score: with f the discounted share and m the mass left,
 P(w | u, v) = f(w | u, v) + m(u, v) P(w | v), P(w | v) = f(w | v) + m(v) P(w),
@@ -36,7 +36,7 @@ from .text import BASE_A, BASE_B, U, mix, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
 END, BEGIN = 0x452821E638D01377, 0xBE5466CF34E90C6C
-DISCOUNT, LEAST = 0.75, 2
+DISCOUNT, LEAST = 0.75, 3
 #: 8-bit codes of log10 values from -RANGE to 0; the last stands for 0.
 RANGE, NONE = 10.16, 255
 CHUNK_BYTES = 5 << 20
@@ -134,13 +134,13 @@ class Tokens:
         return out
 
     def cells(self, bits: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted cells of pairs and triples, and which key each is: those seen in training (FLAGS), twice where they were seen twice, or the others (QUERIES)."""
+        """Sorted cells of pairs and triples, and which key each is: those seen in training (FLAGS), LEAST times at most, or the others (QUERIES)."""
         h = np.concatenate((self.pair_hash, self.triple_hash))
         seen = np.concatenate((self.pair_count, self.triple_count))
         real = np.concatenate((np.ones(len(self.pair_hash), bool), self.triple_p < len(self.pair_hash)))
         key = np.flatnonzero(real & (seen > 0 if kind == FLAGS else seen == 0))
         if kind == FLAGS:
-            key = np.concatenate((key, np.flatnonzero(real & (seen > 1))))
+            key = np.repeat(key, np.minimum(seen[key], LEAST).astype(np.int64))
         cell = (h[key] >> U(64 - bits)).astype(np.int64)
         order = np.argsort(cell, kind="stable")
         return cell[order], key[order]
@@ -185,6 +185,21 @@ class Asked:
             yield b, (i, j), tuple(pair), tuple(context), tuple(triple)
 
 
+def _steps(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Values that ascend in each run of one owner, as differences that start anew with each run."""
+    out = np.diff(x, prepend=0)
+    first = np.concatenate(([True], owner[1:] != owner[:-1])) if len(x) else np.zeros(0, bool)
+    out[first] = x[first]
+    return out.astype("<u8")
+
+
+def _unsteps(d: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The inverse, from the sizes of the runs."""
+    total = np.concatenate((np.zeros(1, np.int64), np.cumsum(d.astype(np.int64))))
+    sizes = sizes.astype(np.int64)
+    return total[1:] - np.repeat(total[np.cumsum(sizes) - sizes], sizes)
+
+
 def _sum_by(owner: np.ndarray, h: np.ndarray, count: np.ndarray):
     """Distinct (owner, h) in order, their summed counts, and the place of each row among them."""
     order = np.lexsort((h, owner))
@@ -219,12 +234,13 @@ def _shard(payloads: list[bytes]) -> list[bytes]:
     sent = [unpack(x) for x in payloads]
     sizes = np.array([[len(s[0]), len(s[3]), len(s[6]), len(s[9])] for s in sent])
     cat = lambda k: np.concatenate([s[k] for s in sent])
+    run = lambda sizes, k: np.concatenate([_unsteps(s[k], s[sizes]) for s in sent])
     v, own = _ranked(np.concatenate([np.cumsum(s[0].astype(np.int64)) for s in sent]))
     total = np.zeros(len(v), np.int64)
     total[own] = cat(1)
-    word_owner, word, word_count, place_w = _sum_by(np.repeat(own, cat(2)), cat(3).astype(np.int64), cat(4))
-    pair_owner, pair, pair_count, place_p = _sum_by(np.repeat(own, cat(5)), cat(6).astype(np.int64), cat(7))
-    triple_owner, triple, triple_count, place_t = _sum_by(np.repeat(place_p, cat(8)), cat(9).astype(np.int64), cat(10))
+    word_owner, word, word_count, place_w = _sum_by(np.repeat(own, cat(2)), run(2, 3), cat(4))
+    pair_owner, pair, pair_count, place_p = _sum_by(np.repeat(own, cat(5)), run(5, 6), cat(7))
+    triple_owner, triple, triple_count, place_t = _sum_by(np.repeat(place_p, cat(8)), run(8, 9), cat(10))
     trie = build_shard(v, total, word_owner, word, word_count, pair_owner, pair, pair_count, triple_owner, triple, triple_count)
     # ask the trie
     context = trie.context(v)
@@ -290,9 +306,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
         for kind, raw in zip(kinds_sent, table["payload"]):
             if kind == FLAGS:
                 cells, n = np.unique(ungaps(raw.as_py()), return_counts=True)
-                total[cells] = np.minimum(total[cells] + np.minimum(n, 2), 2)
+                total[cells] = np.minimum(total[cells] + np.minimum(n, LEAST), LEAST)
         bucket = table["bucket"][0].as_py()
-        return _frame([(k, bucket, c, np.packbits(total[ungaps(raw.as_py())] > 1).tobytes(), 0, 0, 0) for k, c, raw in zip(kinds_sent, table["chunk"].to_pylist(), table["payload"])], MESSAGE)
+        return _frame([(k, bucket, c, np.packbits(total[ungaps(raw.as_py())] >= LEAST).tobytes(), 0, 0, 0) for k, c, raw in zip(kinds_sent, table["chunk"].to_pylist(), table["payload"])], MESSAGE)
 
     def asked(table: pa.Table, told: pa.Table) -> tuple[Tokens, np.ndarray, Asked]:
         own, counts, numbers = Tokens(table), [], []
@@ -324,8 +340,9 @@ def score_texts(docs: DataFrame) -> DataFrame:
         v, words, u, third = q.number[q.v], q.number[own.pair_w[q.pair]], q.number[own.pair_v[q.context]], q.number[own.triple_w[q.triple]]
         c2, cu, c3 = own.pair_count[q.pair], own.pair_count[q.context], own.triple_count[q.triple]
         for b, (i, j), (a, z), (c, d), (e, f) in q.runs(rank_bits):
-            parts = [np.diff(v[i:j], prepend=0).astype("<u8"), q.total[i:j].astype("<u8"), _per(q.pair_owner[a:z] - i, j - i), words[a:z].astype("<u8"), u4(c2[a:z])]
-            parts += [_per(q.context_owner[c:d] - i, j - i), u[c:d].astype("<u8"), u4(cu[c:d]), _per(q.triple_owner[e:f] - c, d - c), third[e:f].astype("<u8"), u4(c3[e:f])]
+            parts = [np.diff(v[i:j], prepend=0).astype("<u8"), q.total[i:j].astype("<u8"), _per(q.pair_owner[a:z] - i, j - i), _steps(words[a:z], q.pair_owner[a:z]), u4(c2[a:z])]
+            parts += [_per(q.context_owner[c:d] - i, j - i), _steps(u[c:d], q.context_owner[c:d]), u4(cu[c:d])]
+            parts += [_per(q.triple_owner[e:f] - c, d - c), _steps(third[e:f], q.triple_owner[e:f]), u4(c3[e:f])]
             out.append((ANSWERS, b, chunk, pack(*parts), 0, 0, 0))
         return _frame(out, MESSAGE)
 

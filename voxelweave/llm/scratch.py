@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,8 +38,10 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark's cleaner delete the shuffle files of finished jobs that nothing refers to any more."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # what the first round frees may hold others
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.5)
 
 
 def input_bytes(df: DataFrame) -> int:
