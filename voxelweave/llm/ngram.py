@@ -5,7 +5,7 @@ training part of the corpus:
 
 1. Chunks of documents send their distinct tokens and counts; hash buckets add them up and
 answer. 2. Chunks send count-min sketches of their training word pairs and triples; blocks
-of cells tell which may occur twice. 3. Only those are sent on, with their counts, to the shard of
+of cells tell which may occur LEAST times. 3. Only those are sent on, with their counts, to the shard of
 their last context word; a shard adds them up, drops what was seen less often, smooths by absolute
 discounting, quantises and builds its trie in anonymous mapped memory, then answers from
 the trie what its chunks asked. 4. Chunks score: with f the discounted share and m the mass left,
