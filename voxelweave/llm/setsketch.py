@@ -347,7 +347,8 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, limit: float = LIMIT) -
     buckets = met.select("key", "band", "node").unionByName(met.select("key", "band", F.col("first").alias("node")).distinct())
     met_nodes = buckets.select("node").distinct()
     sketched = scratch.save(nodes.join(met_nodes, "node", "left_semi"), "sketched")
-    texts = rows.join(sketched.select("doc_id"), "doc_id", "left_semi")
+    # merged at every size: a broadcast of ids would have no bound, and small inputs would take another path
+    texts = rows.join(sketched.select("doc_id").hint("merge"), "doc_id", "left_semi")
     sets = node_sets(texts, width).join(sketched.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
     sets = scratch.save(sets, "sets")
     scratch.release()
@@ -379,4 +380,4 @@ def near_duplicates(docs: DataFrame, width: int = WORDS, limit: float = LIMIT) -
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents of docs that stand for their component; rows without a doc_id stay."""
     dropped = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+    return docs.join(dropped.hint("merge"), F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
