@@ -33,7 +33,7 @@ from .text import BASE_A, U, mix, powers
 SEQUENCE, END, OPEN_BINS = 2048, 0, 512
 GROUP_BYTES = 64 << 20
 BATCH_CHARS = 1 << 20
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 500_000
 #: Code points with the property White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3

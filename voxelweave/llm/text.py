@@ -59,7 +59,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
             return np.cumprod(out, dtype=np.uint64)
 
         held = run(base), run(pow(base, -1, 2**64))
-        if size <= 1 << 22:
+        if size <= 1 << 20:  # larger tables are made anew, as they would stay in the worker
             _POWERS[base] = held
     return held[0][:n], held[1][:n]
 
