@@ -1,6 +1,7 @@
 import random
 import struct
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -342,6 +343,38 @@ def test_model_is_a_distribution(spark):
     assert sum(10 ** got[d] for d, _ in probe) <= 1.02 and all(got[d] < 0 for d, _ in docs)
 
 
+def test_model_knows_every_trained_ngram(spark):
+    """Scores against absolute discounting over all pairs and triples, those seen once and twice too."""
+    r = random.Random(5)
+    docs = [(i, " ".join(r.choices("a b c d e f g".split(), [8, 6, 4, 3, 2, 1, 1], k=r.randint(0, 7)))) for i in range(60)]
+    tokens = {d: [*t.split(), "\n"] for d, t in docs}
+    one, two, three, after, starts = Counter(), Counter(), Counter(), Counter(), "start"
+    for d, t in tokens.items():
+        if zlib.crc32(str(d).encode()) % 5 != 1:
+            padded = [starts, *t]
+            one.update(t)
+            after.update(padded[:-1])
+            two.update(zip(padded, t))
+            three.update(zip(padded, t, t[1:]))
+    assert 1 in two.values() and 1 in three.values() and 2 in three.values()
+    n, k = sum(one.values()), len(one)
+
+    def discounted(counts, context, word, total, below):
+        if not total:
+            return below
+        follow = [c for g, c in counts.items() if g[:-1] == context]
+        return max(counts[(*context, word)] - 0.75, 0) / total + 0.75 * len(follow) / total * below
+
+    got = {x["doc_id"]: x["score"] for x in ngram.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for d, t in tokens.items():
+        padded, want = [starts, *t], 0.0
+        for i, w in enumerate(t):
+            p = discounted(two, (padded[i],), w, after[padded[i]], (one[w] + 0.5) / (n + 0.5 * (k + 1)))
+            want += np.log10(discounted(three, (padded[i - 1], padded[i]), w, two[padded[i - 1], padded[i]], p) if i else p)
+        # codes of 8 bits: a factor of up to 10 ** 0.02 each
+        assert abs(got[d] - want) <= 0.045 * len(t), (d, t)
+
+
 def test_pack_unpack():
     a, b = np.arange(5, dtype="<u8") << np.uint64(30), np.zeros(0, "<u4")
     x, y = ngram.unpack(ngram.pack(a, b))

@@ -4,11 +4,11 @@ Tokens are words (lower-cased in A-Z) and one end per text. All counts are over
 training part of the corpus:
 
 1. Chunks of documents send their distinct tokens and counts; hash buckets add them up and
-answer. 2. Chunks send count-min sketches of their training word pairs and triples; blocks
-of cells tell which may occur LEAST times. 3. Only those are sent on, with their counts, to the shard of
-their last context word; a shard adds them up, drops what was seen less often, smooths by absolute
+answer. 2. Chunks send all their word pairs and triples, with their counts in training, to the shard of
+their last context word; a shard adds them up, smooths by absolute
 discounting, quantises and builds its trie in anonymous mapped memory, then answers from
-the trie what its chunks asked. 4. Chunks score: with f the discounted share and m the mass left,
+the trie what its chunks asked. No n-gram that occurs in training is left out. 3. Chunks score:
+with f the discounted share and m the mass left,
 P(w | u, v) = f(w | u, v) + m(u, v) P(w | v), P(w | v) = f(w | v) + m(v) P(w),
 P(w) = (c + 0.5) / (N + 0.5 (V + 1)).
 
@@ -30,20 +30,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .chunks import chunked, log2_up
 from .eliasfano import Trie
-from .repeats import BLOCK_BITS, _blocks, _frame, gaps, ungaps
+from .repeats import _blocks, _frame
 from .scratch import Scratch, input_bytes
-from .text import BASE_A, BASE_B, U, mix, word_hashes
+from .text import U, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
 END, BEGIN = 0x452821E638D01377, 0xBE5466CF34E90C6C
-DISCOUNT, LEAST = 0.75, 3
+DISCOUNT, LEAST = 0.75, 1
 #: 8-bit codes of log10 values from -RANGE to 0; the last stands for 0.
 RANGE, NONE = 10.16, 255
 CHUNK_BYTES = 5 << 20
 
 MESSAGE = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("numbers", pa.int64())])
 MESSAGE_SQL = "kind int, bucket long, chunk int, payload binary, tokens long, distinct long, numbers long"
-COUNTS, FLAGS, QUERIES, ANSWERS = 0, 1, 2, 3
+COUNTS, ANSWERS = 0, 1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -122,39 +122,23 @@ class Tokens:
         self.triple_p, self.triple_w = key // (n + 1), key % (n + 1)
         self.pair_count = np.bincount(self.pair[self.training], minlength=p)
         self.triple_count = np.bincount(self.triple[self.training], minlength=len(key))
-        self.pair_hash = mix(self.all[self.pair_v] * U(BASE_A) + self.all[self.pair_w])
-        inside = np.append(self.pair_hash, U(0))[self.triple_p]
-        self.triple_hash = mix(inside * U(BASE_B) + self.all[self.triple_w])
-        self.triple_hash[self.triple_p == p] = 0
 
     def last(self) -> np.ndarray:
         """The pair that each triple ends in."""
-        out = np.zeros(len(self.triple_hash), np.int64)
+        out = np.zeros(len(self.triple_p), np.int64)
         out[self.triple] = self.pair
         return out
 
-    def cells(self, bits: int, kind: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sorted cells of pairs and triples, and which key each is: those seen in training (FLAGS), LEAST times at most, or the others (QUERIES)."""
-        h = np.concatenate((self.pair_hash, self.triple_hash))
-        seen = np.concatenate((self.pair_count, self.triple_count))
-        real = np.concatenate((np.ones(len(self.pair_hash), bool), self.triple_p < len(self.pair_hash)))
-        key = np.flatnonzero(real & (seen > 0 if kind == FLAGS else seen == 0))
-        if kind == FLAGS:
-            key = np.repeat(key, np.minimum(seen[key], LEAST).astype(np.int64))
-        cell = (h[key] >> U(64 - bits)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        return cell[order], key[order]
-
 
 def _per(owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, minlength=n).astype("<u4")
 
 
 class Asked:
-    """What a chunk sends to shards: its contexts, and its pairs and triples that may be repeated, in order of context."""
+    """What a chunk sends to shards: its contexts, and its pairs and triples, in order of context."""
 
-    def __init__(self, own: Tokens, counts: np.ndarray, numbers: np.ndarray, begin: int, starts: int, flagged: np.ndarray):
-        n, p = len(own.hashes), len(own.pair_hash)
+    def __init__(self, own: Tokens, counts: np.ndarray, numbers: np.ndarray, begin: int, starts: int):
+        n, p = len(own.hashes), len(own.pair_v)
         self.number = np.append(numbers, begin)
         total = np.append(counts, starts)  # how often each context occurs: as often as the word, the start once a text
         wanted = total >= LEAST
@@ -162,16 +146,16 @@ class Asked:
         self.v = np.flatnonzero(wanted)  # in order of number
         place = np.full(n + 1, -1, np.int64)
         place[self.v] = np.arange(len(self.v))
-        pair = np.flatnonzero(flagged[:p] & (place[own.pair_v] >= 0))
+        pair = np.flatnonzero(place[own.pair_v] >= 0)
         self.pair = pair[np.argsort(place[own.pair_v[pair]], kind="stable")]
         self.pair_owner = place[own.pair_v[self.pair]]
         # pairs (u, v) as contexts of triples: in order of v
-        after = np.flatnonzero(flagged[:p] & (place[own.pair_w] >= 0))
+        after = np.flatnonzero(place[own.pair_w] >= 0)
         self.context = after[np.argsort(place[own.pair_w[after]], kind="stable")]
         self.context_owner = place[own.pair_w[self.context]]
         where = np.full(p + 1, -1, np.int64)
         where[self.context] = np.arange(len(self.context))
-        triple = np.flatnonzero(flagged[p:] & (where[own.triple_p] >= 0))
+        triple = np.flatnonzero(where[own.triple_p] >= 0)
         self.triple = triple[np.argsort(where[own.triple_p[triple]], kind="stable")]
         self.triple_owner = where[own.triple_p[self.triple]]
         self.total = total[self.v]
@@ -213,13 +197,13 @@ def _sum_by(owner: np.ndarray, h: np.ndarray, count: np.ndarray):
     return o[at], k[at], total, place
 
 
-def build_shard(v, total, word_owner, word, word_count, pair_owner, pair, pair_count, triple_owner, triple, triple_count, path: str | None = None) -> Trie:
-    """The trie of one shard from summed counts, each level sorted; counts under LEAST are left out."""
-    keep = word_count >= LEAST
+def build_shard(v, total, word_owner, word, word_count, pair_owner, pair, pair_count, triple_owner, triple, triple_count, path: str | None = None, least: int = 2) -> Trie:
+    """The trie of one shard from summed counts, each level sorted; counts under `least` are left out."""
+    keep = word_count >= least
     word_owner, word, word_count = word_owner[keep], word[keep], word_count[keep]
     f2 = (word_count - DISCOUNT) / total[word_owner]
     m2 = np.clip(1 - np.bincount(word_owner, f2, len(v)), 1e-9, 1)
-    keep = triple_count >= LEAST
+    keep = triple_count >= least
     triple_owner, triple, triple_count = triple_owner[keep], triple[keep], triple_count[keep]
     used = np.bincount(triple_owner, minlength=len(pair)) > 0
     renumber = np.cumsum(used) - 1
@@ -241,7 +225,7 @@ def _shard(payloads: list[bytes]) -> list[bytes]:
     word_owner, word, word_count, place_w = _sum_by(np.repeat(own, cat(2)), run(2, 3), cat(4))
     pair_owner, pair, pair_count, place_p = _sum_by(np.repeat(own, cat(5)), run(5, 6), cat(7))
     triple_owner, triple, triple_count, place_t = _sum_by(np.repeat(place_p, cat(8)), run(8, 9), cat(10))
-    trie = build_shard(v, total, word_owner, word, word_count, pair_owner, pair, pair_count, triple_owner, triple, triple_count)
+    trie = build_shard(v, total, word_owner, word, word_count, pair_owner, pair, pair_count, triple_owner, triple, triple_count, least=LEAST)
     # ask the trie
     context = trie.context(v)
     w = trie.word(context[word_owner], word)
@@ -263,8 +247,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     scratch, size = Scratch(spark), max(1, input_bytes(docs))
     shard_bits = max(1, log2_up(size >> 21))
-    bits = min(50, max(18, log2_up(2 * size)))
-    block_bits = min(BLOCK_BITS, bits)
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out")]
     texts = chunked(docs, columns, size, CHUNK_BYTES)
 
@@ -292,24 +274,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
     begin = 1 << (shard_bits + rank_bits)
     starts = docs.filter(~held_out(F.col("doc_id"))).count()
 
-    def sketch(table: pa.Table) -> pa.Table:
-        own, chunk, out = Tokens(table), table["chunk"][0].as_py(), []
-        own.grams()
-        for kind in (FLAGS, QUERIES):
-            cells, _ = own.cells(bits, kind)
-            out += [(kind, b, chunk, gaps(cells[i:j] & ((1 << block_bits) - 1)), 0, 0, 0) for b, i, j in _blocks(cells, block_bits)]
-        return _frame(out, MESSAGE)
-
-    def flag(table: pa.Table) -> pa.Table:
-        total = np.zeros(1 << block_bits, np.uint8)
-        kinds_sent = table["kind"].to_pylist()
-        for kind, raw in zip(kinds_sent, table["payload"]):
-            if kind == FLAGS:
-                cells, n = np.unique(ungaps(raw.as_py()), return_counts=True)
-                total[cells] = np.minimum(total[cells] + np.minimum(n, LEAST), LEAST)
-        bucket = table["bucket"][0].as_py()
-        return _frame([(k, bucket, c, np.packbits(total[ungaps(raw.as_py())] >= LEAST).tobytes(), 0, 0, 0) for k, c, raw in zip(kinds_sent, table["chunk"].to_pylist(), table["payload"])], MESSAGE)
-
     def asked(table: pa.Table, told: pa.Table) -> tuple[Tokens, np.ndarray, Asked]:
         own, counts, numbers = Tokens(table), [], []
         got = _by_bucket(told, COUNTS)
@@ -319,17 +283,7 @@ def score_texts(docs: DataFrame) -> DataFrame:
             numbers.append((b << rank_bits) + np.cumsum(steps.astype(np.int64)))
         counts, numbers = np.concatenate(counts), np.concatenate(numbers)
         own.grams()
-        p = len(own.pair_hash)
-        flagged = np.zeros(p + len(own.triple_hash), bool)
-        for kind in (FLAGS, QUERIES):
-            cells, key = own.cells(bits, kind)
-            got = _by_bucket(told, kind)
-            for b, i, j in _blocks(cells, block_bits):
-                hit = np.unpackbits(np.frombuffer(got[b], np.uint8), count=j - i).astype(bool)
-                flagged[key[i:j][hit]] = True
-        # a triple can be repeated only if both of its pairs are
-        flagged[p:] &= np.append(flagged[:p], False)[own.triple_p] & flagged[:p][own.last()]
-        return own, counts, Asked(own, counts, numbers, begin, starts, flagged)
+        return own, counts, Asked(own, counts, numbers, begin, starts)
 
     def ask(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -357,8 +311,8 @@ def score_texts(docs: DataFrame) -> DataFrame:
         own, counts, q = asked(table, told)
         got = _by_bucket(told, ANSWERS)
         one = (counts + 0.5) / (every + 0.5 * (kinds + 1))
-        m2, f2 = np.ones(len(own.all)), np.zeros(len(own.pair_hash))
-        m3, f3 = np.ones(len(own.pair_hash) + 1), np.zeros(len(own.triple_hash))
+        m2, f2 = np.ones(len(own.all)), np.zeros(len(own.pair_v))
+        m3, f3 = np.ones(len(own.pair_v) + 1), np.zeros(len(own.triple_p))
         for b, (i, j), (a, z), (c, d), (e, f) in q.runs(rank_bits):
             x = [share(k) for k in unpack(got[b])]
             m2[q.v[i:j]], f2[q.pair[a:z]], m3[q.context[c:d]], f3[q.triple[e:f]] = x
@@ -372,8 +326,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
         values = [table["doc_id"], table["held_out"], pa.array(own.sizes.astype(np.int64)), pa.array(seen), pa.array(np.full(n, every)), pa.array(base), pa.array(total)]
         return pa.Table.from_arrays(values, names)
 
-    flagged = texts.groupBy("chunk").applyInArrow(sketch, MESSAGE_SQL).groupBy("bucket").applyInArrow(flag, MESSAGE_SQL)
-    told = counted.unionByName(flagged)
-    answers = texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(ask, MESSAGE_SQL).groupBy("bucket").applyInArrow(shard, MESSAGE_SQL)
-    told = told.unionByName(answers)
+    answers = texts.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(ask, MESSAGE_SQL).groupBy("bucket").applyInArrow(shard, MESSAGE_SQL)
+    told = counted.unionByName(answers)
     return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
