@@ -1,6 +1,7 @@
 import pytest
 
 from oracle import agree, connect
+from voxelweave.operators import blocks
 from voxelweave.plans import queries as Q
 
 
@@ -20,6 +21,16 @@ def test_codecs_lose_nothing(spark, data):
     assert all(r["wrong"] == 0 and r["n"] > 0 for r in got)
 
 
+def test_codecs_get_whole_deltas(spark, data):
+    groups = {}
+    for r in blocks.entry_deltas(Q._entries(spark, data)).select("id", "repos_delta").collect():
+        groups.setdefault(r["id"], []).append(r["repos_delta"])
+    assert max(map(max, groups.values())) > 2000
+    want = sum(-(-len(v) * max(1, max(v).bit_length()) // 8) for v in groups.values())
+    got = {r["code"]: r for r in Q.QUERIES["codec_roundtrip"](spark, data).collect()}
+    assert got["bitpack"]["data_bytes"] == want and all(r["n"] == sum(map(len, groups.values())) for r in got.values())
+
+
 def test_compression_ratios(spark, data):
     got = {(r["curve"], r["rle"]): r["ratio"] for r in Q.QUERIES["zstd_ratio"](spark, data).collect()}
     assert len(got) == 4 and all(v > 1 for v in got.values())
