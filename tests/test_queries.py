@@ -1,7 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from oracle import agree, connect
-from voxelweave.operators import blocks
+from voxelweave.operators import blocks, points as P
 from voxelweave.plans import queries as Q
 
 
@@ -31,6 +32,21 @@ def test_codecs_get_whole_deltas(spark, data):
     assert got["bitpack"]["data_bytes"] == want and all(r["n"] == sum(map(len, groups.values())) for r in got.values())
 
 
+def test_tiles_of_all_orders_match_brute_force(spark, data, con):
+    want = set()
+    for key, customer in con.execute("SELECT o_orderkey, o_custkey FROM orders").fetchall():
+        whole = customer * 7 // 12 * 12
+        want |= {(key, at, min(1200, whole - at)) for at in range(0, whole, 1200)}
+    got = [tuple(r) for r in Q.QUERIES["chunk_tiles_whole"](spark, data).collect()]
+    assert len(got) == len(want) and set(got) == want and max(r[0] for r in got) >= 200
+
+
+def test_tiles_of_odd_sizes(spark):
+    sizes = [0, 1, 11, 12, 13, 1199, 1200, 1201, 1212, 2400, 10**6 + 5]
+    t = spark.createDataFrame([(n,) for n in sizes], "size long").select("size", F.explode(P.tiles(F.col("size"), 1207)).alias("t")).select("size", "t.offset", "t.count")
+    assert sorted(map(tuple, t.collect())) == [(n, at, min(1200, n // 12 * 12 - at)) for n in sizes for at in range(0, n // 12 * 12, 1200)]
+
+
 def test_compression_ratios(spark, data):
     got = {(r["curve"], r["rle"]): r["ratio"] for r in Q.QUERIES["zstd_ratio"](spark, data).collect()}
     assert len(got) == 4 and all(v > 1 for v in got.values())

@@ -487,7 +487,13 @@ def round_robin_owner(spark, sf_dir):
 @query("SELECT o_orderkey AS id, CAST(t.off AS BIGINT) AS \"offset\", least(1200, sz - sz % 12 - t.off) AS \"count\" FROM (SELECT o_orderkey, CAST(o_custkey * 7 AS BIGINT) AS sz FROM orders WHERE o_orderkey < 200) o, LATERAL (SELECT unnest(range(0, sz - sz % 12, 1200)) AS off) t")
 def chunk_tiles(spark, sf_dir):
     """Byte ranges of 100 records that tile files of given sizes."""
-    t = spark.read.parquet(f"{sf_dir}/orders.parquet").filter("o_orderkey < 200").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 7).alias("size"))
+    return chunk_tiles_whole(spark, sf_dir).filter("id < 200")
+
+
+@query("SELECT o_orderkey AS id, CAST(t.off AS BIGINT) AS \"offset\", least(1200, sz - sz % 12 - t.off) AS \"count\" FROM (SELECT o_orderkey, CAST(o_custkey * 7 AS BIGINT) AS sz FROM orders) o, LATERAL (SELECT unnest(range(0, sz - sz % 12, 1200)) AS off) t")
+def chunk_tiles_whole(spark, sf_dir):
+    """chunk_tiles over every order."""
+    t = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 7).alias("size"))
     return t.select("id", F.explode(P.tiles(F.col("size"), 1200)).alias("t")).select("id", "t.offset", "t.count")
 
 
