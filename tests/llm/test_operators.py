@@ -1,3 +1,4 @@
+import hashlib
 import random
 import struct
 import zlib
@@ -233,6 +234,20 @@ def test_repeats_match_brute_force(spark, seed):
         assert got == want
 
 
+def test_clean_texts_stay_as_they_are(spark):
+    p = " ".join(f"p{i}" for i in range(40))
+    clean = ["", None, " \t two\n\nlines  and\ta tab \n", "é\r\n\x0b日本 😀"]
+    cuts = {
+        f"one\n\ntwo {p}\nthree  four\n": "one\n\ntwo\nthree  four\n", f"\tfive\n\n{p} six": "\tfive\n\nsix",
+        f"seven\n {p}\n": "seven\n", f" {p}\n\neight": " eight", f"nine {p} ten": "nine ten", p: "",
+    }
+    docs = list(enumerate([*clean, *cuts]))
+    got = {x["doc_id"]: x for x in repeats.without_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert [got[i]["text"] for i, _ in docs] == [*clean, *cuts.values()]
+    table = {x["doc_id"]: x["kept_sha256"] for x in repeats.digests(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert all(table[i] == hashlib.sha256(" ".join((t or "").split()).encode()).hexdigest() for i, t in enumerate([*clean, *cuts.values()]))
+
+
 def test_gaps():
     for top in (200, 60_000, 2**30):
         x = np.sort(np.random.default_rng(top).integers(0, top, 50))

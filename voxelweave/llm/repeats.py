@@ -6,17 +6,18 @@ and tell each chunk which of its cells have a count over one. The sketch never
 underestimates, so no repeated window is lost. Its width follows the input's size.
 2. Windows whose least estimate is over one are sent on as 96-bit hashes; each bucket of hashes
 groups them exactly and tells each chunk which of its windows start in another chunk too.
-3. With those and its own repeats each chunk removes the covered words.
+3. With those and its own repeats each chunk cuts the covered words out of the text: each run of
+them with the blanks on one side. All else, line feeds and blanks too, stays as it is.
 
 Windows are judged on the input, all occurrences alike. Hashes of 96 bits decide equality.
 
-Defined cases: null text has no words and keeps the empty text; documents under 35 words keep
+Defined cases: null text has no words and stays null; documents under 35 words keep
 all of them; equal rows repeat each other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from itertools import compress
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +28,7 @@ from .scratch import input_bytes
 from .text import BASE_C, BASE_D, U, mix, window_ok, windows, word_hashes
 
 WIDTH, SKETCH_ROWS, BLOCK_BITS = 35, 2, 22
+WORD, SPACES = re.compile(rb"[^\x20\x09-\x0D]+"), "[\\x20\\x09-\\x0D]+"
 SEEDS = (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89)
 
 
@@ -89,12 +91,30 @@ def _frame(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
 
+def cut(text: str, kept: np.ndarray) -> str:
+    """A text without the runs of words that aren't kept. Of the blanks on a run's two sides those with more line feeds stay, the first if equal, and at the ends of the text the outer ones."""
+    raw, out, at = text.encode(), [], 0
+    spans = [m.span() for m in WORD.finditer(raw)]
+    edges = np.diff(np.concatenate(([True], kept, [True])).astype(np.int8))
+    for first, after in zip(np.flatnonzero(edges < 0).tolist(), np.flatnonzero(edges > 0).tolist()):
+        start, end = spans[first][0], spans[after - 1][1]
+        left = spans[first - 1][1] if first else 0
+        right = spans[after][0] if after < len(spans) else len(raw)
+        if first and (after == len(spans) or raw.count(b"\n", end, right) > raw.count(b"\n", left, start)):
+            start = left
+        else:
+            end = right
+        out.append(raw[at:start])
+        at = end
+    return b"".join([*out, raw[at:]]).decode()
+
+
 SENT = pa.schema([("bucket", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary())])
 SENT_SQL = "bucket long, chunk int, payload binary"
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, rows: int = SKETCH_ROWS, sketch_bits: int | None = None, keep: list[str] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, text (the kept words, joined by one space), and the columns of keep in a struct `rest`."""
+    """doc_id, n_words, n_removed, text (unchanged but for the words that were cut out), and the columns of keep in a struct `rest`."""
     size = max(1, input_bytes(docs))
     bits = sketch_bits or min(48, max(16, log2_up(size)))
     block_bits = min(BLOCK_BITS, bits)
@@ -172,9 +192,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, rows: int = SKETCH_ROWS,
         ends = np.cumsum(own.counts)
         texts, removed = [], []
         for raw, a, b in zip(table["text"], ends - own.counts, ends):
-            words, mask = (raw.as_py() or "").encode().split(), kept[a:b]
+            text, mask = raw.as_py(), kept[a:b]
             removed.append(int(b - a - mask.sum()))
-            texts.append(b" ".join(compress(words, mask) if removed[-1] else words).decode())
+            texts.append(cut(text, mask) if removed[-1] else text)
         return pa.Table.from_arrays([table["doc_id"], pa.array(own.counts.astype(np.int64)), pa.array(removed, pa.int64()), pa.array(texts, pa.string()), table["rest"]], ["doc_id", "n_words", "n_removed", "text", "rest"])
 
     flagged = texts.groupBy("chunk").applyInArrow(sketch, SENT_SQL).groupBy("bucket").applyInArrow(add_up, SENT_SQL)
@@ -184,7 +204,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, rows: int = SKETCH_ROWS,
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with the kept words as text, and n_chars, if there, its length."""
+    """docs without the repeated words in text, and n_chars, if there, its length."""
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     got = remove_repeats(docs, keep=others)
     columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text")}
@@ -192,5 +212,6 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    got = remove_repeats(docs)
-    return got.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    """doc_id, n_words, n_removed, kept_sha256 (of the kept words, joined by one space)."""
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), SPACES, " "))
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", F.sha2(words, 256).alias("kept_sha256"))
