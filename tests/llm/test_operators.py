@@ -201,6 +201,28 @@ def test_mix_takes_targets_and_orders_by_schedule(spark):
     assert made == sum(r["taken"] for r in rows)
 
 
+def test_copies_follow_the_schedule_in_every_pass(spark):
+    # c, d, e reach their cap of 2 passes; the falling and the rising schedule are among them
+    sources = "aabbbcccdddeee"
+    docs = spark.createDataFrame([(i, "w " * (i % 7 + 1) * (40 if sources[i % 14] == "a" else 1), sources[i % 14]) for i in range(420)], "doc_id long, text string, source string")
+    rows = mixing.placed_copies(docs).collect()
+    steps = np.linspace(0, 1, 20_001)
+    twice = set()
+    for r in rows:
+        knots = mixing.SCHEDULES[r["rank"] % 3]
+        height = np.interp(steps, np.linspace(0, 1, len(knots)), knots)
+        demand = np.concatenate(([0.0], np.cumsum((height[1:] + height[:-1]) / 2)))
+        want = np.interp((r["before"] + r["copy"] * r["source_size"]) / r["target"], demand / demand[-1], steps)
+        assert 0 <= r["position"] <= 1 and abs(r["position"] - want) < 1e-3, r
+        if r["copy"]:
+            twice.add(r["rank"] % 3)
+    assert twice >= {0, 2}
+    assert max(r["position"] for r in rows if r["copy"] == 0 and r["source"] == "d") <= min(r["position"] for r in rows if r["copy"] == 1 and r["source"] == "d")
+    # the mix hands its rows out in that order
+    order = [r["doc_id"] for r in sorted(rows, key=lambda r: (r["position"], r["doc_id"], r["copy"]))]
+    assert [x["doc_id"] for x in mixing.copies(docs).collect()] == order
+
+
 # ---- repeats
 
 

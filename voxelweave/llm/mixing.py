@@ -65,8 +65,8 @@ def training_time(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
     return F.least(F.greatest(out, F.lit(0.0)), F.lit(1.0))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, keep: list[str] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken and position (training time, 0 to 1, of its first copy) of every document; columns of keep follow as kept_<name>.
+def _placed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, keep: list[str] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, before (words of the source ahead of it in a pass), rank and the columns of keep in a struct `kept`.
 
     taken: each pass over the source takes every document once, in order of md5; the
     last pass ends after the target's words, within a document if need be, so a source's
@@ -90,24 +90,38 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
     passes = F.expr("cast(floor(target) as bigint) div greatest(source_size, 1)")
     rest = words - passes * F.col("source_size")
     taken = F.col("size") * passes + F.greatest(F.lit(0), F.least(F.col("size"), rest - before))
+    return rows.select("doc_id", "source", "size", "source_size", F.col("target"), taken.cast("long").alias("taken"), before.alias("before"), "rank", "kept")
+
+
+def _position(before: Column) -> Column:
+    """Training time at which the source's cumulative demand reaches so many words."""
     share_before = before.cast("double") / F.greatest(F.col("target"), F.lit(1.0))
-    return rows.select("doc_id", "source", "size", "source_size", F.col("target"), taken.cast("long").alias("taken"), training_time(F.least(share_before, F.lit(1.0)), F.col("rank")).alias("position"), *[F.col(f"kept.{c}").alias(f"kept_{c}") for c in keep])
+    return training_time(F.least(share_before, F.lit(1.0)), F.col("rank"))
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """The mix itself, in training order: each document's columns as often as it is taken, the last copy cut after the words that are left.
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken and position (training time, 0 to 1, of its first copy) of every document."""
+    placed = _placed(docs, weights, share, cap)
+    return placed.select("doc_id", "source", "size", "source_size", "target", "taken", _position(F.col("before")).alias("position"))
+
+
+def placed_copies(docs: DataFrame) -> DataFrame:
+    """Each document as often as it is taken: doc_id, source, size, source_size, target, taken, before, rank, kept (its columns), copy (from 0), words, position.
 
-    A copy's place is its own cumulative size, a pass after the one before it.
+    A copy's place is where the source's demand reaches its own cumulative size, that of a pass more than the copy before it.
     """
-    names = docs.columns
-    mixed = mix(docs, keep=names)
     n = F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.col("size"))).otherwise(F.lit(0)).cast("int")
-    each = mixed.filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1)))
-    words = F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size"))
-    each = each.withColumn("words", words)
+    each = _placed(docs, keep=docs.columns).filter("taken > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), n - 1)))
+    each = each.withColumn("words", F.least(F.col("size"), F.col("taken") - F.col("copy") * F.col("size")))
+    return each.withColumn("position", _position(F.col("before") + F.col("copy") * F.col("source_size")))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """The mix itself, in training order: each document's columns as often as it is taken, the last copy cut after the words that are left."""
+    names = docs.columns
+    each = placed_copies(docs).select("doc_id", "size", "words", "copy", "position", *[F.col(f"kept.{c}").alias(f"kept_{c}") for c in names])
     short = F.array_join(F.slice(F.regexp_extract_all("kept_text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), " ")
     each = each.withColumn("kept_text", F.when(F.col("words") < F.col("size"), short).otherwise(F.col("kept_text")))
-    each = each.withColumn("position", F.col("position") + F.col("copy") * F.col("source_size") / F.greatest(F.col("target"), F.lit(1.0)))
     ordered = each.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
     return ordered.select(*[F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"kept_{c}").alias(c) for c in names])
 
