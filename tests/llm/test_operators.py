@@ -145,6 +145,11 @@ def test_sketches_merge_and_estimate():
     assert abs(got - 1 / 3) < 0.15
 
 
+def test_bands_lose_few_pairs_at_the_limit():
+    assert setsketch.REGISTERS % setsketch.ROWS == 0
+    assert (1 - setsketch.LIMIT**setsketch.ROWS) ** (setsketch.REGISTERS // setsketch.ROWS) < 5e-8
+
+
 def test_components_of_near_copies_match_brute_force(spark):
     r = random.Random(4)
     words = [f"w{i}" for i in range(300)]

@@ -18,7 +18,7 @@ past them, and each likely pair of different components is confirmed, the likeli
 first, in the one band that it shares first. What links joins its components at once, so a
 group costs as many confirmations as it has members, not pairs, but for likely pairs that fail.
 
-At the limit J = 0.8 a pair shares no band with a chance of (1 - 0.8**5)**32 = 3e-6, at 0.85 of 7e-9.
+At the limit J = 0.8 a pair shares no band with a chance of (1 - 0.8**4)**40 = 7e-10, at 0.85 of 2e-13.
 Nodes are 63-bit digests of sets. Sets are compared as 40-bit shingle digests: two sets of a
 thousand shingles each have an expected 1e-6 of them in common by chance.
 
@@ -42,7 +42,7 @@ from .graph import components
 from .scratch import Scratch
 from .text import BASE_A, U, mix, word_hashes
 
-REGISTERS, ROWS = 160, 5
+REGISTERS, ROWS = 160, 4
 WORDS, LIMIT = 5, 0.8
 SPACING, RATE = 1.001, 20.0
 #: A pair is dropped unread if its estimate is so many standard deviations below the limit.
