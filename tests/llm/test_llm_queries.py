@@ -123,3 +123,67 @@ def test_pipeline(spark, data):
     assert C.substring_dedup(spark, docs, data).schema.names == docs.columns
     kept = C.near_dedup(spark, docs, data)
     assert kept.columns == docs.columns and kept.count() < docs.count()
+
+
+def test_pipeline_stages_match_brute_force(spark, data, tmp_path):
+    """Each stage on the table that the stage before it left."""
+    import corpus_pipeline as C
+    from voxelweave.llm import mixing, toxicity
+
+    tokenizers = pytest.importorskip("tokenizers")
+    tokenizer = tokenizers.Tokenizer.from_file(pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json"))
+    tokenizer.encode_special_tokens = True
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    tables = [docs]
+    for name, stage in C.STAGES:
+        stage(spark, tables[-1], data).write.parquet(f"{tmp_path}/{name}")
+        tables.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    whole, clean, near, cut, mixed, packed = [t.collect() for t in tables]
+
+    labels = spark.read.parquet(f"{data}/labels.parquet")
+    toxic = {r["doc_id"] for r in toxicity.classify(docs, labels).filter("predicted = 1").collect()}
+    key = lambda r: (r["doc_id"], r["text"])
+    assert sorted(map(key, clean)) == sorted(key(r) for r in whole if r["doc_id"] not in toxic) and toxic
+
+    lower = lambda t: [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in WORD.findall(t or "")]
+    sets = {}
+    for r in clean:
+        w = lower(r["text"])
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    root = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and sets[a] and sets[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+                x, y = sorted((root[a], root[b]))
+                root = {d: x if r == y else r for d, r in root.items()}
+    assert sorted(map(key, near)) == sorted(key(r) for r in clean if root[r["doc_id"]] == r["doc_id"])
+
+    words = {r["doc_id"]: WORD.findall(r["text"] or "") for r in near}
+    seen = Counter(tuple(w[i : i + 35]) for w in words.values() for i in range(len(w) - 34))
+    texts = {r["doc_id"]: r["text"] for r in near}
+    assert sorted(texts) == sorted(r["doc_id"] for r in cut)
+    for r in cut:
+        w = words[r["doc_id"]]
+        gone = {i + k for i in range(len(w) - 34) if seen[tuple(w[i : i + 35])] > 1 for k in range(35)}
+        assert WORD.findall(r["text"] or "") == [x for i, x in enumerate(w) if i not in gone]
+        assert gone or r["text"] == texts[r["doc_id"]]
+    assert any("\n" in (r["text"] or "") for r in cut)
+
+    taken = {r["doc_id"]: r["taken"] for r in mixing.mix(tables[3]).collect()}
+    given = Counter()
+    for r in mixed:
+        given[r["doc_id"]] += len(WORD.findall(r["text"]))
+    assert given == Counter({d: n for d, n in taken.items() if n})
+
+    want = Counter()
+    for e in tokenizer.encode_batch([r["text"] or "" for r in mixed], add_special_tokens=False):
+        ids = np.array([*e.ids, 0], "<u4")
+        want[len(ids), zlib.crc32(ids.tobytes())] += 1
+    assert sum(n * k for (n, _), k in want.items()) == sum(r["length"] for r in packed)
+    short = Counter((r["length"], r["ids_crc32"]) for r in packed if r["piece"] == 0 and r["length"] < 2048)
+    assert all(short[x] >= k for x, k in want.items() if x[0] < 2048)
+    space = defaultdict(int)
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == space[r["sequence_id"]]
+        space[r["sequence_id"]] += r["length"]
+    assert max(space.values()) <= 2048
