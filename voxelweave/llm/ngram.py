@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .chunks import chunked, log2_up
 from .eliasfano import Trie
 from .repeats import _blocks, _frame
-from .scratch import Scratch, input_bytes
+from .scratch import Scratch, text_bytes
 from .text import U, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
@@ -245,7 +245,7 @@ def _by_bucket(table: pa.Table, kind: int) -> dict[int, bytes]:
 def score_texts(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
-    scratch, size = Scratch(spark), max(1, input_bytes(docs))
+    scratch, size = Scratch(spark), max(1, text_bytes(docs))
     shard_bits = max(1, log2_up(size >> 21))
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out")]
     texts = chunked(docs, columns, size, CHUNK_BYTES)
@@ -268,7 +268,6 @@ def score_texts(docs: DataFrame) -> DataFrame:
         return _frame(out, MESSAGE)
 
     counted = scratch.save(texts.groupBy("chunk").applyInArrow(count, MESSAGE_SQL).groupBy("bucket").applyInArrow(add_up, MESSAGE_SQL), "counts")
-    scratch.release()
     whole = counted.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"), F.max("numbers").alias("numbers")).first()
     every, kinds, rank_bits = int(whole["tokens"] or 0), int(whole["distinct"] or 0), log2_up(int(whole["numbers"] or 1) + 1)
     begin = 1 << (shard_bits + rank_bits)

@@ -1,7 +1,7 @@
 """Tokenizing documents and packing their pieces into sequences by bounded-space online best-fit.
 
 Tokenizing: texts are cut into the byte-level BPE's pre-tokens by numpy over code point
-classes; equal pre-tokens of a batch are encoded once, and a bounded cache keeps them.
+classes; a bounded cache, keyed by the pre-tokens' bytes, keeps the ids of those met before.
 
 Packing: pieces come in an order set by a hash. Each goes to the open bin with the
 least free space that holds it; a bitset over free space finds that bin. Where more
@@ -22,36 +22,35 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .scratch import input_bytes
-from .text import BASE_A, U, mix, powers
+from .scratch import text_bytes
 
 SEQUENCE, END, OPEN_BINS = 2048, 0, 512
 GROUP_BYTES = 64 << 20
 BATCH_CHARS = 1 << 20
-CACHE_ENTRIES = 500_000
+#: The cache is emptied beyond so many pre-tokens or bytes of them.
+CACHE_ENTRIES, CACHE_BYTES = 300_000, 16 << 20
 #: Code points with the property White_Space.
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 SPACE, LETTER, NUMBER, OTHER = 0, 1, 2, 3
 
 
 @lru_cache(maxsize=1)
-def classes() -> tuple[np.ndarray, np.ndarray]:
-    """Class and a random value of each code point."""
+def classes() -> np.ndarray:
+    """Class of each code point."""
     kinds = {"L": LETTER, "N": NUMBER}
     table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
     table[WHITE] = SPACE
-    return table, np.random.Generator(np.random.PCG64(77)).integers(1, 2**64, 0x110000, dtype=np.uint64)
+    return table
 
 
 def pretoken_starts(cps: np.ndarray, docs: np.ndarray) -> np.ndarray:
     """Where the pre-tokens start in concatenated texts; docs: where non-empty texts start."""
     n = len(cps)
-    kind = classes()[0][cps]
+    kind = classes()[cps]
     first = np.zeros(n + 1, bool)
     first[docs] = True
     first[n] = True
@@ -81,6 +80,20 @@ def pretoken_starts(cps: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+class Slots(dict):
+    """Places of pre-tokens' ids by the pre-tokens' bytes; one that is new is encoded and gets the next place."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode, self.ids, self.bytes = encode, [], 0
+
+    def __missing__(self, piece: bytes) -> int:
+        self.ids.append(self.encode(piece))
+        self.bytes += len(piece)
+        self[piece] = place = len(self.ids) - 1
+        return place
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE whose ranks lie in a tokenizers JSON file."""
 
@@ -100,22 +113,23 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        """Empty the cache: sorted hashes of pre-tokens, and where their ids lie in `flat`."""
-        self.keys, self.at, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-
-    def learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
-        """Encode pieces that aren't cached; keys ascend."""
-        encode = self.core.encode_single_piece
-        got = [encode(p) for p in pieces]
+        """Empty the cache: places of pre-tokens, and where the ids of each place lie in `flat`."""
+        self.slots = Slots(self.core.encode_single_piece)
+        self.at, self.sizes, self.flat, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1 << 16, np.uint32), 0
+
+    def learned(self) -> None:
+        """Move the ids that the cache has got since the last call to `flat`."""
+        got = self.slots.ids[len(self.sizes) :]
+        if not got:
+            return
         sizes = np.fromiter(map(len, got), np.int64, len(got))
         new = np.fromiter(chain.from_iterable(got), np.uint32, int(sizes.sum()))
-        while self.used + len(new) > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        self.slots.ids[len(self.sizes) :] = [None] * len(got)
+        if self.used + len(new) > len(self.flat):
+            self.flat = np.concatenate((self.flat[: self.used], np.zeros(self.used + 2 * len(new), np.uint32)))
         self.flat[self.used : self.used + len(new)] = new
-        place = np.searchsorted(self.keys, keys)
-        self.keys, self.sizes = np.insert(self.keys, place, keys), np.insert(self.sizes, place, sizes)
-        self.at = np.insert(self.at, place, self.used + np.cumsum(sizes) - sizes)
+        self.sizes = np.concatenate((self.sizes, sizes))
+        self.at = np.concatenate((self.at, self.used + np.cumsum(sizes) - sizes))
         self.used += len(new)
 
     def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -127,26 +141,19 @@ class Encoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         cps = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
         starts = pretoken_starts(cps, (ends - lengths)[lengths > 0])
-        power, inverse = powers(BASE_A, len(cps))
-        h = mix(np.add.reduceat(classes()[1][cps] * power, starts) * inverse[starts])
-        codes, distinct = pd.factorize(h)
-        if len(self.keys) > CACHE_ENTRIES:
+        raw = whole.encode()
+        if len(raw) == len(cps):
+            edges = np.append(starts, len(raw)).tolist()
+        else:
+            width = 1 + (cps >= 0x80) + (cps >= 0x800) + (cps >= 0x10000)
+            edges = np.append((np.cumsum(width) - width)[starts], len(raw)).tolist()
+        if len(self.slots) > CACHE_ENTRIES or self.slots.bytes > CACHE_BYTES:
             self.clear()
-        slot = np.searchsorted(self.keys, distinct)
-        new = slot == len(self.keys)
-        new[~new] = self.keys[slot[~new]] != distinct[~new]
-        if new.any():
-            place = np.empty(len(distinct), np.int64)
-            place[codes] = np.arange(len(codes))
-            at = np.flatnonzero(new)
-            at = at[np.argsort(distinct[at])]
-            begin, finish = starts[place[at]].tolist(), np.append(starts[1:], len(cps))[place[at]].tolist()
-            self.learn(distinct[at], [whole[a:b].encode() for a, b in zip(begin, finish)])
-            slot = np.searchsorted(self.keys, distinct)
-        sizes, offsets, flat = self.sizes[slot], self.at[slot], self.flat
-        each = sizes[codes]
+        slot = np.fromiter(map(self.slots.__getitem__, [raw[a:b] for a, b in zip(edges, edges[1:])]), np.int64, len(starts))
+        self.learned()
+        each, offsets = self.sizes[slot], self.at[slot]
         total = np.cumsum(each)
-        ids = flat[np.repeat(offsets[codes] - (total - each), each) + np.arange(int(total[-1]))]
+        ids = self.flat[np.repeat(offsets - (total - each), each) + np.arange(int(total[-1]))]
         bounds = np.concatenate(([0], total))[np.searchsorted(starts, np.concatenate(([0], ends)))]
         return ids, bounds
 
@@ -242,4 +249,4 @@ def pack(rows: DataFrame, groups: int, most: int = SEQUENCE, open_bins: int = OP
 
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of each piece of every document."""
-    return pack(pieces(docs, tokenizer), -(-input_bytes(docs) // GROUP_BYTES))
+    return pack(pieces(docs, tokenizer), -(-text_bytes(docs) // GROUP_BYTES))

@@ -71,7 +71,7 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     more = [np.log1p(size), np.log1p(counts)]
     if len(starts):
         owner = np.repeat(np.arange(n), counts)
-        h = hash_spans(raw, starts, BASE_A, 11, False)
+        h, _ = hash_spans(raw, starts, ends, False)
         length = ends - starts
         mean = _per(owner, n, length) / words
         more += [mean, np.sqrt(np.maximum(_per(owner, n, length.astype(np.float64) ** 2) / words - mean**2, 0))]
@@ -93,7 +93,9 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(line)
         of = doc[at]
         lines = np.maximum(_per(of, n), 1)
-        distinct, most = _distinct(hash_spans(raw, at, BASE_A, 11, False), of, n)
+        after = np.append(at[1:], len(raw))
+        after -= raw[after - 1] == 0x0A
+        distinct, most = _distinct(hash_spans(raw, at, after, False)[0], of, n)
         more += [np.log1p(lines), distinct / lines, most / lines]
     else:
         more += [np.zeros(n)] * 16

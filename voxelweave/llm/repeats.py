@@ -23,8 +23,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .chunks import chunked, log2_up
-from .scratch import input_bytes
+from .chunks import chunked, grown, log2_up
+from .scratch import text_bytes
 from .text import BASE_C, BASE_D, U, mix, window_ok, windows, word_hashes
 
 WIDTH, SKETCH_ROWS, BLOCK_BITS = 35, 2, 22
@@ -62,14 +62,26 @@ class Windows:
         one, two, self.counts = word_hashes(table["text"], lower=False, two=True)
         self.ok = window_ok(self.counts, width)
         first = windows(one, width, BASE_C)[self.ok]
+        second = (windows(two, width, BASE_D)[self.ok] >> U(32)).astype(np.uint32)
         self.order = np.argsort(first)
-        ordered = first[self.order]
-        new = np.ones(len(ordered), bool)
-        new[1:] = ordered[1:] != ordered[:-1]
+        h, rest = first[self.order], second[self.order]
+        same = h[1:] == h[:-1]
+        if (same & (rest[1:] != rest[:-1])).any():  # equal in 64 bits, not in 96
+            self.order = np.lexsort((second, first))
+            h, rest = first[self.order], second[self.order]
+            same = h[1:] == h[:-1]
+        new = np.ones(len(h), bool)
+        new[1:] = ~(same & (rest[1:] == rest[:-1]))
         self.starts = np.flatnonzero(new)
-        self.distinct = ordered[self.starts]
-        self.second = (windows(two, width, BASE_D)[self.ok][self.order[self.starts]] >> U(32)).astype(np.uint32)
-        self.here = np.diff(np.append(self.starts, len(ordered)))
+        self.distinct, self.second = h[self.starts], rest[self.starts]
+        self.here = np.diff(np.append(self.starts, len(h)))
+
+    def places(self, h: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Where windows of this chunk stand among its distinct ones."""
+        at = np.searchsorted(self.distinct, h)
+        while (off := self.second[at] != second).any():
+            at[off] += 1
+        return at
 
     def cells(self, row: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Sorted cells in a sketch row, and the windows they belong to."""
@@ -87,6 +99,12 @@ def _blocks(cells: np.ndarray, block_bits: int):
             yield int(block[a]), a, b
 
 
+def _keys(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The 64 and the 32 bits of each window in a message."""
+    n = len(raw) // 12
+    return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n)
+
+
 def _frame(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * len(schema), schema)], schema=schema)
 
@@ -115,10 +133,10 @@ SENT_SQL = "bucket long, chunk int, payload binary"
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, rows: int = SKETCH_ROWS, sketch_bits: int | None = None, keep: list[str] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, text (unchanged but for the words that were cut out), and the columns of keep in a struct `rest`."""
-    size = max(1, input_bytes(docs))
+    size = max(1, text_bytes(docs))
     bits = sketch_bits or min(48, max(16, log2_up(size)))
-    block_bits = min(BLOCK_BITS, bits)
-    blocks, bucket_bits = bits - block_bits, max(1, log2_up(size >> 22))
+    block_bits = min(BLOCK_BITS + log2_up(grown(size, 1 << 22, 1 << 24) >> 22), bits)
+    blocks, bucket_bits = bits - block_bits, max(1, log2_up(size // grown(size, 1 << 22, 1 << 25)))
     rest = F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("rest")
     texts = chunked(docs, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest], size)
 
@@ -157,10 +175,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, rows: int = SKETCH_ROWS,
         return _frame(out, SENT)
 
     def group(table: pa.Table) -> pa.Table:
-        raws = [x.as_py() for x in table["payload"]]
-        sizes = np.array([len(x) // 12 for x in raws])
-        h = np.concatenate([np.frombuffer(x, "<u8", n) for x, n in zip(raws, sizes)])
-        second = np.concatenate([np.frombuffer(x, "<u4", n, 8 * n) for x, n in zip(raws, sizes)])
+        keys = [_keys(x.as_py()) for x in table["payload"]]
+        sizes = np.array([len(x) for x, _ in keys])
+        h, second = (np.concatenate(x) for x in zip(*keys))
         order = np.lexsort((second, h))
         same = (h[order][1:] == h[order][:-1]) & (second[order][1:] == second[order][:-1])
         twice = np.zeros(len(h), bool)
@@ -168,9 +185,9 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, rows: int = SKETCH_ROWS,
         twice[order[:-1][same]] = True
         bucket, out, at = table["bucket"][0].as_py(), [], 0
         for chunk, n in zip(table["chunk"].to_pylist(), sizes.tolist()):
-            found = h[at : at + n][twice[at : at + n]]
+            found = np.flatnonzero(twice[at : at + n]) + at
             if len(found):
-                out.append((bucket, chunk, found.astype("<u8").tobytes()))
+                out.append((bucket, chunk, h[found].astype("<u8").tobytes() + second[found].astype("<u4").tobytes()))
             at += n
         return _frame(out, SENT)
 
@@ -180,7 +197,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, rows: int = SKETCH_ROWS,
         own = Windows(table, width)
         repeated = own.here > 1
         for raw in told["payload"]:
-            repeated[np.searchsorted(own.distinct, np.frombuffer(raw.as_py(), "<u8"))] = True
+            h, second = _keys(raw.as_py())
+            repeated[own.places(h, second)] = True
         # words covered by a repeated window
         change = np.zeros(int(own.counts.sum()) + 1, np.int32)
         hit = np.zeros(len(own.order), bool)

@@ -2,28 +2,34 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (a local session), a temporary one is set."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a temporary one is set in a local session, and an error raised on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the whole cluster shares")
         at = tempfile.mkdtemp(prefix="voxelweave-")
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
 
 class Scratch:
-    """Tables written as Parquet, which cut lineage and survive the loss of executors."""
+    """Tables written as Parquet, which cut lineage and survive the loss of executors. What isn't dropped goes when the application ends."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_dir(spark)}/voxelweave-{uuid.uuid4().hex}"
+        path, files = self._path(self.root)
+        files.deleteOnExit(path)
+
+    def _path(self, at: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -31,20 +37,23 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        path, files = self._path(f"{self.root}/{name}")
+        files.delete(path, True)
+
+
+def named(column: str) -> Column:
+    """A column by its name as it stands, dots and quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
 
 
-    def release(self) -> None:
-        """Let Spark's cleaner delete the shuffle files of finished jobs that nothing refers to any more."""
-        for _ in range(2):  # what the first round frees may hold others
-            gc.collect()
-            self.spark._jvm.System.gc()
-            time.sleep(0.5)
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, or a longer one, that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
-def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of the input; where it has none, rows are counted at 4 kB each."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 55 else df.count() * 4096
+def text_bytes(df: DataFrame, column: str = "text") -> int:
+    """Bytes of a column's texts, by a scan of that column alone; the optimizer's size of a join would be a product."""
+    return int(df.agg(F.sum(F.octet_length(F.col(column).cast("string")).cast("long"))).first()[0] or 0)

@@ -1,12 +1,15 @@
 """Vectorised word splitting and hashing over Arrow string columns.
 
 A word is a maximal run of bytes outside 0x20 and 0x09-0x0D. Words never cross a
-document boundary. Hashes are polynomial sums modulo 2**64 of random byte values,
-finished by a bijective mixer, so they depend on the bytes of the word alone.
+document boundary. A word's hash follows from its bytes and length alone: bytes are read in
+lanes of eight, each lane goes through a bijective mixer together with what the lanes before
+it gave, and words of more than LONG bytes are hashed by BLAKE2b. No sum of powers is taken
+anywhere: such sums are equal for some pairs of patterned words, whatever the base.
 """
 
 from __future__ import annotations
 
+import hashlib
 from functools import lru_cache
 
 import numpy as np
@@ -14,6 +17,8 @@ import pyarrow as pa
 
 SLICE_BYTES = 1 << 20
 SPACES = [0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]
+#: Longer words are hashed one by one.
+LONG = 64
 
 U = np.uint64
 
@@ -28,15 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=8)
-def byte_values(seed: int, lower: bool) -> np.ndarray:
-    values = np.random.Generator(np.random.PCG64(seed)).integers(1, 2**64, 256, dtype=np.uint64) | U(1)
-    if lower:
-        values[65:91] = values[97:123]
-    values[SPACES] = 0
-    return values
-
-
 @lru_cache(maxsize=1)
 def space_table() -> np.ndarray:
     table = np.zeros(256, bool)
@@ -44,26 +40,14 @@ def space_table() -> np.ndarray:
     return table
 
 
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i below n; base is odd."""
-    held = _POWERS.get(base)
-    if held is None or len(held[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-
-        def run(b: int) -> np.ndarray:
-            out = np.full(size, b, np.uint64)
-            out[0] = 1
-            return np.cumprod(out, dtype=np.uint64)
-
-        held = run(base), run(pow(base, -1, 2**64))
-        if size <= 1 << 20:  # larger tables are made anew, as they would stay in the worker
-            _POWERS[base] = held
-    return held[0][:n], held[1][:n]
+@lru_cache(maxsize=1)
+def lower_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint8)
+    table[65:91] += 32
+    return table
 
 
+#: Odd factors of the two word hashes and of window hashes.
 BASE_A, BASE_B = 0x9E3779B97F4A7C15, 0xD1342543DE82EF95
 BASE_C, BASE_D = 0xA0761D6478BD642F, 0xE7037ED1A0B428DB
 
@@ -116,31 +100,59 @@ def word_hashes(column, lower: bool, two: bool = False):
     one, other, counts = [], [], []
     for first, last in slices(offsets):
         part = raw[offsets[first] : offsets[last]]
-        starts, _, count = spans(part, offsets[first : last + 1] - offsets[first])
+        starts, ends, count = spans(part, offsets[first : last + 1] - offsets[first])
         counts.append(count)
         if len(starts):
-            one.append(hash_spans(part, starts, BASE_A, 11, lower))
-            if two:
-                other.append(hash_spans(part, starts, BASE_B, 23, lower))
+            h, second = hash_spans(part, starts, ends, lower, two)
+            one.append(h)
+            other.append(second)
     join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
     return join(one), join(other) if two else None, np.concatenate(counts) if counts else np.zeros(0, np.int64)
 
 
-def hash_spans(raw: np.ndarray, starts: np.ndarray, base: int, seed: int, lower: bool) -> np.ndarray:
-    power, inverse = powers(base, len(raw))
-    sums = np.add.reduceat(byte_values(seed, lower)[raw] * power, starts)
-    return mix(sums * inverse[starts])
-
-
-def windows(h: np.ndarray, width: int, base: int) -> np.ndarray:
-    """Hash of each run of `width` consecutive values; runs may cross documents (see window_ok)."""
-    n = len(h)
-    if n < width:
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool, two: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
+    """Two independent 64-bit hashes (the second if asked for) of raw[start:end] of each span."""
+    size = ends - starts
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = lower_table()[raw] if lower else raw
+    lanes = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))  # eight bytes from each place on
+    length = size.astype(np.uint64)
+    found = [mix(length * U(BASE_A) + U(1))] + ([mix(length * U(BASE_B) + U(1))] if two else [])
+    at, rest, who = starts, size, None
+    while len(at):
+        part = lanes[at] & (U(0xFFFFFFFFFFFFFFFF) >> ((8 - np.minimum(rest, 8)) * 8).astype(np.uint64))
+        for h, factor in zip(found, (BASE_A, BASE_B)):
+            if who is None:
+                h[:] = mix(h ^ (part * U(factor)))
+            else:
+                h[who] = mix(h[who] ^ (part * U(factor)))
+        more = np.flatnonzero(rest > 8)
+        who = more if who is None else who[more]
+        at, rest = at[more] + 8, rest[more] - 8
+        if len(who) and who is not None:
+            near = size[who] <= LONG
+            who, at, rest = who[near], at[near], rest[near]
+    for i in np.flatnonzero(size > LONG).tolist():
+        both = hashlib.blake2b(padded[starts[i] : ends[i]].tobytes(), digest_size=16).digest()
+        for k, h in enumerate(found):
+            h[i] = int.from_bytes(both[8 * k : 8 * k + 8], "little")
+    return found[0], found[1] if two else None
+
+
+def windows(h: np.ndarray, width: int, factor: int) -> np.ndarray:
+    """Hash of each run of `width` consecutive values, by doubling; runs may cross documents (see window_ok)."""
+    n = len(h) - width + 1
+    if n < 1:
         return np.zeros(0, np.uint64)
-    power, inverse = powers(base, n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(h * power, out=total[1:])
-    return mix((total[width:] - total[:-width]) * inverse[: n - width + 1])
+    out, done, block, size = None, 0, h, 1
+    while True:  # block: hashes of runs of `size`; out: of runs of `done`
+        if width & size:
+            out = block if out is None else mix(out[: len(h) - done - size + 1] * U(factor) + block[done : done + len(h) - done - size + 1])
+            done += size
+        if done == width:
+            return out[:n] if width > 1 else mix(out[:n] ^ U(factor))
+        block = mix(block[:-size] * U(factor) + block[size:])
+        size *= 2
 
 
 def window_ok(counts: np.ndarray, width: int) -> np.ndarray:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .labelled import held_out, sample
 from .scratch import Scratch
-from .text import BASE_C, U, buffers, byte_values, mix, powers, slices
+from .text import U, buffers, hash_spans, mix, slices
 
 BITS, PREFIXES, KEPT = 20, (4, 5, 6, 7, 8, 9), 4096
 _LETTER = np.zeros(256, bool)
@@ -48,15 +48,12 @@ def sentences(raw: np.ndarray, offsets: np.ndarray):
     of_word = np.cumsum(first) - 1
     at = np.flatnonzero(begin)[part[first] - 1] if len(part) else np.zeros(0, np.int64)
     doc = np.searchsorted(offsets, at, "right") - 1
-    power, inverse = powers(BASE_C, len(raw))
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(byte_values(41, True)[raw] * power, out=total[1:])
     ids, of = [], []
     for k, length in enumerate((None, *PREFIXES)):
         long = np.ones(len(starts), bool) if length is None else ends - starts >= length
         a = starts[long]
         b = ends[long] if length is None else a + length
-        ids.append((mix(((total[b] - total[a]) * inverse[a]) ^ U(k * 0x9E3779B97F4A7C15 % 2**64)) >> U(64 - BITS)).astype(np.int64))
+        ids.append((mix(hash_spans(raw, a, b, True)[0] ^ U(k * 0x9E3779B97F4A7C15 % 2**64)) >> U(64 - BITS)).astype(np.int64))
         of.append(of_word[long])
     return at, doc, np.concatenate(ids), np.concatenate(of)
 
