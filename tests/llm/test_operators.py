@@ -115,9 +115,9 @@ def test_cosine_hash_is_robust(spark):
 
 
 def test_syncmers_by_definition():
-    raw = random.Random(1).randbytes(400)
-    h = text.mix(np.array([int.from_bytes(raw[i : i + 8], "little") for i in range(393)], np.uint64))
-    want = [i for i in range(385) if min(h[i : i + 9]) in (h[i], h[i + 8])]
+    raw, k, inner = random.Random(1).randbytes(600), syncmers.K, syncmers.S
+    h = text.mix(np.array([int.from_bytes(raw[i : i + inner], "little") for i in range(600 - inner + 1)], np.uint64))
+    want = [i for i in range(600 - k + 1) if min(h[i : i + k - inner + 1]) in (h[i], h[i + k - inner])]
     got, at = syncmers.syncmers(raw)
     assert at.tolist() == want
     # a passage has the same anchors wherever it stands
@@ -125,11 +125,32 @@ def test_syncmers_by_definition():
     assert set(got.tolist()) <= set(moved.tolist())
 
 
+def test_short_and_long_gaps_have_anchors():
+    for raw in (b"", b"x", b"y" * (syncmers.K - 1), *(random.Random(s).randbytes(syncmers.K) for s in range(60))):
+        fp = syncmers.anchors(raw)
+        assert len(fp) == (1 if raw else 0)
+    fp = np.array([[7, 3], [1, 258], [9, 100_000], [2, 100_001]], np.uint32)
+    assert (syncmers.from_text(syncmers.to_text(fp)) == fp).all() and len(syncmers.from_text(syncmers.to_text(fp[:0]))) == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=14, unique=True), st.lists(st.integers(0, 12), max_size=14, unique=True))
+def test_likeness_by_brute_force(a, b):
+    """The longest common subsequence of the anchors over the size of their union."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    want = table[-1][-1] / len({*a, *b}) if a and b else float(len(a) == len(b))
+    fp = lambda v: np.stack((np.array(v, np.uint32), np.arange(len(v), dtype=np.uint32) * 5), 1) if v else np.zeros((0, 2), np.uint32)
+    assert syncmers.likeness(fp(a), fp(b)) == pytest.approx(want)
+
+
 def test_likeness():
     a, b = (" ".join(random.Random(s).choices("alpha beta gamma delta epsilon zeta eta theta".split(), k=400)).encode() for s in (1, 2))
-    fa, fb = syncmers.sketch(a), syncmers.sketch(b)
-    assert syncmers.likeness(fa, fa) == 1 and syncmers.likeness(fa, fb) < 0.6 and syncmers.likeness(fa, syncmers.sketch(b"")) == 0 and syncmers.likeness(syncmers.sketch(b""), syncmers.sketch(b"")) == 1
-    assert (syncmers.from_text(syncmers.to_text(fa)) == fa).all() and len(syncmers.sketch(b"short")) == 1
+    fa, fb = syncmers.anchors(a), syncmers.anchors(b)
+    assert syncmers.likeness(fa, fa) == 1 and syncmers.likeness(fa, fb) < 0.6 and syncmers.likeness(fa, syncmers.anchors(b"")) == 0 and syncmers.likeness(syncmers.anchors(b""), syncmers.anchors(b"")) == 1
+    assert (syncmers.from_text(syncmers.to_text(fa)) == fa).all() and len(syncmers.anchors(b"short")) == 1
 
 
 # ---- SetSketch

@@ -2,13 +2,18 @@
 
 A k-byte window is a closed syncmer if the least of the hashes of its s-byte substrings
 is at the window's start or end. Whether a window is chosen depends on its own bytes
-alone, so a passage gives the same anchors wherever it stands. A fingerprint keeps the
-`ANCHORS` anchors of least hash (a bottom-k sketch) with their positions; likeness is
-the share of the union's least anchors that both have, in the same order in both texts.
-
-Defined cases: null is the empty text, whose fingerprint has no anchors; a text
-shorter than k has one anchor, its whole self; two fingerprints without anchors have
-likeness 1, one of them 0; the first of equal anchors counts.
+alone, so a passage gives the same anchors wherever it stands. A fingerprint holds every
+anchor of the whole text: a 32-bit hash of the window, and where it starts. Likeness is the share of
+all anchors of the two texts that both have, in the same order in both.
+
+Windows of 24 bytes with inner substrings of 8 choose 2 of 17 windows, so a fingerprint takes about
+0.6 bytes for each byte of text. Hashes of 32 bits are equal by chance for a share of n / 2**32 of the anchors of a
+text that has n others to compare with.
+
+Defined cases: null is the empty text, whose fingerprint has no anchors; a text that has no closed
+syncmer (all that are shorter than k) has one anchor, its whole self; two fingerprints without anchors have
+likeness 1, one of them 0; the first of equal anchors counts; of rows with equal doc_id the order is that of a hash of
+the text, and null doc_ids come last.
 """
 
 from __future__ import annotations
@@ -20,73 +25,84 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import input_bytes
-from .text import U, mix
+from .scratch import text_bytes
+from .text import BASE_A, U, mix
 
-S, K, ANCHORS = 8, 16, 128
+S, K = 8, 24
 #: The text that one sort bucket aims at, and the most buckets, so the most rows that the driver reads.
-BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 4096
+BUCKET_BYTES, MOST_BUCKETS = 2 << 20, 16384
 
 
 def syncmers(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, byte position) of each closed syncmer, in order of position."""
+    """(hash, byte position) of each closed syncmer, in order of position; of the whole text where it has none."""
     n = len(raw)
-    if n < K:
-        if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        return np.array([int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")], np.uint64), np.zeros(1, np.int64)
-    data = np.frombuffer(raw, np.uint8)
-    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(data, S)).view("<u8").ravel()
-    h = mix(words)
-    span = K - S  # inner substrings start at 0..span
-    least, width = h, 1
-    while width * 2 <= span:
-        least = np.minimum(least[:-width], least[width:])
-        width *= 2
-    windows = n - K + 1
-    chosen = np.flatnonzero((h[:windows] <= least[1 : windows + 1]) | (h[span : span + windows] <= least[:windows]))
-    return mix(words[chosen] * U(0x9E3779B97F4A7C15) + h[chosen + K - S]), chosen
-
-
-def sketch(raw: bytes, anchors: int = ANCHORS) -> np.ndarray:
-    """Two columns: the least distinct anchor hashes (32 bits), ascending, and the first position of each."""
+    if n >= K:
+        data = np.frombuffer(raw, np.uint8)
+        words = np.ndarray((n - S + 1,), "<u8", data, strides=(1,))
+        h = mix(words)
+        span = K - S  # inner substrings start at 0..span
+        least, width = h, 1
+        while width * 2 <= span:
+            least = np.minimum(least[:-width], least[width:])
+            width *= 2
+        windows = n - K + 1
+        chosen = np.flatnonzero((h[:windows] <= least[1 : windows + 1]) | (h[span : span + windows] <= least[:windows]))
+        if len(chosen):
+            whole = h[chosen]
+            for k in range(S, K, S):
+                whole = mix(whole ^ (words[chosen + k] * U(BASE_A)))
+            return whole, chosen
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return np.array([int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little")], np.uint64), np.zeros(1, np.int64)
+
+
+def anchors(raw: bytes) -> np.ndarray:
+    """Two columns: the text's distinct anchor hashes (32 bits), and the first position of each, in order of position."""
     h, at = syncmers(raw)
-    h = (h >> U(32)).astype(np.uint32)
-    if len(h) > 16 * anchors:  # most large hashes can't be among the least
-        few = h <= np.partition(h, 8 * anchors)[8 * anchors]
-        if len(np.unique(h[few])) >= anchors:
-            h, at = h[few], at[few]
-    values, first = np.unique(h, return_index=True)
-    return np.stack((values[:anchors], at[first[:anchors]].astype(np.uint32)), 1)
+    values = (h >> U(32)).astype(np.uint32)
+    first = np.sort(np.unique(values, return_index=True)[1])
+    return np.stack((values[first], at[first].astype(np.uint32)), 1)
 
 
 def to_text(fp: np.ndarray) -> str:
-    return base64.b64encode(fp.astype("<u4").tobytes()).decode()
+    """Base64 of the hashes, then the gaps of the positions: a byte each, 255 for one that follows in four."""
+    gap = np.diff(fp[:, 1].astype(np.int64), prepend=0)
+    small = np.minimum(gap, 255).astype(np.uint8)
+    return base64.b64encode(np.array([len(fp)], "<u4").tobytes() + fp[:, 0].astype("<u4").tobytes() + small.tobytes() + gap[small == 255].astype("<u4").tobytes()).decode()
 
 
 def from_text(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), "<u4").reshape(-1, 2)
+    raw = base64.b64decode(text)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    gap = np.frombuffer(raw, np.uint8, n, 4 + 4 * n).astype(np.int64)
+    gap[gap == 255] = np.frombuffer(raw, "<u4", offset=4 + 5 * n)
+    return np.stack((np.frombuffer(raw, "<u4", n, 4), np.cumsum(gap).astype(np.uint32)), 1)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, anchors: int = ANCHORS) -> float:
-    """Share of the least anchors of the union that both have in the same order of position, 0 to 1."""
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the anchors of both that the two have in the same order of position, 0 to 1."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
     both, i, j = np.intersect1d(a[:, 0], b[:, 0], assume_unique=True, return_indices=True)
-    union = len(a) + len(b) - len(both)
-    if union > anchors:
-        limit = np.partition(np.concatenate((a[:, 0], np.delete(b[:, 0], j))), anchors - 1)[anchors - 1]
-        i, j, union = i[both <= limit], j[both <= limit], anchors
     if not len(i):
         return 0.0
-    order = np.argsort(a[i, 1], kind="stable")
+    return _rising(j[np.argsort(i)]) / (len(a) + len(b) - len(both))
+
+
+def _rising(x: np.ndarray) -> int:
+    """Length of the longest rising chain of distinct numbers."""
+    if (x[1:] > x[:-1]).all():
+        return len(x)
     tails: list[int] = []
-    for p in b[j, 1][order].tolist():  # longest rising chain
-        k = bisect_left(tails, p)
-        tails[k : k + 1] = [p]
-    return len(tails) / union
+    for p in x.tolist():
+        if not tails or p > tails[-1]:
+            tails.append(p)
+        else:
+            tails[bisect_left(tails, p)] = p
+    return len(tails)
 
 
 def edited(text: str, following: str) -> str:
@@ -94,6 +110,17 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
+def _above(bounds: list[int], x: Column) -> Column:
+    """How many of the ascending bounds are above x: first among every step-th of them, then among the `step` ahead of that one."""
+    step = max(1, int(len(bounds) ** 0.5))
+    longs = lambda values: F.array(*[F.lit(int(b)).cast("long") for b in values])
+    groups = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    later = F.size(F.filter(longs([g[-1] for g in groups]), lambda b: b <= x))  # groups that have no bound above x
+    own = F.element_at(F.array(*[longs(g) for g in groups]), F.least(later + 1, F.lit(len(groups))))
+    below = F.when(later == len(groups), F.lit(len(bounds))).otherwise(later * step + F.size(F.filter(own, lambda b: b <= x)))
+    return F.lit(len(bounds)) - below
+
+
 def with_next(docs: DataFrame) -> DataFrame:
     """(seq, guard, doc_id, text) sorted so that each row's next document is the row after it, or the guard row that ends its bucket.
 
@@ -101,11 +128,10 @@ def with_next(docs: DataFrame) -> DataFrame:
     bucket that has any. The driver reads one doc_id a bucket, MOST_BUCKETS at most; texts are shuffled once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = min(MOST_BUCKETS, -(-input_bytes(docs) // BUCKET_BYTES))
+    n = min(MOST_BUCKETS, -(-text_bytes(docs) // BUCKET_BYTES))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     bounds = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    # a binary search in SQL: the bucket of an id is the count of bounds above it
-    seq = F.size(F.filter(F.array(*[F.lit(int(b)).cast("long") for b in bounds]), lambda b: b > F.col("doc_id"))) if bounds else F.lit(0)
+    seq = _above(bounds, F.col("doc_id")) if bounds else F.lit(0)
     seq = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(seq).cast("int")
     heads = sorted(ids.groupBy(seq.alias("seq")).agg(F.max("doc_id").alias("doc_id")).collect())
     tagged = rows.withColumn("seq", seq).withColumn("tie", F.xxhash64("text"))
@@ -133,12 +159,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             columns = {n: b.column(i) for i, n in enumerate(b.schema.names)}
             for i in range(b.num_rows):
                 text, seq = columns["text"][i].as_py(), columns["seq"][i].as_py()
-                own = sketch(text.encode())
+                own = anchors(text.encode())
                 if held is not None and held[0] == seq:
                     _, doc_id, before, fp = held
                     changed = edited(before, text)
                     raw = changed.encode()
-                    other = sketch(raw)
+                    other = anchors(raw)
                     out.append((doc_id, len(before), hashlib.sha256(raw).hexdigest(), to_text(fp), to_text(other), likeness(fp, other), likeness(fp, own)))
                     if len(out) >= 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
