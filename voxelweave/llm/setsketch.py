@@ -9,18 +9,24 @@ chance that follows the sets' likeness. Elements draw their values in ascending
 the registers, so elements whose next value is above all of the minima stop early.
 
 1. Equal sets become one node. 2. Bands of ROWS registers are hashed; nodes that share a
-band meet. 3. In each band's bucket a node is paired with the first node and the one
+band meet in a bucket. 3. In each bucket a node is paired with the first node and the one
 before it, which joins groups of copies without making all pairs. 4. The joint likelihood
 of two sketches under the likeness J drops pairs that are far below the limit, and
 what is left is confirmed on the full sets. 5. Buckets that still hold several components are gone
-through once more: the members outside the largest component are held, all others stream
-past them, and each likely pair of different components is confirmed, the likeliest
-first, in the one band that it shares first. What links joins its components at once, so a
-group costs as many confirmations as it has members, not pairs, but for likely pairs that fail.
+through once more. Their nodes outside the largest component (the minor ones) and the rest (the major
+ones) are dealt over blocks of bounded rows and shingles, and each pair of blocks, but for two major
+ones, is a group of its own that any task may take. In it each likely pair of different components
+is confirmed on the full sets, in the one band that it shares first. What links joins its components at once. Nothing but links is
+emitted: at most one for each node of a group.
+
+Buckets that hold a large share of a sample of all nodes are dealt over parts in step 3, and the parts' first
+nodes are chained, so no bucket is one task's alone. Sketches are compared for all pairs
+of minor nodes of an open bucket: where a third of all texts are alike, but not enough to be linked, that work
+grows with the square of their number, as no banding tells 0.7 from 0.8 for certain.
 
 At the limit J = 0.8 a pair shares no band with a chance of (1 - 0.8**4)**40 = 7e-10, at 0.85 of 2e-13.
-Nodes are 63-bit digests of sets. Sets are compared as 40-bit shingle digests: two sets of a
-thousand shingles each have an expected 1e-6 of them in common by chance.
+A pair at the limit is dropped by its estimate with a chance of about 1e-9 (6 standard deviations).
+Sets are compared as 64-bit digests of their shingles; nodes are 63-bit digests of sets.
 
 Defined cases: null and empty texts have n_shingles 0 and are their own component;
 rows that share a doc_id each have the component of their own text; rows with a null
@@ -39,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .graph import components
-from .scratch import Scratch
+from .scratch import Scratch, fresh, named
 from .text import BASE_A, U, mix, word_hashes
 
 REGISTERS, ROWS = 160, 4
@@ -47,7 +53,11 @@ WORDS, LIMIT = 5, 0.8
 SPACING, RATE = 1.001, 20.0
 #: A pair is dropped unread if its estimate is so many standard deviations below the limit.
 DEVIATIONS = 6.0
+#: Rows compared at once; rows and shingles that a block of an open bucket aims at, of minor and of major nodes.
 BLOCK = 2048
+MINOR, MAJOR = (1024, 1 << 20), (4096, 1 << 22)
+#: A bucket with such a share of the sampled nodes is dealt over PARTS; so there are at most REGISTERS / ROWS / SHARE of them.
+SAMPLE, SHARE, PARTS = 20_000, 1 / 500, 64
 
 
 def shingle_sets(column, width: int = WORDS) -> list[np.ndarray]:
@@ -168,51 +178,44 @@ def _registers(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(len(column), -1)
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, node (digest of the set; null if empty), sketch."""
-    names = ["doc_id", "n", "node", "sketch"]
+def _node(s: np.ndarray) -> int | None:
+    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1 if len(s) else None
+
+
+def signatures(rows: DataFrame, width: int) -> DataFrame:
+    """doc_id, text_key, n, node (digest of the set; null if empty), sketch of (doc_id, text_key, text) rows."""
+    names = ["doc_id", "text_key", "n", "node", "sketch"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first in range(0, b.num_rows, 500):
                 part = b.slice(first, 500)
-                sets = shingle_sets(part.column(1), width)
-                rows = sketches(sets).astype("<u2")
-                nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1 if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([r.tobytes() if n is not None else None for r, n in zip(rows, nodes)], pa.binary())], names)
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, sketch binary")
+                sets = shingle_sets(part.column(2), width)
+                registers = sketches(sets).astype("<u2")
+                nodes = [_node(s) for s in sets]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.array([r.tobytes() if n is not None else None for r, n in zip(registers, nodes)], pa.binary())], names)
 
+    return rows.select("doc_id", "text_key", "text").mapInArrow(run, "doc_id long, text_key long, n long, node long, sketch binary")
 
-def _short(s: np.ndarray) -> bytes:
-    """A sorted set's digests cut to 40 bits: four bytes of each, then one of each."""
-    v = s >> U(24)
-    return (v & U(0xFFFFFFFF)).astype("<u4").tobytes() + (v >> U(32)).astype(np.uint8).tobytes()
 
-
-def _long(raw: bytes) -> np.ndarray:
-    n = len(raw) // 5
-    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << U(32)
-
-
-def node_sets(docs: DataFrame, width: int) -> DataFrame:
-    """node, shingles (the set, see _short) of each text that has words."""
+def node_sets(texts: DataFrame, width: int) -> DataFrame:
+    """node, shingles (the set's 64-bit digests) of (node, text) rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first in range(0, b.num_rows, 500):
-                sets = [s for s in shingle_sets(b.column(0).slice(first, 500), width) if len(s)]
-                nodes = [int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little") >> 1 for s in sets]
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([_short(s) for s in sets], pa.binary())], ["node", "shingles"])
+                part = b.slice(first, 500)
+                sets = shingle_sets(part.column(1), width)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "node long, shingles binary")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles binary")
 
 
 def bands(nodes: DataFrame) -> DataFrame:
-    """(key, band, node): a row for each band of each node's registers."""
+    """(key, band, node, n): a row for each band of each node's registers."""
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda i: F.xxhash64(i, F.substring(F.col("sketch"), i * width + 1, F.lit(width))))
-    return nodes.select("node", F.posexplode(keys).alias("band", "key"))
+    return nodes.select("node", "n", F.posexplode(keys).alias("band", "key"))
 
 
 def confirm(pairs: DataFrame, sketched: DataFrame, sets: DataFrame, limit: float) -> DataFrame:
@@ -243,29 +246,31 @@ def confirm(pairs: DataFrame, sketched: DataFrame, sets: DataFrame, limit: float
     return full.mapInArrow(exact, "a long, b long")
 
 
-class _Bucket:
-    """The members of one bucket and band, as they come; links between components are found as soon as both sides are there.
+class _Group:
+    """A pair of blocks of one bucket and band, as their rows come; links between components are found as soon as both sides are there.
 
-    A pair is looked at in the first band that it shares, so once in all, and only while its sides
-    are in different components: likeliest pairs first, each confirmed on the full sets.
+    A pair is looked at in the first band that it shares, so once in all, and only while its sides are in different components.
     """
 
-    def __init__(self, band: int, limit: float):
-        self.band, self.limit, self.parent, self.held, self.links = band, limit, {}, [], []
+    def __init__(self, band: int, limit: float, one: bool):
+        self.band, self.limit, self.one, self.parent, self.held, self.links = band, limit, one, {}, [], []
 
     def find(self, r: int) -> int:
         while (up := self.parent.get(r, r)) != r:
             self.parent[r] = r = self.parent.get(up, up)
         return r
 
-    def add(self, part: dict, small: int) -> None:
-        """Rows of the bucket; the first `small` of them aren't of its largest component, and are held for what follows."""
-        own = {n: v[:small] for n, v in part.items()}
+    def add(self, part: dict, first: int) -> None:
+        """Rows of the group; `first` of them, at the front, are of its first block and are held for what follows. If `one`, that block's own pairs count too."""
+        own, rest = {n: v[:first] for n, v in part.items()}, {n: v[first:] for n, v in part.items()}
         for x in self.held:
-            self.match(x, part, False)
-        if small:
-            self.match(own, own, True)
-            self.match(own, {n: v[small:] for n, v in part.items()}, False)
+            if self.one:
+                self.match(x, own, False)
+            self.match(x, rest, False)
+        if first:
+            if self.one:
+                self.match(own, own, True)
+            self.match(own, rest, False)
             self.held.append(own)
 
     def match(self, x: dict, y: dict, same: bool) -> None:
@@ -292,92 +297,174 @@ class _Bucket:
         i, j = (np.concatenate(c) for c in zip(*found))
         ok, estimate = likely(x["sketch"][i], y["sketch"][j], x["n"][i], y["n"][j], self.limit)
         i, j, estimate = i[ok], j[ok], estimate[ok]
+        if len(i) > 4 * (len(rx) + len(ry)):  # many pairs that didn't join: all of a row's intersections at once
+            both = self.shared(x, y, i, j)
+            ok = 100 * both >= round(self.limit * 100) * (x["n"][i] + y["n"][j] - both)
+            for k in np.flatnonzero(ok).tolist():
+                self.link(x, y, int(i[k]), int(j[k]))
+            return
         for k in np.argsort(-estimate, kind="stable").tolist():
-            a, b = self.find(int(x["root"][i[k]])), self.find(int(y["root"][j[k]]))
-            if a != b and _reaches(x["shingles"][i[k]], y["shingles"][j[k]], self.limit):
-                self.parent[max(a, b)] = min(a, b)
-                self.links.append((int(x["node"][i[k]]), int(y["node"][j[k]])))
+            a, b = int(i[k]), int(j[k])
+            if self.find(int(x["root"][a])) != self.find(int(y["root"][b])) and _reaches(x["shingles"][a], y["shingles"][b], self.limit):
+                self.link(x, y, a, b)
+
+    def shared(self, x: dict, y: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of x's sets i with y's sets j; i ascends."""
+        sets = [np.frombuffer(s, "<u8") for t in (x, y) for s in t["shingles"]]
+        sizes = np.array([len(s) for s in sets])
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+        ends = np.cumsum(sizes)
+        k = len(x["node"])
+        theirs, starts = ids[ends[k - 1] :], (ends - sizes)[k:] - ends[k - 1]
+        mark, out = np.zeros(int(ids.max()) + 1, bool), np.zeros(len(i), np.int64)
+        cuts = np.flatnonzero(np.diff(i)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)]):
+            own = ids[ends[i[a]] - sizes[i[a]] : ends[i[a]]]
+            mark[own] = True
+            out[a:b] = np.add.reduceat(mark[theirs], starts, dtype=np.int64)[j[a:b]]
+            mark[own] = False
+        return out
+
+    def link(self, x: dict, y: dict, i: int, j: int) -> None:
+        a, b = self.find(int(x["root"][i])), self.find(int(y["root"][j]))
+        if a != b:
+            self.parent[max(a, b)] = min(a, b)
+            self.links.append((int(x["node"][i]), int(y["node"][j])))
 
 
 def _reaches(x: bytes, y: bytes, limit: float) -> bool:
-    """Whether two full sets (as _short has them) have Jaccard likeness of limit or more."""
-    x, y = _long(x), _long(y)
+    """Whether two full sets (sorted 64-bit digests) have Jaccard likeness of limit or more."""
+    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
     at = np.searchsorted(y, x)
     both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
     return 100 * both >= round(limit * 100) * (len(x) + len(y) - both)
 
 
 def _links(limit: float):
-    """Links (a, b) between components from rows sorted by (key, major): members of small components come first and are
-    held, then the bucket's largest component streams past them, so memory follows the small ones."""
+    """Links (a, b) between components from rows sorted by group (key, band, i, j) and side: the first block is held, the other streams past it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, bucket = None, None
+        at, group = None, None
+
+        def links(group):
+            if group and group.links:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*group.links)], ["a", "b"])
+
         for batch in batches:
             for first in range(0, batch.num_rows, BLOCK):
                 b = batch.slice(first, BLOCK)
-                col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-                keys, major, band = col["key"].to_numpy(), col["major"].to_numpy(zero_copy_only=False), col["band"].to_numpy()
+                col = {n: b.column(k) for k, n in enumerate(b.schema.names)}
+                keys = np.stack([col[n].to_numpy().astype(np.int64) for n in ("key", "band", "i", "j")], 1)
+                side = col["side"].to_numpy()
                 whole = {n: col[n].to_numpy() for n in ("node", "root", "n")} | {"sketch": _registers(col["sketch"]), "shingles": np.array(col["shingles"].to_pylist(), object)}
-                cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(band) != 0)) + 1
+                cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
                 for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)]):
-                    if bucket is None or (keys[lo], band[lo]) != key:
-                        if bucket and bucket.links:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*bucket.links)], ["a", "b"])
-                        key, bucket = (keys[lo], band[lo]), _Bucket(int(band[lo]), limit)
-                    bucket.add({n: v[lo:hi] for n, v in whole.items()}, int((~major[lo:hi]).sum()))
-        if bucket and bucket.links:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*bucket.links)], ["a", "b"])
+                    if tuple(keys[lo]) != at:
+                        yield from links(group)
+                        at = tuple(keys[lo])
+                        group = _Group(int(at[1]), limit, at[2] == at[3])
+                    group.add({n: v[lo:hi] for n, v in whole.items()}, int((side[lo:hi] == 0).sum()))
+        yield from links(group)
 
     return run
 
 
-def near_duplicates(docs: DataFrame, width: int = WORDS, limit: float = LIMIT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every document; see the module's text."""
+def hot_buckets(nodes: DataFrame) -> DataFrame:
+    """(key, band) of the buckets that hold a large share of a sample of the nodes. They are only dealt otherwise; what is compared stays the same."""
+    every = max(1, nodes.count() // SAMPLE)
+    few = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(every)) == 0)
+    least = max(16, int(few.count() * SHARE))
+    return bands(few).groupBy("key", "band").agg(F.count("*").alias("c")).filter(F.col("c") >= least).select("key", "band", F.lit(True).alias("hot"))
+
+
+def meetings(nodes: DataFrame) -> DataFrame:
+    """(key, band, node, n, before, first, hot) of all nodes in buckets of several; before and first are null for the first node of a bucket or of a hot bucket's part."""
+    placed = bands(nodes).join(F.broadcast(hot_buckets(nodes)), ["key", "band"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    placed = placed.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("node", "band"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int"))
+    order = Window.partitionBy("key", "band", "part").orderBy("node")
+    met = placed.withColumns({"before": F.lag("node").over(order), "after": F.lead("node").over(order), "first": F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0))})
+    met = met.filter("hot or before is not null or after is not null")
+    return met.select("key", "band", "node", "n", "before", F.when(F.col("before").isNotNull(), F.col("first")).alias("first"), "hot")
+
+
+def chains(met: DataFrame) -> DataFrame:
+    """Pairs (a, b) that join what meets: each node with its bucket's first and the one before it; the firsts of a hot bucket's parts in a chain."""
+    inside = met.filter("before is not null").select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("node").alias("b")), F.struct(F.col("before").alias("a"), F.col("node").alias("b")))).alias("p")).select("p.a", "p.b")
+    parts = met.filter("hot and before is null").withColumn("a", F.lag("node").over(Window.partitionBy("key", "band").orderBy("node")))
+    return inside.unionByName(parts.filter("a is not null").select("a", F.col("node").alias("b"))).distinct()
+
+
+def groups(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """(key, band, node, root, i, j, side): the rows of each pair of blocks of each bucket that holds several components."""
+    placed = met.join(roots, F.col("node") == F.col("id"), "left").select("key", "band", "node", "n", F.coalesce("root", "node").alias("root"))
+    counted = placed.groupBy("key", "band", "root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    by = F.struct("c", "root")
+    mixed = counted.groupBy("key", "band").agg(F.count("*").alias("roots"), F.max_by("root", by).alias("largest"), F.max("c").alias("rows"), F.max_by("s", by).alias("shingles"), F.sum("c").alias("all_rows"), F.sum("s").alias("all_shingles")).filter("roots > 1")
+    blocks = lambda rows, shingles, most: F.greatest(F.ceil(rows / most[0]), F.ceil(shingles / most[1])).cast("int")
+    mixed = mixed.select("key", "band", "largest", blocks(F.col("all_rows") - F.col("rows"), F.col("all_shingles") - F.col("shingles"), MINOR).alias("minor"), blocks(F.col("rows"), F.col("shingles"), MAJOR).alias("major"))
+    rows = placed.join(mixed, ["key", "band"]).withColumn("is_major", F.col("root") == F.col("largest"))
+    own = lambda n: F.pmod(F.xxhash64("node", "band"), n).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("is_major"), own(F.col("major"))).otherwise(own(F.col("minor"))))
+    place = lambda i, j, side: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    count = lambda n: F.sequence(F.lit(0), n - 1)
+    block, is_major = F.col("block"), F.col("is_major").cast("int")
+    alone = F.array(place(F.lit(0), F.lit(0), is_major))  # all in one group
+    minors = F.transform(count(F.col("minor")), lambda k: place(F.least(k, block), F.greatest(k, block), (block > k)))
+    minors = F.concat(minors, F.transform(count(F.col("major")), lambda k: place(block, -1 - k, F.lit(0))))
+    majors = F.transform(count(F.col("minor")), lambda k: place(k, -1 - block, F.lit(1)))
+    each = F.when((F.col("minor") == 1) & (F.col("major") == 1), alone).when(F.col("is_major"), majors).otherwise(minors)
+    return rows.select("key", "band", "node", "root", F.explode(each).alias("g")).select("key", "band", "node", "root", "g.i", "g.j", "g.side")
+
+
+def classes(docs: DataFrame, width: int = WORDS, limit: float = LIMIT) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, node, stands (whether it is the component's least row) of every document."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
     signed = scratch.save(signatures(rows, width), "signed")
-    nodes = scratch.save(signed.filter("n > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
-
-    order = Window.partitionBy("key", "band").orderBy("node")
-    met = bands(nodes).select("key", "band", "node", F.lag("node").over(order).alias("before"), F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"))
-    met = scratch.save(met.filter("before is not null"), "met")  # all but the first node of each bucket that has several
-    pairs = met.select(F.explode(F.array(F.struct(F.col("first").alias("a"), F.col("node").alias("b")), F.struct(F.col("before").alias("a"), F.col("node").alias("b")))).alias("p")).select("p.a", "p.b").distinct()
-    buckets = met.select("key", "band", "node").unionByName(met.select("key", "band", F.col("first").alias("node")).distinct())
-    met_nodes = buckets.select("node").distinct()
-    sketched = scratch.save(nodes.join(met_nodes, "node", "left_semi"), "sketched")
+    least = F.min(F.struct("doc_id", "text_key")).alias("least")
+    nodes = scratch.save(signed.filter("n > 0 and doc_id is not null").groupBy("node").agg(least, F.min("n").alias("n"), F.min("sketch").alias("sketch")), "nodes")
+    met = scratch.save(meetings(nodes), "met")
+    sketched = scratch.save(nodes.join(met.select("node").distinct(), "node", "left_semi"), "sketched")
     # merged at every size: a broadcast of ids would have no bound, and small inputs would take another path
-    texts = rows.join(sketched.select("doc_id").hint("merge"), "doc_id", "left_semi")
-    sets = node_sets(texts, width).join(sketched.select("node"), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = scratch.save(sets, "sets")
-    scratch.release()
+    wanted = sketched.select("node", "least.doc_id", "least.text_key").hint("merge")
+    texts = rows.join(wanted, ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(F.first("node").alias("node"), F.first("text").alias("text"))
+    sets = scratch.save(node_sets(texts, width), "sets")
 
-    links = scratch.save(confirm(pairs, sketched, sets, limit), "links")
+    links = scratch.save(confirm(chains(met), sketched, sets, limit), "links")
     roots = scratch.save(components(links, scratch, "first"), "roots")
-    placed = buckets.join(roots, F.col("node") == F.col("id"), "left").select("key", "band", "node", F.coalesce("root", "node").alias("root"))
-    counted = placed.groupBy("key", "band", "root").agg(F.count("*").alias("c"))
-    mixed = counted.groupBy("key", "band").agg(F.count("*").alias("roots"), F.max_by("root", F.struct("c", "root")).alias("largest")).filter("roots > 1").drop("roots")
-    open_buckets = scratch.save(placed.join(mixed, ["key", "band"]).select("key", "band", "node", "root", (F.col("root") == F.col("largest")).alias("major")), "open")
-    wide = open_buckets.join(sketched.select("node", "n", "sketch"), "node").join(sets, "node")
-    wide = wide.repartition("key", "band").sortWithinPartitions("key", "band", "major", "node")
-    more = wide.select("key", "band", "node", "root", "n", "major", "sketch", "shingles").mapInArrow(_links(limit), "a long, b long")
+    wide = scratch.save(groups(met, roots), "open").join(sketched.select("node", "n", "sketch"), "node").join(sets, "node")
+    wide = wide.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j", "side", "node")
+    more = wide.select("key", "band", "i", "j", "side", "node", "root", "n", "sketch", "shingles").mapInArrow(_links(limit), "a long, b long")
     # components so far stand for their links
     links = scratch.save(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more), "more")
-    roots = scratch.save(components(links, scratch, "second"), "all_roots")
-    for name in ("met", "sketched", "sets", "links", "roots", "open", "more", "first", "second"):
+    roots = components(links, scratch, "second")
+    # from nodes to rows: the least of a component's nodes' least rows
+    group = nodes.join(roots, F.col("node") == F.col("id"), "left").select("node", "least", F.coalesce("root", "node").alias("root"))
+    group = scratch.save(group.join(group.groupBy("root").agg(F.min("least").alias("first")), "root").select("node", "first"), "classes")
+    for name in ("nodes", "met", "sketched", "sets", "links", "roots", "open", "more", "first", "second"):
         scratch.drop(name)
-    scratch.release()
-
-    # from nodes to documents: the least doc_id of a component's nodes, then of each doc_id's rows
-    group = nodes.join(roots, F.col("node") == F.col("id"), "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
-    group = group.join(group.groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("node", "component_id")
-    out = signed.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(group, "node", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = signed.select("doc_id", "text_key", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(group, "node", "left")
+    stands = F.col("first").isNull() | ((F.col("doc_id") == F.col("first.doc_id")) & (F.col("text_key") == F.col("first.text_key")))
+    return out.select("doc_id", "text_key", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"), "node", stands.alias("stands"))
 
 
-def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents of docs that stand for their component; rows without a doc_id stay."""
-    dropped = near_duplicates(docs).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped.hint("merge"), F.col("doc_id").cast("long") == F.col("_dropped"), "left_anti")
+def near_duplicates(docs: DataFrame, width: int = WORDS, limit: float = LIMIT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of every document; see the module's text."""
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return classes(docs, width, limit).select("doc_id", "n_shingles", "component_id", kept)
+
+
+def without_near_duplicates(docs: DataFrame, width: int = WORDS, limit: float = LIMIT) -> DataFrame:
+    """One row of docs for each component: of its least doc_id the text of least hash, once. Rows without a doc_id or without words stay."""
+    dropped = classes(docs, width, limit).filter(~F.col("stands")).select("doc_id", "text_key").distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    id_, key, dealt, row = (fresh(docs, c) for c in ("_id", "_key", "_dealt", "_row"))
+    keyed = docs.withColumns({id_: F.col("doc_id").cast("long"), key: F.xxhash64(text)})
+    kept = keyed.join(dropped.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key)).hint("merge"), [id_, key], "left_anti")
+    # equal rows: one stays; those without an id or without words are dealt out, as all of them stay
+    alone = F.col(id_).isNull() | ~text.rlike("[^\\x20\\x09-\\x0D]")
+    again = F.row_number().over(Window.partitionBy(id_, key, dealt).orderBy(id_))
+    kept = kept.withColumn(dealt, F.when(alone, F.monotonically_increasing_id()).otherwise(F.lit(-1))).withColumn(row, again).filter(F.col(row) == 1)
+    return kept.select(*[named(c) for c in docs.columns])
