@@ -377,20 +377,18 @@ def test_elias_fano(values, universe):
     assert (e.find(v) == np.arange(len(v))).all()
 
 
-def test_trie_finds_what_was_kept(tmp_path):
+def test_trie_finds_what_was_written(tmp_path):
     i = lambda *x: np.array(x, np.int64)
-    args = (i(3, 8), i(10, 6), i(0, 0, 1), i(5, 9, 5), i(4, 1, 3), i(0, 1), i(2, 7), i(4, 3), i(0, 0, 1), i(5, 9, 5), i(3, 1, 3))
-    for path in (None, str(tmp_path / "trie")):
-        t = ngram.build_shard(*args, path=path)
-        t = eliasfano.Trie.open(path) if path else t
-        c = t.context(i(3, 8, 4))
-        assert c.tolist() == [0, 1, -1]
-        w = t.word(i(0, 0, 1, -1), i(5, 9, 5, 5))
-        assert w.tolist() == [0, -1, 1, -1]  # seen once: left out
-        assert abs(ngram.share(t.codes["words"][w[:1]])[0] - (4 - 0.75) / 10) < 0.02
-        p = t.pair(i(0, 1, 1), i(2, 7, 2))
-        assert p.tolist() == [0, 1, -1]
-        assert t.triple(i(0, 1), i(0, 1), t.word(i(0, 1), i(5, 5))).tolist() == [0, 1]
+    codes = {"contexts": i(1, 2), "words": i(10, 11, 12), "pairs": i(20, 21), "triples": i(30, 31)}
+    with open(tmp_path / "trie", "w+b") as f:
+        eliasfano.Trie.write(f, i(3, 8), i(0, 0, 1), i(5, 9, 5), i(0, 1), i(2, 7), i(0, 1), i(1, 2), codes, 5)
+    t = eliasfano.Trie.open(tmp_path / "trie")
+    assert t.context(i(3, 8, 4)).tolist() == [0, 1, -1] and t.codes["words"].tolist() == [10, 11, 12]
+    w = t.word(i(0, 0, 1, 1, -1), i(5, 9, 5, 9, 5))
+    assert w.tolist() == [0, 1, 2, -1, -1]
+    p = t.pair(i(0, 1, 1), i(2, 7, 2))
+    assert p.tolist() == [0, 1, -1]
+    assert t.triple(i(0, 0, 1), i(0, 0, 1), t.word(i(0, 0, 1), i(5, 9, 5))).tolist() == [-1, 0, 1]
 
 
 def test_model_is_a_distribution(spark):
@@ -406,8 +404,11 @@ def test_model_is_a_distribution(spark):
     assert sum(10 ** got[d] for d, _ in probe) <= 1.02 and all(got[d] < 0 for d, _ in docs)
 
 
-def test_model_knows_every_trained_ngram(spark):
-    """Scores against absolute discounting over all pairs and triples, those seen once and twice too."""
+@pytest.mark.parametrize("hot, shard", [(ngram.HOT, ngram.SHARD_BYTES), (3, 40)])
+def test_model_knows_every_trained_ngram(spark, monkeypatch, tmp_path, hot, shard):
+    """Scores against absolute discounting over all pairs and triples, those seen once and twice too; also with contexts in parts over many shards."""
+    monkeypatch.setattr(ngram, "HOT", hot)
+    monkeypatch.setattr(ngram, "SHARD_BYTES", shard)
     r = random.Random(5)
     docs = [(i, " ".join(r.choices("a b c d e f g".split(), [8, 6, 4, 3, 2, 1, 1], k=r.randint(0, 7)))) for i in range(60)]
     tokens = {d: [*t.split(), "\n"] for d, t in docs}
@@ -428,7 +429,10 @@ def test_model_knows_every_trained_ngram(spark):
         follow = [c for g, c in counts.items() if g[:-1] == context]
         return max(counts[(*context, word)] - 0.75, 0) / total + 0.75 * len(follow) / total * below
 
-    got = {x["doc_id"]: x["score"] for x in ngram.score_texts(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    folder = str(tmp_path / "model")
+    got = {x["doc_id"]: x["score"] for x in ngram.score_texts(spark.createDataFrame(docs, "doc_id long, text string"), folder).collect()}
+    tries = [eliasfano.Trie(x["payload"]) for x in spark.read.parquet(folder).collect()]
+    assert sum(t.triples.n for t in tries) == len(three) and sum((t.codes["words"] != ngram.NONE).sum() for t in tries) == len(two)
     for d, t in tokens.items():
         padded, want = [starts, *t], 0.0
         for i, w in enumerate(t):

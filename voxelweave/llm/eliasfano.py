@@ -1,4 +1,4 @@
-"""Elias-Fano sequences and an n-gram trie over them, in one memory-mapped buffer.
+"""Elias-Fano sequences and an n-gram trie over them, in one memory-mapped file.
 
 A monotone sequence of n values below u keeps its low l = log2(u / n) bits in a packed array
 and its high bits in unary, in a bit vector. All queries work on arrays of arguments.
@@ -70,9 +70,10 @@ class EliasFano:
             low = values & U((1 << low_bits) - 1)
             bit = np.arange(n, dtype=np.int64) * low_bits
             word, shift = bit >> 6, (bit & 63).astype(np.uint64)
-            np.bitwise_or.at(packed, word, low << shift)
-            over = (bit & 63) + low_bits > 64
-            np.bitwise_or.at(packed, word[over] + 1, low[over] >> (U(64) - shift[over]))
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            packed[word[first]] = np.bitwise_or.reduceat(low << shift, first)
+            over = np.flatnonzero((bit & 63) + low_bits > 64)  # one at most for each word
+            packed[word[over] + 1] |= low[over] >> (U(64) - shift[over])
         return [np.array([n, low_bits], np.int64), packed, words, ones]
 
     @classmethod
@@ -125,70 +126,66 @@ class EliasFano:
         return np.where(there, at, -1)
 
 
-CONTEXT_BITS = 40
 LEVELS = ("contexts", "words", "pairs", "pair_base", "triples")
+CODES = ("contexts", "words", "pairs", "triples")
 
 
 class Trie:
-    """Two- and three-word contexts' words, as context-relative Elias-Fano levels.
+    """Two- and three-word contexts' words, as context-relative Elias-Fano levels of a memory-mapped file.
 
-    contexts: numbers of the last context words v. words: for each v its kept words' numbers
-    (40 bits at most), made monotone by v's index. pairs: for each v the words u before it, likewise.
+    contexts: numbers of the last context words v. words: for each v its words' numbers
+    (of `bits` bits), made monotone by v's index. pairs: for each v the words u before it, likewise.
     triples: for each (u, v) its words as ranks among v's words, made monotone by pair_base, the sum
     of word counts up to it. Each level has a table of 8-bit codes (codes: by level).
     """
 
     def __init__(self, buffer):
         self.buffer = buffer
-        head = np.frombuffer(buffer, np.int64, 1)
-        places = np.frombuffer(buffer, np.int64, 2 * int(head[0]), 8).reshape(-1, 2)
+        count, self.bits = (int(x) for x in np.frombuffer(buffer, np.int64, 2))
+        places = np.frombuffer(buffer, np.int64, 2 * count, 16).reshape(-1, 2)
         arrays = []
-        kinds = [np.int64, np.uint64, np.uint64, np.uint32] * len(LEVELS) + [np.uint8] * 4
+        kinds = [np.int64, np.uint64, np.uint64, np.uint32] * len(LEVELS) + [np.uint8] * len(CODES)
         for (at, size), kind in zip(places, kinds):
             arrays.append(np.frombuffer(buffer, kind, int(size) // np.dtype(kind).itemsize, int(at)))
         for i, name in enumerate(LEVELS):
             setattr(self, name, EliasFano.view(arrays[4 * i : 4 * i + 4]))
-        self.codes = dict(zip(("contexts", "words", "pairs", "triples"), arrays[4 * len(LEVELS) :]))
+        self.codes = dict(zip(CODES, arrays[4 * len(LEVELS) :]))
 
-    @classmethod
-    def build(cls, v: np.ndarray, word_owner: np.ndarray, word: np.ndarray, pair_owner: np.ndarray, pair: np.ndarray, triple_owner: np.ndarray, triple: np.ndarray, codes: dict[str, np.ndarray], path: str | None = None) -> Trie:
-        """Sorted levels: v; (index of v, word); (index of v, u); (index of pair, word)."""
+    @staticmethod
+    def write(file, v: np.ndarray, word_owner: np.ndarray, word: np.ndarray, pair_owner: np.ndarray, pair: np.ndarray, triple_owner: np.ndarray, triple_word: np.ndarray, codes: dict[str, np.ndarray], bits: int) -> None:
+        """Levels in order: v; (index of v, word); (index of v, u); (index of pair, index of word). Numbers are below 2 ** bits."""
         n = len(v)
-        big = lambda owner, h: (owner.astype(np.uint64) << U(CONTEXT_BITS)) | h.astype(np.uint64)
-        words = big(word_owner, word)
+        big = lambda owner, h: (owner.astype(np.uint64) << U(bits)) | h.astype(np.uint64)
         size = np.bincount(word_owner, minlength=n)
         first = np.cumsum(size) - size
         base = np.cumsum(size[pair_owner]) - size[pair_owner] if len(pair) else np.zeros(0, np.int64)
-        owner = pair_owner[triple_owner] if len(triple) else np.zeros(0, np.int64)
-        rank = np.searchsorted(words, big(owner, triple)) - first[owner] if len(triple) else np.zeros(0, np.int64)
-        triples = (base[triple_owner] + rank) if len(triple) else np.zeros(0, np.int64)
-        order = np.argsort(triples, kind="stable")
-        levels = [(v, int(v[-1]) + 1 if n else 1), (words, max(1, n) << CONTEXT_BITS), (big(pair_owner, pair), max(1, n) << CONTEXT_BITS), (base, int(base[-1] + 1) if len(base) else 1), (triples[order], int(triples.max()) + 1 if len(triples) else 1)]
+        triples = base[triple_owner] + triple_word - first[pair_owner[triple_owner]] if len(triple_owner) else np.zeros(0, np.int64)
+        top = lambda x: int(x[-1]) + 1 if len(x) else 1
+        levels = [(v, top(v)), (big(word_owner, word), max(1, n) << bits), (big(pair_owner, pair), max(1, n) << bits), (base, top(base)), (triples, top(triples))]
         arrays = [a for values, universe in levels for a in EliasFano.build(values, universe)]
-        arrays += [codes["contexts"], codes["words"], codes["pairs"], codes["triples"][order]]
-        arrays = [np.ascontiguousarray(a if i < 4 * len(LEVELS) else a.astype(np.uint8)) for i, a in enumerate(arrays)]
-        at, places = 8 + 16 * len(arrays), []
+        arrays += [codes[name].astype(np.uint8) for name in CODES]
+        at, places = 16 + 16 * len(arrays), []
         for a in arrays:
             at = -(-at // 64) * 64
             places.append((at, a.nbytes))
             at += a.nbytes
-        if path is None:
-            memory = mmap.mmap(-1, max(at, 1))
-        else:
-            with open(path, "wb") as f:
-                f.truncate(at)
-            with open(path, "r+b") as f:
-                memory = mmap.mmap(f.fileno(), at)
-        memory[:8] = np.int64(len(arrays)).tobytes()
-        memory[8 : 8 + 16 * len(arrays)] = np.array(places, np.int64).tobytes()
-        for (place, size), a in zip(places, arrays):
-            memory[place : place + size] = a.tobytes()
-        return cls(memory)
+        file.truncate(at)
+        file.seek(0)
+        file.write(np.array([len(arrays), bits], np.int64).tobytes() + np.array(places, np.int64).tobytes())
+        for (place, _), a in zip(places, arrays):
+            file.seek(place)
+            file.write(np.ascontiguousarray(a).data)
+        file.flush()
+
+    @classmethod
+    def map(cls, file) -> Trie:
+        """The trie in a file that is open for reading, mapped read-only."""
+        return cls(mmap.mmap(file.fileno(), 0, access=mmap.ACCESS_READ))
 
     @classmethod
     def open(cls, path: str) -> Trie:
         with open(path, "rb") as f:
-            return cls(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+            return cls.map(f)
 
     def context(self, v: np.ndarray) -> np.ndarray:
         return self.contexts.find(v)
@@ -203,7 +200,7 @@ class Trie:
     def _after(self, level: EliasFano, owner: np.ndarray, h: np.ndarray) -> np.ndarray:
         out = np.full(len(owner), -1, np.int64)
         known = owner >= 0
-        out[known] = level.find((owner[known].astype(np.uint64) << U(CONTEXT_BITS)) | h[known].astype(np.uint64))
+        out[known] = level.find((owner[known].astype(np.uint64) << U(self.bits)) | h[known].astype(np.uint64))
         return out
 
     def triple(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -211,6 +208,6 @@ class Trie:
         out = np.full(len(pair), -1, np.int64)
         known = (pair >= 0) & (word >= 0)
         if known.any():
-            first = self.words.successor(context[known].astype(np.uint64) << U(CONTEXT_BITS))
+            first = self.words.successor(context[known].astype(np.uint64) << U(self.bits))
             out[known] = self.triples.find(self.pair_base.access(pair[known]) + (word[known] - first).astype(np.uint64))
         return out

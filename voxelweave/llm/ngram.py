@@ -3,18 +3,22 @@
 Tokens are words (lower-cased in A-Z) and one end per text. All counts are over the whole
 training part of the corpus:
 
-1. Chunks of documents send their distinct tokens and counts; hash buckets add them up and
-answer. 2. Chunks send all their word pairs and triples, with their counts in training, to the shard of
-their last context word; a shard adds them up, smooths by absolute
-discounting, quantises and builds its trie in anonymous mapped memory, then answers from
-the trie what its chunks asked. No n-gram that occurs in training is left out. 3. Chunks score:
-with f the discounted share and m the mass left,
+1. Texts become chunks of ranks of the chunk's distinct tokens, written once; no text is shuffled. 2. Chunks send
+their distinct tokens and counts; hash buckets add them up, number the tokens and
+answer. 3. Chunks send all their word pairs and triples, with their counts in training, to the shard of
+their last context word. A shard adds them up, smooths by absolute
+discounting, quantises, writes its trie to a file, drops what it was built from, maps the file and answers each chunk's pairs and
+triples, those of held-out texts too, by successor search in the mapped levels. No n-gram that occurs in training is left out.
+4. Chunks score: with f the discounted share and m the mass left,
 P(w | u, v) = f(w | u, v) + m(u, v) P(w | v), P(w | v) = f(w | v) + m(v) P(w),
 P(w) = (c + 0.5) / (N + 0.5 (V + 1)).
 
-Chunks and shards grow in number with the input; a shard also holds whole what follows its most
-frequent context. Tokens are told apart by 64-bit hashes; after the first step they have
-numbers, which are a few bytes in the messages that follow.
+Chunks and shards grow in number with the input. A context word v that occurs more than `hot` times is split into
+parts over several shards, its triples by the word u before, its pairs by the word after. What is left for v is then the sum of what the
+parts found; `hot` is at least 2**-16 of all tokens, so there are at most 65,536 such sums, and the driver passes them on.
+
+Tokens are told apart by 64-bit hashes; after the first step they have
+numbers, which are a few bytes in the messages that follow; a triple's last word is sent as its place among the chunk's words after v.
 
 Defined cases: null text is the empty text, whose one token is the end; a null doc_id counts as the
 empty text for the fold; an empty training part leaves P = 0.5 / 0.5 = 1 for each token;
@@ -23,27 +27,34 @@ equal rows score alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .chunks import chunked, log2_up
+from .chunks import grown, log2_up
 from .eliasfano import Trie
 from .repeats import _blocks, _frame
 from .scratch import Scratch, text_bytes
-from .text import U, word_hashes
+from .text import BASE_C, U, buffers, mix, slices, word_hashes
 
 FOLDS, HELD_OUT = 5, 1
 END, BEGIN = 0x452821E638D01377, 0xBE5466CF34E90C6C
-DISCOUNT, LEAST = 0.75, 1
+DISCOUNT = 0.75
 #: 8-bit codes of log10 values from -RANGE to 0; the last stands for 0.
 RANGE, NONE = 10.16, 255
-CHUNK_BYTES = 5 << 20
+CHUNK_BYTES, SHARD_BYTES, MOST_BYTES = 8 << 20, 4 << 20, 32 << 20
+#: A context is split beyond so many occurrences, or a larger share of the tokens, see `hot`.
+HOT, HOT_SHARE = 1 << 20, 16
 
-MESSAGE = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int32()), ("payload", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("numbers", pa.int64())])
-MESSAGE_SQL = "kind int, bucket long, chunk int, payload binary, tokens long, distinct long, numbers long"
-COUNTS, ANSWERS = 0, 1
+TEXTS_SQL = "chunk long, doc_ids array<long>, held_out array<boolean>, n_train long, sizes binary, words binary, hashes binary, counts binary"
+MESSAGE = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("numbers", pa.int64()), ("most", pa.int64())])
+MESSAGE_SQL = "kind int, bucket long, chunk long, payload binary, tokens long, distinct long, numbers long, most long"
+COUNTS, ANSWERS, MASS, TRIE = 0, 1, 2, 3
 
 
 def held_out(doc_id: Column) -> Column:
@@ -56,8 +67,11 @@ def code(share: np.ndarray) -> np.ndarray:
         return np.where(share > 0, np.clip(np.round(-np.log10(share) * (NONE - 1) / RANGE), 0, NONE - 1), NONE).astype(np.uint8)
 
 
+_SHARES = np.append(10.0 ** (-np.arange(NONE) * RANGE / (NONE - 1)), 0.0)
+
+
 def share(codes: np.ndarray) -> np.ndarray:
-    return np.where(codes == NONE, 0.0, 10.0 ** (-codes.astype(np.float64) * RANGE / (NONE - 1)))
+    return _SHARES[codes]
 
 
 def pack(*arrays: np.ndarray) -> bytes:
@@ -89,44 +103,216 @@ def _ranked(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return distinct[order], place[codes]
 
 
-class Tokens:
-    """A chunk's tokens: distinct hashes (sorted) and each token's place among them, in training or not."""
+def _order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The order of rows by (first, second), which aren't negative; rows that are equal in both keep theirs."""
+    n = len(first)
+    if not n:
+        return np.zeros(0, np.int64)
+    low, place = int(second.max()).bit_length(), (n - 1).bit_length()
+    if int(first.max()).bit_length() + low + place > 63:
+        return np.lexsort((second, first))
+    # numbers sort several times faster than their places do
+    return np.sort((((first << low) | second) << place) | np.arange(n)) & ((1 << place) - 1)
+
+
+def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct rows (first, second) in order, and the place of each row among them."""
+    order = _order(first, second)
+    a, b = first[order], second[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    place = np.empty(len(a), np.int64)
+    place[order] = np.cumsum(new) - 1
+    return a[new], b[new], place
+
 
-    def __init__(self, table: pa.Table):
+def encode(docs: DataFrame, chunk_bytes: int) -> DataFrame:
+    """Chunks of texts as ranks among the chunk's distinct token hashes: one row a chunk, see TEXTS_SQL."""
+
+    def chunk(at: int, table: pa.Table) -> list:
         h, _, counts = word_hashes(table["text"], lower=True)
-        self.sizes = counts + 1
-        ends = np.cumsum(self.sizes) - 1
+        sizes = counts + 1
         every = np.zeros(len(h) + len(counts), np.uint64)
         is_end = np.zeros(len(every), bool)
-        is_end[ends] = True
+        is_end[np.cumsum(sizes) - 1] = True
         every[is_end], every[~is_end] = U(END), h
-        self.hashes, self.word = _ranked(every)
-        self.first = ends - counts
-        self.training = np.repeat(~table["held_out"].to_numpy(zero_copy_only=False).astype(bool) if table.num_rows else np.zeros(0, bool), self.sizes)
-        self.counts = np.bincount(self.word[self.training], minlength=len(self.hashes))
-
-    def grams(self) -> None:
-        """Distinct pairs (context, word) and triples (pair before, word), with counts in training."""
-        n = len(self.hashes)
-        self.all = np.append(self.hashes, U(BEGIN))
-        self.before = np.empty_like(self.word)
-        self.before[1:] = self.word[:-1]
-        self.before[self.first] = n
-        key, self.pair = _ranked(self.before * (n + 1) + self.word)
-        self.pair_v, self.pair_w = key // (n + 1), key % (n + 1)
-        p = len(key)
-        last = np.empty_like(self.pair)
-        last[1:] = self.pair[:-1]
-        last[self.first] = p  # no word before: the context is the start alone
-        key, self.triple = _ranked(last * (n + 1) + self.word)
-        self.triple_p, self.triple_w = key // (n + 1), key % (n + 1)
-        self.pair_count = np.bincount(self.pair[self.training], minlength=p)
-        self.triple_count = np.bincount(self.triple[self.training], minlength=len(key))
-
-    def last(self) -> np.ndarray:
-        """The pair that each triple ends in."""
-        out = np.zeros(len(self.triple_p), np.int64)
-        out[self.triple] = self.pair
+        distinct, word = _ranked(every)
+        held = table["held_out"].to_numpy(zero_copy_only=False).astype(bool)
+        seen = np.bincount(word[np.repeat(~held, sizes)], minlength=len(distinct))
+        u4 = lambda x: pack(x.astype("<u4"))
+        return [at, table["doc_id"].to_pylist(), held.tolist(), int((~held).sum()), u4(sizes), u4(word), distinct.astype("<u8").tobytes(), u4(seen)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size, at = [], 0, TaskContext.get().partitionId() << 32
+
+        def out(last: bool):
+            nonlocal waiting, size, at
+            table = pa.Table.from_batches(waiting)
+            offsets = buffers(table["text"])[1]
+            waiting, size = [], 0
+            for a, b in slices(offsets, chunk_bytes):
+                part = table.slice(a, b - a)
+                if b == table.num_rows and not last:
+                    waiting, size = part.to_batches(), int(offsets[b] - offsets[a])
+                else:
+                    row, at = chunk(at, part), at + 1
+                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
+
+        for b in batches:
+            if b.num_rows:
+                waiting.append(b)
+                size += b.column(1).nbytes
+                if size >= 2 * chunk_bytes:
+                    yield from out(False)
+        if waiting:
+            yield from out(True)
+
+    names = [x.split()[0] for x in TEXTS_SQL.split(", ")]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out")]
+    return docs.select(*columns).mapInArrow(run, TEXTS_SQL)
+
+
+class Numbers:
+    """Where contexts live: numbers of tokens have `bits` bits, shards are the highest `shard_bits` of a mixed number."""
+
+    def __init__(self, shard_bits: int, rank_bits: int, starts: int, hot: int):
+        self.shard_bits, self.rank_bits, self.starts, self.hot = shard_bits, rank_bits, starts, hot
+        self.begin = 1 << (shard_bits + rank_bits)
+        self.bits = shard_bits + rank_bits + 1
+
+    def parts(self, total: np.ndarray) -> np.ndarray:
+        return np.maximum(1, -(-total // self.hot))
+
+    def shard(self, v: np.ndarray, parts: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
+        """The shard of context v's part that holds `by` (None: of its home, the first part)."""
+        part = U(0) if by is None else mix(by.astype(np.uint64)) % parts.astype(np.uint64)
+        return (mix(v.astype(np.uint64) + part * U(BASE_C)) >> U(64 - self.shard_bits)).astype(np.int64)
+
+
+class Grams:
+    """A chunk's distinct pairs and triples, with counts in training, and what of them it sends to each shard.
+
+    Local words are ranks, the start of a text is the last one. A unit is a context in a shard; entries are a unit's words; a preceded context (u, v)
+    belongs to the unit of its part. Whatever holds a token that training doesn't have isn't sent.
+    """
+
+    def __init__(self, row: dict, counts: np.ndarray, numbers: np.ndarray, space: Numbers):
+        word, sizes = unpack(row["words"])[0].astype(np.int64), unpack(row["sizes"])[0].astype(np.int64)
+        n = len(numbers)
+        self.word, self.sizes, self.counts = word, sizes, counts
+        training = np.repeat(~np.asarray(row["held_out"], bool), sizes)
+        number, total = np.append(numbers, space.begin), np.append(counts, space.starts)
+        is_end = np.frombuffer(row["hashes"], "<u8") == U(END)
+        known, context = total > 0, (total > 0) & ~np.append(is_end, False)
+        before = np.empty_like(word)
+        before[1:] = word[:-1]
+        first = np.cumsum(sizes) - sizes
+        before[first] = n
+        self.v, self.w, self.pair = _distinct(before, word)
+        p = len(self.v)
+        pair_count = np.bincount(self.pair[training], minlength=p)
+        # triples: the pair that ends before the word, then the word
+        later = np.ones(len(word), bool)
+        later[first] = False
+        at = np.flatnonzero(later)
+        self.later = at
+        t_pair, t_word, self.triple = _distinct(self.pair[at - 1], word[at])
+        triple_count = np.bincount(self.triple[training[at]], minlength=len(t_pair))
+        self.t_pair = t_pair
+        self.t_last = np.zeros(len(t_pair), np.int64)  # the pair that a triple ends in
+        self.t_last[self.triple] = self.pair[at]
+
+        parts = space.parts(total)
+        split = parts > 1
+        pairs = np.flatnonzero(context[self.v] & known[self.w])  # as pairs (v, w)
+        preceded = np.flatnonzero(known[self.v] & context[self.w])  # as contexts (u, v)
+        home = space.shard(number, parts)
+        asked = np.flatnonzero(context)
+        asked = asked[np.isin(asked, self.v)]
+        key = lambda shard, v: shard * (n + 1) + v
+        s2 = home[self.v[pairs]]
+        hot = split[self.v[pairs]]
+        s2[hot] = space.shard(number[self.v[pairs[hot]]], parts[self.v[pairs[hot]]], number[self.w[pairs[hot]]])
+        s3 = home[self.w[preceded]]
+        hot3 = split[self.w[preceded]]
+        s3[hot3] = space.shard(number[self.w[preceded[hot3]]], parts[self.w[preceded[hot3]]], number[self.v[preceded[hot3]]])
+        units = np.unique(np.concatenate((key(home[asked], asked), key(home[self.w[preceded]], self.w[preceded]), key(s2[hot], self.v[pairs[hot]]), key(s3[hot3], self.w[preceded[hot3]]))))
+        self.unit_shard, unit_v = units // (n + 1), units % (n + 1)
+        self.unit_number, self.unit_total, self.unit_v = number[unit_v], total[unit_v], unit_v
+        self.unit_home = self.unit_shard == home[unit_v]
+        own = np.full(n + 1, -1, np.int64)
+        own[unit_v[self.unit_home]] = np.flatnonzero(self.unit_home)
+
+        def unit_of(shard, v, hot):
+            out = own[v]
+            out[hot] = np.searchsorted(units, key(shard[hot], v[hot]))
+            return out
+
+        pair_unit = unit_of(s2, self.v[pairs], hot)
+        c_unit = unit_of(s3, self.w[preceded], hot3)
+        # preceded contexts in order of (unit, u)
+        order = _order(c_unit, self.v[preceded])
+        self.context, self.c_unit = preceded[order], c_unit[order]
+        self.c_number, self.c_count = number[self.v[self.context]], pair_count[self.context]
+        place = np.full(p + 1, -1, np.int64)
+        place[self.context] = np.arange(len(order))
+        triples = np.flatnonzero((place[t_pair] >= 0) & known[t_word])
+        t_context = place[t_pair[triples]]
+        t_unit = self.c_unit[t_context]
+        # entries: pairs, and where a context is split also the words of a part's triples
+        pair_at = np.full(p, -1, np.int64)
+        pair_at[pairs] = pair_unit
+        away = pair_at[self.t_last[triples]] != t_unit
+        e_unit = np.concatenate((pair_unit, t_unit[away]))
+        e_word = np.concatenate((self.w[pairs], t_word[triples[away]]))
+        self.e_unit, entry_word, where = _distinct(e_unit, e_word)
+        self.e_number = number[entry_word]
+        self.e_count = np.zeros(len(self.e_unit), np.int64)
+        self.e_count[where[: len(pairs)]] = pair_count[pairs]
+        self.pairs, self.pair_entry = pairs, where[: len(pairs)]
+        entry = np.full(p, -1, np.int64)
+        entry[pairs] = self.pair_entry
+        t_entry = entry[self.t_last[triples]]
+        t_entry[away] = where[len(pairs) :]
+        rank = t_entry - np.searchsorted(self.e_unit, t_unit)
+        order = _order(t_context, rank)
+        self.triples, self.t_context, self.t_rank = triples[order], t_context[order], rank[order]
+        self.t_count = triple_count[self.triples]
+
+    def runs(self):
+        """(shard, units, entries, preceded contexts, triples): ranges of each for a shard."""
+        for s, i, j in _blocks(self.unit_shard, 0):
+            entries, contexts = np.searchsorted(self.e_unit, [i, j]), np.searchsorted(self.c_unit, [i, j])
+            yield s, (i, j), tuple(entries.tolist()), tuple(contexts.tolist()), tuple(np.searchsorted(self.t_context, contexts).tolist())
+
+    def messages(self):
+        u4, u8 = (lambda x: x.astype("<u4")), (lambda x: x.astype("<u8"))
+        for s, (i, j), (a, z), (c, d), (e, f) in self.runs():
+            parts = [u8(np.diff(self.unit_number[i:j], prepend=0)), u8(self.unit_total[i:j]), _per(self.e_unit[a:z] - i, j - i), _steps(self.e_number[a:z], self.e_unit[a:z]), u4(self.e_count[a:z])]
+            parts += [_per(self.c_unit[c:d] - i, j - i), _steps(self.c_number[c:d], self.c_unit[c:d]), u4(self.c_count[c:d])]
+            parts += [_per(self.t_context[e:f] - c, d - c), _steps(self.t_rank[e:f], self.t_context[e:f]), u4(self.t_count[e:f])]
+            yield s, pack(*parts)
+
+    def probabilities(self, told: dict[int, bytes], one: np.ndarray, masses: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """P(w | u, v) of each token, from the shards' answers and the probabilities of the words alone."""
+        n, p = len(one), len(self.v)
+        m2, f2, m3, f3 = np.ones(n + 1), np.zeros(p), np.ones(p), np.zeros(len(self.t_pair))
+        e2 = np.zeros(len(self.e_unit))
+        for s, (i, j), (a, z), (c, d), (e, f) in self.runs():
+            left, words, contexts, triples = (share(x) for x in unpack(told[s]))
+            at_home = self.unit_home[i:j]
+            m2[self.unit_v[i:j][at_home]] = left[at_home]
+            e2[a:z], m3[self.context[c:d]], f3[self.triples[e:f]] = words, contexts, triples
+        f2[self.pairs] = e2[self.pair_entry]
+        at = np.searchsorted(masses[0], self.unit_number)
+        if len(masses[0]):  # contexts in parts
+            found = masses[0][np.minimum(at, len(masses[0]) - 1)] == self.unit_number
+            m2[self.unit_v[found]] = np.clip(DISCOUNT * masses[1][at[found]] / self.unit_total[found], 1e-9, 1)
+        two = f2 + m2[self.v] * one[self.w]
+        three = f3 + m3[self.t_pair] * two[self.t_last]
+        out = two[self.pair]
+        out[self.later] = three[self.triple]
         return out
 
 
@@ -134,41 +320,6 @@ def _per(owner: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(owner, minlength=n).astype("<u4")
 
 
-class Asked:
-    """What a chunk sends to shards: its contexts, and its pairs and triples, in order of context."""
-
-    def __init__(self, own: Tokens, counts: np.ndarray, numbers: np.ndarray, begin: int, starts: int):
-        n, p = len(own.hashes), len(own.pair_v)
-        self.number = np.append(numbers, begin)
-        total = np.append(counts, starts)  # how often each context occurs: as often as the word, the start once a text
-        wanted = total >= LEAST
-        wanted[:n] &= own.hashes != U(END)
-        self.v = np.flatnonzero(wanted)  # in order of number
-        place = np.full(n + 1, -1, np.int64)
-        place[self.v] = np.arange(len(self.v))
-        pair = np.flatnonzero(place[own.pair_v] >= 0)
-        self.pair = pair[np.argsort(place[own.pair_v[pair]], kind="stable")]
-        self.pair_owner = place[own.pair_v[self.pair]]
-        # pairs (u, v) as contexts of triples: in order of v
-        after = np.flatnonzero(place[own.pair_w] >= 0)
-        self.context = after[np.argsort(place[own.pair_w[after]], kind="stable")]
-        self.context_owner = place[own.pair_w[self.context]]
-        where = np.full(p + 1, -1, np.int64)
-        where[self.context] = np.arange(len(self.context))
-        triple = np.flatnonzero(where[own.triple_p] >= 0)
-        self.triple = triple[np.argsort(where[own.triple_p[triple]], kind="stable")]
-        self.triple_owner = where[own.triple_p[self.triple]]
-        self.total = total[self.v]
-
-    def runs(self, bits: int):
-        """(bucket, contexts, pairs, (u, v) contexts, triples): ranges of each for a shard, which holds the numbers with equal high bits."""
-        for b, i, j in _blocks(self.number[self.v] >> bits, 0):
-            pair = np.searchsorted(self.pair_owner, [i, j])
-            context = np.searchsorted(self.context_owner, [i, j])
-            triple = np.searchsorted(self.triple_owner, context)
-            yield b, (i, j), tuple(pair), tuple(context), tuple(triple)
-
-
 def _steps(x: np.ndarray, owner: np.ndarray) -> np.ndarray:
     """Values that ascend in each run of one owner, as differences that start anew with each run."""
     out = np.diff(x, prepend=0)
@@ -184,76 +335,81 @@ def _unsteps(d: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return total[1:] - np.repeat(total[np.cumsum(sizes) - sizes], sizes)
 
 
-def _sum_by(owner: np.ndarray, h: np.ndarray, count: np.ndarray):
-    """Distinct (owner, h) in order, their summed counts, and the place of each row among them."""
-    order = np.lexsort((h, owner))
-    o, k = owner[order], h[order]
-    new = np.ones(len(o), bool)
-    new[1:] = (o[1:] != o[:-1]) | (k[1:] != k[:-1])
-    at = np.flatnonzero(new)
-    place = np.empty(len(o), np.int64)
-    place[order] = np.cumsum(new) - 1
-    total = np.add.reduceat(count[order].astype(np.int64), at) if len(at) else np.zeros(0, np.int64)
-    return o[at], k[at], total, place
-
-
-def build_shard(v, total, word_owner, word, word_count, pair_owner, pair, pair_count, triple_owner, triple, triple_count, path: str | None = None, least: int = 2) -> Trie:
-    """The trie of one shard from summed counts, each level sorted; counts under `least` are left out."""
-    keep = word_count >= least
-    word_owner, word, word_count = word_owner[keep], word[keep], word_count[keep]
-    f2 = (word_count - DISCOUNT) / total[word_owner]
-    m2 = np.clip(1 - np.bincount(word_owner, f2, len(v)), 1e-9, 1)
-    keep = triple_count >= least
-    triple_owner, triple, triple_count = triple_owner[keep], triple[keep], triple_count[keep]
-    used = np.bincount(triple_owner, minlength=len(pair)) > 0
-    renumber = np.cumsum(used) - 1
-    f3 = (triple_count - DISCOUNT) / np.maximum(pair_count[triple_owner], 1)
-    m3 = np.clip(1 - np.bincount(triple_owner, f3, len(pair)), 1e-9, 1)[used]
-    codes = {"contexts": code(m2), "words": code(f2), "pairs": code(m3), "triples": code(f3)}
-    return Trie.build(v, word_owner, word, pair_owner[used], pair[used], renumber[triple_owner], triple, codes, path)
+def _keys(message: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """(v; words and their unit; words before and their unit; entries and preceded contexts of triples) of a message."""
+    units = np.arange(len(message[0]))
+    word_unit, pair_unit = np.repeat(units, message[2]), np.repeat(units, message[5])
+    first = np.cumsum(message[2]) - message[2]
+    context = np.repeat(np.arange(len(pair_unit)), message[8])
+    entry = _unsteps(message[9], message[8]) + first.astype(np.int64)[pair_unit[context]]
+    return np.cumsum(message[0].astype(np.int64)), _unsteps(message[3], message[2]), word_unit, _unsteps(message[6], message[5]), pair_unit, entry, context
 
 
-def _shard(payloads: list[bytes]) -> list[bytes]:
-    """Answers to each chunk's message: codes of m2 by context, f2 by pair, m3 by (u, v), f3 by triple."""
+def build_shard(file, payloads: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Write the trie of all messages' counts to a file; (contexts, how often each occurs, how many words it has here)."""
     sent = [unpack(x) for x in payloads]
-    sizes = np.array([[len(s[0]), len(s[3]), len(s[6]), len(s[9])] for s in sent])
-    cat = lambda k: np.concatenate([s[k] for s in sent])
-    run = lambda sizes, k: np.concatenate([_unsteps(s[k], s[sizes]) for s in sent])
-    v, own = _ranked(np.concatenate([np.cumsum(s[0].astype(np.int64)) for s in sent]))
+    keys = [_keys(m) for m in sent]
+    cat = lambda arrays: np.concatenate([np.asarray(a, np.int64) for a in arrays])
+    v, own = _ranked(cat(k[0] for k in keys))
     total = np.zeros(len(v), np.int64)
-    total[own] = cat(1)
-    word_owner, word, word_count, place_w = _sum_by(np.repeat(own, cat(2)), run(2, 3), cat(4))
-    pair_owner, pair, pair_count, place_p = _sum_by(np.repeat(own, cat(5)), run(5, 6), cat(7))
-    triple_owner, triple, triple_count, place_t = _sum_by(np.repeat(place_p, cat(8)), run(8, 9), cat(10))
-    trie = build_shard(v, total, word_owner, word, word_count, pair_owner, pair, pair_count, triple_owner, triple, triple_count, least=LEAST)
-    # ask the trie
+    total[own] = cat(m[1] for m in sent)
+    units = np.cumsum([0, *(len(m[0]) for m in sent)])
+    word_owner, word, place_w = _distinct(own[cat(k[2] + a for k, a in zip(keys, units))], cat(k[1] for k in keys))
+    word_count = np.bincount(place_w, cat(m[4] for m in sent), len(word)).astype(np.int64)
+    pair_owner, pair, place_p = _distinct(own[cat(k[4] + a for k, a in zip(keys, units))], cat(k[3] for k in keys))
+    pair_count = np.bincount(place_p, cat(m[7] for m in sent), len(pair)).astype(np.int64)
+    entries, contexts = np.cumsum([0, *(len(m[3]) for m in sent)]), np.cumsum([0, *(len(m[6]) for m in sent)])
+    triple_owner, triple, place_t = _distinct(place_p[cat(k[6] + a for k, a in zip(keys, contexts))], place_w[cat(k[5] + a for k, a in zip(keys, entries))])
+    triple_count = np.bincount(place_t, cat(m[10] for m in sent), len(triple)).astype(np.int64)
+    del sent, keys
+    # only what training has
+    kept = triple_count > 0
+    triple_owner, triple, triple_count = triple_owner[kept], triple[kept], triple_count[kept]
+    used = np.bincount(triple_owner, minlength=len(pair)) > 0
+    needed = word_count > 0
+    distinct = np.bincount(word_owner[needed], minlength=len(v))
+    needed[triple] = True
+    f2 = np.maximum(word_count - DISCOUNT, 0) / total[word_owner]
+    m2 = np.where(distinct > 0, np.clip(DISCOUNT * distinct / total, 1e-9, 1), 1)
+    f3 = (triple_count - DISCOUNT) / pair_count[triple_owner]
+    m3 = np.clip(DISCOUNT * np.bincount(triple_owner, minlength=len(pair))[used] / pair_count[used], 1e-9, 1)
+    codes = {"contexts": code(m2), "words": code(f2[needed]), "pairs": code(m3), "triples": code(f3)}
+    Trie.write(file, v, word_owner[needed], word[needed], pair_owner[used], pair[used], (np.cumsum(used) - 1)[triple_owner], (np.cumsum(needed) - 1)[triple], codes, bits)
+    return v, total, distinct
+
+
+def ask(trie: Trie, payload: bytes) -> bytes:
+    """Answers to a chunk's message: codes of m2 by unit, f2 by word, m3 by (u, v), f3 by triple."""
+    v, word, word_unit, before, pair_unit, entry, of = _keys(unpack(payload))
     context = trie.context(v)
-    w = trie.word(context[word_owner], word)
-    p = trie.pair(context[pair_owner], pair)
-    owner = pair_owner[triple_owner]
-    t = trie.triple(context[owner], p[triple_owner], trie.word(context[owner], triple))
+    w = trie.word(context[word_unit], word)
+    p = trie.pair(context[pair_unit], before)
+    t = trie.triple(context[pair_unit[of]], p[of], w[entry])
     tell = lambda level, at, none: np.where(at >= 0, np.append(trie.codes[level], np.uint8(0))[at], none).astype(np.uint8)
-    answers = [tell("contexts", context, 0)[own], tell("words", w, NONE)[place_w], tell("pairs", p, 0)[place_p], tell("triples", t, NONE)[place_t]]
-    ends = np.cumsum(sizes, 0)
-    return [pack(*[a[e - n : e] for a, e, n in zip(answers, ends[i], sizes[i])]) for i in range(len(sent))]
+    return pack(tell("contexts", context, 0), tell("words", w, NONE), tell("pairs", p, 0), tell("triples", t, NONE))
 
 
 def _by_bucket(table: pa.Table, kind: int) -> dict[int, bytes]:
     return {b: x.as_py() for k, b, x in zip(table["kind"].to_pylist(), table["bucket"].to_pylist(), table["payload"]) if k == kind}
 
 
-def score_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+def score_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
+
+    model: a folder for the tries themselves, as Parquet (bucket: the shard; payload: the file that Trie maps).
+    """
     spark = docs.sparkSession
     scratch, size = Scratch(spark), max(1, text_bytes(docs))
-    shard_bits = max(1, log2_up(size >> 21))
-    columns = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(F.col("doc_id")).alias("held_out")]
-    texts = chunked(docs, columns, size, CHUNK_BYTES)
+    chunk_bytes = max(1 << 18, min(grown(size, CHUNK_BYTES, MOST_BYTES), size // (2 * spark.sparkContext.defaultParallelism)))
+    shard_bits = max(1, log2_up(size // grown(size, SHARD_BYTES, MOST_BYTES)))
+    texts = scratch.save(encode(docs, chunk_bytes), "texts")
 
-    def count(table: pa.Table) -> pa.Table:
-        own, chunk = Tokens(table), table["chunk"][0].as_py()
-        shard = (own.hashes >> U(64 - shard_bits)).astype(np.int64)
-        return _frame([(COUNTS, b, chunk, pack(own.hashes[i:j], own.counts[i:j].astype("<u4")), 0, 0, 0) for b, i, j in _blocks(shard, 0)], MESSAGE)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for chunk, hashes, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
+                h, c = np.frombuffer(hashes.as_buffer(), "<u8"), unpack(counts.as_py())[0]
+                shard = (h >> U(64 - shard_bits)).astype(np.int64)
+                yield from _frame([(COUNTS, s, chunk, pack(h[i:j], c[i:j]), 0, 0, 0, 0) for s, i, j in _blocks(shard, 0)], MESSAGE).to_batches()
 
     def add_up(table: pa.Table) -> pa.Table:
         sent = [unpack(x.as_py()) for x in table["payload"]]
@@ -262,69 +418,79 @@ def score_texts(docs: DataFrame) -> DataFrame:
         at, out, bucket = 0, [], table["bucket"][0].as_py()
         for i, (chunk, s) in enumerate(zip(table["chunk"].to_pylist(), sent)):
             mine = place[at : at + len(s[0])]
-            summary = (0, 0, 0) if i else (int(total.sum()), int((total > 0).sum()), len(known))
+            summary = (0, 0, 0, 0) if i else (int(total.sum()), int((total > 0).sum()), len(known), int(total.max()))
             out.append((COUNTS, bucket, chunk, pack(total[mine].astype("<u8"), np.diff(mine, prepend=0).astype("<u4")), *summary))
             at += len(mine)
         return _frame(out, MESSAGE)
 
-    counted = scratch.save(texts.groupBy("chunk").applyInArrow(count, MESSAGE_SQL).groupBy("bucket").applyInArrow(add_up, MESSAGE_SQL), "counts")
-    whole = counted.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"), F.max("numbers").alias("numbers")).first()
+    sent = texts.select("chunk", "hashes", "counts").mapInArrow(count, MESSAGE_SQL)
+    counted = scratch.save(sent.groupBy("bucket").applyInArrow(add_up, MESSAGE_SQL), "counts")
+    whole = counted.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"), F.max("numbers").alias("numbers"), F.max("most").alias("most")).first()
     every, kinds, rank_bits = int(whole["tokens"] or 0), int(whole["distinct"] or 0), log2_up(int(whole["numbers"] or 1) + 1)
-    begin = 1 << (shard_bits + rank_bits)
-    starts = docs.filter(~held_out(F.col("doc_id"))).count()
+    starts = int(texts.agg(F.sum("n_train")).first()[0] or 0)
+    space = Numbers(shard_bits, rank_bits, starts, max(HOT, every >> HOT_SHARE))
 
-    def asked(table: pa.Table, told: pa.Table) -> tuple[Tokens, np.ndarray, Asked]:
-        own, counts, numbers = Tokens(table), [], []
-        got = _by_bucket(told, COUNTS)
+    def grams(table: pa.Table, told: pa.Table) -> Grams:
+        got, counts, numbers = _by_bucket(told, COUNTS), [], []
         for b in sorted(got):
             total, steps = unpack(got[b])
             counts.append(total.astype(np.int64))
             numbers.append((b << rank_bits) + np.cumsum(steps.astype(np.int64)))
-        counts, numbers = np.concatenate(counts), np.concatenate(numbers)
-        own.grams()
-        return own, counts, Asked(own, counts, numbers, begin, starts)
+        row = {n: table[n][0].as_py() for n in ("words", "sizes", "held_out", "hashes")}
+        return Grams(row, np.concatenate(counts), np.concatenate(numbers), space)
 
-    def ask(table: pa.Table, told: pa.Table) -> pa.Table:
+    def send(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _frame([], MESSAGE)
-        own, _, q = asked(table, told)
-        chunk, out = table["chunk"][0].as_py(), []
-        u4 = lambda x: x.astype("<u4")
-        v, words, u, third = q.number[q.v], q.number[own.pair_w[q.pair]], q.number[own.pair_v[q.context]], q.number[own.triple_w[q.triple]]
-        c2, cu, c3 = own.pair_count[q.pair], own.pair_count[q.context], own.triple_count[q.triple]
-        for b, (i, j), (a, z), (c, d), (e, f) in q.runs(rank_bits):
-            parts = [np.diff(v[i:j], prepend=0).astype("<u8"), q.total[i:j].astype("<u8"), _per(q.pair_owner[a:z] - i, j - i), _steps(words[a:z], q.pair_owner[a:z]), u4(c2[a:z])]
-            parts += [_per(q.context_owner[c:d] - i, j - i), _steps(u[c:d], q.context_owner[c:d]), u4(cu[c:d])]
-            parts += [_per(q.triple_owner[e:f] - c, d - c), _steps(third[e:f], q.triple_owner[e:f]), u4(c3[e:f])]
-            out.append((ANSWERS, b, chunk, pack(*parts), 0, 0, 0))
-        return _frame(out, MESSAGE)
+        chunk = table["chunk"][0].as_py()
+        return _frame([(ANSWERS, s, chunk, x, 0, 0, 0, 0) for s, x in grams(table, told).messages()], MESSAGE)
 
     def shard(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        got = _shard([x.as_py() for x in table["payload"]])
-        return _frame([(ANSWERS, bucket, c, x, 0, 0, 0) for c, x in zip(table["chunk"].to_pylist(), got)], MESSAGE)
+        bucket, payloads, out = table["bucket"][0].as_py(), [x.as_py() for x in table["payload"]], []
+        with tempfile.TemporaryFile() as file:
+            v, total, distinct = build_shard(file, payloads, space.bits)
+            trie = Trie.map(file)
+            out += [(ANSWERS, bucket, c, ask(trie, x), 0, 0, 0, 0) for c, x in zip(table["chunk"].to_pylist(), payloads)]
+            hot = total > space.hot
+            if hot.any():
+                out.append((MASS, bucket, 0, pack(v[hot].astype("<u8"), distinct[hot].astype("<u8")), 0, 0, 0, 0))
+            if model:
+                file.seek(0)
+                out.append((TRIE, bucket, 0, file.read(), 0, 0, 0, 0))
+        return _frame(out, MESSAGE)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
+    types = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
 
     def finish(table: pa.Table, told: pa.Table) -> pa.Table:
-        own, counts, q = asked(table, told)
-        got = _by_bucket(told, ANSWERS)
-        one = (counts + 0.5) / (every + 0.5 * (kinds + 1))
-        m2, f2 = np.ones(len(own.all)), np.zeros(len(own.pair_v))
-        m3, f3 = np.ones(len(own.pair_v) + 1), np.zeros(len(own.triple_p))
-        for b, (i, j), (a, z), (c, d), (e, f) in q.runs(rank_bits):
-            x = [share(k) for k in unpack(got[b])]
-            m2[q.v[i:j]], f2[q.pair[a:z]], m3[q.context[c:d]], f3[q.triple[e:f]] = x
-        two = f2 + m2[own.pair_v] * one[own.pair_w]
-        three = f3 + m3[own.triple_p] * two[own.last()]
-        doc = np.repeat(np.arange(len(own.sizes)), own.sizes)
-        n = len(own.sizes)
-        base = np.bincount(doc, np.log10(one)[own.word], n)
-        total = np.bincount(doc, np.log10(three)[own.triple], n)
-        seen = np.bincount(doc, (counts > 0)[own.word], n).astype(np.int64)
-        values = [table["doc_id"], table["held_out"], pa.array(own.sizes.astype(np.int64)), pa.array(seen), pa.array(np.full(n, every)), pa.array(base), pa.array(total)]
-        return pa.Table.from_arrays(values, names)
-
-    answers = texts.groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(ask, MESSAGE_SQL).groupBy("bucket").applyInArrow(shard, MESSAGE_SQL)
-    told = counted.unionByName(answers)
-    return texts.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        g = grams(table, told)
+        one = (g.counts + 0.5) / (every + 0.5 * (kinds + 1))
+        n = len(g.sizes)
+        doc = np.repeat(np.arange(n), g.sizes)
+        base = np.bincount(doc, np.log10(one)[g.word], n)
+        total = np.bincount(doc, np.log10(g.probabilities(_by_bucket(told, ANSWERS), one, masses)), n)
+        seen = np.bincount(doc, (g.counts > 0)[g.word], n).astype(np.int64)
+        columns = [table["doc_ids"][0].as_py(), table["held_out"][0].as_py(), g.sizes, seen, np.full(n, every), base, total]
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    chunks = texts.select("chunk", "doc_ids", "held_out", "sizes", "words", "hashes").groupBy("chunk")
+    answers = chunks.cogroup(counted.groupBy("chunk")).applyInArrow(send, MESSAGE_SQL).groupBy("bucket").applyInArrow(shard, MESSAGE_SQL)
+    answers = scratch.save(answers, "answers")
+    if model:
+        answers.filter(F.col("kind") == TRIE).select("bucket", "payload").write.mode("overwrite").parquet(model)
+    masses = _masses(answers)
+    told = counted.unionByName(answers.filter(F.col("kind") == ANSWERS))
+    return chunks.cogroup(told.groupBy("chunk")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+
+
+def _masses(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, ascending, and counts of following words) of the contexts in parts: 2 ** HOT_SHARE at most."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for x in b.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in unpack(x.as_py())], ["v", "n"])
+
+    got = answers.filter(F.col("kind") == MASS).select("payload").mapInArrow(rows, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()
+    got = np.array(sorted((r["v"], r["n"]) for r in got), np.int64).reshape(-1, 2)
+    return got[:, 0], got[:, 1]
