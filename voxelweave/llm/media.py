@@ -5,7 +5,7 @@ interlaced). Every chunk's CRC-32 is tested on reading, and zlib tests the Adler
 of the samples. Filters are undone with numpy: runs of rows of one kind together,
 Average and Paeth along anti-diagonals.
 
-Defined cases: a null image gives null features; a damaged image raises ValueError in
+Defined cases: a null image gives null features; a damaged, empty or too large image raises ValueError in
 `decode` and gives null features in `hash_images`; null text is the empty text, which
 is one row of 64 zero samples.
 """
@@ -26,6 +26,8 @@ WIDTH = 64
 CHANNELS = {0: 1, 2: 3, 4: 2, 6: 4}
 COLOUR = {1: 0, 3: 2, 2: 4, 4: 6}
 IDAT_BYTES = 1 << 16
+#: Images of more bytes of samples aren't decoded; nothing is inflated beyond what the header promises.
+MOST_BYTES = 1 << 30
 
 
 def _chunk(kind: bytes, data: bytes) -> bytes:
@@ -122,6 +124,8 @@ def decode(png: bytes) -> np.ndarray:
         if struct.unpack_from(">I", png, at + 8 + n)[0] != zlib.crc32(data, zlib.crc32(kind)):
             raise ValueError(f"checksum of {kind!r} is wrong")
         if kind == b"IHDR":
+            if len(data) != 13:
+                raise ValueError("header of a wrong length")
             header = struct.unpack(">IIBBBBB", data)
         elif kind == b"IDAT":
             body.append(data)
@@ -133,11 +137,15 @@ def decode(png: bytes) -> np.ndarray:
     if depth != 8 or colour not in CHANNELS or interlace:
         raise ValueError("only 8-bit images without palette or interlace")
     channels = CHANNELS[colour]
+    size = height * (width * channels + 1)
+    if not width or not height or size > MOST_BYTES:
+        raise ValueError("an image without samples, or of too many")
+    inflate = zlib.decompressobj()
     try:
-        raw = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8)
+        raw = np.frombuffer(inflate.decompress(b"".join(body), size + 1), np.uint8)
     except zlib.error as e:
         raise ValueError(str(e)) from e
-    if raw.size != height * (width * channels + 1):
+    if raw.size != size or not inflate.eof:
         raise ValueError("wrong number of samples")
     rows = raw.reshape(height, -1)
     return unfilter(rows[:, 0], rows[:, 1:], channels).reshape(height, width, channels)
