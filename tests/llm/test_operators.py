@@ -74,9 +74,152 @@ def test_words_are_split_by_the_six_spaces():
     assert text.word_hashes(pa.array(["A", "a"]), False)[0].tolist()[0] != again[0]
 
 
+PATTERNED = [2**10, 2**11, 2**12, 2**13]
+
+
+def thue_morse(n, first="a", second="b"):
+    """A word of n letters, and its complement; sums of powers of any odd base modulo 2**64 are equal for both from some length on."""
+    word = "".join((first, second)[bin(i).count("1") % 2] for i in range(n))
+    return word, word.translate(str.maketrans(first + second, second + first))
+
+
+def test_patterned_words_have_hashes_of_their_own():
+    words = [w for n in PATTERNED for w in thue_morse(n)]
+    for lower in (False, True):
+        one, two, _ = text.word_hashes(pa.array(words), lower, two=True)
+        assert len(set(one.tolist())) == len(set(two.tolist())) == len(words)
+    short = [bytes([33 + i % 90]) * n for n in range(1, 200) for i in range(3)]
+    one, two, counts = text.word_hashes(pa.array([w.decode() for w in short]), False, two=True)
+    assert counts.tolist() == [1] * len(short) and len(set(one.tolist())) == len(set(two.tolist())) == len(set(short))
+    # runs of words as well
+    runs = [text.windows(text.word_hashes(pa.array([" ".join(w)]), False)[0], 2048, text.BASE_C)[0] for w in thue_morse(2048)]
+    assert runs[0] != runs[1]
+
+
+def test_patterned_words_stay_apart(spark, tokenizer):
+    tokenizers = pytest.importorskip("tokenizers")
+    rows, k = [], 0
+    for n in PATTERNED:
+        for w in thue_morse(n):
+            rows.append((k, " ".join([w] * 40)))
+            k += 1
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    near = {r["doc_id"]: r["component_id"] for r in setsketch.near_duplicates(docs, width=2).collect()}
+    assert near == {i: i for i in range(k)}
+    # windows of the same word repeat inside their own text, and only there
+    assert all(r["n_removed"] == 40 for r in repeats.digests(docs).collect())
+    assert all(r["n_removed"] == 0 for r in repeats.digests(spark.createDataFrame([(i, t[: len(t) // 40 * 35]) for i, t in rows], "doc_id long, text string")).collect())
+    seen = Counter(w for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1 for w in t.split())
+    for r in ngram.score_texts(docs).collect():
+        assert r["n_known"] == 40 * (seen[rows[r["doc_id"]][1].split()[0]] > 0) + 1
+    t = tokenizers.Tokenizer.from_file(tokenizer)
+    texts = [w for n in PATTERNED for w in thue_morse(n)]
+    ids, bounds = packing.Encoder(tokenizer).batch(texts)
+    assert all(ids[bounds[i] : bounds[i + 1]].tolist() == e.ids for i, e in enumerate(t.encode_batch(texts, add_special_tokens=False)))
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_bulk_of_equal_rows(bulk, tokenizer, name):
+    got = operators(tokenizer)[name](bulk)
+    if name in ("media", "syncmers", "near", "mix", "repeats", "without_repeats", "lm"):
+        assert got.count() == 3000
+    elif name == "without_near":
+        kept = Counter((r["doc_id"], r["text"]) for r in got.collect())
+        assert sum(n for (d, _), n in kept.items() if d is None) == 1000 and sum(n for (d, _), n in kept.items() if d == 7) == 1
+        # texts of one doc_id that aren't alike each have a row
+        assert all(n == 1 for (d, _), n in kept.items() if d is not None) and sum(d is not None for d, _ in kept) == 51
+    elif name == "copies":
+        words = got.agg(F.sum(mixing.word_count(F.col("text")))).first()[0]
+        assert words == mixing.mix(bulk).agg(F.sum("taken")).first()[0]
+    else:
+        assert got.count() == 3000
+
+
+def test_rows_keep_their_columns(odd):
+    for f in (mixing.copies, repeats.without_repeats, setsketch.without_near_duplicates):
+        assert f(odd).columns == odd.columns
+    got = {(r["doc_id"], r["a.b"], r["it`s"], r["_"], r["_dropped"]) for r in repeats.without_repeats(odd).collect()}
+    assert {x[1:] for x in got} == {("z",) * 4}
+
+
 # ---- media
 
 
+def plain_png(png):
+    """A second reader, byte by byte: (height, width, channels, rows of samples)."""
+    at, body = 8, b""
+    while at < len(png):
+        n, kind = int.from_bytes(png[at : at + 4], "big"), png[at + 4 : at + 8]
+        data = png[at + 8 : at + 8 + n]
+        assert zlib.crc32(kind + data) == int.from_bytes(png[at + 8 + n : at + 12 + n], "big")
+        if kind == b"IHDR":
+            width, height, channels = int.from_bytes(data[:4], "big"), int.from_bytes(data[4:8], "big"), {0: 1, 2: 3, 4: 2, 6: 4}[data[9]]
+        body += data if kind == b"IDAT" else b""
+        at += 12 + n
+    raw, size, above, out = zlib.decompress(body), width * channels, [0] * width * channels, []
+    for y in range(height):
+        kind, line = raw[y * (size + 1)], list(raw[y * (size + 1) + 1 : (y + 1) * (size + 1)])
+        for x in range(size):
+            a, b, c = (line[x - channels] if x >= channels else 0), above[x], (above[x - channels] if x >= channels else 0)
+            best = min((abs(b - c), 0, a), (abs(a - c), 1, b), (abs(a + b - 2 * c), 2, c))[2]
+            line[x] = (line[x] + [0, a, b, (a + b) // 2, best][kind]) % 256
+        out.append(line)
+        above = line
+    return height, width, channels, out
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(1, 7), st.integers(1, 7), st.sampled_from([1, 2, 3, 4]), st.integers(0, 2**31))
+def test_png_by_a_plain_reader(h, w, c, seed):
+    x = np.random.default_rng(seed).integers(0, 256, (h, w, c), dtype=np.uint8)
+    assert plain_png(media.encode(x, (0, 1, 2, 3, 4))) == (h, w, c, x.reshape(h, w * c).tolist())
+
+
+def test_features_of_texts_by_plain_loops(spark):
+    docs = [(i, "".join(random.Random(i).choices("abc déf\n", k=k))) for i, k in enumerate([0, 5, 64, 300, 5000])]
+    got = {r["doc_id"]: r for r in media.media_digests(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    for i, t in docs:
+        raw = t.encode()
+        raw += bytes(-len(raw) % 64 if raw else 64)
+        png = media.encode(np.frombuffer(raw, np.uint8).reshape(-1, 64))
+        height, width, _, rows = plain_png(png)
+        assert b"".join(bytes(r) for r in rows) == raw and got[i]["media_sha256"] == hashlib.sha256(png).hexdigest() and got[i]["media_bytes"] == len(png)
+
+        def mean(values, k):  # of the k-th of 32 equal spans, which may cut values
+            a, b = k * len(values) / 32, (k + 1) * len(values) / 32
+            return sum(v * max(0.0, min(b, j + 1) - max(a, j)) for j, v in enumerate(values)) / (b - a)
+
+        tall = [[mean([row[x] for row in rows], k) for x in range(width)] for k in range(32)]
+        small = [[mean(line, k) for k in range(32)] for line in tall]
+        wave = lambda u, x: np.cos(np.pi * u * (2 * x + 1) / 64)
+        low = [sum(small[y][x] * wave(u, y) * wave(v, x) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)]
+        middle = sorted(low[1:])[31]
+        want = sum(1 << 63 - k for k, v in enumerate(low) if k and v > middle + 1e-5)
+        close = sum(1 << 63 - k for k, v in enumerate(low) if k and abs(v - middle) <= 1e-5)  # rounding decides these
+        assert int(got[i]["feature"], 16) & ~close == want & ~close
+
+
+@pytest.mark.parametrize("change", ["short header", "no width", "no height", "huge", "bomb", "more", "cut"])
+def test_damaged_images_have_no_hash(spark, change):
+    header, data = struct.pack(">IIBBBBB", 2, 2, 8, 0, 0, 0, 0), zlib.compress(bytes(6))
+    if change == "short header":
+        header = header[:12]
+    elif change in ("no width", "no height"):
+        header, data = struct.pack(">IIBBBBB", 2 * (change != "no width"), 2 * (change != "no height"), 8, 0, 0, 0, 0), zlib.compress(b"")
+    elif change == "huge":
+        header = struct.pack(">IIBBBBB", 2**31 - 1, 2**31 - 1, 8, 6, 0, 0, 0)
+    elif change == "bomb":
+        data = zlib.compress(bytes(1 << 26))
+    elif change == "more":
+        data = zlib.compress(bytes(7))
+    else:
+        data = data[:-3]
+    bad = media.SIGNATURE + media._chunk(b"IHDR", header) + media._chunk(b"IDAT", data) + media._chunk(b"IEND", b"")
+    with pytest.raises(ValueError):
+        media.decode(bad)
+    assert media.hash_images(spark.createDataFrame([(bad,)], "image binary")).first()["image_hash"] is None
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 9), st.integers(1, 9), st.sampled_from([1, 2, 3, 4]), st.integers(0, 4), st.integers(0, 2**31))
 def test_png_round_trip(h, w, c, kind, seed):

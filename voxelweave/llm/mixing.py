@@ -8,17 +8,20 @@ scaled to the source's target, is the source's cumulative token demand; a docume
 cumulative size c of its source is trained on at the time when that demand reaches c.
 
 Prefix sums of a source's sizes are taken in two levels (hash buckets, then rows of a
-bucket), so no task holds a whole source. Rows carry sizes and ids, never texts.
+bucket), so no task holds a whole source. The table is read and its words are counted once: rows of sizes and ids (for
+copies, with the documents' columns too) are written to the scratch folder, and all further steps read those.
 
 Defined cases: null text has size 0; sources are ranked by code point with null last;
 documents of size 0 take 0 words; equal rows are interchangeable; an empty table gives
-an empty result; reruns agree, as the order in a source is by md5 of the doc_id.
+an empty result; reruns agree, as the order in a source is by md5 of the doc_id, then doc_id, size and a hash of the text.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .scratch import Scratch, named
+
 WEIGHTS = (5, 2, 1)
 #: Weight over training time (equal steps from start to end) by rank of the source modulo 3.
 SCHEDULES = ((1.5, 1.0, 0.5), (1.0, 1.0, 1.0), (0.5, 1.0, 1.5))
@@ -66,7 +69,7 @@ def training_time(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
 
 
 def _placed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0, keep: list[str] = ()) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, before (words of the source ahead of it in a pass), rank and the columns of keep in a struct `kept`.
+    """doc_id, source, size, source_size, target, taken, before (words of the source ahead of it in a pass), rank and the columns of keep in a struct `kept`, as c0, c1 and so on.
 
     taken: each pass over the source takes every document once, in order of md5; the
     last pass ends after the target's words, within a document if need be, so a source's
@@ -74,8 +77,9 @@ def _placed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2
     """
     # a source is two columns, so that null is one too and all steps share one partitioning
     source = F.col("source").cast("string")
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source_key"), word_count(F.col("text")).alias("size"), F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("kept"))
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source"), source.isNull().alias("no_source"), F.coalesce(source, F.lit("")).alias("source_key"), word_count(F.col("text")).alias("size"), F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("none")).alias("kept"), F.xxhash64(F.col("text").cast("string")).alias("tie"))
     sized = sized.withColumn("key", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))).withColumn("bucket", F.substring("key", 1, 3))
+    sized = Scratch(docs.sparkSession).save(sized, "sized")
     plan = targets(sized.select("source", "size"), weights, share, cap)
     plan = plan.select(F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("source_key"), "rank", "source_size", "target")
     place = ["no_source", "source_key"]
@@ -83,7 +87,7 @@ def _placed(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2
     ahead = sums.withColumn("ahead", F.sum("bucket_size").over(Window.partitionBy(*place).orderBy("bucket")) - F.col("bucket_size")).drop("bucket_size")
     ahead = ahead.join(plan, place)
     place.append("bucket")
-    inside = Window.partitionBy(*place).orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*place).orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
     rows = sized.withColumn("inside", F.sum("size").over(inside) - F.col("size")).join(ahead, place)
     before = F.col("ahead") + F.col("inside")
     words = F.floor("target").cast("long")
@@ -119,11 +123,12 @@ def placed_copies(docs: DataFrame) -> DataFrame:
 def copies(docs: DataFrame) -> DataFrame:
     """The mix itself, in training order: each document's columns as often as it is taken, the last copy cut after the words that are left."""
     names = docs.columns
-    each = placed_copies(docs).select("doc_id", "size", "words", "copy", "position", *[F.col(f"kept.{c}").alias(f"kept_{c}") for c in names])
-    short = F.array_join(F.slice(F.regexp_extract_all("kept_text", F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), " ")
-    each = each.withColumn("kept_text", F.when(F.col("words") < F.col("size"), short).otherwise(F.col("kept_text")))
+    each = placed_copies(docs).select("doc_id", "size", "words", "copy", "position", *[F.col("kept").getField(f"c{i}").alias(f"c{i}") for i in range(len(names))])
+    text = f"c{names.index('text')}"
+    short = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)), F.lit(1), F.col("words").cast("int")), " ")
+    each = each.withColumn(text, F.when(F.col("words") < F.col("size"), short).otherwise(F.col(text)))
     ordered = each.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "copy")
-    return ordered.select(*[F.length("kept_text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"kept_{c}").alias(c) for c in names])
+    return ordered.select(*[F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"c{i}").alias(c) for i, c in enumerate(names)])
 
 
 def by_position(mixed: DataFrame) -> DataFrame:

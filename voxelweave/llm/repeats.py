@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .chunks import chunked, grown, log2_up
-from .scratch import text_bytes
+from .scratch import named, text_bytes
 from .text import BASE_C, BASE_D, U, mix, window_ok, windows, word_hashes
 
 WIDTH, SKETCH_ROWS, BLOCK_BITS = 35, 2, 22
@@ -132,12 +132,12 @@ SENT_SQL = "bucket long, chunk int, payload binary"
 
 
 def remove_repeats(docs: DataFrame, width: int = WIDTH, rows: int = SKETCH_ROWS, sketch_bits: int | None = None, keep: list[str] = ()) -> DataFrame:
-    """doc_id, n_words, n_removed, text (unchanged but for the words that were cut out), and the columns of keep in a struct `rest`."""
+    """doc_id, n_words, n_removed, text (unchanged but for the words that were cut out), and the columns of keep in a struct `rest`, as c0, c1 and so on."""
     size = max(1, text_bytes(docs))
     bits = sketch_bits or min(48, max(16, log2_up(size)))
     block_bits = min(BLOCK_BITS + log2_up(grown(size, 1 << 22, 1 << 24) >> 22), bits)
     blocks, bucket_bits = bits - block_bits, max(1, log2_up(size // grown(size, 1 << 22, 1 << 25)))
-    rest = F.struct(*[F.col(c) for c in keep], F.lit(0).alias("_")).alias("rest")
+    rest = F.struct(*[named(c).alias(f"c{i}") for i, c in enumerate(keep)], F.lit(0).alias("none")).alias("rest")
     texts = chunked(docs, [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest], size)
 
     def sketch(table: pa.Table) -> pa.Table:
@@ -226,7 +226,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     got = remove_repeats(docs, keep=others)
     columns = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text")}
-    return got.select(*[(columns[c].cast(docs.schema[c].dataType) if c in columns else F.col("rest").getField(c)).alias(c) for c in docs.columns])
+    return got.select(*[(columns[c].cast(docs.schema[c].dataType) if c in columns else F.col("rest").getField(f"c{others.index(c)}")).alias(c) for c in docs.columns])
 
 
 def digests(docs: DataFrame) -> DataFrame:

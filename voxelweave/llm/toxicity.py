@@ -5,7 +5,8 @@ what was learned). A document is toxic unless none of its sentences is:
 P = 1 - prod(1 - p_s). The gradient of the document's log loss goes through the
 noisy-or to the sentences, so those that explain a label get the weight, and they can be
 pointed out afterwards. Features are picked by their document counts in a bounded sample
-(labelled.SAMPLE_ROWS) and trained on the driver; scoring reads every whole text.
+(labelled.SAMPLE_ROWS) and trained on the driver, which gets the picked features of the sample's sentences, so memory
+there follows the length of the sampled texts; scoring reads every whole text.
 
 Defined cases: null text is the empty text, which has no sentence and score 0; without
 toxic labelled rows every score is near 0; sentences end after . ! ? or at a line feed.
@@ -20,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .labelled import held_out, sample
-from .scratch import Scratch
+from .scratch import Scratch, named
 from .text import U, buffers, hash_spans, mix, slices
 
 BITS, PREFIXES, KEPT = 20, (4, 5, 6, 7, 8, 9), 4096
@@ -172,11 +173,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: list[str] = ()) -> DataFrame:
-    """doc_id, held_out, score, predicted and offending (byte spans and scores of the sentences at or over the threshold)."""
+    """doc_id, held_out, score, predicted, offending (byte spans and scores of the sentences at or over the threshold) and the columns of keep as kept_0, kept_1 and so on."""
     from pyspark.sql.types import StructField, StructType
 
     spark = docs.sparkSession
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"kept_{c}") for c in keep])
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"), *[named(c).alias(f"kept_{i}") for i, c in enumerate(keep)])
     out = spark.createDataFrame([], "doc_id long, held_out boolean, score double, predicted int, offending array<struct<start:int,end:int,score:double>>").schema
     schema = StructType([*out, *[StructField(f.name, f.dataType) for f in base.schema if f.name.startswith("kept_")]])
     model_ids, values, bias = model.ids, model.values, model.bias
@@ -213,4 +214,4 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't toxic, with all their columns."""
     kept = score(docs, fit(docs, labels), keep=docs.columns).filter("predicted = 0")
-    return kept.select(*[F.col(f"kept_{c}").alias(c) for c in docs.columns])
+    return kept.select(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(docs.columns)])
