@@ -23,8 +23,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return without_near_duplicates(docs)
+    """One document of each group of near copies stays, by the definition of op3_setsketch: sets of two-word shingles, likeness of 0.8 or more."""
+    return without_near_duplicates(docs, width=2)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
