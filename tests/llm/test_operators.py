@@ -518,6 +518,9 @@ def test_elias_fano(values, universe):
     q = np.arange(0, 5003, 7, dtype=np.uint64)
     assert e.access(np.arange(len(v))).tolist() == v.tolist() and e.successor(q).tolist() == np.searchsorted(v, q).tolist()
     assert (e.find(v) == np.arange(len(v))).all()
+    rare = e.find(q)
+    e.index()
+    assert e.access(np.arange(len(v))).tolist() == v.tolist() and e.successor(q).tolist() == np.searchsorted(v, q).tolist() and (e.find(q) == rare).all()
 
 
 def test_trie_finds_what_was_written(tmp_path):
@@ -525,13 +528,17 @@ def test_trie_finds_what_was_written(tmp_path):
     codes = {"contexts": i(1, 2), "words": i(10, 11, 12), "pairs": i(20, 21), "triples": i(30, 31)}
     with open(tmp_path / "trie", "w+b") as f:
         eliasfano.Trie.write(f, i(3, 8), i(0, 0, 1), i(5, 9, 5), i(0, 1), i(2, 7), i(0, 1), i(1, 2), codes, 5)
-    t = eliasfano.Trie.open(tmp_path / "trie")
-    assert t.context(i(3, 8, 4)).tolist() == [0, 1, -1] and t.codes["words"].tolist() == [10, 11, 12]
-    w = t.word(i(0, 0, 1, 1, -1), i(5, 9, 5, 9, 5))
-    assert w.tolist() == [0, 1, 2, -1, -1]
-    p = t.pair(i(0, 1, 1), i(2, 7, 2))
-    assert p.tolist() == [0, 1, -1]
-    assert t.triple(i(0, 0, 1), i(0, 0, 1), t.word(i(0, 0, 1), i(5, 9, 5))).tolist() == [-1, 0, 1]
+    for indexed in (False, True):
+        t = eliasfano.Trie.open(tmp_path / "trie")
+        if indexed:
+            t.index()
+        assert t.context(i(3, 8, 4)).tolist() == [0, 1, -1] and t.codes["words"].tolist() == [10, 11, 12]
+        w = t.word(i(0, 0, 1, 1, -1), i(5, 9, 5, 9, 5))
+        assert w.tolist() == [0, 1, 2, -1, -1]
+        p = t.pair(i(0, 1, 1), i(2, 7, 2))
+        assert p.tolist() == [0, 1, -1]
+        of, context = i(0, 0, 1, 2), i(0, 1, 1)
+        assert t.triple(p[of], t.base(p)[of], t.first_word(context)[of], i(0, 1, 2, 2)).tolist() == [-1, 0, 1, -1]
 
 
 def test_model_is_a_distribution(spark):

@@ -56,12 +56,14 @@ class EliasFano:
 
     def __init__(self, n: int, low_bits: int, low: np.ndarray, high: Bits):
         self.n, self.l, self.low, self.high = n, low_bits, low, high
+        self.lanes = np.ndarray((max(0, low.nbytes - 7),), "<u8", low, strides=(1,))  # eight bytes from each byte on
+        self._ones = self._first = None
 
     @staticmethod
     def build(values: np.ndarray, universe: int) -> list[np.ndarray]:
         """The arrays that `view` takes: (n, l), packed low bits, high words, their counts."""
         n = len(values)
-        low_bits = max(0, (int(universe) // max(n, 1)).bit_length() - 1)
+        low_bits = min(56, max(0, (int(universe) // max(n, 1)).bit_length() - 1))
         values = values.astype(np.uint64)
         high = (values >> U(low_bits)).astype(np.int64)
         words, ones = Bits.build(high + np.arange(n), n + (int(universe) >> low_bits) + 2)
@@ -81,48 +83,67 @@ class EliasFano:
         (n, low_bits), packed, words, ones = arrays
         return cls(int(n), int(low_bits), packed, Bits(words, ones))
 
+    def index(self) -> None:
+        """Unpack the high bits for many queries: places of ones, and how many values lie below each bucket of high bits (4 bytes each)."""
+        bits = np.unpackbits(self.high.words.view(np.uint8), bitorder="little")
+        self._ones = np.flatnonzero(bits).astype(np.uint32 if len(bits) < 1 << 32 else np.int64)
+        buckets = (len(bits) - len(self._ones)) + 1
+        self._first = np.zeros(buckets + 1, np.int64)
+        np.cumsum(np.bincount(self._ones - np.arange(self.n), minlength=buckets), out=self._first[1:])
+
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.l:
             return np.zeros(len(i), np.uint64)
         bit = i * self.l
-        word, shift = bit >> 6, (bit & 63).astype(np.uint64)
-        value = self.low[word] >> shift
-        over = (bit & 63) + self.l > 64
-        if over.any():
-            value[over] |= self.low[word[over] + 1] << (U(64) - shift[over])
-        return value & U((1 << self.l) - 1)
+        return (self.lanes[bit >> 3] >> (bit & 7).astype(np.uint64)) & U((1 << self.l) - 1)
 
     def access(self, i: np.ndarray) -> np.ndarray:
         i = np.asarray(i, np.int64)
-        return ((self.high.select(i, 1) - i).astype(np.uint64) << U(self.l)) | self.lows(i)
+        at = self.high.select(i, 1) if self._ones is None else self._ones[i].astype(np.int64)
+        return ((at - i).astype(np.uint64) << U(self.l)) | self.lows(i)
+
+    def _bucket(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(first and last index of the values with the same high bits, index of the first of them that isn't below each value)."""
+        bucket = (values >> U(self.l)).astype(np.int64)
+        low = values & U((1 << self.l) - 1)
+        if self._first is None:
+            zeros = (len(self.high.words) << 6) - int(self.high.ones[-1])
+            b = np.minimum(bucket, zeros - 1)
+            left = np.where(b > 0, self.high.select(np.maximum(b - 1, 0), 0) - (b - 1), 0)
+            right = np.where(bucket < zeros, self.high.select(b, 0) - b, self.n)
+            left = np.where(bucket < zeros, left, self.n)
+        else:
+            b = np.minimum(bucket, len(self._first) - 2)
+            left, right = self._first[b], self._first[b + 1]
+        first, last = left, right
+        at = left
+        open_ = np.flatnonzero(at < right)
+        left, right = at[open_], last[open_]
+        at = at.copy()
+        while len(open_):
+            middle = (left + right) >> 1
+            less = self.lows(middle) < low[open_]
+            left, right = np.where(less, middle + 1, left), np.where(less, right, middle)
+            at[open_] = left
+            more = left < right
+            open_, left, right = open_[more], left[more], right[more]
+        return first, last, at
 
     def successor(self, values: np.ndarray) -> np.ndarray:
         """Index of the first element not below each value (n if none)."""
         values = np.asarray(values, np.uint64)
         if not self.n or not len(values):
             return np.zeros(len(values), np.int64)
-        bucket = (values >> U(self.l)).astype(np.int64)
-        low = values & U((1 << self.l) - 1)
-        top = int(self.high.ones[-1])
-        zeros = (len(self.high.words) << 6) - top
-        inside = bucket < zeros - 1
-        b = np.where(inside, bucket, 0)
-        left = np.where(b > 0, self.high.select(np.maximum(b - 1, 0), 0) - (b - 1), 0)
-        right = self.high.select(b, 0) - b
-        left, right = np.minimum(left, self.n), np.minimum(right, self.n)
-        end = right.copy()
-        while (open_ := left < right).any():
-            middle = (left + right) >> 1
-            less = open_ & (self.lows(np.minimum(middle, self.n - 1)) < low)
-            left = np.where(less, middle + 1, left)
-            right = np.where(open_ & ~less, middle, right)
-        return np.where(inside, np.minimum(left, end), self.n)
+        return self._bucket(values)[2]
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of each value, -1 if it isn't there."""
-        at = self.successor(values)
-        there = at < self.n
-        there[there] = self.access(at[there]) == np.asarray(values, np.uint64)[there]
+        """Index of each value, -1 if it isn't there: its successor has the same bits, or it is none."""
+        values = np.asarray(values, np.uint64)
+        if not self.n or not len(values):
+            return np.full(len(values), -1, np.int64)
+        _, last, at = self._bucket(values)
+        there = at < last
+        there &= self.lows(np.minimum(at, self.n - 1)) == values & U((1 << self.l) - 1)
         return np.where(there, at, -1)
 
 
@@ -187,6 +208,11 @@ class Trie:
         with open(path, "rb") as f:
             return cls.map(f)
 
+    def index(self) -> None:
+        """Make many queries cheap."""
+        for name in LEVELS:
+            getattr(self, name).index()
+
     def context(self, v: np.ndarray) -> np.ndarray:
         return self.contexts.find(v)
 
@@ -198,16 +224,24 @@ class Trie:
         return self._after(self.pairs, context, u)
 
     def _after(self, level: EliasFano, owner: np.ndarray, h: np.ndarray) -> np.ndarray:
+        if not len(owner) or owner.min() >= 0:
+            return level.find((owner.astype(np.uint64) << U(self.bits)) | h.astype(np.uint64))
         out = np.full(len(owner), -1, np.int64)
-        known = owner >= 0
+        known = np.flatnonzero(owner >= 0)
         out[known] = level.find((owner[known].astype(np.uint64) << U(self.bits)) | h[known].astype(np.uint64))
         return out
 
-    def triple(self, context: np.ndarray, pair: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Index in `triples`: the word is looked up by its rank among its context's words."""
+    def first_word(self, context: np.ndarray) -> np.ndarray:
+        """Index of each context's first word."""
+        return self.words.successor(np.maximum(context, 0).astype(np.uint64) << U(self.bits))
+
+    def base(self, pair: np.ndarray) -> np.ndarray:
+        """Where the words of each pair begin in `triples`."""
+        return self.pair_base.access(np.maximum(pair, 0)).astype(np.int64) if self.pair_base.n else np.zeros(len(pair), np.int64)
+
+    def triple(self, pair: np.ndarray, base: np.ndarray, first: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """Index in `triples` of a word (an index) after a pair, from the pair's base and its context's first word; -1: none."""
         out = np.full(len(pair), -1, np.int64)
-        known = (pair >= 0) & (word >= 0)
-        if known.any():
-            first = self.words.successor(context[known].astype(np.uint64) << U(self.bits))
-            out[known] = self.triples.find(self.pair_base.access(pair[known]) + (word[known] - first).astype(np.uint64))
+        known = np.flatnonzero((pair >= 0) & (word >= 0))
+        out[known] = self.triples.find((base[known] + word[known] - first[known]).astype(np.uint64))
         return out

@@ -14,8 +14,8 @@ P(w | u, v) = f(w | u, v) + m(u, v) P(w | v), P(w | v) = f(w | v) + m(v) P(w),
 P(w) = (c + 0.5) / (N + 0.5 (V + 1)).
 
 Chunks and shards grow in number with the input. A context word v that occurs more than `hot` times is split into
-parts over several shards, its triples by the word u before, its pairs by the word after. What is left for v is then the sum of what the
-parts found; `hot` is at least 2**-16 of all tokens, so there are at most 65,536 such sums, and the driver passes them on.
+parts over several shards, its triples by the word u before, its pairs by the word after; what is left for v is the sum of what is left in the
+parts, each of which a chunk that has v asks. `hot` is at least 2**-16 of all tokens, so there are at most 65,536 parts beyond the first ones.
 
 Tokens are told apart by 64-bit hashes; after the first step they have
 numbers, which are a few bytes in the messages that follow; a triple's last word is sent as its place among the chunk's words after v.
@@ -49,12 +49,12 @@ DISCOUNT = 0.75
 RANGE, NONE = 10.16, 255
 CHUNK_BYTES, SHARD_BYTES, MOST_BYTES = 8 << 20, 4 << 20, 32 << 20
 #: A context is split beyond so many occurrences, or a larger share of the tokens, see `hot`.
-HOT, HOT_SHARE = 1 << 20, 16
+HOT, HOT_SHARE = 1 << 22, 16
 
-TEXTS_SQL = "chunk long, doc_ids array<long>, held_out array<boolean>, n_train long, sizes binary, words binary, hashes binary, counts binary"
-MESSAGE = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("numbers", pa.int64()), ("most", pa.int64())])
-MESSAGE_SQL = "kind int, bucket long, chunk long, payload binary, tokens long, distinct long, numbers long, most long"
-COUNTS, ANSWERS, MASS, TRIE = 0, 1, 2, 3
+TEXTS_SQL = "chunk long, doc_ids array<long>, held_out array<boolean>, n_train long, sizes binary, words binary, end long, hashes binary, counts binary"
+MESSAGE = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("numbers", pa.int64())])
+MESSAGE_SQL = "kind int, bucket long, chunk long, payload binary, tokens long, distinct long, numbers long"
+COUNTS, ANSWERS, TRIE = 0, 1, 2
 
 
 def held_out(doc_id: Column) -> Column:
@@ -74,22 +74,34 @@ def share(codes: np.ndarray) -> np.ndarray:
     return _SHARES[codes]
 
 
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays of unsigned integers in one string, byte plane after byte plane, as high bytes are mostly zero."""
+    """Arrays of whole numbers, none negative, in one string: byte plane after byte plane, as many as the greatest needs, in zstd."""
     out = [bytes([len(arrays)])]
     for a in arrays:
-        out.append(np.array([len(a) << 8 | a.itemsize], "<u8").tobytes())
-        out.append(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
-    return b"".join(out)
+        size = max(1, (int(a.max()).bit_length() + 7) // 8) if len(a) else 1
+        out.append(np.array([len(a) << 8 | size], "<u8").tobytes())
+        out.append(np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(len(a), 8)[:, :size].T).tobytes())
+    raw = b"".join(out)
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
 
 
-def unpack(raw: bytes) -> list[np.ndarray]:
+def unpack(packed: bytes) -> list[np.ndarray]:
+    """The arrays, those of single bytes as uint8, all others as int64."""
+    raw = _ZSTD.decompress(packed[8:], int.from_bytes(packed[:8], "little"), asbytes=True)
     out, at = [], 1
     for _ in range(raw[0]):
         head = int(np.frombuffer(raw, "<u8", 1, at)[0])
         n, size = head >> 8, head & 255
         planes = np.frombuffer(raw, np.uint8, n * size, at + 8).reshape(size, n)
-        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{size}"))
+        if size == 1:
+            out.append(planes[0])
+        else:
+            wide = np.zeros((n, 8), np.uint8)
+            wide[:, :size] = planes.T
+            out.append(wide.reshape(-1).view("<i8"))
         at += 8 + n * size
     return out
 
@@ -139,8 +151,7 @@ def encode(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         distinct, word = _ranked(every)
         held = table["held_out"].to_numpy(zero_copy_only=False).astype(bool)
         seen = np.bincount(word[np.repeat(~held, sizes)], minlength=len(distinct))
-        u4 = lambda x: pack(x.astype("<u4"))
-        return [at, table["doc_id"].to_pylist(), held.tolist(), int((~held).sum()), u4(sizes), u4(word), distinct.astype("<u8").tobytes(), u4(seen)]
+        return [at, table["doc_id"].to_pylist(), held.tolist(), int((~held).sum()), pack(sizes), pack(word), int(np.searchsorted(distinct, U(END))), distinct.astype("<u8").tobytes(), pack(seen)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size, at = [], 0, TaskContext.get().partitionId() << 32
@@ -168,7 +179,7 @@ def encode(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             yield from out(True)
 
     names = [x.split()[0] for x in TEXTS_SQL.split(", ")]
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out")]
     return docs.select(*columns).mapInArrow(run, TEXTS_SQL)
 
@@ -184,10 +195,13 @@ class Numbers:
     def parts(self, total: np.ndarray) -> np.ndarray:
         return np.maximum(1, -(-total // self.hot))
 
+    def part(self, v: np.ndarray, part: np.ndarray) -> np.ndarray:
+        """The shard of a context's part."""
+        return (mix(v.astype(np.uint64) + part.astype(np.uint64) * U(BASE_C)) >> U(64 - self.shard_bits)).astype(np.int64)
+
     def shard(self, v: np.ndarray, parts: np.ndarray, by: np.ndarray | None = None) -> np.ndarray:
-        """The shard of context v's part that holds `by` (None: of its home, the first part)."""
-        part = U(0) if by is None else mix(by.astype(np.uint64)) % parts.astype(np.uint64)
-        return (mix(v.astype(np.uint64) + part * U(BASE_C)) >> U(64 - self.shard_bits)).astype(np.int64)
+        """The shard of context v's part that holds `by` (None: of its first part)."""
+        return self.part(v, np.zeros(len(v), np.uint64) if by is None else mix(by.astype(np.uint64)) % parts.astype(np.uint64))
 
 
 class Grams:
@@ -198,87 +212,75 @@ class Grams:
     """
 
     def __init__(self, row: dict, counts: np.ndarray, numbers: np.ndarray, space: Numbers):
-        word, sizes = unpack(row["words"])[0].astype(np.int64), unpack(row["sizes"])[0].astype(np.int64)
-        n = len(numbers)
-        self.word, self.sizes, self.counts = word, sizes, counts
-        training = np.repeat(~np.asarray(row["held_out"], bool), sizes)
-        number, total = np.append(numbers, space.begin), np.append(counts, space.starts)
-        is_end = np.frombuffer(row["hashes"], "<u8") == U(END)
-        known, context = total > 0, (total > 0) & ~np.append(is_end, False)
-        before = np.empty_like(word)
+        self.word, self.sizes, self.counts = unpack(row["words"])[0].astype(np.int64), unpack(row["sizes"])[0].astype(np.int64), counts
+        word, n, tokens = self.word, len(numbers), len(self.word)
+        self._units(np.append(numbers, space.begin), np.append(counts, space.starts), row["end"], space)
+        units, known = len(self.unit_v), self.total > 0
+        training = np.repeat(~np.asarray(row["held_out"], bool), self.sizes)
+        first = np.cumsum(self.sizes) - self.sizes
+        self.before = before = np.empty_like(word)
         before[1:] = word[:-1]
-        first = np.cumsum(sizes) - sizes
         before[first] = n
-        self.v, self.w, self.pair = _distinct(before, word)
-        p = len(self.v)
-        pair_count = np.bincount(self.pair[training], minlength=p)
-        # triples: the pair that ends before the word, then the word
-        later = np.ones(len(word), bool)
+        later = np.ones(tokens, bool)
         later[first] = False
-        at = np.flatnonzero(later)
-        self.later = at
-        t_pair, t_word, self.triple = _distinct(self.pair[at - 1], word[at])
-        triple_count = np.bincount(self.triple[training[at]], minlength=len(t_pair))
-        self.t_pair = t_pair
-        self.t_last = np.zeros(len(t_pair), np.int64)  # the pair that a triple ends in
-        self.t_last[self.triple] = self.pair[at]
-
-        parts = space.parts(total)
-        split = parts > 1
-        pairs = np.flatnonzero(context[self.v] & known[self.w])  # as pairs (v, w)
-        preceded = np.flatnonzero(known[self.v] & context[self.w])  # as contexts (u, v)
-        home = space.shard(number, parts)
-        asked = np.flatnonzero(context)
-        asked = asked[np.isin(asked, self.v)]
-        key = lambda shard, v: shard * (n + 1) + v
-        s2 = home[self.v[pairs]]
-        hot = split[self.v[pairs]]
-        s2[hot] = space.shard(number[self.v[pairs[hot]]], parts[self.v[pairs[hot]]], number[self.w[pairs[hot]]])
-        s3 = home[self.w[preceded]]
-        hot3 = split[self.w[preceded]]
-        s3[hot3] = space.shard(number[self.w[preceded[hot3]]], parts[self.w[preceded[hot3]]], number[self.v[preceded[hot3]]])
-        units = np.unique(np.concatenate((key(home[asked], asked), key(home[self.w[preceded]], self.w[preceded]), key(s2[hot], self.v[pairs[hot]]), key(s3[hot3], self.w[preceded[hot3]]))))
-        self.unit_shard, unit_v = units // (n + 1), units % (n + 1)
-        self.unit_number, self.unit_total, self.unit_v = number[unit_v], total[unit_v], unit_v
-        self.unit_home = self.unit_shard == home[unit_v]
-        own = np.full(n + 1, -1, np.int64)
-        own[unit_v[self.unit_home]] = np.flatnonzero(self.unit_home)
-
-        def unit_of(shard, v, hot):
-            out = own[v]
-            out[hot] = np.searchsorted(units, key(shard[hot], v[hot]))
-            return out
-
-        pair_unit = unit_of(s2, self.v[pairs], hot)
-        c_unit = unit_of(s3, self.w[preceded], hot3)
-        # preceded contexts in order of (unit, u)
-        order = _order(c_unit, self.v[preceded])
-        self.context, self.c_unit = preceded[order], c_unit[order]
-        self.c_number, self.c_count = number[self.v[self.context]], pair_count[self.context]
-        place = np.full(p + 1, -1, np.int64)
-        place[self.context] = np.arange(len(order))
-        triples = np.flatnonzero((place[t_pair] >= 0) & known[t_word])
-        t_context = place[t_pair[triples]]
-        t_unit = self.c_unit[t_context]
-        # entries: pairs, and where a context is split also the words of a part's triples
-        pair_at = np.full(p, -1, np.int64)
-        pair_at[pairs] = pair_unit
-        away = pair_at[self.t_last[triples]] != t_unit
-        e_unit = np.concatenate((pair_unit, t_unit[away]))
-        e_word = np.concatenate((self.w[pairs], t_word[triples[away]]))
-        self.e_unit, entry_word, where = _distinct(e_unit, e_word)
-        self.e_number = number[entry_word]
-        self.e_count = np.zeros(len(self.e_unit), np.int64)
-        self.e_count[where[: len(pairs)]] = pair_count[pairs]
-        self.pairs, self.pair_entry = pairs, where[: len(pairs)]
-        entry = np.full(p, -1, np.int64)
-        entry[pairs] = self.pair_entry
-        t_entry = entry[self.t_last[triples]]
-        t_entry[away] = where[len(pairs) :]
-        rank = t_entry - np.searchsorted(self.e_unit, t_unit)
-        order = _order(t_context, rank)
-        self.triples, self.t_context, self.t_rank = triples[order], t_context[order], rank[order]
-        self.t_count = triple_count[self.triples]
+        self.later = at = np.flatnonzero(later)
+        # rows that aren't sent sort behind all others, as one that is dropped
+        e_unit, c_unit = self._unit_of(before, word, space), self._unit_of(word, before, space)
+        sent, led = (e_unit >= 0) & known[word], (c_unit >= 0) & known[before]
+        t_sent = led[at - 1] & known[word[at]]
+        # where a context is in parts, its part has the words of its triples too
+        away = at[t_sent & (c_unit[at - 1] != e_unit[at])]
+        unit, entry, place = _distinct(np.concatenate((np.where(sent, e_unit, units), c_unit[away - 1])), np.concatenate((np.where(sent, word, 0), word[away])))
+        self.entry = place[:tokens]
+        entries = int(np.searchsorted(unit, units))
+        self.e_unit, self.e_number = unit[:entries], self.number[entry[:entries]]
+        self.e_count = np.bincount(self.entry[training], minlength=entries)[:entries]
+        unit, context, self.context = _distinct(np.where(led, c_unit, units), np.where(led, before, 0))
+        contexts = int(np.searchsorted(unit, units))
+        self.c_unit, self.c_number = unit[:contexts], self.number[context[:contexts]]
+        self.c_count = np.bincount(self.context[training], minlength=contexts)[:contexts]
+        t_entry = self.entry.copy()
+        t_entry[away] = place[tokens:]
+        of, entry, self.triple = _distinct(np.where(t_sent, self.context[at - 1], contexts), np.where(t_sent, t_entry[at], 0))
+        triples = int(np.searchsorted(of, contexts))
+        self.t_context = of[:triples]
+        self.t_rank = entry[:triples] - np.searchsorted(self.e_unit, np.arange(units))[self.c_unit[self.t_context]]
+        self.t_count = np.bincount(self.triple[training[at]], minlength=triples)[:triples]
+
+    def _units(self, number: np.ndarray, total: np.ndarray, end: int, space: Numbers) -> None:
+        """Contexts by shard, then number: one unit each, or one for each shard that has a part of it."""
+        self.number, self.total = number, total
+        is_context = total > 0
+        is_context[end] = False
+        v = np.flatnonzero(is_context)
+        self.parts = space.parts(total)
+        shard = space.shard(number[v], self.parts[v])
+        self.split = is_context & (self.parts > 1)
+        hot = np.flatnonzero(self.split)
+        if len(hot):
+            each = np.repeat(hot, self.parts[hot])
+            part = np.arange(len(each)) - np.repeat(np.cumsum(self.parts[hot]) - self.parts[hot], self.parts[hot])
+            both = np.unique(space.part(number[each], part) * len(number) + each)
+            one = ~self.split[v]
+            v, shard = np.concatenate((v[one], both % len(number))), np.concatenate((shard[one], both // len(number)))
+        order = _order(shard, number[v])
+        self.unit_v, self.unit_shard = v[order], shard[order]
+        self.own = np.full(len(number), -1, np.int64)
+        self.own[self.unit_v] = np.arange(len(order))
+        if len(hot):
+            at = np.flatnonzero(self.split[self.unit_v])
+            key = self.unit_shard[at] * len(number) + self.unit_v[at]
+            order = np.argsort(key)
+            self.hot_key, self.hot_unit = key[order], at[order]
+
+    def _unit_of(self, v: np.ndarray, by: np.ndarray, space: Numbers) -> np.ndarray:
+        """The unit that holds context v's part of `by`; -1 where v isn't a context."""
+        out = self.own[v]
+        if self.split.any():
+            hot = np.flatnonzero(self.split[v])
+            shard = space.shard(self.number[v[hot]], self.parts[v[hot]], self.number[by[hot]])
+            out[hot] = self.hot_unit[np.searchsorted(self.hot_key, shard * len(self.number) + v[hot])]
+        return out
 
     def runs(self):
         """(shard, units, entries, preceded contexts, triples): ranges of each for a shard."""
@@ -287,32 +289,24 @@ class Grams:
             yield s, (i, j), tuple(entries.tolist()), tuple(contexts.tolist()), tuple(np.searchsorted(self.t_context, contexts).tolist())
 
     def messages(self):
-        u4, u8 = (lambda x: x.astype("<u4")), (lambda x: x.astype("<u8"))
+        number, total = self.number[self.unit_v], self.total[self.unit_v]
         for s, (i, j), (a, z), (c, d), (e, f) in self.runs():
-            parts = [u8(np.diff(self.unit_number[i:j], prepend=0)), u8(self.unit_total[i:j]), _per(self.e_unit[a:z] - i, j - i), _steps(self.e_number[a:z], self.e_unit[a:z]), u4(self.e_count[a:z])]
-            parts += [_per(self.c_unit[c:d] - i, j - i), _steps(self.c_number[c:d], self.c_unit[c:d]), u4(self.c_count[c:d])]
-            parts += [_per(self.t_context[e:f] - c, d - c), _steps(self.t_rank[e:f], self.t_context[e:f]), u4(self.t_count[e:f])]
+            parts = [np.diff(number[i:j], prepend=0), total[i:j], _per(self.e_unit[a:z] - i, j - i), self.e_number[a:z], self.e_count[a:z]]
+            parts += [_per(self.c_unit[c:d] - i, j - i), self.c_number[c:d], self.c_count[c:d]]
+            parts += [_per(self.t_context[e:f] - c, d - c), _steps(self.t_rank[e:f], self.t_context[e:f]), self.t_count[e:f]]
             yield s, pack(*parts)
 
-    def probabilities(self, told: dict[int, bytes], one: np.ndarray, masses: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    def probabilities(self, told: dict[int, bytes], one: np.ndarray) -> np.ndarray:
         """P(w | u, v) of each token, from the shards' answers and the probabilities of the words alone."""
-        n, p = len(one), len(self.v)
-        m2, f2, m3, f3 = np.ones(n + 1), np.zeros(p), np.ones(p), np.zeros(len(self.t_pair))
-        e2 = np.zeros(len(self.e_unit))
+        left, f2 = np.zeros(len(self.unit_v)), np.zeros(len(self.e_unit) + 1)
+        m3, f3 = np.ones(len(self.c_unit) + 1), np.zeros(len(self.t_context) + 1)
         for s, (i, j), (a, z), (c, d), (e, f) in self.runs():
-            left, words, contexts, triples = (share(x) for x in unpack(told[s]))
-            at_home = self.unit_home[i:j]
-            m2[self.unit_v[i:j][at_home]] = left[at_home]
-            e2[a:z], m3[self.context[c:d]], f3[self.triples[e:f]] = words, contexts, triples
-        f2[self.pairs] = e2[self.pair_entry]
-        at = np.searchsorted(masses[0], self.unit_number)
-        if len(masses[0]):  # contexts in parts
-            found = masses[0][np.minimum(at, len(masses[0]) - 1)] == self.unit_number
-            m2[self.unit_v[found]] = np.clip(DISCOUNT * masses[1][at[found]] / self.unit_total[found], 1e-9, 1)
-        two = f2 + m2[self.v] * one[self.w]
-        three = f3 + m3[self.t_pair] * two[self.t_last]
-        out = two[self.pair]
-        out[self.later] = three[self.triple]
+            left[i:j], f2[a:z], m3[c:d], f3[e:f] = (share(x) for x in unpack(told[s]))
+        m2 = np.ones(len(self.number))
+        m2[self.unit_v] = np.bincount(self.unit_v, left, len(m2))[self.unit_v]
+        two = f2[self.entry] + np.minimum(m2, 1)[self.before] * one[self.word]
+        out = two.copy()
+        out[self.later] = f3[self.triple] + m3[self.context[self.later - 1]] * two[self.later]
         return out
 
 
@@ -339,14 +333,14 @@ def _keys(message: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     """(v; words and their unit; words before and their unit; entries and preceded contexts of triples) of a message."""
     units = np.arange(len(message[0]))
     word_unit, pair_unit = np.repeat(units, message[2]), np.repeat(units, message[5])
-    first = np.cumsum(message[2]) - message[2]
+    first = np.cumsum(message[2], dtype=np.int64) - message[2]
     context = np.repeat(np.arange(len(pair_unit)), message[8])
-    entry = _unsteps(message[9], message[8]) + first.astype(np.int64)[pair_unit[context]]
-    return np.cumsum(message[0].astype(np.int64)), _unsteps(message[3], message[2]), word_unit, _unsteps(message[6], message[5]), pair_unit, entry, context
+    entry = _unsteps(message[9], message[8]) + first[pair_unit[context]]
+    return np.cumsum(message[0], dtype=np.int64), message[3].astype(np.int64), word_unit, message[6].astype(np.int64), pair_unit, entry, context
 
 
-def build_shard(file, payloads: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Write the trie of all messages' counts to a file; (contexts, how often each occurs, how many words it has here)."""
+def build_shard(file, payloads: list[bytes], bits: int) -> None:
+    """Write the trie of all messages' counts to a file."""
     sent = [unpack(x) for x in payloads]
     keys = [_keys(m) for m in sent]
     cat = lambda arrays: np.concatenate([np.asarray(a, np.int64) for a in arrays])
@@ -361,7 +355,6 @@ def build_shard(file, payloads: list[bytes], bits: int) -> tuple[np.ndarray, np.
     entries, contexts = np.cumsum([0, *(len(m[3]) for m in sent)]), np.cumsum([0, *(len(m[6]) for m in sent)])
     triple_owner, triple, place_t = _distinct(place_p[cat(k[6] + a for k, a in zip(keys, contexts))], place_w[cat(k[5] + a for k, a in zip(keys, entries))])
     triple_count = np.bincount(place_t, cat(m[10] for m in sent), len(triple)).astype(np.int64)
-    del sent, keys
     # only what training has
     kept = triple_count > 0
     triple_owner, triple, triple_count = triple_owner[kept], triple[kept], triple_count[kept]
@@ -370,12 +363,12 @@ def build_shard(file, payloads: list[bytes], bits: int) -> tuple[np.ndarray, np.
     distinct = np.bincount(word_owner[needed], minlength=len(v))
     needed[triple] = True
     f2 = np.maximum(word_count - DISCOUNT, 0) / total[word_owner]
-    m2 = np.where(distinct > 0, np.clip(DISCOUNT * distinct / total, 1e-9, 1), 1)
+    # of a context in parts, this part's share of what is left
+    m2 = np.minimum(DISCOUNT * distinct / total, 1)
     f3 = (triple_count - DISCOUNT) / pair_count[triple_owner]
-    m3 = np.clip(DISCOUNT * np.bincount(triple_owner, minlength=len(pair))[used] / pair_count[used], 1e-9, 1)
+    m3 = np.minimum(DISCOUNT * np.bincount(triple_owner, minlength=len(pair))[used] / pair_count[used], 1)
     codes = {"contexts": code(m2), "words": code(f2[needed]), "pairs": code(m3), "triples": code(f3)}
     Trie.write(file, v, word_owner[needed], word[needed], pair_owner[used], pair[used], (np.cumsum(used) - 1)[triple_owner], (np.cumsum(needed) - 1)[triple], codes, bits)
-    return v, total, distinct
 
 
 def ask(trie: Trie, payload: bytes) -> bytes:
@@ -384,9 +377,9 @@ def ask(trie: Trie, payload: bytes) -> bytes:
     context = trie.context(v)
     w = trie.word(context[word_unit], word)
     p = trie.pair(context[pair_unit], before)
-    t = trie.triple(context[pair_unit[of]], p[of], w[entry])
-    tell = lambda level, at, none: np.where(at >= 0, np.append(trie.codes[level], np.uint8(0))[at], none).astype(np.uint8)
-    return pack(tell("contexts", context, 0), tell("words", w, NONE), tell("pairs", p, 0), tell("triples", t, NONE))
+    t = trie.triple(p[of], trie.base(p)[of], trie.first_word(context)[pair_unit][of], w[entry])
+    tell = lambda level, at, none: np.append(trie.codes[level], np.uint8(none))[at]
+    return pack(tell("contexts", context, NONE), tell("words", w, NONE), tell("pairs", p, 0), tell("triples", t, NONE))
 
 
 def _by_bucket(table: pa.Table, kind: int) -> dict[int, bytes]:
@@ -409,23 +402,25 @@ def score_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
             for chunk, hashes, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
                 h, c = np.frombuffer(hashes.as_buffer(), "<u8"), unpack(counts.as_py())[0]
                 shard = (h >> U(64 - shard_bits)).astype(np.int64)
-                yield from _frame([(COUNTS, s, chunk, pack(h[i:j], c[i:j]), 0, 0, 0, 0) for s, i, j in _blocks(shard, 0)], MESSAGE).to_batches()
+                yield from _frame([(COUNTS, s, chunk, pack(h[i:j], c[i:j]), 0, 0, 0) for s, i, j in _blocks(shard, 0)], MESSAGE).to_batches()
 
     def add_up(table: pa.Table) -> pa.Table:
         sent = [unpack(x.as_py()) for x in table["payload"]]
         known, place = _ranked(np.concatenate([s[0] for s in sent]))
         total = np.bincount(place, np.concatenate([s[1] for s in sent])).astype(np.int64)
+        rank = np.empty(len(total), np.int64)  # numbers go by frequency, so those of most tokens are small
+        rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
         at, out, bucket = 0, [], table["bucket"][0].as_py()
         for i, (chunk, s) in enumerate(zip(table["chunk"].to_pylist(), sent)):
             mine = place[at : at + len(s[0])]
-            summary = (0, 0, 0, 0) if i else (int(total.sum()), int((total > 0).sum()), len(known), int(total.max()))
-            out.append((COUNTS, bucket, chunk, pack(total[mine].astype("<u8"), np.diff(mine, prepend=0).astype("<u4")), *summary))
+            summary = (0, 0, 0) if i else (int(total.sum()), int((total > 0).sum()), len(known))
+            out.append((COUNTS, bucket, chunk, pack(total[mine], rank[mine]), *summary))
             at += len(mine)
         return _frame(out, MESSAGE)
 
     sent = texts.select("chunk", "hashes", "counts").mapInArrow(count, MESSAGE_SQL)
     counted = scratch.save(sent.groupBy("bucket").applyInArrow(add_up, MESSAGE_SQL), "counts")
-    whole = counted.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"), F.max("numbers").alias("numbers"), F.max("most").alias("most")).first()
+    whole = counted.agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"), F.max("numbers").alias("numbers")).first()
     every, kinds, rank_bits = int(whole["tokens"] or 0), int(whole["distinct"] or 0), log2_up(int(whole["numbers"] or 1) + 1)
     starts = int(texts.agg(F.sum("n_train")).first()[0] or 0)
     space = Numbers(shard_bits, rank_bits, starts, max(HOT, every >> HOT_SHARE))
@@ -433,30 +428,28 @@ def score_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
     def grams(table: pa.Table, told: pa.Table) -> Grams:
         got, counts, numbers = _by_bucket(told, COUNTS), [], []
         for b in sorted(got):
-            total, steps = unpack(got[b])
+            total, rank = unpack(got[b])
             counts.append(total.astype(np.int64))
-            numbers.append((b << rank_bits) + np.cumsum(steps.astype(np.int64)))
-        row = {n: table[n][0].as_py() for n in ("words", "sizes", "held_out", "hashes")}
+            numbers.append((b << rank_bits) + rank.astype(np.int64))
+        row = {n: table[n][0].as_py() for n in ("words", "sizes", "held_out", "end")}
         return Grams(row, np.concatenate(counts), np.concatenate(numbers), space)
 
     def send(table: pa.Table, told: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _frame([], MESSAGE)
         chunk = table["chunk"][0].as_py()
-        return _frame([(ANSWERS, s, chunk, x, 0, 0, 0, 0) for s, x in grams(table, told).messages()], MESSAGE)
+        return _frame([(ANSWERS, s, chunk, x, 0, 0, 0) for s, x in grams(table, told).messages()], MESSAGE)
 
     def shard(table: pa.Table) -> pa.Table:
         bucket, payloads, out = table["bucket"][0].as_py(), [x.as_py() for x in table["payload"]], []
         with tempfile.TemporaryFile() as file:
-            v, total, distinct = build_shard(file, payloads, space.bits)
+            build_shard(file, payloads, space.bits)
             trie = Trie.map(file)
-            out += [(ANSWERS, bucket, c, ask(trie, x), 0, 0, 0, 0) for c, x in zip(table["chunk"].to_pylist(), payloads)]
-            hot = total > space.hot
-            if hot.any():
-                out.append((MASS, bucket, 0, pack(v[hot].astype("<u8"), distinct[hot].astype("<u8")), 0, 0, 0, 0))
+            trie.index()
+            out += [(ANSWERS, bucket, c, ask(trie, x), 0, 0, 0) for c, x in zip(table["chunk"].to_pylist(), payloads)]
             if model:
                 file.seek(0)
-                out.append((TRIE, bucket, 0, file.read(), 0, 0, 0, 0))
+                out.append((TRIE, bucket, 0, file.read(), 0, 0, 0))
         return _frame(out, MESSAGE)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
@@ -468,29 +461,16 @@ def score_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
         n = len(g.sizes)
         doc = np.repeat(np.arange(n), g.sizes)
         base = np.bincount(doc, np.log10(one)[g.word], n)
-        total = np.bincount(doc, np.log10(g.probabilities(_by_bucket(told, ANSWERS), one, masses)), n)
+        total = np.bincount(doc, np.log10(g.probabilities(_by_bucket(told, ANSWERS), one)), n)
         seen = np.bincount(doc, (g.counts > 0)[g.word], n).astype(np.int64)
         columns = [table["doc_ids"][0].as_py(), table["held_out"][0].as_py(), g.sizes, seen, np.full(n, every), base, total]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    chunks = texts.select("chunk", "doc_ids", "held_out", "sizes", "words", "hashes").groupBy("chunk")
+    chunks = texts.select("chunk", "doc_ids", "held_out", "sizes", "words", "end").groupBy("chunk")
     answers = chunks.cogroup(counted.groupBy("chunk")).applyInArrow(send, MESSAGE_SQL).groupBy("bucket").applyInArrow(shard, MESSAGE_SQL)
-    answers = scratch.save(answers, "answers")
     if model:
+        answers = scratch.save(answers, "answers")
         answers.filter(F.col("kind") == TRIE).select("bucket", "payload").write.mode("overwrite").parquet(model)
-    masses = _masses(answers)
-    told = counted.unionByName(answers.filter(F.col("kind") == ANSWERS))
+        answers = answers.filter(F.col("kind") == ANSWERS)
+    told = counted.unionByName(answers)
     return chunks.cogroup(told.groupBy("chunk")).applyInArrow(finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-
-
-def _masses(answers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(numbers, ascending, and counts of following words) of the contexts in parts: 2 ** HOT_SHARE at most."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for x in b.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in unpack(x.as_py())], ["v", "n"])
-
-    got = answers.filter(F.col("kind") == MASS).select("payload").mapInArrow(rows, "v long, n long").groupBy("v").agg(F.sum("n").alias("n")).collect()
-    got = np.array(sorted((r["v"], r["n"]) for r in got), np.int64).reshape(-1, 2)
-    return got[:, 0], got[:, 1]
