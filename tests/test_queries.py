@@ -37,7 +37,7 @@ def test_tiles_of_all_orders_match_brute_force(spark, data, con):
     for key, customer in con.execute("SELECT o_orderkey, o_custkey FROM orders").fetchall():
         whole = customer * 7 // 12 * 12
         want |= {(key, at, min(1200, whole - at)) for at in range(0, whole, 1200)}
-    got = [tuple(r) for r in Q.QUERIES["chunk_tiles_whole"](spark, data).collect()]
+    got = [tuple(r) for r in Q.QUERIES["chunk_tiles"](spark, data).collect()]
     assert len(got) == len(want) and set(got) == want and max(r[0] for r in got) >= 200
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .floats import free_prefix
+
 BITS = 21
 #: Added to a truncated-octahedron cell's z (-1 at least) before a key is made; even, so parity stays.
 Z_BIAS = 2
@@ -26,19 +28,21 @@ def with_morton(df: DataFrame, x: Column, y: Column, z: Column, name: str = "sfc
 
     Each spreading step uses its input twice, so each is a column: one nested expression would hold 2**5 copies of a cell.
     """
-    df = df.withColumns({f"_m{i}": _mask(c.cast("bigint"), (1 << BITS) - 1) for i, c in enumerate((x, y, z))})
+    m = [f"{free_prefix(df, '_m')}{i}" for i in range(3)]
+    df = df.withColumns({n: _mask(c.cast("bigint"), (1 << BITS) - 1) for n, c in zip(m, (x, y, z))})
     for shift, mask in SPREAD:
-        df = df.withColumns({f"_m{i}": _mask(F.col(f"_m{i}").bitwiseOR(F.shiftleft(f"_m{i}", shift)), mask) for i in range(3)})
-    key = F.col("_m0").bitwiseOR(F.shiftleft("_m1", 1)).bitwiseOR(F.shiftleft("_m2", 2))
-    return df.withColumn(name, key).drop("_m0", "_m1", "_m2")
+        df = df.withColumns({n: _mask(F.col(n).bitwiseOR(F.shiftleft(n, shift)), mask) for n in m})
+    key = F.col(m[0]).bitwiseOR(F.shiftleft(m[1], 1)).bitwiseOR(F.shiftleft(m[2], 2))
+    return df.withColumn(name, key).drop(*m)
 
 
 def with_morton_cell(df: DataFrame, key: Column, names=("qx", "qy", "qz")) -> DataFrame:
     """df with the int cell of a Morton key."""
-    df = df.withColumns({f"_m{i}": _mask(F.shiftrightunsigned(key, i), SPREAD[-1][1]) for i in range(3)})
+    m = [f"{free_prefix(df, '_m')}{i}" for i in range(3)]
+    df = df.withColumns({n: _mask(F.shiftrightunsigned(key, i), SPREAD[-1][1]) for i, n in enumerate(m)})
     for shift, mask in GATHER:
-        df = df.withColumns({f"_m{i}": _mask(F.col(f"_m{i}").bitwiseOR(F.shiftrightunsigned(f"_m{i}", shift)), mask) for i in range(3)})
-    return df.withColumns({n: F.col(f"_m{i}").cast("int") for i, n in enumerate(names)}).drop("_m0", "_m1", "_m2")
+        df = df.withColumns({n: _mask(F.col(n).bitwiseOR(F.shiftrightunsigned(n, shift)), mask) for n in m})
+    return df.withColumns({name: F.col(n).cast("int") for name, n in zip(names, m)}).drop(*m)
 
 
 def checked(key: Column, qx: Column, qy: Column, qz: Column) -> Column:

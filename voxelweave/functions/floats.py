@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def f32(value: float) -> float:
@@ -11,13 +11,26 @@ def f32(value: float) -> float:
     return float(np.float32(value))
 
 
+def named(column: str) -> Column:
+    """A column by its name as it stands, dots and quotes included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def free_prefix(df: DataFrame, prefix: str) -> str:
+    """What names of intermediate columns may begin with, as no column's name does."""
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix = "_" + prefix
+    return prefix
+
+
 def divide(x: Column, by: float) -> Column:
     """float32 quotient: the double quotient rounded once more equals it."""
     return (x.cast("double") / F.lit(f32(by))).cast("float")
 
 
-def times(x: Column, by: float) -> Column:
-    return (x.cast("double") * F.lit(f32(by))).cast("float")
+def times(x: Column, by: float | Column) -> Column:
+    by = by.cast("float").cast("double") if isinstance(by, Column) else F.lit(f32(by))
+    return (x.cast("double") * by).cast("float")
 
 
 def nearest(x: Column) -> Column:

@@ -17,21 +17,39 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .floats import divide, f32, nearest, times
+from .floats import divide, f32, free_prefix, named, nearest, times
 
 
 AXES = ("x", "y", "z")
 
 
-def _cells(df: DataFrame, *q: Column) -> DataFrame:
-    temporary = [c for c in df.columns if c.startswith("_q_")]
-    return df.withColumns({f"q{c}": v.cast("int") for c, v in zip(AXES, q)}).drop(*temporary)
+def _cells(df: DataFrame, own: list[str], *q: Column) -> DataFrame:
+    """The columns of `own` and the cells; steps on the way are dropped."""
+    cells = [f"q{c}" for c in AXES]
+    return df.withColumns({n: v.cast("int") for n, v in zip(cells, q)}).select(*[named(c) for c in own if c not in cells], *cells)
 
 
 def _point(x: Column, y: Column, z: Column) -> Column:
     return F.struct(x.cast("float").alias("x"), y.cast("float").alias("y"), z.cast("float").alias("z"))
 
 
+def _cube_point(bound: float | Column, qx: Column, qy: Column, qz: Column) -> Column:
+    return _point(*[divide(times((q.cast("double") + 0.5) * 2, bound), math.sqrt(3)) for q in (qx, qy, qz)])
+
+
+def _octahedron_point(bound: float | Column, qx: Column, qy: Column, qz: Column) -> Column:
+    parity = qz.bitwiseAND(F.lit(1))
+    return _point(*[divide(times(n.cast("double") * 2, bound), math.sqrt(5)) for n in (qx * 2 - parity, qy * 2 - parity, qz)])
+
+
+def point_by_row(lattice: Column, bound: Column, steps: Column, qx: Column, qy: Column, qz: Column) -> Column:
+    """The point of a cell where each row says its lattice, its bound and (adaptive) its array of steps."""
+    q = (qx, qy, qz)
+    adaptive = _point(*[times(c, F.element_at(steps, i + 1)) for i, c in enumerate(q)])
+    known = F.when(lattice == "cube", _cube_point(bound, *q)).when(lattice == "to", _octahedron_point(bound, *q)).when(lattice == "adaptive", adaptive)
+    return known.otherwise(F.raise_error(F.concat(F.lit("unknown lattice "), lattice)).cast("struct<x:float,y:float,z:float>"))
+
+
 def check_bound(bound: float) -> float:
     if not (bound > 0 and math.isfinite(bound)):
         raise ValueError(f"the error bound must be a positive number, not {bound!r}")
@@ -47,11 +65,10 @@ class Cube:
 
     def quantize(self, df: DataFrame) -> DataFrame:
         step = 2 * f32(self.bound) / math.sqrt(3)
-        return _cells(df, *[F.floor(divide(F.col(c), step)) for c in AXES])
+        return _cells(df, df.columns, *[F.floor(divide(F.col(c), step)) for c in AXES])
 
     def point(self, qx: Column, qy: Column, qz: Column) -> Column:
-        back = lambda q: divide(times((q.cast("double") + 0.5) * 2, self.bound), math.sqrt(3))
-        return _point(*[back(q) for q in (qx, qy, qz)])
+        return _cube_point(self.bound, qx, qy, qz)
 
 
 @dataclass(frozen=True)
@@ -63,22 +80,22 @@ class TruncatedOctahedron:
 
     def quantize(self, df: DataFrame) -> DataFrame:
         step = 2 * f32(self.bound) / math.sqrt(5)
-        name = lambda kind: [F.col(f"_q_{kind}{c}") for c in AXES]
-        df = df.withColumns({f"_q_u{c}": divide(F.col(c), step) for c in AXES})
-        df = df.withColumns({f"_q_h{c}": u.cast("double") * 0.5 for c, u in zip(AXES, name("u"))} | {f"_q_g{c}": (u - F.lit(1.0).cast("float")).cast("double") * 0.5 for c, u in zip(AXES, name("u"))})
-        df = df.withColumns({f"_q_e{c}": nearest(h) * 2 for c, h in zip(AXES, name("h"))} | {f"_q_o{c}": nearest(g) * 2 + 1 for c, g in zip(AXES, name("g"))})
-        away = {f"_q_{k}{k}{c}": u.cast("double") - t.cast("double") for k in "eo" for c, u, t in zip(AXES, name("u"), name(k))}
+        own, p = df.columns, free_prefix(df, "_q_")
+        name = lambda kind: [F.col(f"{p}{kind}{c}") for c in AXES]
+        df = df.withColumns({f"{p}u{c}": divide(F.col(c), step) for c in AXES})
+        df = df.withColumns({f"{p}h{c}": u.cast("double") * 0.5 for c, u in zip(AXES, name("u"))} | {f"{p}g{c}": (u - F.lit(1.0).cast("float")).cast("double") * 0.5 for c, u in zip(AXES, name("u"))})
+        df = df.withColumns({f"{p}e{c}": nearest(h) * 2 for c, h in zip(AXES, name("h"))} | {f"{p}o{c}": nearest(g) * 2 + 1 for c, g in zip(AXES, name("g"))})
+        away = {f"{p}{k}{k}{c}": u.cast("double") - t.cast("double") for k in "eo" for c, u, t in zip(AXES, name("u"), name(k))}
         df = df.withColumns(away)
         far = lambda k: sum((d * d for d in name(k + k)), F.lit(0.0))
-        df = df.withColumn("_q_even", far("e") <= far("o"))
-        pick = lambda e, o: F.when(F.col("_q_even"), F.shiftright(e.cast("bigint"), 1)).otherwise(F.shiftright(o.cast("bigint") + 1, 1))
+        df = df.withColumn(f"{p}even", far("e") <= far("o"))
+        even = F.col(f"{p}even")
+        pick = lambda e, o: F.when(even, F.shiftright(e.cast("bigint"), 1)).otherwise(F.shiftright(o.cast("bigint") + 1, 1))
         (ex, ey, ez), (ox, oy, oz) = name("e"), name("o")
-        return _cells(df, pick(ex, ox), pick(ey, oy), F.when(F.col("_q_even"), ez).otherwise(oz))
+        return _cells(df, own, pick(ex, ox), pick(ey, oy), F.when(even, ez).otherwise(oz))
 
     def point(self, qx: Column, qy: Column, qz: Column) -> Column:
-        parity = qz.bitwiseAND(F.lit(1))
-        back = lambda n: divide(times(n.cast("double") * 2, self.bound), math.sqrt(5))
-        return _point(back(qx * 2 - parity), back(qy * 2 - parity), back(qz))
+        return _octahedron_point(self.bound, qx, qy, qz)
 
 
 @dataclass(frozen=True)
@@ -97,13 +114,30 @@ class Adaptive:
         return cls(tuple(f32(f32(f32(bound) * s) / f32(norm)) if norm > 0 else even for s in sides))
 
     def quantize(self, df: DataFrame) -> DataFrame:
-        df = df.withColumns({f"_q_u{c}": divide(F.col(c), s).cast("double") for c, s in zip(AXES, self.steps) if s})
-        return _cells(df, *[nearest(F.col(f"_q_u{c}")) if s else F.lit(0) for c, s in zip(AXES, self.steps)])
+        own, p = df.columns, free_prefix(df, "_q_")
+        df = df.withColumns({f"{p}u{c}": divide(F.col(c), s).cast("double") for c, s in zip(AXES, self.steps) if s})
+        return _cells(df, own, *[nearest(F.col(f"{p}u{c}")) if s else F.lit(0) for c, s in zip(AXES, self.steps)])
 
     def point(self, qx: Column, qy: Column, qz: Column) -> Column:
         return _point(*[times(q, s) for q, s in zip((qx, qy, qz), self.steps)])
 
 
+def adaptive_steps(bound: float, sides: list[Column]) -> Column:
+    """Adaptive.fit's steps as an array, from columns of the box's (float) sides, so that each group has its own."""
+    double = lambda c: c.cast("float").cast("double")
+    b, s = f32(check_bound(bound)), [double(c) for c in sides]
+    norm = double(F.sqrt(double(s[0] * s[0]) + double(s[1] * s[1]) + double(s[2] * s[2])))
+    return F.array(*[F.when(norm > 0, double(double(F.lit(b) * c) / F.nullif(norm, F.lit(0.0)))).otherwise(F.lit(f32(b / math.sqrt(3)))) for c in s])
+
+
+def adaptive_cells(df: DataFrame, steps: Column) -> DataFrame:
+    """df with cells by an array of steps; a step of 0 gives cell 0."""
+    step = lambda i: F.element_at(steps, i + 1)
+    own, p = df.columns, free_prefix(df, "_q_")
+    df = df.withColumns({f"{p}u{c}": (F.col(c).cast("double") / F.nullif(step(i), F.lit(0.0))).cast("float").cast("double") for i, c in enumerate(AXES)})
+    return _cells(df, own, *[F.when(step(i) != 0, nearest(F.col(f"{p}u{c}"))).otherwise(F.lit(0)) for i, c in enumerate(AXES)])
+
+
 LATTICES = {"cube": Cube, "to": TruncatedOctahedron}
 
 

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import curves
+from ..functions.floats import free_prefix
 from .cells import ranges
 from .ordered import deltas, running_sum
 
 
 def entries(cells: DataFrame, hilbert: bool = False, bias: int = 0) -> DataFrame:
     """cells with id, quad and sfc, the local key; z is raised by `bias` first. The ranges are one row, which is broadcast."""
-    raised = cells.withColumn("_z", F.col("qz") + bias)
+    p = free_prefix(cells, "_s")
+    z, s = f"{p}z", f"{p}s"
+    raised = cells.withColumn(z, F.col("qz") + bias)
     r = raised.agg(F.greatest(F.coalesce(F.max("qx"), F.lit(0)), F.lit(0)).alias("range_x"), F.greatest(F.coalesce(F.max("qy"), F.lit(0)), F.lit(0)).alias("range_y"))
-    rows = raised.crossJoin(F.broadcast(r)).withColumn("_s", curves.superblock(F.col("qx"), F.col("qy"), F.col("_z"), F.col("range_x"), F.col("range_y")))
-    rows = rows.withColumns({c: F.col(f"_s.{c}") for c in ("id", "quad", "lx", "ly", "lz")}).drop("_s", "_z")
+    rows = raised.crossJoin(F.broadcast(r)).withColumn(s, curves.superblock(F.col("qx"), F.col("qy"), F.col(z), F.col("range_x"), F.col("range_y")))
+    rows = rows.withColumns({c: F.col(s).getField(c) for c in ("id", "quad", "lx", "ly", "lz")}).drop(s, z)
     rows = curves.with_morton(rows, F.col("lx"), F.col("ly"), F.col("lz")).drop("lx", "ly", "lz")
     return rows.withColumn("sfc", curves.hilbert(F.col("sfc"), curves.BLOCK_ITERATION)) if hilbert else rows
 
@@ -50,20 +53,24 @@ def restore(rows: DataFrame, position: str) -> DataFrame:
 def cells_of(rows: DataFrame, hilbert: bool = False, bias: int = 0) -> DataFrame:
     """qx, qy, qz of rows with id, quad, sfc, range_x, range_y."""
     key = curves.hilbert_morton(F.col("sfc"), curves.BLOCK_ITERATION) if hilbert else F.col("sfc")
-    local = curves.with_morton_cell(rows, key, ("_x", "_y", "_z"))
-    got = local.withColumn("_c", curves.superblock_cell(F.col("id"), F.col("quad"), F.col("_x"), F.col("_y"), F.col("_z"), F.col("range_x"), F.col("range_y")))
-    return got.select("*", F.col("_c.qx").alias("qx"), F.col("_c.qy").alias("qy"), (F.col("_c.qz") - bias).alias("qz")).drop("_c", "_x", "_y", "_z")
+    p = free_prefix(rows, "_s")
+    x, y, z, c = (f"{p}{n}" for n in "xyzc")
+    local = curves.with_morton_cell(rows, key, (x, y, z))
+    got = local.withColumn(c, curves.superblock_cell(F.col("id"), F.col("quad"), F.col(x), F.col(y), F.col(z), F.col("range_x"), F.col("range_y")))
+    cell = F.col(c)
+    return got.select("*", cell.getField("qx").alias("qx"), cell.getField("qy").alias("qy"), (cell.getField("qz") - bias).alias("qz")).drop(c, x, y, z)
 
 
 def direct_keys(cells: DataFrame, hilbert: bool = False, bias: int = 0) -> DataFrame:
     """cells with sfc over the whole range; cells that 21 bits an axis can't hold raise an error."""
-    raised = cells.withColumn("_z", F.col("qz") + bias)
-    cell = [F.col(c) for c in ("qx", "qy", "_z")]
+    z = f"{free_prefix(cells, '_s')}z"
+    raised = cells.withColumn(z, F.col("qz") + bias)
+    cell = [F.col(c) for c in ("qx", "qy", z)]
     keyed = curves.with_morton(raised, *cell).withColumn("sfc", curves.checked(F.col("sfc"), *cell))
     if not hilbert:
-        return keyed.drop("_z")
+        return keyed.drop(z)
     top = raised.agg(curves.bit_length(F.coalesce(F.max(F.greatest(*cell)), F.lit(0))).alias("iteration"))
-    return keyed.crossJoin(F.broadcast(top)).withColumn("sfc", curves.hilbert(F.col("sfc"), F.col("iteration"))).drop("_z")
+    return keyed.crossJoin(F.broadcast(top)).withColumn("sfc", curves.hilbert(F.col("sfc"), F.col("iteration"))).drop(z)
 
 
 def direct_deltas(keys: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.floats import free_prefix
+
 CELL = ("qx", "qy", "qz")
 #: Rows that one expanded row may make before cells are dealt anew.
 WIDE = 10_000
@@ -30,13 +32,14 @@ def duplicate_ratio(counts: DataFrame) -> DataFrame:
 
 def expand(counts: DataFrame, parts: int = 1000) -> DataFrame:
     """A row for each point. Cells of many points are first split into parts, dealt over the tasks, so none makes them alone."""
-    n = F.col("cnt").cast("bigint")
+    n, p = F.col("cnt").cast("bigint"), free_prefix(counts, "_e")
+    many, i, k, one = (f"{p}{c}" for c in "nik1")
     split = F.when(n > WIDE, F.least(F.lit(parts).cast("bigint"), F.ceil(n / WIDE).cast("bigint"))).otherwise(F.lit(1).cast("bigint"))
-    pieces = counts.withColumn("_n", split).withColumn("_i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)))
-    pieces = pieces.withColumn("_k", F.floor((F.col("_i") + 1) * n / F.col("_n")).cast("bigint") - F.floor(F.col("_i") * n / F.col("_n")).cast("bigint"))
-    hot = pieces.filter("_n > 1").repartition("qx", "qy", "qz", "_i")
-    rows = pieces.filter("_n = 1").unionByName(hot)
-    return rows.withColumn("_e", F.explode(F.array_repeat(F.lit(1), F.col("_k").cast("int")))).drop("_e", "_k", "_i", "_n", "cnt")
+    pieces = counts.withColumn(many, split).withColumn(i, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(many) - 1)))
+    pieces = pieces.withColumn(k, F.floor((F.col(i) + 1) * n / F.col(many)).cast("bigint") - F.floor(F.col(i) * n / F.col(many)).cast("bigint"))
+    hot = pieces.filter(F.col(many) > 1).repartition("qx", "qy", "qz", i)
+    rows = pieces.filter(F.col(many) == 1).unionByName(hot)
+    return rows.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(k).cast("int")))).drop(one, k, i, many, "cnt")
 
 
 def ranges(df: DataFrame) -> DataFrame:

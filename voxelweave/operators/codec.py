@@ -1,4 +1,7 @@
-"""Byte codecs of unsigned integer columns, vectorised with numpy, and their grouped DataFrame forms.
+"""Byte codecs of unsigned integer columns, with numpy, and their grouped DataFrame forms.
+
+Encoders and bitunpack are vectorised. The other decoders find for all bit positions at once where a code
+that starts there would end, walk from code to code, and read all values at once.
 
 Streams are (meta, data). bitpack and rice are least significant bit first with meta of a 32-bit
 count and one byte of width or k; huffman and exp-Golomb are most significant bit first. Huffman
@@ -18,15 +21,59 @@ from pyspark.sql import DataFrame
 
 MOST_LENGTH = 32
 PATCH = 254
+#: The share of its packed data that a codebook of counts may cost.
+META_SHARE = 0.25
 
 
 def _bits_of(values: np.ndarray, lengths: np.ndarray, big_end: bool) -> np.ndarray:
-    """All values' bits in a row, `lengths` bits each."""
-    total = int(lengths.sum())
-    row = np.repeat(np.arange(len(values)), lengths)
-    at = np.arange(total) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    shift = (lengths[row] - 1 - at) if big_end else at
-    return (values[row] >> shift.astype(np.uint64) & np.uint64(1)).astype(np.uint8)
+    """All values' bits in a row, `lengths` bits each: a byte a bit, made in runs of some values."""
+    ends = np.cumsum(lengths)
+    out, first = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8), 0
+    while first < len(values):
+        done = int(ends[first] - lengths[first])
+        last = max(first + 1, int(np.searchsorted(ends, done + (1 << 20), "right")))
+        n = lengths[first:last]
+        row = np.repeat(np.arange(first, last), n)
+        at = np.arange(len(row)) - np.repeat(ends[first:last] - n - done, n)
+        shift = (lengths[row] - 1 - at) if big_end else at
+        out[done : done + len(row)] = values[row] >> shift.astype(np.uint64) & np.uint64(1)
+        first = last
+    return out
+
+
+def _read(data: bytes, at: np.ndarray, n: int | np.ndarray, big_end: bool) -> np.ndarray:
+    """Numbers of n (0 to 64) bits from bit positions on; beyond the end there are zeros."""
+    raw = np.frombuffer(data + bytes(9), np.uint8)
+    byte, bit = np.minimum(at >> 3, len(data)), (at & 7).astype(np.uint64)
+    rest = np.uint64(8) - bit
+    lane = np.ndarray((len(raw) - 8,), ">u8" if big_end else "<u8", raw, strides=(1,))[byte].astype(np.uint64)
+    after = raw[byte + 8].astype(np.uint64)
+    n = np.asarray(n, np.uint64)
+    over = np.where(n > 0, np.uint64(64) - n, np.uint64(0))
+    if big_end:
+        return np.where(n > 0, ((lane << bit) | (after >> rest)) >> over, np.uint64(0))
+    whole = (lane >> bit) | np.where(bit > 0, after << (np.uint64(64) - np.maximum(bit, np.uint64(1))), np.uint64(0))
+    return np.where(n > 0, whole << over >> over, np.uint64(0))
+
+
+def _walk(following: np.ndarray, n: int) -> np.ndarray:
+    """The first n positions from 0 on, each the one that follows the one before; the last code must end within the bits."""
+    out = np.zeros(n, np.int64)
+    steps, places, at, most = memoryview(following), memoryview(out), 0, len(following)
+    for i in range(n):
+        if at >= most:
+            raise ValueError("stream is cut short")
+        places[i] = at
+        at = steps[at]
+    if at > most:
+        raise ValueError("stream is cut short")
+    return out
+
+
+def _next_of(bits: np.ndarray, value: int) -> np.ndarray:
+    """For each position the next one whose bit has the value; without one, a place far beyond the end."""
+    at = np.where(bits == value, np.arange(len(bits)), np.int64(1) << 40)
+    return np.minimum.accumulate(at[::-1])[::-1]
 
 
 def _width(values: np.ndarray) -> int:
@@ -46,8 +93,9 @@ def bitunpack(meta: bytes, data: bytes) -> np.ndarray:
     if not meta:
         return np.zeros(0, np.uint64)
     n, w = struct.unpack("<IB", meta)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8), count=n * w, bitorder="little").reshape(n, w).astype(np.uint64)
-    return (bits << np.arange(w, dtype=np.uint64)).sum(1, dtype=np.uint64)
+    if n * w > 8 * len(data):
+        raise ValueError("stream is cut short")
+    return _read(data, np.arange(n, dtype=np.int64) * w, w, False)
 
 
 def rice_parameter(values: np.ndarray) -> int:
@@ -78,19 +126,10 @@ def unrice(meta: bytes, data: bytes) -> np.ndarray:
         return np.zeros(0, np.uint64)
     n, k = struct.unpack("<IB", meta)
     bits = np.unpackbits(np.frombuffer(data, np.uint8), bitorder="little")
-    zeros = np.flatnonzero(bits == 0).tolist()
-    out, at, z = np.zeros(n, np.uint64), 0, 0
-    weights = np.uint64(1) << np.arange(k, dtype=np.uint64)
-    for i in range(n):
-        while zeros[z] < at:
-            z += 1
-        stop = zeros[z]
-        low = bits[stop + 1 : stop + 1 + k]
-        if len(low) < k:
-            raise ValueError("stream is cut short")
-        out[i] = (stop - at << k) + int((low * weights).sum())
-        at = stop + 1 + k
-    return out
+    stops = _next_of(bits, 0)
+    start = _walk(stops + 1 + k, n)
+    stop = stops[start]
+    return ((stop - start).astype(np.uint64) << np.uint64(k)) + _read(data, stop + 1, k, False)
 
 
 def exp_golomb_order(values: np.ndarray) -> int:
@@ -100,7 +139,10 @@ def exp_golomb_order(values: np.ndarray) -> int:
 
 def _lengths(v: np.ndarray) -> np.ndarray:
     """Bit lengths of positive values."""
-    return np.frompyfunc(int.bit_length, 1, 1)(v.astype(object)).astype(np.int64) if len(v) else np.zeros(0, np.int64)
+    v = v.astype(np.uint64)
+    high = v >> np.uint64(32)
+    # halves are exact as doubles
+    return np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((v & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.int64)
 
 
 def _exp_bits(values: np.ndarray, k: int) -> np.ndarray:
@@ -123,20 +165,11 @@ def unexp_golomb(meta: bytes, data: bytes) -> np.ndarray:
     if not meta:
         return np.zeros(0, np.uint64)
     n, k = struct.unpack("<IB", meta)
-    bits = np.unpackbits(np.frombuffer(data, np.uint8))
-    ones = np.flatnonzero(bits).tolist()
-    out, at, j = np.zeros(n, np.uint64), 0, 0
-    for i in range(n):
-        while ones[j] < at:
-            j += 1
-        zeros = ones[j] - at
-        end = ones[j] + zeros + 1 + k
-        if end > len(bits):
-            raise ValueError("stream is cut short")
-        code = int("".join(map(str, bits[ones[j] : end])), 2)
-        out[i] = ((code >> k) - 1 << k) | (code & ((1 << k) - 1))
-        at = end
-    return out
+    ones = _next_of(np.unpackbits(np.frombuffer(data, np.uint8)), 1)
+    start = _walk(2 * ones - np.arange(len(ones)) + 1 + k, n)
+    one = ones[start]
+    code = _read(data, one, one - start + 1 + k, True)
+    return ((code >> np.uint64(k)) - np.uint64(1) << np.uint64(k)) | (code & np.uint64((1 << k) - 1))
 
 
 def code_lengths(freq: dict[int, int], most: int = MOST_LENGTH) -> dict[int, int]:
@@ -203,17 +236,17 @@ def unhuffman(meta: bytes, data: bytes, book: dict[int, tuple[int, int]] | None
         return np.zeros(0, np.uint64)
     n = struct.unpack_from("<I", meta)[0]
     own = load_codebook(meta[4:]) if book is None else book
-    lookup = {(size, code): s for s, (code, size) in own.items()}
-    bits = np.unpackbits(np.frombuffer(data, np.uint8)).tolist()
-    out, at = np.zeros(n, np.uint64), 0
-    for i in range(n):
-        code = size = 0
-        while (size, code) not in lookup:
-            if at >= len(bits) or size > MOST_LENGTH:
-                raise ValueError("stream is cut short")
-            code, size, at = code << 1 | bits[at], size + 1, at + 1
-        out[i] = lookup[size, code]
-    return out
+    # canonical codes, put at the top of 32 bits, ascend with their lengths
+    ordered = sorted((code << (MOST_LENGTH - size), size, s) for s, (code, size) in own.items())
+    top, size, symbol = (np.array(c, np.uint64) for c in zip(*ordered))
+    ahead = _read(data, np.arange(8 * len(data), dtype=np.int64), MOST_LENGTH, True)
+    first = np.flatnonzero(np.concatenate(([True], size[1:] != size[:-1])))
+    length = size[first][np.searchsorted(top[first], ahead, "right") - 1].astype(np.int64)
+    start = _walk(np.arange(len(ahead)) + length, n)
+    place = np.searchsorted(top, ahead[start], "right") - 1
+    if ((ahead[start] - top[place]) >> (np.uint64(MOST_LENGTH) - size[place])).any():
+        raise ValueError("bits that are no code")
+    return symbol[place]
 
 
 def entropy(values: np.ndarray) -> float:
@@ -221,13 +254,15 @@ def entropy(values: np.ndarray) -> float:
     return float(-(f * np.log2(f)).sum())
 
 
+def counts_code(n: int, kinds: int, width: int) -> str:
+    """Which code n counts of `kinds` values, the greatest of `width` bits, take: exp-Golomb if a codebook costs over META_SHARE of the packed data."""
+    return "exp-golomb" if 4 + 9 * kinds > META_SHARE * -(-n * width // 8) else "huffman"
+
+
 def counts_stream(values: np.ndarray) -> tuple[str, bytes, bytes]:
-    """(code, meta, data): Huffman unless its entropy is over 10 bits or its codebook over a quarter of its data."""
-    if len(values) and entropy(values) <= 10:
-        meta, data = huffman(values)
-        if len(meta) <= 0.25 * len(data):
-            return "huffman", meta, data
-    return "exp-golomb", *exp_golomb(values)
+    """(code, meta, data) under the code that counts_code gives."""
+    code = counts_code(len(values), len(np.unique(values)), _width(values)) if len(values) else "huffman"
+    return code, *ENCODERS[code](values)
 
 
 def zstd(raw: bytes, level: int = 3) -> bytes:

@@ -8,8 +8,6 @@ from ..functions.curves import bit_length
 
 PATCH = 254
 MOST_RICE, MOST_ORDER = 62, 16
-#: Entropy in bits from which exp-Golomb replaces Huffman, and the share of its data that a codebook may cost.
-ENTROPY_LIMIT, META_SHARE = 10.0, 0.25
 
 
 def zigzag(v: Column) -> Column:
@@ -94,8 +92,3 @@ def entropy(freq: DataFrame, by: list[str] = ()) -> DataFrame:
     f = F.col("freq").cast("double")
     got = freq.groupBy(*by).agg(F.sum("freq").alias("n"), F.count("*").alias("distinct"), F.sum(f * F.log2(f)).alias("_s"))
     return got.select(*by, "n", "distinct", (F.log2(F.col("n").cast("double")) - F.col("_s") / F.col("n")).alias("entropy"))
-
-
-def count_stream_choice(meta_bytes: Column, data_bytes: Column) -> Column:
-    """Which code a stream of counts takes."""
-    return F.when(meta_bytes > META_SHARE * data_bytes, F.lit("exp-golomb")).otherwise(F.lit("huffman"))

@@ -417,11 +417,11 @@ def zigzag(spark, sf_dir):
 
 @query(f"WITH {O.quantized('moments', 'to', 5, 'chunk')}, c AS (SELECT chunk, count(*) AS v FROM q GROUP BY chunk, qx, qy, qz), g AS (SELECT chunk, count(*) AS n, count(DISTINCT v) AS kinds, {O.bit_length('max(v)')} AS width FROM c GROUP BY chunk) SELECT chunk, n, kinds, CASE WHEN 4 + 9 * kinds > CAST(0.25 AS DOUBLE) * ceil(n * width / CAST(8 AS DOUBLE)) THEN 'exp-golomb' ELSE 'huffman' END AS code FROM g")
 def count_stream_selection(spark, sf_dir):
-    """Which code each chunk's counts take, with the codebook's bytes against packed data."""
+    """Which code each chunk's counts took in a run."""
+    streams = Z.compress(clouds.moments(spark, sf_dir), Z.Options("to", 5))
     counts = C.cell_counts(quantized(clouds.moments(spark, sf_dir), "to", 5, ["chunk"]), ["chunk"])
-    kinds = counts.groupBy("chunk", "cnt").agg(F.count("*").alias("c")).groupBy("chunk").agg(F.count("*").alias("kinds"))
-    packed = sizing.bitpack_size(counts, "cnt", ["chunk"]).join(kinds, "chunk")
-    return packed.select("chunk", "n", "kinds", sizing.count_stream_choice(4 + 9 * F.col("kinds"), F.col("bytes")).alias("code"))
+    kinds = counts.groupBy("chunk", "cnt").agg(F.count("*").alias("c")).groupBy("chunk").agg(F.sum("c").alias("n"), F.count("*").alias("kinds"))
+    return kinds.join(streams.select(F.col("chunk").cast("int").alias("chunk"), F.col("count_code").alias("code")), "chunk")
 
 
 # ---- partitioners
@@ -462,8 +462,7 @@ def hash_partition_owner(spark, sf_dir):
 def splitters(spark, sf_dir):
     """Seven keys that cut the cells into eight parts of equal size."""
     keys = curves.with_morton(_cell_table(spark, sf_dir), F.col("qx"), F.col("qy"), F.col("qz") + curves.Z_BIAS, "k").select("k")
-    cuts = ordered.splitters(keys, "k", 8, accuracy=2_000_000)
-    return spark.createDataFrame([(i + 1, c) for i, c in enumerate(cuts)], "i int, splitter long")
+    return ordered.exact_splitters(keys, "k", 8)
 
 
 @query()
@@ -484,15 +483,9 @@ def round_robin_owner(spark, sf_dir):
 # ---- chunks, keys of files, reports
 
 
-@query("SELECT o_orderkey AS id, CAST(t.off AS BIGINT) AS \"offset\", least(1200, sz - sz % 12 - t.off) AS \"count\" FROM (SELECT o_orderkey, CAST(o_custkey * 7 AS BIGINT) AS sz FROM orders WHERE o_orderkey < 200) o, LATERAL (SELECT unnest(range(0, sz - sz % 12, 1200)) AS off) t")
+@query("SELECT o_orderkey AS id, CAST(t.off AS BIGINT) AS \"offset\", least(1200, sz - sz % 12 - t.off) AS \"count\" FROM (SELECT o_orderkey, CAST(o_custkey * 7 AS BIGINT) AS sz FROM orders) o, LATERAL (SELECT unnest(range(0, sz - sz % 12, 1200)) AS off) t")
 def chunk_tiles(spark, sf_dir):
     """Byte ranges of 100 records that tile files of given sizes."""
-    return chunk_tiles_whole(spark, sf_dir).filter("id < 200")
-
-
-@query("SELECT o_orderkey AS id, CAST(t.off AS BIGINT) AS \"offset\", least(1200, sz - sz % 12 - t.off) AS \"count\" FROM (SELECT o_orderkey, CAST(o_custkey * 7 AS BIGINT) AS sz FROM orders) o, LATERAL (SELECT unnest(range(0, sz - sz % 12, 1200)) AS off) t")
-def chunk_tiles_whole(spark, sf_dir):
-    """chunk_tiles over every order."""
     t = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") * 7).alias("size"))
     return t.select("id", F.explode(P.tiles(F.col("size"), 1200)).alias("t")).select("id", "t.offset", "t.count")
 
@@ -631,6 +624,26 @@ def compress_roundtrip(spark, sf_dir):
     return rounded(got.withColumn("chunk", F.col("chunk").cast("int")), "x", "y", "z")
 
 
+@query(f"WITH {O.quantized('moments', 'to', 0.5, 'chunk')}, {O.recovered('to', 0.5)} SELECT chunk, {O.fixed('CAST(rx + ox AS FLOAT)')} AS x, {O.fixed('CAST(ry + oy AS FLOAT)')} AS y, {O.fixed('CAST(rz + oz AS FLOAT)')} AS z FROM r")
+def compress_roundtrip_block(spark, sf_dir):
+    """Points back from superblocks, octants and local keys."""
+    got = Z.decompress(Z.compress(clouds.moments(spark, sf_dir), Z.Options("to", 0.5, "hilbert", True, "block")))
+    return rounded(got.withColumn("chunk", F.col("chunk").cast("int")), "x", "y", "z")
+
+
+_MIXED = (("to", 0.5, "z", False, "block"), ("cube", 5.0, "hilbert", True, "direct"), ("cube", 0.5, "z", True, "auto"))
+
+
+@query(_union([f"WITH {O.quantized('moments', n, b, 'chunk')}, {O.recovered(n, b)} SELECT chunk, {O.fixed('CAST(rx + ox AS FLOAT)')} AS x, {O.fixed('CAST(ry + oy AS FLOAT)')} AS y, {O.fixed('CAST(rz + oz AS FLOAT)')} AS z FROM r" for n, b, *_ in _MIXED]))
+def compress_roundtrip_mixed(spark, sf_dir):
+    """Points back from one table with the streams of three runs."""
+    streams = None
+    for options in _MIXED:
+        got = Z.compress(clouds.moments(spark, sf_dir), Z.Options(*options))
+        streams = got if streams is None else streams.unionByName(got)
+    return rounded(Z.decompress(streams).withColumn("chunk", F.col("chunk").cast("int")), "x", "y", "z")
+
+
 @query()
 def shared_codebook(spark, sf_dir):
     """Bytes of every chunk under its own codebook and under one that the first chunk gave."""
