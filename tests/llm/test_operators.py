@@ -623,3 +623,48 @@ def test_best_fit(lengths, open_bins):
         used[b] = offset + n
         assert used[b] <= 100 and p.open <= open_bins
     assert p.made == len(used)
+
+
+# ---- many alike, few linked
+
+
+def test_template_documents_in_one_bucket(spark, monkeypatch):
+    """1,500 documents that share two thirds of their shingles: many buckets stay open, blocks are small, and components are those of brute force."""
+    monkeypatch.setattr(setsketch, "MINOR", (64, 1 << 12))
+    monkeypatch.setattr(setsketch, "MAJOR", (96, 1 << 13))
+    r = random.Random(8)
+    template = [f"t{i}" for i in range(24)]
+    texts = [" ".join([*template, *(f"x{r.randrange(40)}" for _ in range(7))]) for _ in range(1500)]
+    sets = [frozenset(zip(t.split(), t.split()[1:])) for t in texts]
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    ids = {g: k for k, g in enumerate(sorted(set().union(*sets)))}
+    table = np.zeros((len(sets), len(ids)), np.float32)
+    for i, s in enumerate(sets):
+        table[i, [ids[g] for g in s]] = 1
+    both, size = table @ table.T, table.sum(1)
+    for i, j in zip(*np.nonzero(100 * both >= 80 * (size[:, None] + size[None, :] - both))):
+        a, b = find(int(i)), find(int(j))
+        root[max(a, b)] = min(a, b)
+    assert 20 < len({find(i) for i in range(len(texts))}) < 1500
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    got = {x["doc_id"]: x["component_id"] for x in setsketch.near_duplicates(docs, width=2).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
+def test_blocks_bound_every_group(spark, monkeypatch):
+    """No group of an open bucket has more rows than two blocks are meant to have, with room for uneven dealing."""
+    monkeypatch.setattr(setsketch, "MINOR", (50, 1 << 20))
+    monkeypatch.setattr(setsketch, "MAJOR", (80, 1 << 20))
+    met = spark.range(1000).select(F.lit(5).cast("long").alias("key"), F.lit(0).alias("band"), F.xxhash64("id").alias("node"), F.lit(10).cast("long").alias("n"), F.col("id"))
+    roots = met.filter("id < 400").select(F.col("node").alias("id"), F.lit(1).cast("long").alias("root"))
+    rows = setsketch.groups(met.drop("id"), roots)
+    sizes = {(r["i"], r["j"]): (r["a"], r["b"]) for r in rows.groupBy("i", "j").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b")).collect()}
+    assert len(sizes) == 12 * 13 // 2 + 12 * 5 and max(a + b for a, b in sizes.values()) < 250
+    pairs = rows.filter("i < 0 or j < 0").select("node").distinct().count()
+    assert pairs == 1000

@@ -55,7 +55,7 @@ SPACING, RATE = 1.001, 20.0
 DEVIATIONS = 6.0
 #: Rows compared at once; rows and shingles that a block of an open bucket aims at, of minor and of major nodes.
 BLOCK = 2048
-MINOR, MAJOR = (1024, 1 << 20), (4096, 1 << 22)
+MINOR, MAJOR = (512, 1 << 19), (1024, 1 << 20)
 #: A bucket with such a share of the sampled nodes is dealt over PARTS; so there are at most REGISTERS / ROWS / SHARE of them.
 SAMPLE, SHARE, PARTS = 20_000, 1 / 500, 64
 
@@ -380,7 +380,8 @@ def hot_buckets(nodes: DataFrame) -> DataFrame:
 def meetings(nodes: DataFrame) -> DataFrame:
     """(key, band, node, n, before, first, hot) of all nodes in buckets of several; before and first are null for the first node of a bucket or of a hot bucket's part."""
     placed = bands(nodes).join(F.broadcast(hot_buckets(nodes)), ["key", "band"], "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    placed = placed.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("node", "band"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int"))
+    # by node alone: nodes that meet in several bands then make the same pairs in each
+    placed = placed.withColumn("part", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(PARTS))).otherwise(F.lit(0)).cast("int"))
     order = Window.partitionBy("key", "band", "part").orderBy("node")
     met = placed.withColumns({"before": F.lag("node").over(order), "after": F.lead("node").over(order), "first": F.first("node").over(order.rowsBetween(Window.unboundedPreceding, 0))})
     met = met.filter("hot or before is not null or after is not null")
