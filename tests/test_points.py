@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 import pytest
@@ -122,7 +123,7 @@ def test_patches(spark):
     assert [r["value"] for r in sizing.merge_patches(symbols, patches, "i").orderBy("i").collect()] == [0, 253, 254, 255, 10**9, 5]
 
 
-values = st.lists(st.integers(0, 3000), max_size=60).map(lambda v: np.array(v, np.uint64))
+values = st.lists(st.one_of(st.integers(0, 300), st.integers(0, 2**62)), max_size=60).map(lambda v: np.array(v, np.uint64))
 
 
 @settings(max_examples=40, deadline=None)
@@ -193,6 +194,86 @@ def test_raw_files(spark, tmp_path):
     assert raw.blob_points(raw.read_blobs(spark, str(tmp_path / "out"))).count() == 10
 
 
+def test_appends_and_overwrites(spark, tmp_path):
+    at = str(tmp_path / "out")
+    two = spark.createDataFrame([(1.0, 2.0, 3.0), (4.0, 5.0, 6.0)], "x float, y float, z float").coalesce(1)
+    values = lambda: sorted(r["x"] for r in raw.blob_points(raw.read_blobs(spark, at)).collect())
+    raw.write_points(two, at)
+    raw.write_points(two.withColumn("x", F.col("x") + 10), at)
+    assert values() == [1.0, 4.0, 11.0, 14.0] and [r["rank"] for r in raw.parts(spark, at).collect()] == [0, 1]
+    raw.write_points(two.repartition(3), at, "append")
+    assert values() == [1.0, 1.0, 4.0, 4.0, 11.0, 14.0]
+    raw.write_points(two, at, "overwrite")
+    assert values() == [1.0, 4.0] and sorted(p.name for p in (tmp_path / "out").iterdir() if not p.name.startswith(".")) == ["part_rank0000.bin"]
+
+
+def test_scalars_and_summaries(spark, tmp_path):
+    errors = spark.range(10).select((F.col("id") / 4).alias("err")).coalesce(1)
+    raw.write_scalars(errors, "err", str(tmp_path / "err"))
+    got = raw.read_scalars(spark, str(tmp_path / "err/part_rank0000.bin"), 8, 12).orderBy("index").collect()
+    assert [(r["index"], r["value"]) for r in got] == [(2, 0.5), (3, 0.75), (4, 1.0)]
+    ranks = spark.createDataFrame([(0, 120, 12, 1, 2.0), (1, 240, 12, 2, 4.0)], "rank long, input_bytes long, compressed_bytes long, blocks long, wall_s double")
+    raw.write_summary(reports.run_summary(ranks), str(tmp_path / "s_n2/blk64M"))
+    got = raw.read_summaries(spark, str(tmp_path), "s").collect()
+    assert [(r["nodes"], r["block_mib"], r["nranks"], r["input_bytes"], len(r["per_rank"])) for r in got] == [(2, 64, 2, 360, 2)]
+
+
+@pytest.mark.parametrize("name", ["to", "cube", "adaptive"])
+@pytest.mark.parametrize("mode", ["direct", "block"])
+def test_modes_and_lattices_in_one_table(spark, name, mode):
+    xyz = np.random.default_rng(9).uniform(0, 300, (400, 3)).astype(np.float32)
+    df = cloud(spark, xyz).withColumn("chunk", (F.col("id") % 2).cast("int"))
+    bound = 0.2 if name != "adaptive" else 0.001
+    streams = Z.compress(df, Z.Options(name, bound, "z", True, mode)).unionByName(Z.compress(df, Z.Options("cube", 0.5)).withColumn("chunk", F.col("chunk") + 10))
+    assert {r["mode"] for r in streams.filter("chunk < 10").collect()} == {mode}
+    back = np.array([[r["x"], r["y"], r["z"]] for r in Z.decompress(streams).filter("chunk < 10").collect()])
+    limit = 0.2 if name != "adaptive" else 0.001 * 300
+    assert len(back) == 400 and max(np.linalg.norm(back - p, axis=1).min() for p in xyz) <= limit * 1.001
+    other = np.array([[r["x"], r["y"], r["z"]] for r in Z.decompress(streams).filter("chunk >= 10").collect()])
+    assert len(other) == 400 and max(np.linalg.norm(other - p, axis=1).min() for p in xyz) <= 0.5 * 1.001
+
+
+def test_empty_streams_and_points(spark):
+    none = cloud(spark, np.zeros((0, 3))).withColumn("chunk", F.lit(0))
+    assert Z.compress(none, Z.Options()).count() == 0 and Z.decompress(Z.compress(none, Z.Options())).count() == 0
+
+
+def test_columns_of_users_stay(spark):
+    names = ["_q_ux", "_m0", "_b", "_z", "_s", "_n", "_e", "_x", "a.b"]
+    df = cloud(spark, np.random.default_rng(2).uniform(0, 9, (20, 3)))
+    for n in names:
+        df = df.withColumn(n, F.lit("kept"))
+    q = P.quantize(df, lattice("to", 0.5))
+    keys = blocks.direct_keys(q, hilbert=True, bias=2)
+    entries = blocks.entries(q, bias=2)
+    got = ordered.ranked(ordered.deltas(keys, "sfc", ["id"]), "sfc", ["id"])
+    for t in (q, keys, entries, blocks.cells_of(entries.drop("qx", "qy", "qz"), bias=2), got, C.expand(q.withColumn("cnt", F.lit(2).cast("long")))):
+        row = t.first().asDict()
+        assert all(row[n] == "kept" for n in names)
+
+
+def test_frequent_keys_are_cut_by_ties(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "BUCKET_ROWS", 50)
+    keys = [7] * 2000 + [9] * 700 + list(range(300))
+    random.Random(4).shuffle(keys)
+    df = spark.createDataFrame(list(zip(keys, range(3000))), "k long, id long")
+    sizes = ordered.bucketed(df, "k", ["id"]).groupBy("_b").count().agg(F.max("count")).first()[0]
+    assert sizes <= 120
+    want = sorted(zip(keys, range(3000)))
+    got = ordered.ranked(df, "k", ["id"]).orderBy("rank").collect()
+    assert [(r["k"], r["id"]) for r in got] == want and [r["rank"] for r in got] == list(range(1, 3001))
+    d = ordered.deltas(df, "k", ["id"]).orderBy("k", "id").collect()
+    assert [r["delta"] for r in d] == [want[0][0], *(b[0] - a[0] for a, b in zip(want, want[1:]))]
+
+
+def test_decoders_stop_at_cut_streams():
+    v = np.random.default_rng(1).integers(0, 2**40, 200, dtype=np.uint64)
+    for name, encode in codec.ENCODERS.items():
+        meta, data = encode(v)
+        with pytest.raises(ValueError):
+            codec.DECODERS[name](meta, data[: len(data) // 2])
+
+
 def test_summaries_and_scaling(spark, tmp_path):
     for n, wall in ((1, 8.0), (2, 5.0)):
         at = tmp_path / f"hacc_n{n}" / "blk64M"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import curves
 from .ordered import owner, splitters
@@ -97,6 +97,19 @@ def deal(df: DataFrame, n: int, mode: str = "samplesort", bias: int = curves.Z_B
     return dealt.sortWithinPartitions("sfc").withColumn("part", F.spark_partition_id())
 
 
+def reservoir(df: DataFrame, by: list[str], key: str, size: int, seed: int = 0) -> DataFrame:
+    """A sample of `size` rows at most of each group, alike for all rows: those whose md5 of the seed and the key is least (ties by key).
+
+    The same rows come whatever the partitions are; Spark keeps the first `size` rows of each group in each task before it shuffles.
+    """
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")))
+    rank = F.row_number().over(Window.partitionBy(*by).orderBy(draw, key))
+    name = "_draw"
+    while name in df.columns:
+        name += "_"
+    return df.withColumn(name, rank).filter(F.col(name) <= size).drop(name)
+
+
 def round_robin(chunk: Column, n: int) -> Column:
     """The owner of a chunk number."""
     return F.pmod(chunk, F.lit(n)).cast("int")

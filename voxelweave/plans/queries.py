@@ -475,6 +475,26 @@ def repartition_balance(spark, sf_dir):
     return out
 
 
+def _balance_sql(mode: str) -> str:
+    return f"SELECT '{mode}' AS mode, count(*) AS parts, min(n) AS least, max(n) AS most, {O.fixed('min(n) / CAST(max(n) AS DOUBLE)', 9)} AS balance FROM (SELECT owner, count(*) AS n FROM ({ORACLES[f'{mode}_partition_owner']}) GROUP BY owner)"
+
+
+@query(_union([_balance_sql(m) for m in ("range", "prefix", "hash")]))
+def owner_balance(spark, sf_dir):
+    """Cells of the parts that three partitioners give."""
+    cells, out = _cell_table(spark, sf_dir), None
+    for mode in ("range", "prefix", "hash"):
+        got = partition.balance(partition.with_owner(cells, 8, mode), "owner").withColumn("mode", F.lit(mode))
+        out = got if out is None else out.unionByName(got)
+    return rounded(out, "balance", places=9)
+
+
+@query(f"SELECT chunk, id FROM (SELECT id, chunk, row_number() OVER (PARTITION BY chunk ORDER BY md5('7:' || CAST(id AS VARCHAR)), id) AS r FROM ({clouds.SQL['moments']})) WHERE r <= 50")
+def reservoir_sample(spark, sf_dir):
+    """Fifty points of each chunk, drawn by a seed."""
+    return partition.reservoir(clouds.moments(spark, sf_dir), ["chunk"], "id", 50, 7).select("chunk", "id")
+
+
 @query("SELECT CAST(event_id // 1000 AS INT) AS chunk, CAST((event_id // 1000) % 3 AS INT) AS rank, count(*) AS points FROM events GROUP BY ALL")
 def round_robin_owner(spark, sf_dir):
     return clouds.moments(spark, sf_dir).groupBy("chunk", partition.round_robin(F.col("chunk"), 3).alias("rank")).agg(F.count("*").alias("points"))
@@ -505,7 +525,16 @@ def grid_sort_key(spark, sf_dir):
     return blocks.direct_keys(cells).select("id", F.col("sfc").alias("key"))
 
 
-@query()
+# a float32's exponent by its logarithm, put right where that is rounded over a power of two; the least ones have no exponent of their own
+_BITS = "CASE WHEN v = 0 THEN 0 WHEN v < pow(CAST(2 AS DOUBLE), -126) THEN CAST(v * pow(CAST(2 AS DOUBLE), 149) AS BIGINT) ELSE (e + 127) * 8388608 + CAST((v / pow(CAST(2 AS DOUBLE), e) - 1) * 8388608 AS BIGINT) END"
+_EXPONENT = "CAST(g + CASE WHEN pow(CAST(2 AS DOUBLE), g) > v THEN -1 WHEN pow(CAST(2 AS DOUBLE), g + 1) <= v THEN 1 ELSE 0 END AS BIGINT)"
+
+
+def _bits_sql(c: str) -> str:
+    return f"(SELECT {_BITS} FROM (SELECT v, {_EXPONENT} AS e FROM (SELECT CAST({c} AS DOUBLE) AS v, CASE WHEN {c} > 0 THEN floor(log2(CAST({c} AS DOUBLE))) ELSE 0 END AS g)))"
+
+
+@query(f"WITH {O.shifted('vectors')}, b AS (SELECT id, " + ", ".join(f"{_bits_sql(c)} >> 11 AS bits_{c}" for c in "xyz") + f" FROM s) SELECT id, {O.morton('bits_x', 'bits_y', 'bits_z')} AS key FROM b")
 def float_bits_key(spark, sf_dir):
     """Morton keys of the top 21 bits of coordinates' float32 patterns; negative ones have a null key."""
 
@@ -569,6 +598,27 @@ def scaling_pivot(spark, sf_dir):
     return reports.pivot(_runs(spark, sf_dir), "nodes", "block_mib", "throughput", [64, 128, 256])
 
 
+@query(f"WITH {_RUNS}, b AS (SELECT *, first_value(throughput) OVER w AS base, first_value(nodes) OVER w AS least FROM runs WINDOW w AS (PARTITION BY block_mib ORDER BY nodes)) SELECT nodes, " + ", ".join(f"max({O.fixed('(throughput / base) / (nodes / CAST(least AS DOUBLE))', 9)}) FILTER (block_mib = {b}) AS \"{b}\"" for b in (64, 128, 256)) + " FROM b GROUP BY nodes")
+def efficiency_pivot(spark, sf_dir):
+    """Parallel efficiency by nodes and block size."""
+    got = rounded(reports.scaling(_runs(spark, sf_dir)), "parallel_efficiency", places=9)
+    return reports.pivot(got, "nodes", "block_mib", "parallel_efficiency", [64, 128, 256])
+
+
+_LINES = "lines AS (SELECT user_id % 50 AS run, event_id AS position, CASE event_id % 3 WHEN 0 THEN 'psnr: ' || CAST(floor(value) AS BIGINT) || ' dB' WHEN 1 THEN 'ratio = ' || CAST(event_id AS VARCHAR) ELSE 'noise ' || CAST(event_id AS VARCHAR) END AS line FROM events)"
+
+
+@query(f"WITH {_LINES}, f AS (SELECT run, position, CAST(nullif(regexp_extract(line, 'psnr: ([0-9.]+)', 1), '') AS DOUBLE) AS psnr, CAST(nullif(regexp_extract(line, 'ratio = ([0-9.]+)', 1), '') AS DOUBLE) AS ratio FROM lines) SELECT run, max_by(psnr, position) FILTER (psnr IS NOT NULL) AS psnr, max_by(ratio, position) FILTER (ratio IS NOT NULL) AS ratio FROM f GROUP BY run")
+def log_metrics(spark, sf_dir):
+    """Figures from the lines that runs print, the last of each kind."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    text = lambda c: c.cast("string")
+    kind = F.col("event_id") % 3
+    line = F.when(kind == 0, F.concat(F.lit("psnr: "), text(F.floor("value")), F.lit(" dB"))).when(kind == 1, F.concat(F.lit("ratio = "), text(F.col("event_id")))).otherwise(F.concat(F.lit("noise "), text(F.col("event_id"))))
+    lines = t.select((F.col("user_id") % 50).alias("run"), F.col("event_id").alias("position"), line.alias("line"))
+    return reports.scrape(lines, "run", "line", {"psnr": "psnr: ([0-9.]+)", "ratio": "ratio = ([0-9.]+)"})
+
+
 _RANKS = "r AS (SELECT user_id % 8 AS rank, count(*) * 12 AS input_bytes, count(DISTINCT event_id // 1000) AS blocks, CAST(max(user_id) AS DOUBLE) AS wall_s, CAST(count(*) * 5 AS BIGINT) AS compressed_bytes FROM events GROUP BY ALL)"
 
 
@@ -604,6 +654,25 @@ def codec_roundtrip(spark, sf_dir):
     return out
 
 
+_CODED = f"{_DELTAS}, w AS (SELECT id, count(*) AS n, {O.bit_length('max(repos_delta)')} AS width, CASE WHEN avg(repos_delta) >= 1 THEN least(62, CAST(floor(log2(avg(repos_delta))) AS INT)) ELSE 0 END AS k FROM e GROUP BY id), "
+_CODED += f"g AS (SELECT id, k, sum(2 * {O.bit_length('(repos_delta >> k) + 1')} - 1 + k) AS bits FROM e, (SELECT unnest(range(17)) AS k) GROUP BY id, k)"
+
+
+@query(_union([
+    f"{_CODED} SELECT id, 'bitpack' AS code, n, CAST(ceil(n * width / CAST(8 AS DOUBLE)) AS BIGINT) AS data_bytes FROM w",
+    f"{_CODED} SELECT id, 'rice' AS code, max(n) AS n, CAST(ceil(sum((repos_delta >> k) + 1 + k) / CAST(8 AS DOUBLE)) AS BIGINT) AS data_bytes FROM e JOIN w USING (id) GROUP BY id",
+    f"{_CODED} SELECT id, 'exp-golomb' AS code, max(n) AS n, CAST(ceil(min(bits) / CAST(8 AS DOUBLE)) AS BIGINT) AS data_bytes FROM g JOIN w USING (id) GROUP BY id",
+]))
+def codec_stream_bytes(spark, sf_dir):
+    """Bytes of the streams of each superblock's octant deltas under three codes."""
+    rows = blocks.entry_deltas(_entries(spark, sf_dir)).withColumn("position", F.row_number().over(Window.partitionBy("id").orderBy("quad", "sfc"))).select("id", "position", F.col("repos_delta").alias("v"))
+    out = None
+    for name in ("bitpack", "rice", "exp-golomb"):
+        got = codec.encode_groups(rows, "id", "position", "v", name).select("id", F.lit(name).alias("code"), "n", F.length("data").cast("long").alias("data_bytes"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
 @query()
 def zstd_ratio(spark, sf_dir):
     """Input and compressed bytes of whole runs, by curve, with and without counted cells."""

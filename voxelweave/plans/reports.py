@@ -61,6 +61,13 @@ def run_summary(ranks: DataFrame) -> DataFrame:
     return got.withColumn("ratio", safe("input_bytes", "compressed_bytes")).withColumn("load_balance", safe("wall_min_s", "wall_max_s")).withColumn("throughput_GBps", safe("input_bytes", "wall_max_s") / 1e9)
 
 
+def scrape(lines: DataFrame, run: str, line: str, patterns: dict[str, str]) -> DataFrame:
+    """One row a run with a double for each pattern: the first group of the last line, by `position`, that it matches; null if none does."""
+    found = [F.nullif(F.regexp_extract(F.col(line), p, 1), F.lit("")).cast("double").alias(n) for n, p in patterns.items()]
+    rows = lines.select(run, "position", *found)
+    return rows.groupBy(run).agg(*[F.max_by(F.col(n), F.when(F.col(n).isNotNull(), F.col("position"))).alias(n) for n in patterns])
+
+
 def manifest_index(manifest: DataFrame) -> DataFrame:
     """Blocks, bytes and the span of each rank's part file."""
     return manifest.groupBy("rank").agg(F.count("*").alias("blocks"), F.sum("input_size").alias("input_bytes"), F.sum("compressed_size").alias("compressed_bytes"), F.max(F.col("part_offset") + F.col("compressed_size")).alias("part_bytes"))

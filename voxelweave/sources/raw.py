@@ -1,8 +1,10 @@
-"""Headerless float32 x, y, z records, and the tables that runs leave beside them.
+"""Headerless float32 records, and the tables that runs leave beside them.
 
-`register(spark)` adds the format "xyz32", which reads byte ranges of a file in parallel and writes
-one part file a task. A partial last record is dropped; offset and count must be multiples of 12;
-count 0 or one beyond the end reads to the end; an offset beyond the end reads nothing.
+`register(spark)` adds the formats "xyz32" (records of x, y, z) and "scalar32" (one value a record, such as
+the errors of points), which read byte ranges of a file in parallel and write
+one part file a task. A partial last record is dropped; offset and count must be multiples of the record;
+count 0 or one beyond the end reads to the end; an offset beyond the end reads nothing. An append numbers its
+parts after those that are there; an overwrite deletes those first. Null values are written as NaN.
 Paths are URIs that pyarrow.fs can open, or plain local paths. Stores that only Spark reaches go
 through `read_blobs`, one file a row.
 """
@@ -10,6 +12,7 @@ through `read_blobs`, one file a row.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +26,7 @@ RECORD = 12
 SPLIT = 64 << 20
 ROWS = 1 << 18
 POINT = "index long, x float, y float, z float"
+AXES, VALUE = ("x", "y", "z"), ("value",)
 PART = re.compile(r"part_rank(\d+)\.bin")
 
 MANIFEST = "block_id long, input_offset long, input_size long, rank long, part_offset long, compressed_size long"
@@ -45,19 +49,20 @@ def file_size(path: str) -> int:
     return info.size
 
 
-def byte_range(size: int, offset: int = 0, count: int = 0) -> tuple[int, int]:
+def byte_range(size: int, offset: int = 0, count: int = 0, record: int = RECORD) -> tuple[int, int]:
     """First and last byte of a range of whole records."""
-    if offset % RECORD or count % RECORD or offset < 0 or count < 0:
-        raise ValueError(f"offset and count must be multiples of {RECORD}")
-    end = size - size % RECORD
+    if offset % record or count % record or offset < 0 or count < 0:
+        raise ValueError(f"offset and count must be multiples of {record}")
+    end = size - size % record
     first = min(offset, end)
     return first, min(end, first + count) if count else end
 
 
-def to_points(raw: bytes, first: int = 0) -> pa.RecordBatch:
-    xyz = np.frombuffer(raw, "<f4", len(raw) // RECORD * 3).reshape(-1, 3)
-    index = np.arange(first, first + len(xyz))
-    return pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), *[pa.array(np.ascontiguousarray(xyz[:, i])) for i in range(3)]], ["index", "x", "y", "z"])
+def to_points(raw: bytes, first: int = 0, columns: tuple[str, ...] = AXES) -> pa.RecordBatch:
+    width = len(columns)
+    table = np.frombuffer(raw, "<f4", len(raw) // (4 * width) * width).reshape(-1, width)
+    index = np.arange(first, first + len(table))
+    return pa.RecordBatch.from_arrays([pa.array(index, pa.int64()), *[pa.array(np.ascontiguousarray(table[:, i])) for i in range(width)]], ["index", *columns])
 
 
 class _Range(InputPartition):
@@ -66,19 +71,19 @@ class _Range(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
+    def __init__(self, options: dict, columns: tuple[str, ...]):
+        self.options, self.columns, self.record = options, columns, 4 * len(columns)
 
     def partitions(self):
-        path, split = self.options["path"], int(self.options.get("split", SPLIT)) // RECORD * RECORD
-        first, last = byte_range(file_size(path), int(self.options.get("offset", 0)), int(self.options.get("count", 0)))
+        path, split = self.options["path"], max(1, int(self.options.get("split", SPLIT)) // self.record) * self.record
+        first, last = byte_range(file_size(path), int(self.options.get("offset", 0)), int(self.options.get("count", 0)), self.record)
         return [_Range(path, a, min(last, a + split)) for a in range(first, last, split)] or [_Range(path, 0, 0)]
 
     def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         fs, at = _open(partition.path)
         with fs.open_input_file(at) as f:
-            for a in range(partition.first, partition.last, ROWS * RECORD):
-                yield to_points(f.read_at(min(ROWS * RECORD, partition.last - a), a), a // RECORD)
+            for a in range(partition.first, partition.last, ROWS * self.record):
+                yield to_points(f.read_at(min(ROWS * self.record, partition.last - a), a), a // self.record, self.columns)
 
 
 class _Written(WriterCommitMessage):
@@ -87,10 +92,10 @@ class _Written(WriterCommitMessage):
 
 
 class _Writer(DataSourceArrowWriter):
-    """Each task writes a hidden file of its own; the commit names the parts, so a retried task leaves no second copy."""
+    """Each task writes a hidden file of its own; the commit names the parts in order of the tasks, so a retried task leaves no second copy."""
 
-    def __init__(self, options: dict, overwrite: bool):
-        self.path = options["path"].rstrip("/")
+    def __init__(self, options: dict, overwrite: bool, columns: tuple[str, ...]):
+        self.path, self.overwrite, self.columns, self.run = options["path"].rstrip("/"), overwrite, columns, uuid.uuid4().hex
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         from pyspark import TaskContext
@@ -98,43 +103,67 @@ class _Writer(DataSourceArrowWriter):
         context = TaskContext.get()
         fs, at = _open(self.path)
         fs.create_dir(at, recursive=True)
-        name = f"_part_{context.partitionId():04d}_{context.taskAttemptId()}"
+        name = f"_part_{self.run}_{context.partitionId():06d}_{context.taskAttemptId()}"
         with fs.open_output_stream(f"{at}/{name}") as f:
             for b in iterator:
-                columns = [b.column(b.schema.names.index(c)).to_numpy(zero_copy_only=False).astype("<f4") for c in "xyz"]
+                columns = [b.column(b.schema.names.index(c)).to_numpy(zero_copy_only=False).astype("<f4") for c in self.columns]
                 f.write(np.stack(columns, 1).tobytes())
         return _Written(name)
 
     def commit(self, messages) -> None:
         fs, at = _open(self.path)
-        for m in messages:
-            if m is not None:
-                fs.move(f"{at}/{m.part}", f"{at}/part_rank{m.part.split('_')[2]}.bin")
+        there = [(int(m[1]), f.path) for f in self._files(fs, at) if (m := PART.fullmatch(f.base_name))]
+        if self.overwrite:
+            for _, path in there:
+                fs.delete_file(path)
+            there = []
+        rank = max((k for k, _ in there), default=-1) + 1
+        for m in sorted((m.part for m in messages if m is not None)):
+            fs.move(f"{at}/{m}", f"{at}/part_rank{rank:04d}.bin")
+            rank += 1
+        self._clear(fs, at)
 
     def abort(self, messages) -> None:
-        fs, at = _open(self.path)
-        for m in messages:
-            if m is not None:
-                fs.delete_file(f"{at}/{m.part}")
+        self._clear(*_open(self.path))
+
+    def _files(self, fs, at: str) -> list[pafs.FileInfo]:
+        return [f for f in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True)) if f.type == pafs.FileType.File]
+
+    def _clear(self, fs, at: str) -> None:
+        """Delete what attempts of this run have left that weren't taken."""
+        for f in self._files(fs, at):
+            if f.base_name.startswith(f"_part_{self.run}_"):
+                fs.delete_file(f.path)
 
 
 class Xyz32(DataSource):
+    columns = AXES
+
     @classmethod
     def name(cls) -> str:
         return "xyz32"
 
     def schema(self) -> str:
-        return POINT
+        return ", ".join(["index long", *[f"{c} float" for c in self.columns]])
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return _Reader(self.options)
+        return _Reader(self.options, self.columns)
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options, overwrite)
+        return _Writer(self.options, overwrite, self.columns)
+
+
+class Scalar32(Xyz32):
+    columns = VALUE
+
+    @classmethod
+    def name(cls) -> str:
+        return "scalar32"
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(Xyz32)
+    spark.dataSource.register(Scalar32)
 
 
 def read_points(spark: SparkSession, path: str, offset: int = 0, count: int = 0) -> DataFrame:
@@ -143,9 +172,16 @@ def read_points(spark: SparkSession, path: str, offset: int = 0, count: int = 0)
     return spark.read.format("xyz32").options(offset=offset, count=count).load(path)
 
 
-def write_points(df: DataFrame, path: str) -> None:
+def write_points(df: DataFrame, path: str, mode: str = "append") -> None:
+    """x, y, z as part files; mode: append or overwrite."""
     register(df.sparkSession)
-    df.select(F.lit(0).cast("long").alias("index"), "x", "y", "z").write.format("xyz32").mode("append").save(path)
+    df.select(F.lit(0).cast("long").alias("index"), *[F.col(c).cast("float").alias(c) for c in AXES]).write.format("xyz32").mode(mode).save(path)
+
+
+def read_scalars(spark: SparkSession, path: str, offset: int = 0, count: int = 0) -> DataFrame:
+    """index, value of a file's records in a byte range."""
+    register(spark)
+    return spark.read.format("scalar32").options(offset=offset, count=count).load(path)
 
 
 def read_blobs(spark: SparkSession, path: str, glob: str = "*.bin") -> DataFrame:
@@ -172,8 +208,18 @@ def parts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_scalars(df: DataFrame, column: str, path: str) -> None:
-    """One float column as a table, such as the errors of points."""
-    df.select(F.col(column).cast("float").alias(column)).write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """One column as part files of float32 values, such as the errors of points, in place of what was there."""
+    register(df.sparkSession)
+    df.select(F.lit(0).cast("long").alias("index"), F.col(column).cast("float").alias("value")).write.format("scalar32").mode("overwrite").save(path)
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A run's one row as the JSON object `path`/summary.json."""
+    fs, at = _open(path.rstrip("/"))
+    row = summary.select(F.to_json(F.struct("*")).alias("json")).limit(1).collect()
+    fs.create_dir(at, recursive=True)
+    with fs.open_output_stream(f"{at}/summary.json") as f:
+        f.write((row[0]["json"] if row else "{}").encode())
 
 
 def read_manifest(spark: SparkSession, path: str, cells: bool = False) -> DataFrame:
