@@ -149,7 +149,7 @@ def test_pipeline_stages_match_brute_force(spark, data, tmp_path):
     sets = {}
     for r in clean:
         w = lower(r["text"])
-        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        sets[r["doc_id"]] = {tuple(w[i : i + 2]) for i in range(max(1, len(w) - 1))} if w else set()
     root = {d: d for d in sets}
     for a in sorted(sets):
         for b in sorted(sets):

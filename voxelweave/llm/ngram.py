@@ -45,7 +45,7 @@ from .text import BASE_C, U, buffers, mix, slices, word_hashes
 FOLDS, HELD_OUT = 5, 1
 END, BEGIN = 0x452821E638D01377, 0xBE5466CF34E90C6C
 DISCOUNT = 0.75
-#: 8-bit codes of log10 values from -RANGE to 0; the last stands for 0.
+#: 8-bit codes of log10 values from -RANGE to 0, finer towards 0: squares of equal steps; the last stands for a share of 0.
 RANGE, NONE = 10.16, 255
 CHUNK_BYTES, SHARD_BYTES, MOST_BYTES = 8 << 20, 4 << 20, 32 << 20
 #: A context is split beyond so many occurrences, or a larger share of the tokens, see `hot`.
@@ -64,10 +64,10 @@ def held_out(doc_id: Column) -> Column:
 def code(share: np.ndarray) -> np.ndarray:
     """A share of 0 to 1 as an 8-bit code of its logarithm."""
     with np.errstate(divide="ignore"):
-        return np.where(share > 0, np.clip(np.round(-np.log10(share) * (NONE - 1) / RANGE), 0, NONE - 1), NONE).astype(np.uint8)
+        return np.where(share > 0, np.clip(np.round(np.sqrt(np.maximum(-np.log10(share), 0) / RANGE) * (NONE - 1)), 0, NONE - 1), NONE).astype(np.uint8)
 
 
-_SHARES = np.append(10.0 ** (-np.arange(NONE) * RANGE / (NONE - 1)), 0.0)
+_SHARES = np.append(10.0 ** (-((np.arange(NONE) / (NONE - 1)) ** 2) * RANGE), 0.0)
 
 
 def share(codes: np.ndarray) -> np.ndarray:

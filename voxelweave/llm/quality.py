@@ -86,19 +86,19 @@ def _statistics(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         more += [_per(owner, n, last == k) / words for k in (7, 8, 10)]
         upper = _CLASS[raw[starts]] == 5
         more.append(_per(owner, n, upper & (_CLASS[raw[np.minimum(starts + 1, ends - 1)]] == 5)) / words)
-        # lines
-        line = np.zeros(len(raw), bool)
-        line[offsets[:-1][size > 0]] = True
-        line[1:] |= raw[:-1] == 0x0A
-        at = np.flatnonzero(line)
-        of = doc[at]
-        lines = np.maximum(_per(of, n), 1)
-        after = np.append(at[1:], len(raw))
-        after -= raw[after - 1] == 0x0A
-        distinct, most = _distinct(hash_spans(raw, at, after, False)[0], of, n)
-        more += [np.log1p(lines), distinct / lines, most / lines]
     else:
-        more += [np.zeros(n)] * 16
+        more += [np.zeros(n)] * 13
+    # lines
+    line = np.zeros(len(raw), bool)
+    line[offsets[:-1][size > 0]] = True
+    line[1:] |= raw[:-1] == 0x0A
+    at = np.flatnonzero(line)
+    of = doc[at]
+    lines = np.maximum(_per(of, n), 1)
+    after = np.append(at[1:], len(raw))
+    after -= raw[after - 1] == 0x0A
+    distinct, most = _distinct(hash_spans(raw, at, after, False)[0], of, n)
+    more += [np.log1p(lines), distinct / lines, most / lines]
     table[:, N_CLASSES:] = np.stack(more, 1)
     table[size == 0] = 0
     return table
