@@ -242,9 +242,9 @@ def pack(rows: DataFrame, groups: int, most: int = SEQUENCE, open_bins: int = OP
                 got = [packer.add(n) for n in b.column(b.schema.names.index("length")).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base + w for w, _ in got], pa.int64()), pa.array([o for _, o in got], pa.int64())], [f.name for f in schema])
 
-    dealt = rows.repartition(max(1, groups), "doc_id", "piece")
-    order = [F.xxhash64("doc_id", "piece"), *[F.col(c) for c in ("doc_id", "piece", "length")]]
-    return dealt.sortWithinPartitions(*order).mapInArrow(run, schema)
+    # by all columns, so that rows without a doc_id are dealt out too
+    dealt = rows.repartition(max(1, groups), *rows.columns)
+    return dealt.sortWithinPartitions(F.xxhash64(*rows.columns), *rows.columns).mapInArrow(run, schema)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str) -> DataFrame:
