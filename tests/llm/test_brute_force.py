@@ -230,3 +230,20 @@ def test_random_texts_of_many_kinds_pack_like_the_library(spark):
     for _ in range(2):  # from an empty cache, then from a full one
         ids, bounds = encoder.batch(texts)
         assert all(ids[bounds[i] : bounds[i + 1]].tolist() == e.ids for i, e in enumerate(library.encode_batch(texts, add_special_tokens=False)))
+
+
+def test_next_documents_where_ids_repeat(spark, monkeypatch):
+    """An id with half of the rows and rows without one fill buckets of their own; every row still has the next one of the whole order."""
+    monkeypatch.setattr(syncmers, "BUCKET_BYTES", 400)
+    r = random.Random(2)
+    rows = [(5 if i % 2 else None if i % 5 == 0 else i, "".join(r.choices("abc déf", k=r.randint(0, 40)))) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tagged = syncmers.with_next(df)
+    assert tagged.filter("guard = 0").groupBy("seq").count().agg({"count": "max"}).first()[0] < 120
+    ties = {(d, t): h for d, t, h in df.selectExpr("doc_id", "text", "xxhash64(text)").collect()}
+    order = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, ties[x]), reverse=True)
+    want = Counter()
+    for i, (d, t) in enumerate(order):
+        k = len(t) // 3
+        want[d, hashlib.sha256((t[: len(t) - k] + order[(i + 1) % len(order)][1][:k]).encode()).hexdigest()] += 1
+    assert Counter((x["doc_id"], x["edited_sha256"]) for x in syncmers.fingerprints(df).collect()) == want

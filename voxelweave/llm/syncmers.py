@@ -21,6 +21,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,27 +125,41 @@ def _above(bounds: list[int], x: Column) -> Column:
 def with_next(docs: DataFrame) -> DataFrame:
     """(seq, guard, doc_id, text) sorted so that each row's next document is the row after it, or the guard row that ends its bucket.
 
-    Buckets are ranges of doc_id in descending order; a guard repeats the first document of the next
-    bucket that has any. The driver reads one doc_id a bucket, MOST_BUCKETS at most; texts are shuffled once.
+    Buckets are ranges of (doc_id, hash of the text) in descending order: quantiles of doc_id, and where one id, or none, fills several buckets, equal
+    ranges of the hash. A guard repeats the first document of the next
+    bucket that has any. The driver reads one row of ids a bucket, about MOST_BUCKETS at most; texts are shuffled once.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    n = min(MOST_BUCKETS, -(-text_bytes(docs) // BUCKET_BYTES))
+    rows = rows.withColumn("tie", F.xxhash64("text"))
+    n = max(1, min(MOST_BUCKETS, -(-text_bytes(docs) // BUCKET_BYTES)))
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    bounds = sorted(set(ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n))) if n > 1 else []
-    seq = _above(bounds, F.col("doc_id")) if bounds else F.lit(0)
-    seq = F.when(F.col("doc_id").isNull(), F.lit(len(bounds) + 1)).otherwise(seq).cast("int")
-    heads = sorted(ids.groupBy(seq.alias("seq")).agg(F.max("doc_id").alias("doc_id")).collect())
-    tagged = rows.withColumn("seq", seq).withColumn("tie", F.xxhash64("text"))
+    found = ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
+    bounds = sorted({int(x) for x in found})
+    none = ids.agg(F.avg(F.col("doc_id").isNull().cast("double"))).first()[0] or 0.0
+    parts = {b: c + 1 for b, c in Counter(map(int, found)).items() if c > 1}
+    parts[None] = max(1, round(none * n))
+    most = max(parts.values())
+    # of the descending hash; an id that fills buckets is the last of its first one
+    low = F.lit((1 << 32) - 1) - F.shiftrightunsigned(F.col("tie").bitwiseXOR(F.lit(-(1 << 63))), 32)
+    part = lambda k: F.floor(low * k / F.lit(1 << 32)).cast("long")
+    bucket = (_above(bounds, F.col("doc_id")) if bounds else F.lit(0)).cast("long") * (most + 1)
+    many = [b for b in parts if b is not None]
+    if many:
+        sizes = F.element_at(F.create_map(*[F.lit(v).cast("long") for b in many for v in (b, parts[b])]), F.col("doc_id"))
+        bucket = bucket + F.when(F.col("doc_id").isin(many), 1 + part(sizes)).otherwise(F.lit(0))
+    seq = F.when(F.col("doc_id").isNull(), (len(bounds) + 1) * (most + 1) + part(F.lit(parts[None]))).otherwise(bucket)
+    tagged = rows.withColumn("seq", seq.cast("long"))
+    heads = tagged.groupBy("seq").agg(F.max(F.struct("doc_id", "tie")).alias("head")).select("seq", "head.doc_id", "head.tie").collect()
+    heads = sorted((tuple(h) for h in heads), key=lambda h: h[0])
     if not heads:
         return tagged.withColumn("guard", F.lit(0))
-    before = {h["seq"]: heads[i - 1]["seq"] for i, h in enumerate(heads)}  # the first head ends the last bucket
-    first = tagged.filter(F.col("doc_id").isin([h["doc_id"] for h in heads if h["doc_id"] is not None]) | F.col("doc_id").isNull())
-    first = first.groupBy("seq").agg(F.max_by(F.struct("doc_id", "text", "tie"), F.col("tie")).alias("x"))
-    target = F.element_at(F.create_map(*[F.lit(v) for k in before.items() for v in k]), F.col("seq"))
-    guards = first.select(F.col("x.doc_id").alias("doc_id"), F.col("x.text").alias("text"), target.cast("int").alias("seq"), F.col("x.tie").alias("tie"), F.lit(1).alias("guard"))
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 4)
+    # the first row of each bucket ends the one before it; the very first one ends the last
+    ends = docs.sparkSession.createDataFrame([(*h, heads[i - 1][0]) for i, h in enumerate(heads)], "seq long, doc_id long, tie long, target long")
+    first = tagged.alias("t").join(F.broadcast(ends.alias("e")), (F.col("t.seq") == F.col("e.seq")) & F.col("t.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("t.tie") == F.col("e.tie")))
+    guards = first.groupBy("target").agg(F.first("t.doc_id").alias("doc_id"), F.first("t.text").alias("text"), F.first("t.tie").alias("tie")).select("doc_id", "text", "tie", F.col("target").alias("seq"), F.lit(1).alias("guard"))
+    parts_ = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 4)
     order = [F.col("seq"), F.col("guard"), F.col("doc_id").desc_nulls_last(), F.col("tie").desc()]
-    return tagged.withColumn("guard", F.lit(0)).unionByName(guards).repartition(parts, "seq").sortWithinPartitions(*order)
+    return tagged.withColumn("guard", F.lit(0)).unionByName(guards).repartition(parts_, "seq").sortWithinPartitions(*order)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
