@@ -23,9 +23,10 @@ def free_prefix(df: DataFrame, prefix: str) -> str:
     return prefix
 
 
-def divide(x: Column, by: float) -> Column:
+def divide(x: Column, by: float | Column) -> Column:
     """float32 quotient: the double quotient rounded once more equals it."""
-    return (x.cast("double") / F.lit(f32(by))).cast("float")
+    by = by.cast("float").cast("double") if isinstance(by, Column) else F.lit(f32(by))
+    return (x.cast("double") / by).cast("float")
 
 
 def times(x: Column, by: float | Column) -> Column:

@@ -33,6 +33,34 @@ def _point(x: Column, y: Column, z: Column) -> Column:
     return F.struct(x.cast("float").alias("x"), y.cast("float").alias("y"), z.cast("float").alias("z"))
 
 
+#: A lattice's step is twice the bound over this.
+SIDE = {"cube": math.sqrt(3), "to": math.sqrt(5)}
+
+
+def step(name: str, bound: float) -> float:
+    return 2 * f32(bound) / SIDE[name]
+
+
+def _cube_cells(df: DataFrame, step: float | Column) -> DataFrame:
+    return _cells(df, df.columns, *[F.floor(divide(F.col(c), step)) for c in AXES])
+
+
+def _octahedron_cells(df: DataFrame, step: float | Column) -> DataFrame:
+    own, p = df.columns, free_prefix(df, "_q_")
+    name = lambda kind: [F.col(f"{p}{kind}{c}") for c in AXES]
+    df = df.withColumns({f"{p}u{c}": divide(F.col(c), step) for c in AXES})
+    df = df.withColumns({f"{p}h{c}": u.cast("double") * 0.5 for c, u in zip(AXES, name("u"))} | {f"{p}g{c}": (u - F.lit(1.0).cast("float")).cast("double") * 0.5 for c, u in zip(AXES, name("u"))})
+    df = df.withColumns({f"{p}e{c}": nearest(h) * 2 for c, h in zip(AXES, name("h"))} | {f"{p}o{c}": nearest(g) * 2 + 1 for c, g in zip(AXES, name("g"))})
+    away = {f"{p}{k}{k}{c}": u.cast("double") - t.cast("double") for k in "eo" for c, u, t in zip(AXES, name("u"), name(k))}
+    df = df.withColumns(away)
+    far = lambda k: sum((d * d for d in name(k + k)), F.lit(0.0))
+    df = df.withColumn(f"{p}even", far("e") <= far("o"))
+    even = F.col(f"{p}even")
+    pick = lambda e, o: F.when(even, F.shiftright(e.cast("bigint"), 1)).otherwise(F.shiftright(o.cast("bigint") + 1, 1))
+    (ex, ey, ez), (ox, oy, oz) = name("e"), name("o")
+    return _cells(df, own, pick(ex, ox), pick(ey, oy), F.when(even, ez).otherwise(oz))
+
+
 def _cube_point(bound: float | Column, qx: Column, qy: Column, qz: Column) -> Column:
     return _point(*[divide(times((q.cast("double") + 0.5) * 2, bound), math.sqrt(3)) for q in (qx, qy, qz)])
 
@@ -64,8 +92,7 @@ class Cube:
         check_bound(self.bound)
 
     def quantize(self, df: DataFrame) -> DataFrame:
-        step = 2 * f32(self.bound) / math.sqrt(3)
-        return _cells(df, df.columns, *[F.floor(divide(F.col(c), step)) for c in AXES])
+        return _cube_cells(df, step("cube", self.bound))
 
     def point(self, qx: Column, qy: Column, qz: Column) -> Column:
         return _cube_point(self.bound, qx, qy, qz)
@@ -79,20 +106,7 @@ class TruncatedOctahedron:
         check_bound(self.bound)
 
     def quantize(self, df: DataFrame) -> DataFrame:
-        step = 2 * f32(self.bound) / math.sqrt(5)
-        own, p = df.columns, free_prefix(df, "_q_")
-        name = lambda kind: [F.col(f"{p}{kind}{c}") for c in AXES]
-        df = df.withColumns({f"{p}u{c}": divide(F.col(c), step) for c in AXES})
-        df = df.withColumns({f"{p}h{c}": u.cast("double") * 0.5 for c, u in zip(AXES, name("u"))} | {f"{p}g{c}": (u - F.lit(1.0).cast("float")).cast("double") * 0.5 for c, u in zip(AXES, name("u"))})
-        df = df.withColumns({f"{p}e{c}": nearest(h) * 2 for c, h in zip(AXES, name("h"))} | {f"{p}o{c}": nearest(g) * 2 + 1 for c, g in zip(AXES, name("g"))})
-        away = {f"{p}{k}{k}{c}": u.cast("double") - t.cast("double") for k in "eo" for c, u, t in zip(AXES, name("u"), name(k))}
-        df = df.withColumns(away)
-        far = lambda k: sum((d * d for d in name(k + k)), F.lit(0.0))
-        df = df.withColumn(f"{p}even", far("e") <= far("o"))
-        even = F.col(f"{p}even")
-        pick = lambda e, o: F.when(even, F.shiftright(e.cast("bigint"), 1)).otherwise(F.shiftright(o.cast("bigint") + 1, 1))
-        (ex, ey, ez), (ox, oy, oz) = name("e"), name("o")
-        return _cells(df, own, pick(ex, ox), pick(ey, oy), F.when(even, ez).otherwise(oz))
+        return _octahedron_cells(df, step("to", self.bound))
 
     def point(self, qx: Column, qy: Column, qz: Column) -> Column:
         return _octahedron_point(self.bound, qx, qy, qz)
@@ -141,6 +155,18 @@ def adaptive_cells(df: DataFrame, steps: Column) -> DataFrame:
 LATTICES = {"cube": Cube, "to": TruncatedOctahedron}
 
 
+def quantize_over(df: DataFrame, name: str, bounds: list[float]) -> DataFrame:
+    """df once for each bound, which column `bound` says, with its cells: one pass over the points for all bounds."""
+    each = df.withColumn("bound", F.explode(F.array(*[F.lit(check_bound(b)) for b in bounds])))
+    found = F.lit(None).cast("double")
+    for b in bounds:
+        found = F.when(F.col("bound") == F.lit(float(b)), F.lit(f32(step(name, b)))).otherwise(found)
+    # a column of its own, as the cells use it several times
+    own, at = each.columns, f"{free_prefix(each, '_q_')}step"
+    cells = {"cube": _cube_cells, "to": _octahedron_cells}[name](each.withColumn(at, found), F.col(at))
+    return cells.select(*[named(c) for c in own if c not in ("qx", "qy", "qz")], "qx", "qy", "qz")
+
+
 def lattice(name: str, bound: float):
     """The lattice of that name; ValueError for any other."""
     if name not in LATTICES:

@@ -24,9 +24,9 @@ def merge_counts(*tables: DataFrame) -> DataFrame:
     return out.groupBy(*CELL).agg(F.sum("cnt").alias("cnt"))
 
 
-def duplicate_ratio(counts: DataFrame) -> DataFrame:
-    """One row: points, cells, ratio = 1 - cells / points (0 for none)."""
-    got = counts.agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("points"), F.count("*").alias("cells"))
+def duplicate_ratio(counts: DataFrame, by: list[str] = ()) -> DataFrame:
+    """One row (or one a group): points, cells, ratio = 1 - cells / points (0 for none)."""
+    got = counts.groupBy(*by).agg(F.coalesce(F.sum("cnt"), F.lit(0)).alias("points"), F.count("*").alias("cells"))
     return got.withColumn("ratio", F.when(F.col("points") > 0, 1 - F.col("cells") / F.col("points")).otherwise(F.lit(0.0)))
 
 

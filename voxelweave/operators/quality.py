@@ -15,11 +15,11 @@ def with_error(df: DataFrame, a=("x", "y", "z"), b=("rx", "ry", "rz")) -> DataFr
     return df.withColumn("_sq", square_error(a, b)).withColumn("err", F.sqrt("_sq"))
 
 
-def error_stats(df: DataFrame, bound: float, by: list[str] = ()) -> DataFrame:
+def error_stats(df: DataFrame, bound: float | Column, by: list[str] = ()) -> DataFrame:
     """n, max_err, mse, overflow (points over the bound), diagonal and psnr (null if the mse is 0) of a table with original x, y, z and err."""
     side = lambda c: (F.max(c).cast("double") - F.min(c).cast("double"))
     got = df.groupBy(*by).agg(
-        F.count("*").alias("n"), F.max("err").alias("max_err"), F.avg("_sq").alias("mse"), F.count_if(F.col("err") > F.lit(float(bound))).alias("overflow"),
+        F.count("*").alias("n"), F.max("err").alias("max_err"), F.avg("_sq").alias("mse"), F.count_if(F.col("err") > (bound if isinstance(bound, Column) else F.lit(float(bound)))).alias("overflow"),
         F.sqrt(side("x") * side("x") + side("y") * side("y") + side("z") * side("z")).alias("diagonal"),
     )
     return got.withColumn("psnr", F.when((F.col("mse") > 0) & (F.col("diagonal") > 0), F.lit(10.0) * F.log10(F.col("diagonal") * F.col("diagonal") / F.col("mse"))))

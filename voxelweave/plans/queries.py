@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import curves
 from ..functions.floats import fixed
-from ..functions.lattice import Adaptive, lattice
+from ..functions.lattice import Adaptive, lattice, point_by_row, quantize_over
 from ..operators import blocks, cells as C, codec, ordered, partition, points as P, quality, sizing
 from . import clouds, compress as Z, oracles as O, reports
 
@@ -119,9 +119,10 @@ _LATTICE_BOUNDS = [(n, b) for n in ("cube", "to") for b in (0.3, 0.9, 3.0)]
 
 @query(_union([f"WITH {O.quantized('items', n, b)}, c AS (SELECT qx, qy, qz, count(*) AS cnt FROM q GROUP BY ALL) SELECT '{n}' AS lattice, {O.d(b)} AS bound, CAST(sum(cnt) AS BIGINT) AS points, count(*) AS cells, {O.fixed('1 - count(*) / CAST(sum(cnt) AS DOUBLE)', 9)} AS ratio FROM c" for n, b in _LATTICE_BOUNDS]))
 def duplicate_ratio(spark, sf_dir):
-    cloud, out = clouds.items(spark, sf_dir), None
-    for n, b in _LATTICE_BOUNDS:
-        got = C.duplicate_ratio(C.cell_counts(quantized(cloud, n, b))).select(F.lit(n).alias("lattice"), F.lit(b).alias("bound"), "points", "cells", fixed(F.col("ratio"), 9).alias("ratio"))
+    shifted, out = P.shift(clouds.items(spark, sf_dir)), None
+    for n in ("cube", "to"):
+        cells = C.cell_counts(quantize_over(shifted, n, [b for m, b in _LATTICE_BOUNDS if m == n]), ["bound"])
+        got = C.duplicate_ratio(cells, ["bound"]).select(F.lit(n).alias("lattice"), "bound", "points", "cells", fixed(F.col("ratio"), 9).alias("ratio"))
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -184,11 +185,14 @@ def l2_error_stats_cube(spark, sf_dir):
 
 @query(_union([_stats_sql("vectors", n, b) for n in ("to", "cube") for b in (0.001, 0.01, 0.05)]))
 def psnr_by_bound(spark, sf_dir):
-    cloud, out = clouds.vectors(spark, sf_dir), None
+    shifted, out = P.shift(clouds.vectors(spark, sf_dir)), None
     for n in ("to", "cube"):
-        for b in (0.001, 0.01, 0.05):
-            got = _stats(cloud, n, b)
-            out = got if out is None else out.unionByName(got)
+        cells = quantize_over(shifted, n, [0.001, 0.01, 0.05])
+        point = point_by_row(F.lit(n), F.col("bound"), F.lit(None).cast("array<double>"), *[F.col(q) for q in CELL])
+        back = cells.withColumn("point", point).select("bound", "x", "y", "z", *[F.col(f"point.{c}").alias(f"r{c}") for c in "xyz"])
+        got = quality.error_stats(quality.with_error(back), F.col("bound"), ["bound"])
+        got = got.select(F.lit(n).alias("lattice"), "bound", "n", fixed(F.col("max_err")).alias("max_err"), fixed(F.col("mse"), 9).alias("mse"), "overflow", fixed(F.col("psnr")).alias("psnr"))
+        out = got if out is None else out.unionByName(got)
     return out
 
 
