@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import curves
 from ..functions.floats import free_prefix
-from .cells import ranges
+from .cells import expand, ranges
 from .ordered import deltas, running_sum
 
 
@@ -23,10 +23,18 @@ def entries(cells: DataFrame, hilbert: bool = False, bias: int = 0) -> DataFrame
 
 
 def entry_deltas(rows: DataFrame) -> DataFrame:
-    """rows with quad_delta (from 0 at a superblock's start) and repos_delta (from 0 at an octant's); ties of sfc are equal cells."""
+    """id, quad, sfc, quad_delta (from 0 at a superblock's start) and repos_delta (from 0 at an octant's) of each row.
+
+    Windows run over distinct cells; further rows of a cell have deltas of 0 and are dealt out where there are many.
+    """
+    cell = ("id", "quad", "sfc")
     block = Window.partitionBy("id").orderBy("quad", "sfc")
     octant = Window.partitionBy("id", "quad").orderBy("sfc")
-    return rows.withColumn("quad_delta", F.col("quad") - F.coalesce(F.lag("quad").over(block), F.lit(0))).withColumn("repos_delta", F.col("sfc") - F.coalesce(F.lag("sfc").over(octant), F.lit(0)))
+    cells = rows.groupBy(*cell).agg(F.count("*").alias("cnt"))
+    none = F.lit(0).cast("bigint")
+    again = expand(cells.filter("cnt > 1").withColumn("cnt", F.col("cnt") - 1), cell=cell).select(*cell, none.cast("int").alias("quad_delta"), none.alias("repos_delta"))
+    first = cells.withColumn("quad_delta", F.col("quad") - F.coalesce(F.lag("quad").over(block), F.lit(0))).withColumn("repos_delta", F.col("sfc") - F.coalesce(F.lag("sfc").over(octant), F.lit(0)))
+    return first.drop("cnt").unionByName(again)
 
 
 def superblocks(rows: DataFrame) -> DataFrame:

@@ -30,14 +30,14 @@ def duplicate_ratio(counts: DataFrame, by: list[str] = ()) -> DataFrame:
     return got.withColumn("ratio", F.when(F.col("points") > 0, 1 - F.col("cells") / F.col("points")).otherwise(F.lit(0.0)))
 
 
-def expand(counts: DataFrame, parts: int = 1000) -> DataFrame:
-    """A row for each point. Cells of many points are first split into parts, dealt over the tasks, so none makes them alone."""
+def expand(counts: DataFrame, parts: int = 1000, cell: tuple[str, ...] = CELL) -> DataFrame:
+    """A row for each point (cell: what tells cells apart). Cells of many points are first split into parts, dealt over the tasks, so none makes them alone."""
     n, p = F.col("cnt").cast("bigint"), free_prefix(counts, "_e")
     many, i, k, one = (f"{p}{c}" for c in "nik1")
     split = F.when(n > WIDE, F.least(F.lit(parts).cast("bigint"), F.ceil(n / WIDE).cast("bigint"))).otherwise(F.lit(1).cast("bigint"))
     pieces = counts.withColumn(many, split).withColumn(i, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(many) - 1)))
     pieces = pieces.withColumn(k, F.floor((F.col(i) + 1) * n / F.col(many)).cast("bigint") - F.floor(F.col(i) * n / F.col(many)).cast("bigint"))
-    hot = pieces.filter(F.col(many) > 1).repartition("qx", "qy", "qz", i)
+    hot = pieces.filter(F.col(many) > 1).repartition(*cell, i)
     rows = pieces.filter(F.col(many) == 1).unionByName(hot)
     return rows.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(k).cast("int")))).drop(one, k, i, many, "cnt")
 

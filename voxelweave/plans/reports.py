@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.curves import Z_BIAS, bit_length, with_morton
 from ..functions.lattice import lattice
-from ..operators import points as P, quality
+from ..operators import ordered, points as P, quality
 
 RECORD = 12
 
@@ -15,24 +15,31 @@ def sweep(df: DataFrame, index: str, sizes: list[int], variants: list[tuple[str,
     """A row for each chunk size (in points; 0: all in one) and variant (lattice, bound): num_chunks, input and modelled compressed bytes, ratio, mean psnr.
 
     The model: keys of a chunk's distinct cells as bit-packed deltas, counts bit-packed. All sizes and variants
-    are rows of one table, so one pass of shuffles serves them all.
+    are rows of one table, so one pass of shuffles serves them all, but for size 0: there the offset is one broadcast row and
+    deltas go along a global order, so that no task holds the whole cloud.
     """
-    each = df.withColumn("chunk_points", F.explode(F.array(*[F.lit(s) for s in sizes])))
-    each = each.withColumn("chunk", F.when(F.col("chunk_points") > 0, F.floor(F.col(index) / F.nullif(F.col("chunk_points"), F.lit(0)))).otherwise(F.lit(0)).cast("bigint"))
-    by = ["chunk_points", "chunk"]
-    shifted = P.shift(each, by)
-    tables = []
-    for name, bound in variants:
-        cells = P.recover(P.quantize(shifted, lattice(name, bound)), lattice(name, bound))
-        tables.append(quality.with_error(cells).withColumn("variant", F.lit(f"{name}-{bound:g}")))
-    rows = tables[0]
-    for t in tables[1:]:
-        rows = rows.unionByName(t)
-    by = ["chunk_points", "variant", "chunk"]
+    whole_too = 0 in sizes
+    some = [s for s in sizes if s > 0]
+    parts = []
+    if some:
+        each = df.withColumn("chunk_points", F.explode(F.array(*[F.lit(s) for s in some])))
+        each = each.withColumn("chunk", F.floor(F.col(index) / F.col("chunk_points")).cast("bigint"))
+        parts.append(P.shift(each, ["chunk_points", "chunk"]))
+    if whole_too:
+        parts.append(P.shift(df).withColumns({"chunk_points": F.lit(0), "chunk": F.lit(0).cast("bigint")}))
+    by, rows = ["chunk_points", "variant", "chunk"], None
+    for shifted in parts:
+        for name, bound in variants:
+            cells = P.recover(P.quantize(shifted, lattice(name, bound)), lattice(name, bound))
+            got = quality.with_error(cells).withColumn("variant", F.lit(f"{name}-{bound:g}"))
+            rows = got if rows is None else rows.unionByName(got)
     stats = quality.error_stats(rows, float("inf"), by).select(*by, "n", "psnr")
     keys = with_morton(rows.groupBy(*by, "qx", "qy", "qz").agg(F.count("*").alias("cnt")), F.col("qx"), F.col("qy"), F.col("qz") + Z_BIAS)
     delta = F.col("sfc") - F.coalesce(F.lag("sfc").over(Window.partitionBy(*by).orderBy("sfc")), F.lit(0))
-    packed = keys.withColumn("delta", delta).groupBy(*by).agg(F.count("*").alias("cells"), F.max("delta").alias("most"), F.max("cnt").alias("most_cnt"))
+    moved = keys.filter("chunk_points > 0").withColumn("delta", delta)
+    for name, bound in variants if whole_too else ():
+        moved = moved.unionByName(ordered.deltas(keys.filter((F.col("chunk_points") == 0) & (F.col("variant") == f"{name}-{bound:g}")), "sfc"))
+    packed = moved.groupBy(*by).agg(F.count("*").alias("cells"), F.max("delta").alias("most"), F.max("cnt").alias("most_cnt"))
     packed = packed.withColumn("bytes", F.ceil(F.col("cells") * (bit_length(F.col("most")) + bit_length(F.col("most_cnt"))) / 8))
     whole = stats.join(packed, by).groupBy("chunk_points", "variant").agg(F.count("*").alias("num_chunks"), (F.sum("n") * RECORD).alias("input_bytes"), F.sum("bytes").alias("compressed_bytes"), F.avg("psnr").alias("mean_psnr"))
     return whole.withColumn("ratio", F.col("input_bytes") / F.nullif(F.col("compressed_bytes"), F.lit(0)))
