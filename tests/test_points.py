@@ -276,10 +276,10 @@ def test_decoders_stop_at_cut_streams():
 
 def test_summaries_and_scaling(spark, tmp_path):
     for n, wall in ((1, 8.0), (2, 5.0)):
-        at = tmp_path / f"hacc_n{n}" / "blk64M"
+        at = tmp_path / f"sweep_n{n}" / "blk64M"
         at.mkdir(parents=True)
         (at / "summary.json").write_text('{"nranks": %d, "input_bytes": 100, "compressed_bytes": 10, "wall_max_s": %f, "end_to_end_throughput_GBps": %f}' % (n, wall, 100 / wall))
-    got = raw.read_summaries(spark, str(tmp_path), "hacc")
+    got = raw.read_summaries(spark, str(tmp_path), "sweep")
     scaled = reports.scaling(got.withColumn("throughput", F.col("end_to_end_throughput_GBps"))).orderBy("nodes").collect()
     assert [round(r["speedup"], 3) for r in scaled] == [1.0, 1.6] and round(scaled[1]["parallel_efficiency"], 3) == 0.8
 
