@@ -51,7 +51,7 @@ CHUNK_BYTES, SHARD_BYTES, MOST_BYTES = 8 << 20, 4 << 20, 32 << 20
 #: A context is split beyond so many occurrences, or a larger share of the tokens, see `hot`.
 HOT, HOT_SHARE = 1 << 22, 16
 
-TEXTS_SQL = "chunk long, doc_ids array<long>, held_out array<boolean>, n_train long, sizes binary, words binary, end long, hashes binary, counts binary"
+TEXTS_SQL = "chunk long, doc_ids array<long>, held_out array<boolean>, n_train long, sizes binary, words binary, uses binary, end long, hashes binary, counts binary"
 MESSAGE = pa.schema([("kind", pa.int32()), ("bucket", pa.int64()), ("chunk", pa.int64()), ("payload", pa.binary()), ("tokens", pa.int64()), ("distinct", pa.int64()), ("numbers", pa.int64())])
 MESSAGE_SQL = "kind int, bucket long, chunk long, payload binary, tokens long, distinct long, numbers long"
 COUNTS, ANSWERS, TRIE = 0, 1, 2
@@ -138,6 +138,15 @@ def _distinct(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.nda
     return a[new], b[new], place
 
 
+def _by_use(uses: np.ndarray) -> np.ndarray:
+    """Ranks of tokens, the most used first."""
+    return np.argsort(-uses.astype(np.int64), kind="stable")
+
+
+def _hashes(gaps: np.ndarray) -> np.ndarray:
+    return np.cumsum(gaps.astype(np.int64).view(np.uint64), dtype=np.uint64)
+
+
 def encode(docs: DataFrame, chunk_bytes: int) -> DataFrame:
     """Chunks of texts as ranks among the chunk's distinct token hashes: one row a chunk, see TEXTS_SQL."""
 
@@ -151,7 +160,10 @@ def encode(docs: DataFrame, chunk_bytes: int) -> DataFrame:
         distinct, word = _ranked(every)
         held = table["held_out"].to_numpy(zero_copy_only=False).astype(bool)
         seen = np.bincount(word[np.repeat(~held, sizes)], minlength=len(distinct))
-        return [at, table["doc_id"].to_pylist(), held.tolist(), int((~held).sum()), pack(sizes), pack(word), int(np.searchsorted(distinct, U(END))), distinct.astype("<u8").tobytes(), pack(seen)]
+        uses = np.bincount(word, minlength=len(distinct))
+        often = np.empty(len(distinct), np.int64)  # frequent tokens get small numbers, which pack well; their order follows from `uses`
+        often[_by_use(uses)] = np.arange(len(distinct))
+        return [at, table["doc_id"].to_pylist(), held.tolist(), int((~held).sum()), pack(sizes), pack(often[word]), pack(uses), int(np.searchsorted(distinct, U(END))), pack(np.diff(distinct, prepend=U(0))), pack(seen)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size, at = [], 0, TaskContext.get().partitionId() << 32
@@ -179,7 +191,7 @@ def encode(docs: DataFrame, chunk_bytes: int) -> DataFrame:
             yield from out(True)
 
     names = [x.split()[0] for x in TEXTS_SQL.split(", ")]
-    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
+    types = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
     columns = [F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), held_out(F.col("doc_id")).alias("held_out")]
     return docs.select(*columns).mapInArrow(run, TEXTS_SQL)
 
@@ -212,7 +224,8 @@ class Grams:
     """
 
     def __init__(self, row: dict, counts: np.ndarray, numbers: np.ndarray, space: Numbers):
-        self.word, self.sizes, self.counts = unpack(row["words"])[0].astype(np.int64), unpack(row["sizes"])[0].astype(np.int64), counts
+        self.word = _by_use(unpack(row["uses"])[0])[unpack(row["words"])[0]]
+        self.sizes, self.counts = unpack(row["sizes"])[0].astype(np.int64), counts
         word, n, tokens = self.word, len(numbers), len(self.word)
         self._units(np.append(numbers, space.begin), np.append(counts, space.starts), row["end"], space)
         units, known = len(self.unit_v), self.total > 0
@@ -400,13 +413,13 @@ def score_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for chunk, hashes, counts in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                h, c = np.frombuffer(hashes.as_buffer(), "<u8"), unpack(counts.as_py())[0]
+                h, c = _hashes(unpack(hashes.as_py())[0]), unpack(counts.as_py())[0]
                 shard = (h >> U(64 - shard_bits)).astype(np.int64)
-                yield from _frame([(COUNTS, s, chunk, pack(h[i:j], c[i:j]), 0, 0, 0) for s, i, j in _blocks(shard, 0)], MESSAGE).to_batches()
+                yield from _frame([(COUNTS, s, chunk, pack(np.diff(h[i:j], prepend=U(0)), c[i:j]), 0, 0, 0) for s, i, j in _blocks(shard, 0)], MESSAGE).to_batches()
 
     def add_up(table: pa.Table) -> pa.Table:
         sent = [unpack(x.as_py()) for x in table["payload"]]
-        known, place = _ranked(np.concatenate([s[0] for s in sent]))
+        known, place = _ranked(np.concatenate([_hashes(s[0]) for s in sent]))
         total = np.bincount(place, np.concatenate([s[1] for s in sent])).astype(np.int64)
         rank = np.empty(len(total), np.int64)  # numbers go by frequency, so those of most tokens are small
         rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
@@ -431,7 +444,7 @@ def score_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
             total, rank = unpack(got[b])
             counts.append(total.astype(np.int64))
             numbers.append((b << rank_bits) + rank.astype(np.int64))
-        row = {n: table[n][0].as_py() for n in ("words", "sizes", "held_out", "end")}
+        row = {n: table[n][0].as_py() for n in ("words", "uses", "sizes", "held_out", "end")}
         return Grams(row, np.concatenate(counts), np.concatenate(numbers), space)
 
     def send(table: pa.Table, told: pa.Table) -> pa.Table:
@@ -466,7 +479,7 @@ def score_texts(docs: DataFrame, model: str | None = None) -> DataFrame:
         columns = [table["doc_ids"][0].as_py(), table["held_out"][0].as_py(), g.sizes, seen, np.full(n, every), base, total]
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    chunks = texts.select("chunk", "doc_ids", "held_out", "sizes", "words", "end").groupBy("chunk")
+    chunks = texts.select("chunk", "doc_ids", "held_out", "sizes", "words", "uses", "end").groupBy("chunk")
     answers = chunks.cogroup(counted.groupBy("chunk")).applyInArrow(send, MESSAGE_SQL).groupBy("bucket").applyInArrow(shard, MESSAGE_SQL)
     if model:
         answers = scratch.save(answers, "answers")
