@@ -469,6 +469,14 @@ def splitters(spark, sf_dir):
     return ordered.exact_splitters(keys, "k", 8)
 
 
+@query(f"{_CELLS_ITEMS}, t AS (SELECT k, row_number() OVER (ORDER BY k) AS r, count(*) OVER () AS n FROM k), cut AS (SELECT list(k) AS cuts FROM t WHERE r IN (SELECT CAST(ceil(n * i / CAST(8 AS DOUBLE)) AS BIGINT) FROM (SELECT unnest(range(1, 8)) AS i))) SELECT qx, qy, qz, CAST(len(list_filter(cuts, lambda x: x <= k)) AS INT) AS owner FROM k, cut")
+def samplesort_partition_owner(spark, sf_dir):
+    """Owners of cells by seven exact splitters."""
+    keyed = curves.with_morton(_cell_table(spark, sf_dir), F.col("qx"), F.col("qy"), F.col("qz") + curves.Z_BIAS, "k")
+    cuts = sorted({r["splitter"] for r in ordered.exact_splitters(keyed, "k", 8).collect()})
+    return keyed.select(*CELL, ordered.owner(F.col("k"), cuts).cast("int").alias("owner"))
+
+
 @query()
 def repartition_balance(spark, sf_dir):
     """Rows of the parts that each partitioner deals."""
@@ -628,12 +636,22 @@ _RANKS = "r AS (SELECT user_id % 8 AS rank, count(*) * 12 AS input_bytes, count(
 
 @query(f"WITH {_RANKS} SELECT count(*) AS nranks, CAST(sum(blocks) AS BIGINT) AS num_blocks, CAST(sum(input_bytes) AS BIGINT) AS input_bytes, CAST(sum(compressed_bytes) AS BIGINT) AS compressed_bytes, max(wall_s) AS wall_max_s, min(wall_s) AS wall_min_s, {O.fixed('sum(input_bytes) / CAST(sum(compressed_bytes) AS DOUBLE)')} AS ratio, {O.fixed('min(wall_s) / max(wall_s)')} AS load_balance, {O.fixed('sum(input_bytes) / max(wall_s) / CAST(1000000000 AS DOUBLE)', 12)} AS throughput_GBps, count(*) AS rows_gathered FROM r")
 def run_summary(spark, sf_dir):
-    t = spark.read.parquet(f"{sf_dir}/events.parquet")
-    ranks = t.groupBy((F.col("user_id") % 8).alias("rank")).agg((F.count("*") * 12).alias("input_bytes"), F.count_distinct(F.floor(F.col("event_id") / 1000)).alias("blocks"), F.max("user_id").cast("double").alias("wall_s"), (F.count("*") * 5).alias("compressed_bytes"))
-    got = reports.run_summary(ranks).withColumn("rows_gathered", F.size("per_rank").cast("bigint")).drop("per_rank")
+    got = reports.run_summary(_rank_rows(spark, sf_dir)).withColumn("rows_gathered", F.size("per_rank").cast("bigint")).drop("per_rank")
     return rounded(rounded(got, "ratio", "load_balance"), "throughput_GBps", places=12)
 
 
+def _rank_rows(spark, sf_dir):
+    """A row a rank, made of events."""
+    t = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return t.groupBy((F.col("user_id") % 8).alias("rank")).agg((F.count("*") * 12).alias("input_bytes"), F.count_distinct(F.floor(F.col("event_id") / 1000)).alias("blocks"), F.max("user_id").cast("double").alias("wall_s"), (F.count("*") * 5).alias("compressed_bytes"))
+
+
+@query(f"WITH {_RANKS} SELECT rank, input_bytes, compressed_bytes, blocks, wall_s FROM r")
+def gathered_ranks(spark, sf_dir):
+    """The ranks' rows that a run's summary holds."""
+    return reports.run_summary(_rank_rows(spark, sf_dir)).select(F.explode("per_rank").alias("r")).select("r.rank", "r.input_bytes", "r.compressed_bytes", "r.blocks", "r.wall_s")
+
+
 @query("SELECT o_custkey % 7 AS rank, count(*) AS blocks, CAST(sum(o_custkey) AS BIGINT) AS input_bytes, CAST(sum(o_orderkey) AS BIGINT) AS compressed_bytes, max(o_orderkey + o_custkey) AS part_bytes FROM orders GROUP BY ALL")
 def manifest_index(spark, sf_dir):
     """Part files' totals from rows like a manifest's."""
