@@ -47,6 +47,13 @@ def test_tiles_of_odd_sizes(spark):
     assert sorted(map(tuple, t.collect())) == [(n, at, min(1200, n // 12 * 12 - at)) for n in sizes for at in range(0, n // 12 * 12, 1200)]
 
 
+@pytest.mark.parametrize("later", [False, True])
+def test_keys_are_restored_whatever_order_rows_arrive_in(spark, data, con, monkeypatch, later):
+    whole, by = blocks.entry_deltas, [F.col(c).desc() if later else F.col(c) for c in ("quad_delta", "repos_delta")]
+    monkeypatch.setattr(blocks, "entry_deltas", lambda rows: whole(rows).repartition(1).sortWithinPartitions(*by))
+    agree(Q.QUERIES["prefix_sum_restore"](spark, data), con, Q.ORACLES["prefix_sum_restore"])
+
+
 def test_compression_ratios(spark, data):
     got = {(r["curve"], r["rle"]): r["ratio"] for r in Q.QUERIES["zstd_ratio"](spark, data).collect()}
     assert len(got) == 4 and all(v > 1 for v in got.values())

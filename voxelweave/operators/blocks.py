@@ -37,6 +37,11 @@ def entry_deltas(rows: DataFrame) -> DataFrame:
     return first.drop("cnt").unionByName(again)
 
 
+def positioned(rows: DataFrame, name: str = "position") -> DataFrame:
+    """rows of entry_deltas with their place in their superblock's stream, from 1. A cell's first row, the one with its deltas, comes before the others, whose deltas are 0."""
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy("id").orderBy("quad", "sfc", F.desc("quad_delta"), F.desc("repos_delta"))))
+
+
 def superblocks(rows: DataFrame) -> DataFrame:
     """id, cnt of each superblock."""
     return rows.groupBy("id").agg(F.count("*").alias("cnt"))
@@ -92,4 +97,4 @@ def is_direct(cells: DataFrame, threshold: int = 1024) -> bool:
     return max(r) < threshold
 
 
-__all__ = ["cells_of", "direct_deltas", "direct_keys", "entries", "entry_deltas", "is_direct", "restore", "running_sum", "superblock_deltas", "superblocks"]
+__all__ = ["cells_of", "direct_deltas", "direct_keys", "entries", "entry_deltas", "is_direct", "positioned", "restore", "running_sum", "superblock_deltas", "superblocks"]
