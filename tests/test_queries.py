@@ -48,6 +48,26 @@ def test_tiles_of_odd_sizes(spark):
     assert sorted(map(tuple, t.collect())) == [(n, at, min(1200, n // 12 * 12 - at)) for n in sizes for at in range(0, n // 12 * 12, 1200)]
 
 
+def test_rows_of_tiles_of_odd_sizes(spark):
+    sizes = [None, -13, 0, 1, 11, 12, 13, 1199, 1200, 1201, 1212, 2400, 10**6 + 5, 1200 * 4096, 1200 * 4096 + 12, 3 * 1200 * 4096 - 1]
+    t = spark.createDataFrame([(i, n) for i, n in enumerate(sizes)], "i int, size long")
+    want = [(n, at, min(1200, n // 12 * 12 - at)) for n in sizes if n for at in range(0, n // 12 * 12, 1200)]
+    assert sorted(map(tuple, P.tile_rows(t, "size", 1207, ["i"]).select("size", "offset", "count").collect())) == sorted(want)
+    assert P.tile_rows(t.filter("size < 12"), "size", 1200, ["i"]).count() == 0
+    with pytest.raises(ValueError):
+        P.tile_rows(t, "size", 11, ["i"])
+
+
+def test_tiles_of_one_large_file_are_made_by_many_compiled_tasks(spark, tmp_path):
+    spark.createDataFrame([(3, 10**9)], "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got, whole = Q.QUERIES["chunk_tiles"](spark, str(tmp_path)), 7 * 10**9 // 12 * 12
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan and "Generate" in plan
+    tasks = got.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n"), F.sum("count").alias("bytes")).collect()
+    assert sum(r["n"] for r in tasks) == -(-whole // 1200) and sum(r["bytes"] for r in tasks) == whole
+    assert len(tasks) > 1 and max(r["n"] for r in tasks) < 0.6 * sum(r["n"] for r in tasks)
+
+
 @pytest.mark.parametrize("later", [False, True])
 def test_keys_are_restored_whatever_order_rows_arrive_in(spark, data, con, monkeypatch, later):
     whole, by = blocks.entry_deltas, [F.col(c).desc() if later else F.col(c) for c in ("quad_delta", "repos_delta")]
